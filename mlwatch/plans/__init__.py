@@ -1 +1,6 @@
 """Registered queries over the shared tables, and the SQL they must agree with."""
+
+from mlwatch.plans import drift
+from mlwatch.plans.register import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "drift"]

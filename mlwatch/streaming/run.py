@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mlwatch.operators.frames import shared_dir
 
@@ -37,7 +38,8 @@ def run_available(stream: DataFrame, mode: str = "append", conf: dict[str, str]
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    return spark.read.schema(stream.schema.add("batch", "bigint")).parquet(f"{root}/out")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{root}/out")
 
 
 def last_emitted(out: DataFrame, keys: list[str]) -> DataFrame:

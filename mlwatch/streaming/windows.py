@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mlwatch.functions.columns import clean, missing, quoted
 from mlwatch.functions.stats import equal_width_bin
-from mlwatch.functions.text import error_category
+from mlwatch.functions.text import ERROR_KEYWORDS, ERROR_OTHER, ERROR_TYPES, error_category
 from mlwatch.operators.alerting import GROUP_BY, REPEAT_SECONDS
 from mlwatch.operators.drift import bin_count, drift_features, has_psi, psi_from_bins, side_stats
 from mlwatch.operators.frames import long_values, settled
@@ -188,7 +188,7 @@ def stream_log_errors(logs: DataFrame, seconds: int = 300, delay: str = DELAY) -
     category = F.coalesce(
         F.col("error_category"), error_category(F.substring_index("exception", ":", 1), F.col("message"))
     )
-    cats = ["validation_error", "database_error", "model_error", "internal_error"]
+    cats = [*dict(ERROR_TYPES), *dict(ERROR_KEYWORDS), ERROR_OTHER]
     rows = logs.where(F.col("timestamp").isNotNull()).withWatermark("timestamp", delay)
     rows = rows.withColumn("_c", F.when(failed, category))
     wide = rows.groupBy(_window("timestamp", seconds).alias("w"), "service").agg(
