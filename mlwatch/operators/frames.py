@@ -53,12 +53,13 @@ def key_of(by: Sequence[str]) -> Column:
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = (), name: str = "_s") -> DataFrame:
     """Put a settled frame with one row per group beside every row of its group, as one struct column.
 
-    Without keys the statistics are a single row and become a scalar subquery. With keys they are broadcast when
-    their measured size allows it; otherwise Spark joins both sides on the keys and splits hot ones (adaptive
-    skew join).
+    Without keys the statistics are a single row of numbers per column. They become a constant, which the optimizer
+    folds into the expressions that use it. With keys they are broadcast when their measured size allows it;
+    otherwise Spark joins both sides on the keys and splits hot ones (adaptive skew join).
     """
     if not by:
-        return df.withColumn(name, stats.select(F.struct("*")).scalar())
+        row = stats.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()
+        return df.withColumn(name, F.from_json(F.lit(row[0]), stats.schema))
     packed = stats.select(key_of(by).alias("_key"), F.struct(*[c for c in stats.columns if c not in by]).alias(name))
     if within_broadcast(stats):
         packed = F.broadcast(packed)
