@@ -52,17 +52,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def clean_sql(df: DataFrame, name: str) -> str:
+    """SQL of a numeric column as double, with NaN turned into null so that both count as missing."""
+    cast = f"CAST({quoted(name)} AS DOUBLE)"
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return f"nanvl({cast}, CAST(NULL AS DOUBLE))" if floating else cast
+
+
 def clean(df: DataFrame, name: str) -> Column:
-    """A numeric column as double, with NaN turned into null so that both count as missing."""
-    col = F.col(quoted(name))
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
-    return col.cast("double")
+    return F.expr(clean_sql(df, name))
 
 
 def missing(df: DataFrame, name: str) -> Column:
     """True where a cell is null, or NaN in a floating column."""
-    col = F.col(quoted(name))
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return col.isNull() | F.isnan(col)
-    return col.isNull()
+        return F.expr(f"({quoted(name)} IS NULL OR isnan({quoted(name)}))")
+    return F.expr(f"({quoted(name)} IS NULL)")

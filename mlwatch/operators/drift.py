@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mlwatch.functions.columns import clean, common_cols, numeric_cols, quoted
+from mlwatch.functions.columns import clean, clean_sql, common_cols, numeric_cols, quoted
 from mlwatch.functions.stats import equal_width_bin, ks_pvalue, safe_div
 from mlwatch.operators.frames import attach, grouped, long_values, melt_stats, settled
 from mlwatch.operators.order import bucket_grid, bucket_of, bucketed, edges_agg, sliced_scan
@@ -48,12 +48,12 @@ def side_stats(both: DataFrame, cols: Sequence[str], by: Sequence[str], buckets:
     """Sizes, common range and (for sorting) cut points per group and feature, from one wide pass."""
     aggs = []
     for i, c in enumerate(cols):
-        v = F.col(quoted(c))
+        v = quoted(c)
         aggs += [
-            F.count(F.when(F.col("side") == 0, v)).alias(f"c{i}_nr"),
-            F.count(F.when(F.col("side") == 1, v)).alias(f"c{i}_nc"),
-            F.min(v).alias(f"c{i}_lo"),
-            F.max(v).alias(f"c{i}_hi"),
+            F.expr(f"count_if(side = 0 AND {v} IS NOT NULL) AS c{i}_nr"),
+            F.expr(f"count_if(side = 1 AND {v} IS NOT NULL) AS c{i}_nc"),
+            F.expr(f"min({v}) AS c{i}_lo"),
+            F.expr(f"max({v}) AS c{i}_hi"),
         ]
         if buckets:
             aggs.append(edges_agg(v, buckets).alias(f"c{i}_edges"))
@@ -61,10 +61,13 @@ def side_stats(both: DataFrame, cols: Sequence[str], by: Sequence[str], buckets:
     return settled(melt_stats(grouped(both, by).agg(*aggs), by, cols, fields))
 
 
-def bin_count(n_ref: Column, n_cur: Column, n_bins: int) -> Column:
+def bin_count_sql(n_bins: int, n_ref: str = "n_ref", n_cur: str = "n_cur") -> str:
     """Number of bins for the smaller of the two samples: one per fifteen rows, at least two."""
-    smaller = F.floor(F.least(n_ref, n_cur) / F.lit(15))
-    return F.greatest(F.lit(2), F.least(F.lit(n_bins), smaller)).cast("int")
+    return f"CAST(greatest(2, least({n_bins}, least({n_ref}, {n_cur}) DIV 15)) AS INT)"
+
+
+def bin_count(n_bins: int, n_ref: str = "n_ref", n_cur: str = "n_cur") -> Column:
+    return F.expr(bin_count_sql(n_bins, n_ref, n_cur))
 
 
 def has_psi(n_ref: Column, n_cur: Column, lo: Column, hi: Column) -> Column:
@@ -73,14 +76,22 @@ def has_psi(n_ref: Column, n_cur: Column, lo: Column, hi: Column) -> Column:
     return (n_ref >= 2) & (n_cur >= 2) & (lo > -inf) & (hi < inf) & (hi > lo)
 
 
-def psi_from_bins(bins: Sequence[tuple[Column, Column]], n_ref: Column, n_cur: Column, nb: Column) -> Column:
-    """The index from (reference, current) counts per bin with +1 smoothing; bins beyond ``nb`` do not count."""
-    total = F.lit(0.0)
+def psi_from_bins(bins: Sequence[tuple[str, str]], n_ref: str, n_cur: str, nb: str) -> Column:
+    """The index from (reference, current) counts per bin with +1 smoothing; bins beyond ``nb`` do not count.
+
+    Arguments are SQL expressions.
+    """
+    terms = []
     for j, (r, c) in enumerate(bins):
-        rp = (F.coalesce(r, F.lit(0)) + 1.0) / (n_ref + nb)
-        cp = (F.coalesce(c, F.lit(0)) + 1.0) / (n_cur + nb)
-        total = total + F.when(nb > j, (cp - rp) * F.log(cp / rp)).otherwise(0.0)
-    return total
+        rp = f"((coalesce({r}, 0) + 1D) / ({n_ref} + {nb}))"
+        cp = f"((coalesce({c}, 0) + 1D) / ({n_cur} + {nb}))"
+        terms.append(f"IF({nb} > {j}, ({cp} - {rp}) * ln({cp} / {rp}), 0D)")
+    return F.expr(" + ".join(terms))
+
+
+def bin_sums(n_bins: int) -> list[Column]:
+    """Aggregates that turn (bin, r, c) rows into columns r0, c0, r1, c1, ..."""
+    return [F.expr(f"sum(IF(bin = {j}, {s}, 0L)) AS {s}{j}") for j in range(n_bins) for s in ("r", "c")]
 
 
 def psi(
@@ -93,29 +104,23 @@ def psi(
     both = both_sides(ref, cur, cols, by)
     stats = side_stats(both, cols, by, None)
     long = attach(long_values(both, [*by, "side"], cols), stats, [*by, "feature"])
-    nb = bin_count(F.col("_s.n_ref"), F.col("_s.n_cur"), n_bins)
+    nb = bin_count(n_bins, "_s.n_ref", "_s.n_cur")
     binned = (
         long.where(F.col("_s.hi") > F.col("_s.lo"))
         .withColumn("bin", equal_width_bin(F.col("value"), F.col("_s.lo"), F.col("_s.hi"), nb))
         .groupBy(*by, "feature", "bin")
         .agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
     )
-    wide = binned.groupBy(*by, "feature").agg(
-        *[F.sum(F.when(F.col("bin") == j, F.col(s))).alias(f"{s}{j}") for j in range(n_bins) for s in ("r", "c")]
-    )
+    wide = binned.groupBy(*by, "feature").agg(*bin_sums(n_bins))
     out = attach(stats, settled(wide), [*by, "feature"])
     return out.select(*by, "feature", _psi_column(n_bins, "_s.").alias("psi"))
 
 
 def _psi_column(n_bins: int, prefix: str) -> Column:
-    n_ref, n_cur = F.col("n_ref"), F.col("n_cur")
-    value = psi_from_bins(
-        [(F.col(f"{prefix}r{j}"), F.col(f"{prefix}c{j}")) for j in range(n_bins)],
-        n_ref,
-        n_cur,
-        bin_count(n_ref, n_cur, n_bins),
-    )
-    return F.when(has_psi(n_ref, n_cur, F.col("lo"), F.col("hi")), F.round(value, 5)).otherwise(0.0)
+    pairs = [(f"{prefix}r{j}", f"{prefix}c{j}") for j in range(n_bins)]
+    value = psi_from_bins(pairs, "n_ref", "n_cur", bin_count_sql(n_bins))
+    ok = has_psi(F.col("n_ref"), F.col("n_cur"), F.col("lo"), F.col("hi"))
+    return F.when(ok, F.round(value, 5)).otherwise(0.0)
 
 
 def _distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str], n_bins: int, by: Sequence[str]) -> DataFrame:
@@ -135,7 +140,7 @@ def _distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str], n_bins: int,
         .agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
     )
     placed = bucketed(counts, stats, keys, "value", fan)
-    nb = bin_count(F.col("n_ref"), F.col("n_cur"), n_bins)
+    nb = bin_count(n_bins)
     in_bucket = W.partitionBy(*keys, "bucket").orderBy("value")
     gap = F.coalesce(safe_div(F.sum("r").over(in_bucket), F.col("n_ref")), F.lit(0.0)) - F.coalesce(
         safe_div(F.sum("c").over(in_bucket), F.col("n_cur")), F.lit(0.0)
@@ -162,8 +167,8 @@ def _distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str], n_bins: int,
         cells.withColumn("a", a)
         .groupBy(*keys)
         .agg(
-            F.max(F.greatest(F.abs(F.col("a") + F.col("x_hi")), F.abs(F.col("a") + F.col("x_lo")))).alias("d"),
-            *[F.sum(F.when(F.col("bin") == j, F.col(s))).alias(f"{s}{j}") for j in range(n_bins) for s in ("r", "c")],
+            F.expr("max(greatest(abs(a + x_hi), abs(a + x_lo))) AS d"),
+            *bin_sums(n_bins),
         )
     )
     # Only sizes and range travel on; the cut points have done their work.
@@ -346,8 +351,8 @@ def drift_by_group(
     def sizes(df: DataFrame, ks_: Sequence[str], n: str, edges: bool) -> DataFrame:
         aggs = []
         for i, c in enumerate(cols):
-            v = clean(df, c)
-            aggs += [F.count(v).alias(f"c{i}_n"), F.min(v).alias(f"c{i}_lo"), F.max(v).alias(f"c{i}_hi")]
+            v = clean_sql(df, c)
+            aggs += [F.expr(f"{fn}({v}) AS c{i}_{sfx}") for fn, sfx in (("count", "n"), ("min", "lo"), ("max", "hi"))]
             if edges:
                 aggs.append(edges_agg(v, buckets).alias(f"c{i}_edges"))
         fields = {n: "n", "lo": "lo", "hi": "hi"} | ({"edges": "edges"} if edges else {})
@@ -366,7 +371,7 @@ def drift_by_group(
             "edges",
         )
     )
-    nb = bin_count(F.col("n_ref"), F.col("n_cur"), n_bins)
+    nb = bin_count(n_bins)
     ranged = has_psi(F.col("n_ref"), F.col("n_cur"), F.col("lo"), F.col("hi"))
 
     # Current values per group, and the bin edges each group asks the reference about.
@@ -391,7 +396,7 @@ def drift_by_group(
 
     # Index: reference counts between neighbouring edges, current counts by bin.
     asked = edge_points.withColumn("_at", F.struct(*feat, "value")).join(ranks, "_at").groupBy(*keys).agg(
-        *[F.max(F.when(F.col("edge") == j, F.col("lt"))).alias(f"e{j}") for j in range(1, n_bins)]
+        *[F.expr(f"max(IF(edge = {j}, lt, NULL)) AS e{j}") for j in range(1, n_bins)]
     )
     spread = bucketed(cur_counts, cur_stats, keys, "value", fan)
     cum = sliced_scan(spread, keys, ["value"], F.col("bucket"), total={"before": F.col("c")})
@@ -401,7 +406,7 @@ def drift_by_group(
     ahead = F.abs(safe_div(F.col("lt"), F.col("n_ref")) - safe_div(F.col("before"), F.col("n_cur")))
     found = met.groupBy(*keys).agg(
         F.max(F.greatest(after, ahead)).alias("d"),
-        *[F.sum(F.when(F.col("bin") == j, F.col("c"))).alias(f"c{j}") for j in range(n_bins)],
+        *[F.expr(f"sum(IF(bin = {j}, c, 0L)) AS c{j}") for j in range(n_bins)],
     )
 
     def packed(df: DataFrame, name: str) -> DataFrame:
@@ -413,9 +418,10 @@ def drift_by_group(
         .join(packed(found, "_c"), "_key", "left")
         .join(packed(asked, "_r"), "_key", "left")
     )
-    below = [F.lit(0), *[F.coalesce(F.col(f"_r.e{j}"), F.col("n_ref")) for j in range(1, n_bins)], F.col("n_ref")]
-    bins = [(below[j + 1] - below[j], F.col(f"_c.c{j}")) for j in range(n_bins)]
-    index = F.when(ranged, F.round(psi_from_bins(bins, F.col("n_ref"), F.col("n_cur"), nb), 5)).otherwise(0.0)
+    below = ["0L", *[f"coalesce(_r.e{j}, n_ref)" for j in range(1, n_bins)], "n_ref"]
+    bins = [(f"({below[j + 1]} - {below[j]})", f"_c.c{j}") for j in range(n_bins)]
+    value = psi_from_bins(bins, "n_ref", "n_cur", bin_count_sql(n_bins))
+    index = F.when(ranged, F.round(value, 5)).otherwise(0.0)
     d = out.select(
         *keys,
         "n_ref",

@@ -95,7 +95,7 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> t
         grouped(rows, by).agg(
             F.count_if("positive").alias("p"),
             F.count_if(~F.col("positive")).alias("q"),
-            edges_agg(F.col("score"), buckets).alias("edges"),
+            edges_agg("score", buckets).alias("edges"),
         )
     )
     counts = rows.groupBy(*by, "score").agg(

@@ -29,10 +29,10 @@ def bucket_grid(spark: SparkSession, at_least: int = 256) -> tuple[int, int]:
     return fan * fan, fan
 
 
-def edges_agg(value: Column, buckets: int) -> Column:
-    """Approximate equal-frequency cut points of a column (an aggregate)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    return F.percentile_approx(value, probs, max(10_000, 20 * buckets))
+def edges_agg(value: str, buckets: int) -> Column:
+    """Approximate equal-frequency cut points of a SQL expression (an aggregate)."""
+    probs = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    return F.expr(f"percentile_approx({value}, array({probs}), {max(10_000, 20 * buckets)})")
 
 
 def bucket_of(value: Column, edges: Column, fan: int) -> Column:
@@ -76,97 +76,76 @@ def exact_quantiles(
     m, cs = len(marks), range(len(cols))
 
     slim = df.select(*[F.col(quoted(k)) for k in by], *[clean(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    at_marks = ", ".join(f"{x!r}D" for x in marks)
     sketch = settled(
         grouped(slim, by).agg(
-            *[F.count(f"v{i}").alias(f"c{i}_n") for i in cs],
-            *[F.percentile_approx(f"v{i}", marks, accuracy).alias(f"c{i}_e") for i in cs],
+            *[F.expr(f"count(v{i}) AS c{i}_n") for i in cs],
+            *[F.expr(f"percentile_approx(v{i}, array({at_marks}), {accuracy}) AS c{i}_e") for i in cs],
         )
     )
     upto = grouped(attach(slim, sketch, by), by).agg(
-        *[
-            F.coalesce(F.count_if(F.col(f"v{i}") <= F.get(F.col(f"_s.c{i}_e"), F.lit(j))), F.lit(0)).alias(f"c{i}_k{j}")
-            for i in cs
-            for j in range(m)
-        ]
+        *[F.expr(f"array({', '.join(f'count_if(v{i} <= _s.c{i}_e[{j}])' for j in range(m))}) AS c{i}_k") for i in cs]
     )
 
-    def interval(i: int, pi: int, side: int, p: float) -> Column:
-        """(lo, hi] around one wanted rank: it ends at the first cut whose exact count reaches the rank."""
-        n, edges = F.col(f"_s.c{i}_n"), F.col(f"_s.c{i}_e")
-        pos = (n.cast("double") - 1.0) * p
-        rank = (F.ceil(pos) if side else F.floor(pos)).cast("bigint") + 1
-        at = F.lit(m)
-        for j in reversed(range(m)):
-            at = F.when(F.col(f"c{i}_k{j}") >= rank, j).otherwise(at)
-        counts = F.array(*[F.col(f"c{i}_k{j}") for j in range(m)])
-        return F.struct(
-            F.lit(pi).alias("pi"),
-            F.lit(side).alias("side"),
-            rank.alias("rank"),
-            F.when(at > 0, F.get(edges, at - 1)).alias("lo"),
-            F.when(at < m, F.get(edges, at)).alias("hi"),
-            F.when(at > 0, F.get(counts, at - 1)).otherwise(F.lit(0)).cast("bigint").alias("below"),
-        )
-
+    # One interval (lo, hi] per feature and wanted rank: it ends at the first cut whose exact count reaches the rank.
+    asked = ", ".join(
+        f"named_struct('pi', {pi}, 'side', {side}, 'rank', CAST({fn}((_s.c{{i}}_n - 1) * {p!r}D) AS BIGINT) + 1)"
+        for pi, p in enumerate(probs)
+        for side, fn in enumerate(("floor", "ceil"))
+    )
+    interval = (
+        "transform(transform(array(" + asked + "), a -> named_struct('a', a, "
+        "'at', size(filter(c{i}_k, k -> k < a.rank)))), x -> named_struct("
+        "'pi', x.a.pi, 'side', x.a.side, 'rank', x.a.rank, 'lo', get(_s.c{i}_e, x.at - 1), "
+        "'hi', get(_s.c{i}_e, x.at), 'below', coalesce(get(c{i}_k, x.at - 1), 0L))) AS c{i}_t"
+    )
     plan = settled(
         attach(upto, sketch, by).select(
             *by,
-            *[F.col(f"_s.c{i}_n").alias(f"c{i}_n") for i in cs],
-            *[
-                F.array(*[interval(i, pi, side, p) for pi, p in enumerate(probs) for side in (0, 1)]).alias(f"c{i}_t")
-                for i in cs
-            ],
+            *[F.expr(f"_s.c{i}_n AS c{i}_n") for i in cs],
+            *[F.expr(interval.replace("{i}", str(i))) for i in cs],
         )
     )
 
-    def inside(v: Column, t: Column) -> Column:
-        return (t.lo.isNull() | (v > t.lo)) & (t.hi.isNull() | (v <= t.hi))
+    def inside(v: str, t: str) -> str:
+        return f"({v} IS NOT NULL AND ({t}.lo IS NULL OR {v} > {t}.lo) AND ({t}.hi IS NULL OR {v} <= {t}.hi))"
 
-    near = attach(slim, plan, by)
     # Rows outside every interval of every feature leave before anything is unpivoted or shuffled.
-    keep = F.lit(False)
-    for i in cs:
-        v = F.col(f"v{i}")
-        for k in range(2 * len(probs)):
-            keep = keep | (v.isNotNull() & inside(v, F.get(F.col(f"_s.c{i}_t"), F.lit(k))))
-
-    def cell(i: int) -> Column:
-        v = F.col(f"v{i}")
-        asked = F.filter(F.col(f"_s.c{i}_t"), lambda t: v.isNotNull() & inside(v, t))
-        return F.struct(F.lit(i).alias("ci"), v.alias("v"), asked.alias("ts"))
-
+    keep = " OR ".join(inside(f"v{i}", f"_s.c{i}_t[{k}]") for i in cs for k in range(2 * len(probs)))
+    cells = ", ".join(
+        f"named_struct('ci', {i}, 'v', v{i}, 'ts', filter(_s.c{i}_t, t -> {inside(f'v{i}', 't')}))" for i in cs
+    )
     hits = (
-        near.where(keep)
-        .select(*by, F.inline(F.array(*[cell(i) for i in cs])))
+        attach(slim, plan, by)
+        .where(keep)
+        .select(*by, F.expr(f"inline(array({cells}))"))
         .select(*by, "ci", "v", F.inline("ts"))
         .groupBy(*by, "ci", "pi", "side", "rank", "below", "v")
         .agg(F.count("*").alias("k"))
     )
     w = W.partitionBy(*by, "ci", "pi", "side").orderBy("v")
     ranked = hits.withColumn("upto", F.col("below") + F.sum("k").over(w))
-    picked = grouped(
-        ranked.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("k"))), by
-    ).agg(
+    picked = grouped(ranked.where("rank <= upto AND rank > upto - k"), by).agg(
         *[
-            F.max(F.when((F.col("ci") == i) & (F.col("pi") == pi) & (F.col("side") == side), F.col("v"))).alias(
-                f"x{i}_{pi}_{side}"
-            )
+            F.expr(f"max(CASE WHEN ci = {i} AND pi = {pi} AND side = {side} THEN v END) AS x{i}_{pi}_{side}")
             for i in cs
             for pi in range(len(probs))
             for side in (0, 1)
         ]
     )
 
-    def interpolate(i: int, pi: int, p: float) -> Column:
-        pos = (F.col(f"_s.c{i}_n").cast("double") - 1.0) * p
-        lo, hi = F.col(f"x{i}_{pi}_0"), F.col(f"x{i}_{pi}_1")
-        return lo + (hi - lo) * (pos - F.floor(pos))
+    def interpolate(i: int, pi: int, p: float) -> str:
+        pos = f"((_s.c{i}_n - 1) * {p!r}D)"
+        return f"x{i}_{pi}_0 + (x{i}_{pi}_1 - x{i}_{pi}_0) * ({pos} - floor({pos}))"
 
     return settled(
         attach(picked, plan, by).select(
             *by,
-            *[F.col(f"_s.c{i}_n").alias(f"c{i}_n") for i in cs],
-            *[F.array(*[interpolate(i, pi, p) for pi, p in enumerate(probs)]).alias(f"c{i}_q") for i in cs],
+            *[F.expr(f"_s.c{i}_n AS c{i}_n") for i in cs],
+            *[
+                F.expr(f"array({', '.join(interpolate(i, pi, p) for pi, p in enumerate(probs))}) AS c{i}_q")
+                for i in cs
+            ],
         )
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mlwatch.functions.columns import clean, missing, numeric_cols, object_cols, quoted
+from mlwatch.functions.columns import clean, clean_sql, missing, numeric_cols, object_cols, quoted
 from mlwatch.functions.stats import pct_of, safe_div
 from mlwatch.operators.frames import attach, grouped, melt_stats, settled, side_by_side
 from mlwatch.operators.order import approx_quantiles, exact_quantiles
@@ -218,17 +218,16 @@ def _tail_counts(
     near = attach(df, limits, by)
     aggs = [F.count("*").alias("n_rows")]
     for i, c in enumerate(cols):
-        v = clean(df, c)
+        v = clean_sql(df, c)
         if z is not None:
-            mean, std = F.col(f"_s.c{i}_mean"), F.col(f"_s.c{i}_std")
-            aggs.append(F.count_if((std != 0) & (F.abs(v - mean) / F.nullif(std, F.lit(0.0)) > z)).alias(f"c{i}_out"))
+            mean, std = f"_s.c{i}_mean", f"_s.c{i}_std"
+            aggs.append(F.expr(f"count_if({std} <> 0 AND abs({v} - {mean}) / nullif({std}, 0D) > {float(z)!r}D) AS c{i}_out"))
         for name, (a, b) in (bounds or {}).items():
-            q = F.col(f"_s.c{i}_q")
-            lo, hi = F.get(q, F.lit(a)), F.get(q, F.lit(b))
+            lo, hi = f"_s.c{i}_q[{a}]", f"_s.c{i}_q[{b}]"
             if name == "out":
-                iqr = hi - lo
-                lo, hi = lo - 1.5 * iqr, hi + 1.5 * iqr
-            aggs.append(F.count_if((v < lo) | (v > hi)).alias(f"c{i}_{name}"))
+                iqr = f"({hi} - {lo})"
+                lo, hi = f"({lo} - 1.5D * {iqr})", f"({hi} + 1.5D * {iqr})"
+            aggs.append(F.expr(f"count_if({v} < {lo} OR {v} > {hi}) AS c{i}_{name}"))
     return grouped(near, by).agg(*aggs)
 
 
@@ -321,10 +320,9 @@ def class_summary(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFra
 def _pair_aggs(df: DataFrame, pairs: Sequence[tuple[int, int]], cols: Sequence[str]) -> list[Column]:
     aggs = []
     for a, b in pairs:
-        x, y = clean(df, cols[a]), clean(df, cols[b])
-        sx = F.stddev_samp(F.when(y.isNotNull(), x))
-        sy = F.stddev_samp(F.when(x.isNotNull(), y))
-        aggs.append(F.try_divide(F.covar_samp(x, y), sx * sy).alias(f"p{a}_{b}"))
+        x, y = clean_sql(df, cols[a]), clean_sql(df, cols[b])
+        sx, sy = f"stddev_samp(IF({y} IS NOT NULL, {x}, NULL))", f"stddev_samp(IF({x} IS NOT NULL, {y}, NULL))"
+        aggs.append(F.expr(f"try_divide(covar_samp({x}, {y}), {sx} * {sy}) AS p{a}_{b}"))
     return aggs
 
 

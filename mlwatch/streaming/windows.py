@@ -79,7 +79,7 @@ def reference_bins(ref: DataFrame, cols: Sequence[str], n_bins: int = 10) -> Dat
     """Per feature of a stored reference: its range, its number of bins and its counts per bin, as a settled frame."""
     stats = side_stats(ref.select(*[clean(ref, c).alias(c) for c in cols], F.lit(0).alias("side")), cols, (), None)
     facts = stats.select(
-        "feature", "n_ref", "lo", "hi", bin_count(F.col("n_ref"), F.col("n_ref"), n_bins).alias("nb")
+        "feature", "n_ref", "lo", "hi", bin_count(n_bins, "n_ref", "n_ref").alias("nb")
     )
     # One row per feature: bounded by the schema.
     long = long_values(ref, [], cols).join(F.broadcast(facts), "feature").where("hi > lo")
@@ -113,9 +113,7 @@ def stream_drift(
         *refs,
         *[F.count_if(F.col("bin") == j).alias(f"c{j}") for j in range(n_bins)],
     )
-    value = psi_from_bins(
-        [(F.col(f"r{j}"), F.col(f"c{j}")) for j in range(n_bins)], F.col("n_ref"), F.col("n_cur"), F.col("nb")
-    )
+    value = psi_from_bins([(f"r{j}", f"c{j}") for j in range(n_bins)], "n_ref", "n_cur", "nb")
     ok = has_psi(F.col("n_ref"), F.col("n_cur"), F.col("lo"), F.col("hi"))
     return counts.select(
         F.col("w.start").alias("window_start"),
