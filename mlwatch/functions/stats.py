@@ -46,15 +46,10 @@ def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
 
 
-def equal_width_bin(v: Column, lo: Column, hi: Column, n: Column) -> Column:
-    """Index 0..n-1 of the equal-width, left-closed bin of v in [lo, hi]; the last bin is closed on the right.
+def equal_width_bin(v: str, lo: str, step: str, nb: str, most: int) -> Column:
+    """Index 0..nb-1 of the equal-width, left-closed bin of a value; the last bin is closed on the right.
 
-    The quotient gives a first guess; comparing v with the bin's own edges then moves it over a boundary that
-    floating-point division put on the wrong side.
+    The index is the number of inner bin edges at or below the value, for at most ``most`` bins. Arguments are SQL.
     """
-    nf = n.cast("double")
-    step = (hi - lo) / nf
-    guess = F.least(nf - 1.0, F.greatest(F.lit(0.0), F.floor((v - lo) / step).cast("double")))
-    low, high = guess * step + lo, (guess + 1.0) * step + lo
-    moved = F.when((v < low) & (guess > 0), guess - 1.0).when((v >= high) & (guess < nf - 1.0), guess + 1.0)
-    return F.coalesce(moved, guess).cast("int")
+    edges = [f"IF({nb} > {k} AND {v} >= {k} * {step} + {lo}, 1, 0)" for k in range(1, most)]
+    return F.expr(" + ".join(edges))

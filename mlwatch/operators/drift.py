@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from mlwatch.functions.columns import clean, clean_sql, common_cols, numeric_cols, quoted
 from mlwatch.functions.stats import equal_width_bin, ks_pvalue, safe_div
 from mlwatch.operators.frames import attach, grouped, long_values, melt_stats, settled
-from mlwatch.operators.order import bucket_grid, bucket_of, bucketed, edges_agg, sliced_scan
+from mlwatch.operators.order import bucket_count, bucketed, edges_agg, sliced_scan
 
 # Default thresholds.
 ALPHA = 0.05
@@ -44,8 +44,10 @@ def both_sides(ref: DataFrame, cur: DataFrame, cols: Sequence[str], by: Sequence
     return pick(ref, 0).unionByName(pick(cur, 1))
 
 
-def side_stats(both: DataFrame, cols: Sequence[str], by: Sequence[str], buckets: int | None) -> DataFrame:
-    """Sizes, common range and (for sorting) cut points per group and feature, from one wide pass."""
+def side_stats(
+    both: DataFrame, cols: Sequence[str], by: Sequence[str], n_bins: int, buckets: int | None = None
+) -> DataFrame:
+    """Per group and feature: sizes, common range, bins, and (for sorting) cut points, from one wide pass."""
     aggs = []
     for i, c in enumerate(cols):
         v = quoted(c)
@@ -58,22 +60,21 @@ def side_stats(both: DataFrame, cols: Sequence[str], by: Sequence[str], buckets:
         if buckets:
             aggs.append(edges_agg(v, buckets).alias(f"c{i}_edges"))
     fields = {"n_ref": "nr", "n_cur": "nc", "lo": "lo", "hi": "hi"} | ({"edges": "edges"} if buckets else {})
-    return settled(melt_stats(grouped(both, by).agg(*aggs), by, cols, fields))
-
-
-def bin_count_sql(n_bins: int, n_ref: str = "n_ref", n_cur: str = "n_cur") -> str:
-    """Number of bins for the smaller of the two samples: one per fifteen rows, at least two."""
-    return f"CAST(greatest(2, least({n_bins}, least({n_ref}, {n_cur}) DIV 15)) AS INT)"
+    return settled(with_bins(melt_stats(grouped(both, by).agg(*aggs), by, cols, fields), n_bins))
 
 
-def bin_count(n_bins: int, n_ref: str = "n_ref", n_cur: str = "n_cur") -> Column:
-    return F.expr(bin_count_sql(n_bins, n_ref, n_cur))
-
-
-def has_psi(n_ref: Column, n_cur: Column, lo: Column, hi: Column) -> Column:
-    """Whether the index is defined: two values on each side and a finite, non-empty range."""
-    inf = F.lit(float("inf"))
-    return (n_ref >= 2) & (n_cur >= 2) & (lo > -inf) & (hi < inf) & (hi > lo)
+def with_bins(stats: DataFrame, n_bins: int) -> DataFrame:
+    """Adds ``ranged`` (whether the index is defined: two values on each side and a finite, non-empty range), the
+    number of bins ``nb`` (one per fifteen rows of the smaller sample, two to ``n_bins``) and their width ``step``."""
+    inf = "CAST('Infinity' AS DOUBLE)"
+    return (
+        stats.withColumn(
+            "ranged",
+            F.expr(f"coalesce(n_ref >= 2 AND n_cur >= 2 AND lo > -{inf} AND hi < {inf} AND hi > lo, false)"),
+        )
+        .withColumn("nb", F.expr(f"CAST(greatest(2, least({n_bins}, least(n_ref, n_cur) DIV 15)) AS INT)"))
+        .withColumn("step", F.expr("IF(ranged, (hi - lo) / nb, NULL)"))
+    )
 
 
 def psi_from_bins(bins: Sequence[tuple[str, str]], n_ref: str, n_cur: str, nb: str) -> Column:
@@ -102,12 +103,11 @@ def psi(
     Only bin counts are shuffled: at most ``n_bins`` rows per task, group and feature.
     """
     both = both_sides(ref, cur, cols, by)
-    stats = side_stats(both, cols, by, None)
+    stats = side_stats(both, cols, by, n_bins)
     long = attach(long_values(both, [*by, "side"], cols), stats, [*by, "feature"])
-    nb = bin_count(n_bins, "_s.n_ref", "_s.n_cur")
     binned = (
-        long.where(F.col("_s.hi") > F.col("_s.lo"))
-        .withColumn("bin", equal_width_bin(F.col("value"), F.col("_s.lo"), F.col("_s.hi"), nb))
+        long.where("_s.ranged")
+        .withColumn("bin", equal_width_bin("value", "_s.lo", "_s.step", "_s.nb", n_bins))
         .groupBy(*by, "feature", "bin")
         .agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
     )
@@ -118,9 +118,12 @@ def psi(
 
 def _psi_column(n_bins: int, prefix: str) -> Column:
     pairs = [(f"{prefix}r{j}", f"{prefix}c{j}") for j in range(n_bins)]
-    value = psi_from_bins(pairs, "n_ref", "n_cur", bin_count_sql(n_bins))
-    ok = has_psi(F.col("n_ref"), F.col("n_cur"), F.col("lo"), F.col("hi"))
-    return F.when(ok, F.round(value, 5)).otherwise(0.0)
+    value = psi_from_bins(pairs, "n_ref", "n_cur", "nb")
+    return F.when(F.col("ranged"), F.round(value, 5)).otherwise(0.0)
+
+
+def _share(part: Column, whole: str) -> Column:
+    return F.coalesce(part / F.nullif(F.col(whole), F.lit(0)), F.lit(0.0))
 
 
 def _distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str], n_bins: int, by: Sequence[str]) -> DataFrame:
@@ -131,24 +134,20 @@ def _distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str], n_bins: int,
     bucket can reach it. So one row per (bucket, bin) is all that leaves the parallel part.
     """
     keys = [*by, "feature"]
-    buckets, fan = bucket_grid(ref.sparkSession)
+    buckets = bucket_count(ref.sparkSession)
     both = both_sides(ref, cur, cols, by)
-    stats = side_stats(both, cols, by, buckets)
+    stats = side_stats(both, cols, by, n_bins, buckets)
     counts = (
         long_values(both, [*by, "side"], cols)
         .groupBy(*keys, "value")
         .agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
     )
-    placed = bucketed(counts, stats, keys, "value", fan)
-    nb = bin_count(n_bins)
+    placed = bucketed(counts, stats, keys, "value", buckets)
     in_bucket = W.partitionBy(*keys, "bucket").orderBy("value")
-    gap = F.coalesce(safe_div(F.sum("r").over(in_bucket), F.col("n_ref")), F.lit(0.0)) - F.coalesce(
-        safe_div(F.sum("c").over(in_bucket), F.col("n_cur")), F.lit(0.0)
-    )
-    ranged = has_psi(F.col("n_ref"), F.col("n_cur"), F.col("lo"), F.col("hi"))
+    gap = _share(F.sum("r").over(in_bucket), "n_ref") - _share(F.sum("c").over(in_bucket), "n_cur")
     cells = (
         placed.withColumn("x", gap)
-        .withColumn("bin", F.when(ranged, equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), nb)))
+        .withColumn("bin", equal_width_bin("value", "lo", "step", "nb", n_bins))
         .groupBy(*keys, "bucket", "bin")
         .agg(
             F.sum("r").alias("r"),
@@ -160,9 +159,7 @@ def _distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str], n_bins: int,
         )
     )
     lower = W.partitionBy(*keys).orderBy("bucket").rangeBetween(W.unboundedPreceding, -1)
-    a = F.coalesce(safe_div(F.sum("r").over(lower), F.col("n_ref")), F.lit(0.0)) - F.coalesce(
-        safe_div(F.sum("c").over(lower), F.col("n_cur")), F.lit(0.0)
-    )
+    a = _share(F.sum("r").over(lower), "n_ref") - _share(F.sum("c").over(lower), "n_cur")
     wide = (
         cells.withColumn("a", a)
         .groupBy(*keys)
@@ -346,7 +343,7 @@ def drift_by_group(
     reference's rank at the sample's bin edges. Both become query points in one ordered pass over the reference.
     """
     keys, feat = [*by, *group, "feature"], [*by, "feature"]
-    buckets, fan = bucket_grid(ref.sparkSession)
+    buckets = bucket_count(ref.sparkSession)
 
     def sizes(df: DataFrame, ks_: Sequence[str], n: str, edges: bool) -> DataFrame:
         aggs = []
@@ -362,17 +359,18 @@ def drift_by_group(
     cur_sizes = sizes(cur, [*by, *group], "n_cur", True)
     with_ref = attach(cur_sizes, ref_stats, feat)
     cur_stats = settled(
-        with_ref.select(
-            *keys,
-            "n_cur",
-            F.coalesce(F.col("_s.n_ref"), F.lit(0).cast("bigint")).alias("n_ref"),
-            F.least("lo", F.col("_s.lo")).alias("lo"),
-            F.greatest("hi", F.col("_s.hi")).alias("hi"),
-            "edges",
+        with_bins(
+            with_ref.select(
+                *keys,
+                "n_cur",
+                F.coalesce(F.col("_s.n_ref"), F.lit(0).cast("bigint")).alias("n_ref"),
+                F.least("lo", F.col("_s.lo")).alias("lo"),
+                F.greatest("hi", F.col("_s.hi")).alias("hi"),
+                "edges",
+            ),
+            n_bins,
         )
     )
-    nb = bin_count(n_bins)
-    ranged = has_psi(F.col("n_ref"), F.col("n_cur"), F.col("lo"), F.col("hi"))
 
     # Current values per group, and the bin edges each group asks the reference about.
     cur_counts = (
@@ -380,9 +378,8 @@ def drift_by_group(
         .groupBy(*keys, "value")
         .agg(F.count("*").alias("c"))
     )
-    step = (F.col("hi") - F.col("lo")) / nb.cast("double")
-    inner = F.transform(F.sequence(F.lit(1), nb - 1), lambda k: F.struct(k.alias("edge"), (k * step + F.col("lo")).alias("value")))
-    edge_points = cur_stats.where(ranged).select(*keys, F.inline(inner))
+    inner = "inline(transform(sequence(1, nb - 1), k -> named_struct('edge', k, 'value', k * step + lo)))"
+    edge_points = cur_stats.where("ranged").select(*keys, F.expr(inner))
 
     ref_counts = (
         long_values(ref, [F.col(quoted(k)) for k in by], cols).groupBy(*feat, "value").agg(F.count("*").alias("r"))
@@ -390,7 +387,7 @@ def drift_by_group(
     zero = F.lit(0).cast("bigint").alias("r")
     points = cur_counts.select(*feat, "value", zero).unionByName(edge_points.select(*feat, "value", zero))
     ordered = ref_counts.unionByName(points).groupBy(*feat, "value").agg(F.sum("r").alias("r"))
-    placed = bucketed(ordered, ref_stats.select(*feat, "edges"), feat, "value", fan)
+    placed = bucketed(ordered, ref_stats.select(*feat, "edges"), feat, "value", buckets)
     ranks = sliced_scan(placed, feat, ["value"], F.col("bucket"), total={"lt": F.col("r")})
     ranks = ranks.select(F.struct(*feat, "value").alias("_at"), "lt", (F.col("lt") + F.col("r")).alias("le"))
 
@@ -398,9 +395,9 @@ def drift_by_group(
     asked = edge_points.withColumn("_at", F.struct(*feat, "value")).join(ranks, "_at").groupBy(*keys).agg(
         *[F.expr(f"max(IF(edge = {j}, lt, NULL)) AS e{j}") for j in range(1, n_bins)]
     )
-    spread = bucketed(cur_counts, cur_stats, keys, "value", fan)
+    spread = bucketed(cur_counts, cur_stats, keys, "value", buckets)
     cum = sliced_scan(spread, keys, ["value"], F.col("bucket"), total={"before": F.col("c")})
-    cum = cum.withColumn("bin", F.when(ranged, equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), nb)))
+    cum = cum.withColumn("bin", equal_width_bin("value", "lo", "step", "nb", n_bins))
     met = cum.withColumn("_at", F.struct(*feat, "value")).join(ranks, "_at")
     after = F.abs(safe_div(F.col("le"), F.col("n_ref")) - safe_div(F.col("before") + F.col("c"), F.col("n_cur")))
     ahead = F.abs(safe_div(F.col("lt"), F.col("n_ref")) - safe_div(F.col("before"), F.col("n_cur")))
@@ -420,8 +417,7 @@ def drift_by_group(
     )
     below = ["0L", *[f"coalesce(_r.e{j}, n_ref)" for j in range(1, n_bins)], "n_ref"]
     bins = [(f"({below[j + 1]} - {below[j]})", f"_c.c{j}") for j in range(n_bins)]
-    value = psi_from_bins(bins, "n_ref", "n_cur", bin_count_sql(n_bins))
-    index = F.when(ranged, F.round(value, 5)).otherwise(0.0)
+    index = F.when(F.col("ranged"), F.round(psi_from_bins(bins, "n_ref", "n_cur", "nb"), 5)).otherwise(0.0)
     d = out.select(
         *keys,
         "n_ref",
@@ -442,7 +438,6 @@ def drift_by_window(
 
 __all__ = [
     "ALPHA",
-    "bucket_of",
     "drift_alerts",
     "drift_by_group",
     "drift_by_window",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mlwatch.functions.columns import clean, quoted
 from mlwatch.functions.stats import safe_div
 from mlwatch.operators.frames import grouped, settled, side_by_side
-from mlwatch.operators.order import bucket_grid, bucketed, edges_agg, sliced_scan
+from mlwatch.operators.order import bucket_count, bucketed, edges_agg, sliced_scan
 
 
 def _cells(df: DataFrame, label: str, pred: str, by: Sequence[str]) -> DataFrame:
@@ -87,7 +87,7 @@ def confusion_matrix(df: DataFrame, label: str, pred: str, classes: Sequence, by
 
 def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
     """Positive and negative rows per distinct score, and per group the totals with cut points for sorting."""
-    buckets, fan = bucket_grid(df.sparkSession)
+    buckets = bucket_count(df.sparkSession)
     rows = df.select(
         *by, clean(df, score).alias("score"), (F.col(quoted(label)).cast("int") == 1).alias("positive")
     ).where(F.col("score").isNotNull() & F.col("positive").isNotNull())
@@ -101,7 +101,7 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> t
     counts = rows.groupBy(*by, "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
-    return counts, stats, fan
+    return counts, stats, buckets
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -110,8 +110,8 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
     The rank-sum form: every positive scores the negatives below it. Scores are sorted per bucket; a bucket's
     positives also score all negatives of lower buckets, which one row per bucket is enough to add.
     """
-    counts, stats, fan = _score_counts(df, label, score, by)
-    placed = bucketed(counts, stats, by, "score", fan)
+    counts, stats, buckets = _score_counts(df, label, score, by)
+    placed = bucketed(counts, stats, by, "score", buckets)
     before = W.partitionBy(*by, "bucket").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(before), F.lit(0)).cast("double")
     won = F.col("pos").cast("double") * (below + F.col("neg") / 2.0)
@@ -134,8 +134,8 @@ def roc_curve(
 
     ``drop_intermediate`` leaves out points on a straight line between their neighbours.
     """
-    counts, stats, fan = _score_counts(df, label, score, by)
-    placed = bucketed(counts, stats, by, "score", fan)
+    counts, stats, buckets = _score_counts(df, label, score, by)
+    placed = bucketed(counts, stats, by, "score", buckets)
     last = {"lower": F.struct("pos", "neg")} if drop_intermediate else {}
     keys = list(by)
     if not keys:

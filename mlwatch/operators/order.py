@@ -8,7 +8,6 @@ and the cuts only decide how the work is spread.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +21,10 @@ from mlwatch.operators.frames import attach, grouped, key_of, settled
 # Value buckets
 
 
-def bucket_grid(spark: SparkSession, at_least: int = 256) -> tuple[int, int]:
-    """(number of buckets, fan-out): a square number no smaller than the session's shuffle parallelism."""
+def bucket_count(spark: SparkSession, at_least: int = 256) -> int:
+    """A power of two no smaller than the session's shuffle parallelism."""
     want = max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    fan = math.ceil(math.sqrt(want))
-    return fan * fan, fan
+    return 1 << (want - 1).bit_length()
 
 
 def edges_agg(value: str, buckets: int) -> Column:
@@ -35,20 +33,18 @@ def edges_agg(value: str, buckets: int) -> Column:
     return F.expr(f"percentile_approx({value}, array({probs}), {max(10_000, 20 * buckets)})")
 
 
-def bucket_of(value: Column, edges: Column, fan: int) -> Column:
-    """How many cut points lie strictly below the value, found through every ``fan``-th cut point first."""
-    coarse = F.size(
-        F.filter(F.sequence(F.lit(1), F.lit(fan - 1)), lambda g: F.element_at(edges, g * F.lit(fan)) < value)
-    )
-    fine = F.size(F.filter(F.slice(edges, coarse * F.lit(fan) + F.lit(1), F.lit(fan - 1)), lambda e: e < value))
-    return F.when(edges.isNull(), 0).otherwise(coarse * F.lit(fan) + fine)
+def bucket_of(value: str, edges: str, buckets: int) -> Column:
+    """How many of the ``buckets - 1`` cut points lie strictly below the value: a binary search, as SQL."""
+    steps = ", ".join(str(1 << k) for k in reversed(range(buckets.bit_length() - 1)))
+    found = f"aggregate(array({steps}), 0, (p, s) -> IF({edges}[p + s - 1] < {value}, p + s, p))"
+    return F.expr(f"IF({edges} IS NULL, 0, {found})")
 
 
-def bucketed(counts: DataFrame, stats: DataFrame, by: Sequence[str], value: str, fan: int) -> DataFrame:
+def bucketed(counts: DataFrame, stats: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
     """Rows with the statistics of their group and their ``bucket``; ``stats`` is settled and holds ``edges``."""
     extra = [c for c in stats.columns if c not in by and c != "edges"]
     out = attach(counts, stats, by)
-    return out.withColumn("bucket", bucket_of(F.col(value), F.col("_s.edges"), fan)).select(
+    return out.withColumn("bucket", bucket_of(value, "_s.edges", buckets)).select(
         *counts.columns, *[F.col(f"_s.{c}").alias(c) for c in extra], "bucket"
     )
 
@@ -110,19 +106,27 @@ def exact_quantiles(
     def inside(v: str, t: str) -> str:
         return f"({v} IS NOT NULL AND ({t}.lo IS NULL OR {v} > {t}.lo) AND ({t}.hi IS NULL OR {v} <= {t}.hi))"
 
-    # Rows outside every interval of every feature leave before anything is unpivoted or shuffled.
-    keep = " OR ".join(inside(f"v{i}", f"_s.c{i}_t[{k}]") for i in cs for k in range(2 * len(probs)))
+    # A value travels only if some interval of its own feature holds it, and repeated values collapse before the
+    # shuffle; which of the intervals it serves is settled afterwards, on distinct values.
     cells = ", ".join(
-        f"named_struct('ci', {i}, 'v', v{i}, 'ts', filter(_s.c{i}_t, t -> {inside(f'v{i}', 't')}))" for i in cs
+        f"named_struct('ci', {i}, 'v', IF("
+        + " OR ".join(inside(f"v{i}", f"_s.c{i}_t[{k}]") for k in range(2 * len(probs)))
+        + f", v{i}, NULL))"
+        for i in cs
     )
-    hits = (
+    near = (
         attach(slim, plan, by)
-        .where(keep)
         .select(*by, F.expr(f"inline(array({cells}))"))
-        .select(*by, "ci", "v", F.inline("ts"))
-        .groupBy(*by, "ci", "pi", "side", "rank", "below", "v")
+        .where("v IS NOT NULL")
+        .groupBy(*by, "ci", "v")
         .agg(F.count("*").alias("k"))
     )
+    asked_of = "CASE ci " + " ".join(f"WHEN {i} THEN _s.c{i}_t" for i in cs) + " END"
+    hits = (
+        attach(near, plan, by)
+        .select(*by, "ci", "v", "k", F.expr(f"inline(filter({asked_of}, t -> {inside('v', 't')}))"))
+        .select(*by, "ci", "v", "k", "pi", "side", "rank", "below")
+    )
     w = W.partitionBy(*by, "ci", "pi", "side").orderBy("v")
     ranked = hits.withColumn("upto", F.col("below") + F.sum("k").over(w))
     picked = grouped(ranked.where("rank <= upto AND rank > upto - k"), by).agg(

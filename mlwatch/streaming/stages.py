@@ -33,21 +33,26 @@ class StageMachine(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         dataset = key[0]
         held = self.holder.get()[0] if self.holder.exists() else None
+        # Each model's stage is read from the state once and written back once per micro-batch.
+        now: dict[str, str] = {}
         for r in sorted(rows, key=lambda r: (r.changed_at, r.event_id)):
             if r.to_stage not in STAGES:
                 continue
-            old = self._stage(r.model_id)
+            old = now[r.model_id] if r.model_id in now else self._stage(r.model_id)
+            now[r.model_id] = old
             if old == r.to_stage:
                 continue
             if r.to_stage == "production":
                 if held is not None and held != r.model_id:
-                    self.stages.updateValue((held,), ("staging",))
+                    now[held] = "staging"
                     yield self._row(dataset, held, "production", "staging", r, 0, NOTE_DEMOTED + r.model_id)
                 held = r.model_id
             elif held == r.model_id:
                 held = None
-            self.stages.updateValue((r.model_id,), (r.to_stage,))
+            now[r.model_id] = r.to_stage
             yield self._row(dataset, r.model_id, old, r.to_stage, r, 1, NOTE_MANUAL)
+        for model_id, stage in now.items():
+            self.stages.updateValue((model_id,), (stage,))
         self.holder.update((held,))
 
     def _stage(self, model_id: str) -> str:

@@ -14,7 +14,7 @@ from mlwatch.functions.columns import clean, missing, quoted
 from mlwatch.functions.stats import equal_width_bin
 from mlwatch.functions.text import ERROR_KEYWORDS, ERROR_OTHER, ERROR_TYPES, error_category
 from mlwatch.operators.alerting import GROUP_BY, REPEAT_SECONDS
-from mlwatch.operators.drift import bin_count, drift_features, has_psi, psi_from_bins, side_stats
+from mlwatch.operators.drift import drift_features, psi_from_bins, side_stats, with_bins
 from mlwatch.operators.frames import long_values, settled
 from mlwatch.operators.order import exact_quantiles
 from mlwatch.operators.telemetry import bucket_counts, wide_quantile
@@ -77,17 +77,16 @@ def stream_gauge(stream: DataFrame, labels: Sequence[str], value: str, ts: str,
 
 def reference_bins(ref: DataFrame, cols: Sequence[str], n_bins: int = 10) -> DataFrame:
     """Per feature of a stored reference: its range, its number of bins and its counts per bin, as a settled frame."""
-    stats = side_stats(ref.select(*[clean(ref, c).alias(c) for c in cols], F.lit(0).alias("side")), cols, (), None)
-    facts = stats.select(
-        "feature", "n_ref", "lo", "hi", bin_count(n_bins, "n_ref", "n_ref").alias("nb")
-    )
+    sizes = side_stats(ref.select(*[clean(ref, c).alias(c) for c in cols], F.lit(0).alias("side")), cols, (), n_bins)
+    # The reference alone decides range and bins, as if the current sample were no smaller.
+    facts = with_bins(sizes.select("feature", "n_ref", F.col("n_ref").alias("n_cur"), "lo", "hi"), n_bins).drop("n_cur")
     # One row per feature: bounded by the schema.
-    long = long_values(ref, [], cols).join(F.broadcast(facts), "feature").where("hi > lo")
-    binned = long.groupBy(
-        "feature", equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), F.col("nb")).alias("bin")
-    ).agg(F.count("*").alias("r"))
+    long = long_values(ref, [], cols).join(F.broadcast(facts), "feature").where("ranged")
+    binned = long.groupBy("feature", equal_width_bin("value", "lo", "step", "nb", n_bins).alias("bin")).agg(
+        F.count("*").alias("r")
+    )
     wide = binned.groupBy("feature").agg(
-        *[F.coalesce(F.sum(F.when(F.col("bin") == j, F.col("r"))), F.lit(0)).alias(f"r{j}") for j in range(n_bins)]
+        *[F.expr(f"sum(IF(bin = {j}, r, 0L)) AS r{j}") for j in range(n_bins)]
     )
     return settled(facts.join(wide, "feature", "left"))
 
@@ -104,22 +103,21 @@ def stream_drift(
     long = slim.select(ts, F.inline(cells)).where(F.col("value").isNotNull())
     # One row per feature: bounded by the schema.
     placed = long.join(F.broadcast(bins), "feature").withColumn(
-        "bin", equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), F.col("nb"))
+        "bin", equal_width_bin("value", "lo", "step", "nb", n_bins)
     )
     refs = [F.max(f"r{j}").alias(f"r{j}") for j in range(n_bins)]
-    counts = placed.where("hi > lo").groupBy(_window(ts, seconds).alias("w"), "feature").agg(
+    counts = placed.where("ranged").groupBy(_window(ts, seconds).alias("w"), "feature").agg(
         F.count("*").alias("n_cur"),
-        *[F.max(c).alias(c) for c in ("n_ref", "lo", "hi", "nb")],
+        *[F.max(c).alias(c) for c in ("n_ref", "nb")],
         *refs,
         *[F.count_if(F.col("bin") == j).alias(f"c{j}") for j in range(n_bins)],
     )
     value = psi_from_bins([(f"r{j}", f"c{j}") for j in range(n_bins)], "n_ref", "n_cur", "nb")
-    ok = has_psi(F.col("n_ref"), F.col("n_cur"), F.col("lo"), F.col("hi"))
     return counts.select(
         F.col("w.start").alias("window_start"),
         "feature",
         "n_cur",
-        F.when(ok, F.round(value, 5)).otherwise(0.0).alias("psi"),
+        F.when(F.col("n_cur") >= 2, F.round(value, 5)).otherwise(0.0).alias("psi"),
     )
 
 
