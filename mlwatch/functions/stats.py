@@ -43,7 +43,8 @@ def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
         F.lit(0.0),
         lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * lam * lam),
     )
-    return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
+    bounded = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series))
+    return F.when(lam < 0.2, 1.0).when(lam.isNotNull(), bounded)
 
 
 def equal_width_bin(v: str, lo: str, step: str, nb: str, most: int) -> Column:

@@ -67,7 +67,7 @@ FOREIGN = {
 }
 
 # One stage of a training run.
-STAGES = T.ArrayType(_struct("name string, status string, duration double"))
+STAGES = "array<struct<name: string, status: string, duration: double>>"
 
 
 def schema(table: str) -> T.StructType:
