@@ -233,17 +233,20 @@ def sliced_scan(
     piece: Column,
     last: Mapping[str, Column] | None = None,
     total: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
     rank: str | None = None,
 ) -> DataFrame:
     """Window functions over (keys, order) for groups too large to sort in one task.
 
     ``piece`` must not decrease along ``order`` and splits a group into pieces. On the rows strictly before the
     current one, ``last`` adds, per name, the latest non-null value of an expression, and ``total`` the sum of an
-    integer expression. ``rank`` adds the 1-based row number. Windows run per (keys, piece); one summary row per
-    piece carries values across.
+    integer expression. ``following`` adds the value of an expression on the next row, and ``rank`` the 1-based row
+    number. Windows run per (keys, piece); one summary row per piece, which reads only the columns it needs and is
+    combined before its shuffle, carries values across.
     """
-    last, total = dict(last or {}), dict(total or {})
-    base = df.withColumns({"_piece": piece, **{f"_v_{n}": e for n, e in {**last, **total}.items()}})
+    last, total, following = dict(last or {}), dict(total or {}), dict(following or {})
+    named = {**last, **total, **{n: F.struct(e.alias("v")) for n, e in following.items()}}
+    base = df.withColumns({"_piece": piece, **{f"_v_{n}": e for n, e in named.items()}})
     base = base.withColumn("_cell", key_of([*keys, "_piece"]))
     here = W.partitionBy("_cell").orderBy(*order)
     before = here.rowsBetween(W.unboundedPreceding, -1)
@@ -253,20 +256,20 @@ def sliced_scan(
         F.count("*").alias("_cnt"),
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), pos)).alias(f"_t_{n}") for n in last],
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in total],
+        *[F.min_by(f"_v_{n}", pos).alias(f"_t_{n}") for n in following],
     )
-    earlier = (
-        W.partitionBy(*[F.col("_cell").getField(k) for k in keys])
-        .orderBy(F.col("_cell").getField("_piece"))
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
+    pieces = W.partitionBy(*[F.col("_cell").getField(k) for k in keys]).orderBy(F.col("_cell").getField("_piece"))
+    earlier = pieces.rowsBetween(W.unboundedPreceding, -1)
     carried = cells.select(
         "_cell",
         F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_off"),
         *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in last],
         *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in total],
+        *[F.lead(f"_t_{n}").over(pieces).alias(f"_c_{n}") for n in following],
     )
     new = {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(before) for n in last}
     new |= {f"_l_{n}": F.sum(f"_v_{n}").over(before) for n in total}
+    new |= {f"_l_{n}": F.lead(f"_v_{n}").over(here) for n in following}
     if rank:
         new["_rn"] = F.row_number().over(here)
     out = base.withColumns(new).join(carried, "_cell", "left")
@@ -276,7 +279,8 @@ def sliced_scan(
             **{
                 n: (F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).cast("bigint") for n in total
             },
+            **{n: F.coalesce(f"_l_{n}", f"_c_{n}").getField("v") for n in following},
             **({rank: (F.col("_rn") + F.col("_off")).cast("bigint")} if rank else {}),
         }
     )
-    return out.drop("_cell", "_piece", "_off", "_rn", *[f"{p}{n}" for n in (*last, *total) for p in ("_v_", "_l_", "_c_")])
+    return out.drop("_cell", "_piece", "_off", "_rn", *[f"{p}{n}" for n in named for p in ("_v_", "_l_", "_c_")])

@@ -317,11 +317,25 @@ def class_summary(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFra
 # Correlation
 
 
-def _pair_aggs(df: DataFrame, pairs: Sequence[tuple[int, int]], cols: Sequence[str]) -> list[Column]:
+def _complete_columns(df: DataFrame, cols: Sequence[str]) -> set[str]:
+    """Columns without a missing value: one count per column."""
+    row = df.agg(F.count("*"), *[F.count(clean(df, c)) for c in cols]).first()
+    return {c for i, c in enumerate(cols) if row[i + 1] == row[0]}
+
+
+def _pair_aggs(
+    df: DataFrame, pairs: Sequence[tuple[int, int]], cols: Sequence[str], complete: set[str]
+) -> list[Column]:
+    """Correlation of each pair over the rows where both have a value.
+
+    The deviation of a column counts only rows its partner has too. For a complete partner that is all of them, and
+    equal aggregates are computed once however many pairs share them.
+    """
     aggs = []
     for a, b in pairs:
         x, y = clean_sql(df, cols[a]), clean_sql(df, cols[b])
-        sx, sy = f"stddev_samp(IF({y} IS NOT NULL, {x}, NULL))", f"stddev_samp(IF({x} IS NOT NULL, {y}, NULL))"
+        sx = f"stddev_samp({x})" if cols[b] in complete else f"stddev_samp(IF({y} IS NOT NULL, {x}, NULL))"
+        sy = f"stddev_samp({y})" if cols[a] in complete else f"stddev_samp(IF({x} IS NOT NULL, {y}, NULL))"
         aggs.append(F.expr(f"try_divide(covar_samp({x}, {y}), {sx} * {sy}) AS p{a}_{b}"))
     return aggs
 
@@ -333,10 +347,11 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[
     """
     cols = list(cols) if cols is not None else numeric_cols(df, by)
     pairs = [(a, b) for a in range(len(cols)) for b in range(a + 1, len(cols))]
+    complete = _complete_columns(df, cols)
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        wide = grouped(df, by).agg(*_pair_aggs(df, chunk, cols))
+        wide = grouped(df, by).agg(*_pair_aggs(df, chunk, cols, complete))
         cells = [
             F.struct(
                 F.lit(cols[a]).alias("feature_a"),
@@ -419,17 +434,17 @@ def quality_findings(
 ) -> DataFrame:
     """Every check of a validation as one row per group.
 
-    One wide pass carries missing cells, extremes and pair moments; the quantile passes ask for all four cut-offs at
+    After a count of complete columns, one wide pass carries missing cells, extremes and pair moments; the quantile passes ask for all four cut-offs at
     once; duplicates and classes are one aggregation each.
     """
     feats = [c for c in df.columns if c != target and c not in by]
     nums = [c for c in numeric_cols(df, by) if c != target]
     pairs = [(a, b) for a in range(len(nums)) for b in range(a + 1, len(nums))]
     const_aggs, const_cols, const_numeric = _constant_aggs(df, feats)
-    first = pairs[:PAIRS_PER_PASS]
+    first, complete = pairs[:PAIRS_PER_PASS], _complete_columns(df, nums)
     base = settled(
         grouped(df, by).agg(
-            F.count("*").alias("rows"), *_missing_aggs(df, feats), *const_aggs, *_pair_aggs(df, first, nums)
+            F.count("*").alias("rows"), *_missing_aggs(df, feats), *const_aggs, *_pair_aggs(df, first, nums, complete)
         )
     )
     high = _sum_of([F.coalesce((F.abs(F.col(f"p{a}_{b}")) > corr_threshold).cast("bigint"), F.lit(0)) for a, b in first])
@@ -447,7 +462,7 @@ def quality_findings(
     ]
     for start in range(PAIRS_PER_PASS, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        more = grouped(df, by).agg(*_pair_aggs(df, chunk, nums))
+        more = grouped(df, by).agg(*_pair_aggs(df, chunk, nums, complete))
         hits = [F.coalesce((F.abs(F.col(f"p{a}_{b}")) > corr_threshold).cast("bigint"), F.lit(0)) for a, b in chunk]
         parts.append(more.select(*by, _sum_of(hits).alias(f"more_pairs_{start}")))
     if nums:

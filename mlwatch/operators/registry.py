@@ -84,7 +84,7 @@ def upsert(
 
 
 def insert_new(current: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the changes whose keys are not in the table yet; one row per key, the first in column order."""
+    """Add the changes whose keys are not in the table yet, one row per key."""
     first = changes.dropDuplicates(list(keys))
     return current.unionByName(first.join(current.select(*keys), list(keys), "left_anti").select(*current.columns))
 
@@ -208,45 +208,46 @@ def apply_transitions(
     model to production moves the data set's production model, if it is another one, to staging. The log has ``ord``
     0 for such a demotion and 1 for the requested change itself.
 
-    The holder of production before a request is the model promoted last, unless that model itself asked for another
-    stage since. Both are "latest value before this row", so the whole machine is a handful of sliced scans and
-    a data set with very many requests is not one task.
+    A promotion takes production away from the model promoted before it, unless that is the same model or it asked
+    for another stage in between. So it is enough to know, for each promotion, the data set's next one, and for each
+    request its model's previous and next: two sliced scans, and a data set with very many requests is not one task.
     """
-    promoted = F.when(F.col("to_stage") == "production", F.col("model_id"))
     piece = hour_slice(F.col(order[0]), slice_hours)
-    seen = sliced_scan(
-        requests.where(F.col("to_stage").isin(*STAGES)), ["dataset"], order, piece, last={"_lp": promoted}
-    )
-    released = F.when(F.col("_lp") == F.col("model_id"), F.struct(F.lit(None).cast(_type(requests)).alias("model")))
-    mark = F.when(F.col("to_stage") == "production", F.struct(F.col("model_id").alias("model"))).otherwise(released)
-    held = sliced_scan(seen, ["dataset"], order, piece, last={"_mark": mark})
-    holder = F.col("_mark.model")
-
-    cols = ["dataset", *order]
-    asked = held.select(
-        *cols, F.lit(1).alias("ord"), "model_id", "to_stage", F.lit(NOTE_MANUAL).alias("note")
-    )
-    demoted = held.where(
-        (F.col("to_stage") == "production") & holder.isNotNull() & (holder != F.col("model_id"))
-    ).select(
-        *cols,
-        F.lit(0).alias("ord"),
-        holder.alias("_holder"),
-        F.lit("staging").alias("to_stage"),
-        F.concat(F.lit(NOTE_DEMOTED), F.col("model_id").cast("string")).alias("note"),
-    )
-    steps = asked.unionByName(demoted.withColumnRenamed("_holder", "model_id"))
-    chained = sliced_scan(
-        steps, ["dataset", "model_id"], [*order, "ord"], piece, last={"from_stage": F.col("to_stage")}
-    )
-    chained = chained.withColumn("from_stage", F.coalesce("from_stage", F.lit("development")))
-    return chained.where(F.col("from_stage") != F.col("to_stage")).select(
-        "dataset", "model_id", "from_stage", "to_stage", *order, "ord", "note"
+    at = F.struct(*order)
+    valid = requests.where(F.col("to_stage").isin(*STAGES)).select("dataset", "model_id", "to_stage", *order)
+    promotion = F.col("to_stage") == "production"
+    taker = F.struct(F.col("model_id").alias("model"), at.alias("at"))
+    promoted = sliced_scan(valid.where(promotion), ["dataset"], order, piece, following={"_next": taker})
+    rows = promoted.unionByName(valid.where(~promotion), allowMissingColumns=True)
+    own = sliced_scan(
+        rows,
+        ["dataset", "model_id"],
+        order,
+        piece,
+        last={"_prev": F.struct("to_stage", "_next")},
+        following={"_own": at},
     )
+    other = F.col("_next.model") != F.col("model_id")
+    loses = other & (F.col("_own").isNull() | (F.col("_next.at") < F.col("_own")))
+    lost = (F.col("_prev._next.model") != F.col("model_id")) & (F.col("_prev._next.at") < at)
+    old = F.when(F.col("_prev").isNull(), "development").when(lost, "staging").otherwise(F.col("_prev.to_stage"))
+
+    def event(before: Column, after: Column, when: Column, ord_: int, note: Column) -> Column:
+        times = [when.getField(c).alias(c) for c in order]
+        return F.struct(
+            before.alias("from_stage"), after.alias("to_stage"), *times, F.lit(ord_).alias("ord"), note.alias("note")
+        )
 
-
-def _type(df: DataFrame) -> str:
-    return df.schema["model_id"].dataType.simpleString()
+    asked = event(old, F.col("to_stage"), at, 1, F.lit(NOTE_MANUAL))
+    demoted = event(
+        F.lit("production"),
+        F.lit("staging"),
+        F.col("_next.at"),
+        0,
+        F.concat(F.lit(NOTE_DEMOTED), F.col("_next.model").cast("string")),
+    )
+    events = F.array_compact(F.array(F.when(old != F.col("to_stage"), asked), F.when(loses, demoted)))
+    return own.select("dataset", "model_id", F.inline(events))
 
 
 def current_stage(log: DataFrame, order: Sequence[str] = ("changed_at", "event_id", "ord")) -> DataFrame:
