@@ -1,0 +1,66 @@
+"""Exact p-value of the two-sample Kolmogorov-Smirnov test for small samples.
+
+One value per feature of a report, from three numbers: a small helper beside the asymptotic series, which SQL has.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from mlwatch.functions.stats import ks_pvalue
+
+# Fixed value: the larger sample up to which the exact distribution is used.
+EXACT_BELOW = 10_000
+
+
+def exact_pvalue(d: float, n1: int, n2: int) -> float:
+    """P(D >= d) when both samples come from one continuous distribution.
+
+    Drawing the pooled sample in order is a walk from (0, 0) to (n1, n2) in which each step falls to a side with
+    probability proportional to what is left of it. The p-value is the probability that the walk ever leaves the
+    band |i/n1 - j/n2| < d; the walk's distribution is advanced one step at a time.
+    """
+    g = math.gcd(n1, n2)
+    a, b = n2 // g, n1 // g
+    limit = round(d * n1 * a)
+    if limit <= 0:
+        return 1.0
+    at = np.zeros(n1 + 2)  # at[i + 1]: probability of standing at i without having left the band
+    at[1] = 1.0
+    left = 0.0
+    for step in range(1, n1 + n2 + 1):
+        rest = n1 + n2 - step + 1
+        lo = max(0, (step * b - limit) // (a + b) - 1)
+        hi = min(n1, (step * b + limit) // (a + b) + 1)
+        i = np.arange(lo, hi + 1)
+        now = at[lo + 1 : hi + 2] * np.clip(n2 - (step - 1 - i), 0, None) / rest
+        now += at[lo : hi + 1] * (n1 - i + 1) / rest
+        outside = np.abs(i * a - (step - i) * b) >= limit
+        left += now[outside].sum()
+        now[outside] = 0.0
+        at[lo + 1 : hi + 2] = now
+    return min(1.0, left)
+
+
+def _values(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    out = [
+        exact_pvalue(x, int(m), int(n)) if x == x and m > 0 and n > 0 else None
+        for x, m, n in zip(d, n1, n2, strict=True)
+    ]
+    return pd.Series(out, dtype="float64")
+
+
+def ks_pvalue_auto(d: Column, n1: Column, n2: Column, exact_below: int = EXACT_BELOW) -> Column:
+    """The exact p-value while the larger sample has at most ``exact_below`` rows, else the asymptotic one."""
+    asymptotic = ks_pvalue(d, n1, n2)
+    if exact_below <= 0:
+        return asymptotic
+    small = F.greatest(n1, n2) <= exact_below
+    # Larger samples reach the function as nulls and cost nothing there.
+    exact = F.pandas_udf(_values, "double")(F.when(small, d), n1, n2)
+    return F.when(small, exact).otherwise(asymptotic)

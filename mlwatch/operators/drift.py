@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mlwatch.functions.columns import clean, clean_sql, common_cols, numeric_cols, quoted
-from mlwatch.functions.stats import equal_width_bin, ks_pvalue, safe_div
+from mlwatch.functions.exact_ks import EXACT_BELOW, ks_pvalue_auto
+from mlwatch.functions.stats import equal_width_bin, safe_div
 from mlwatch.operators.frames import attach, grouped, long_values, melt_stats, settled
 from mlwatch.operators.order import bucket_count, bucketed, edges_agg, sliced_scan
 
@@ -178,14 +179,19 @@ def _distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str], n_bins: int,
     )
 
 
-def ks(ref: DataFrame, cur: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance and asymptotic p-value per feature, unrounded."""
+def ks(
+    ref: DataFrame, cur: DataFrame, cols: Sequence[str], by: Sequence[str] = (), exact_below: int = EXACT_BELOW
+) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance and p-value per feature, unrounded.
+
+    The p-value is exact up to ``exact_below`` rows on the larger side and asymptotic beyond.
+    """
     d = _distances(ref, cur, cols, 2, by)
     return d.select(
         *by,
         "feature",
         F.col("d").alias("ks_statistic"),
-        ks_pvalue(F.col("d"), F.col("n_ref"), F.col("n_cur")).alias("p_value"),
+        ks_pvalue_auto(F.col("d"), F.col("n_ref"), F.col("n_cur"), exact_below).alias("p_value"),
     )
 
 
@@ -204,8 +210,10 @@ def severity(
     )
 
 
-def _graded(d: DataFrame, by: Sequence[str], alpha: float, moderate: float, significant: float) -> DataFrame:
-    p = ks_pvalue(F.col("d"), F.col("n_ref"), F.col("n_cur"))
+def _graded(
+    d: DataFrame, by: Sequence[str], alpha: float, moderate: float, significant: float, exact_below: int
+) -> DataFrame:
+    p = ks_pvalue_auto(F.col("d"), F.col("n_ref"), F.col("n_cur"), exact_below)
     d = d.withColumn("p", p)
     return d.select(
         *by,
@@ -227,10 +235,11 @@ def drift_features(
     significant: float = PSI_SIGNIFICANT,
     n_bins: int = 10,
     by: Sequence[str] = (),
+    exact_below: int = EXACT_BELOW,
 ) -> DataFrame:
     """Drift report per feature over the numeric columns both sides share."""
     cols = list(cols) if cols is not None else drift_columns(ref, cur, by)
-    return _graded(_distances(ref, cur, cols, n_bins, by), by, alpha, moderate, significant)
+    return _graded(_distances(ref, cur, cols, n_bins, by), by, alpha, moderate, significant, exact_below)
 
 
 def overall_severity(
@@ -335,6 +344,7 @@ def drift_by_group(
     moderate: float = PSI_MODERATE,
     significant: float = PSI_SIGNIFICANT,
     n_bins: int = 10,
+    exact_below: int = EXACT_BELOW,
 ) -> DataFrame:
     """Many current samples (``group``: time windows, batches) against one reference, which is never copied per group.
 
@@ -425,7 +435,7 @@ def drift_by_group(
         F.when((F.col("n_ref") > 0) & (F.col("n_cur") > 0), F.col("_c.d")).alias("d"),
         index.alias("psi"),
     )
-    return _graded(d, [*by, *group], alpha, moderate, significant)
+    return _graded(d, [*by, *group], alpha, moderate, significant, exact_below)
 
 
 def drift_by_window(
