@@ -317,27 +317,62 @@ def class_summary(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFra
 # Correlation
 
 
-def _complete_columns(df: DataFrame, cols: Sequence[str]) -> set[str]:
-    """Columns without a missing value: one count per column."""
-    row = df.agg(F.count("*"), *[F.count(clean(df, c)) for c in cols]).first()
-    return {c for i, c in enumerate(cols) if row[i + 1] == row[0]}
+def _centre_aggs(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """Per column: values present, their mean, and the extremes."""
+    return [
+        F.expr(f"{fn}({clean_sql(df, c)}) AS m{i}_{fn}") for i, c in enumerate(cols) for fn in ("count", "avg", "min", "max")
+    ]
 
 
-def _pair_aggs(
-    df: DataFrame, pairs: Sequence[tuple[int, int]], cols: Sequence[str], complete: set[str]
-) -> list[Column]:
-    """Correlation of each pair over the rows where both have a value.
+def _pair_correlations(
+    df: DataFrame, cols: Sequence[str], by: Sequence[str], stats: DataFrame, pairs: Sequence[tuple[int, int]]
+) -> DataFrame:
+    """Pearson correlation of column pairs as ``p{a}_{b}``, one row per group; null where one side has no spread.
 
-    The deviation of a column counts only rows its partner has too. For a complete partner that is all of them, and
-    equal aggregates are computed once however many pairs share them.
+    ``stats`` is settled and holds ``rows`` and the values of ``_centre_aggs``. Columns are centred first, so plain sums
+    of products are safe: one sum per pair, and two per column that all pairs share. Only a column with missing
+    cells costs its partners sums of their own, over the rows both have.
     """
-    aggs = []
+    full = stats.agg(F.sum("rows"), *[F.sum(f"m{i}_count") for i in range(len(cols))]).first()
+    complete = {i for i in range(len(cols)) if full[i + 1] == full[0]}
+    # A constant column is centred on its own value, which leaves exact zeros.
+    centred = attach(df, stats, by).select(
+        *[F.col(quoted(k)) for k in by],
+        *[
+            F.expr(f"{clean_sql(df, c)} - IF(_s.m{i}_min = _s.m{i}_max, _s.m{i}_min, _s.m{i}_avg) AS z{i}")
+            for i, c in enumerate(cols)
+        ],
+    )
+    aggs: dict[str, str] = {"n": "count(*)"}
+
+    def side(x: int, other: int) -> tuple[str, str]:
+        """Names of the sums of a column and of its squares over the rows its partner has too."""
+        tag = f"{x}" if other in complete else f"{x}_{other}"
+        v = f"z{x}" if other in complete else f"IF(z{other} IS NOT NULL, z{x}, NULL)"
+        aggs[f"s{tag}"] = f"sum({v})"
+        aggs[f"q{tag}"] = f"sum({v} * {v})"
+        return f"s{tag}", f"q{tag}"
+
+    out = []
     for a, b in pairs:
-        x, y = clean_sql(df, cols[a]), clean_sql(df, cols[b])
-        sx = f"stddev_samp({x})" if cols[b] in complete else f"stddev_samp(IF({y} IS NOT NULL, {x}, NULL))"
-        sy = f"stddev_samp({y})" if cols[a] in complete else f"stddev_samp(IF({x} IS NOT NULL, {y}, NULL))"
-        aggs.append(F.expr(f"try_divide(covar_samp({x}, {y}), {sx} * {sy}) AS p{a}_{b}"))
-    return aggs
+        aggs[f"x{a}_{b}"] = f"sum(z{a} * z{b})"
+        n = "n"
+        if not {a, b} <= complete:
+            n = f"n{a}_{b}"
+            aggs[n] = f"count(z{a} * z{b})"
+        (sa, qa), (sb, qb) = side(a, b), side(b, a)
+
+        def spread(sq: str, su: str, n: str = n) -> str:
+            """Squared deviations; rounding noise around a constant is none."""
+            left = f"({sq} - try_divide({su} * {su}, {n}))"
+            return f"IF({left} > 1e-13D * {sq}, {left}, NULL)"
+
+        top = f"(x{a}_{b} - try_divide({sa} * {sb}, {n}))"
+        out.append((f"p{a}_{b}", f"{top} / sqrt({spread(qa, sa)} * {spread(qb, sb)})"))
+    sums = grouped(centred, by).agg(*[F.expr(f"{e} AS {name}") for name, e in aggs.items()])
+    # Rounding may pass one by a hair; least and greatest would turn a null into a bound.
+    held = [F.expr(f"IF({e} IS NULL, NULL, greatest(-1D, least(1D, {e}))) AS {name}") for name, e in out]
+    return sums.select(*by, *held)
 
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -347,38 +382,30 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[
     """
     cols = list(cols) if cols is not None else numeric_cols(df, by)
     pairs = [(a, b) for a in range(len(cols)) for b in range(a + 1, len(cols))]
-    complete = _complete_columns(df, cols)
+    if not pairs:
+        text = [T.StructField(n, T.StringType()) for n in ("feature_a", "feature_b")]
+        schema = [*[df.schema[k] for k in by], *text, T.StructField("abs_corr", T.DoubleType())]
+        return df.sparkSession.createDataFrame([], T.StructType(schema))
+    stats = settled(grouped(df, by).agg(F.count("*").alias("rows"), *_centre_aggs(df, cols)))
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        wide = grouped(df, by).agg(*_pair_aggs(df, chunk, cols, complete))
+        wide = _pair_correlations(df, cols, by, stats, chunk)
         cells = [
-            F.struct(
-                F.lit(cols[a]).alias("feature_a"),
-                F.lit(cols[b]).alias("feature_b"),
-                F.abs(F.col(f"p{a}_{b}")).alias("abs_corr"),
-            )
+            f"named_struct('feature_a', {_text(cols[a])}, 'feature_b', {_text(cols[b])}, 'abs_corr', abs(p{a}_{b}))"
             for a, b in chunk
         ]
-        parts.append(wide.select(*by, F.inline(F.array(*cells))))
-    if not parts:
-        return df.sparkSession.createDataFrame(
-            [],
-            T.StructType(
-                [
-                    *[df.schema[k] for k in by],
-                    T.StructField("feature_a", T.StringType()),
-                    T.StructField("feature_b", T.StringType()),
-                    T.StructField("abs_corr", T.DoubleType()),
-                ]
-            ),
-        )
+        parts.append(wide.select(*by, F.expr(f"inline(array({', '.join(cells)}))")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def high_corr_pairs(
     df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.85, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -434,20 +461,18 @@ def quality_findings(
 ) -> DataFrame:
     """Every check of a validation as one row per group.
 
-    After a count of complete columns, one wide pass carries missing cells, extremes and pair moments; the quantile passes ask for all four cut-offs at
+    One wide pass carries missing cells, extremes and means; one more the products of pairs; the quantile passes ask for all four cut-offs at
     once; duplicates and classes are one aggregation each.
     """
     feats = [c for c in df.columns if c != target and c not in by]
     nums = [c for c in numeric_cols(df, by) if c != target]
     pairs = [(a, b) for a in range(len(nums)) for b in range(a + 1, len(nums))]
     const_aggs, const_cols, const_numeric = _constant_aggs(df, feats)
-    first, complete = pairs[:PAIRS_PER_PASS], _complete_columns(df, nums)
     base = settled(
         grouped(df, by).agg(
-            F.count("*").alias("rows"), *_missing_aggs(df, feats), *const_aggs, *_pair_aggs(df, first, nums, complete)
+            F.count("*").alias("rows"), *_missing_aggs(df, feats), *const_aggs, *_centre_aggs(df, nums)
         )
     )
-    high = _sum_of([F.coalesce((F.abs(F.col(f"p{a}_{b}")) > corr_threshold).cast("bigint"), F.lit(0)) for a, b in first])
     flags = _constant_flags(const_cols, const_numeric)
     total_missing = _sum_of([F.col(f"c{i}_miss") for i in range(len(feats))])
     parts = [
@@ -456,15 +481,14 @@ def quality_findings(
             "rows",
             pct_of(total_missing, F.col("rows") * F.lit(len(feats))).alias("missing_total_pct"),
             _sum_of([F.col(f"c{i}_const").cast("bigint") for i in range(len(const_cols))]).alias("constant_features"),
-            high.alias("high_corr_pairs"),
         ),
         duplicate_report(df, [*feats, target], by).select(*by, F.col("duplicate_rows_pct").alias("duplicates_pct")),
     ]
-    for start in range(PAIRS_PER_PASS, len(pairs), PAIRS_PER_PASS):
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        more = grouped(df, by).agg(*_pair_aggs(df, chunk, nums, complete))
-        hits = [F.coalesce((F.abs(F.col(f"p{a}_{b}")) > corr_threshold).cast("bigint"), F.lit(0)) for a, b in chunk]
-        parts.append(more.select(*by, _sum_of(hits).alias(f"more_pairs_{start}")))
+        found = _pair_correlations(df, nums, by, base, chunk)
+        hits = " + ".join(f"IF(abs(p{a}_{b}) > {float(corr_threshold)!r}D, 1L, 0L)" for a, b in chunk)
+        parts.append(found.select(*by, F.expr(f"{hits} AS pairs_{start}")))
     if nums:
         quant = approx_quantiles if approx else exact_quantiles
         limits = quant(df, nums, [quantiles[0], 0.25, 0.75, quantiles[1]], by)
@@ -486,12 +510,12 @@ def quality_findings(
     if task == "classification":
         parts.append(class_summary(df, target, by).select(*by, "imbalance_ratio", "entropy"))
     out = side_by_side(parts, by)
-    extra = [c for c in out.columns if c.startswith("more_pairs_")]
+    extra = [f"pairs_{start}" for start in range(0, len(pairs), PAIRS_PER_PASS)]
     null = F.lit(None).cast("double")
     zero = F.lit(0).cast("bigint")
     out = out.withColumns(
         {
-            "high_corr_pairs": _sum_of([F.col("high_corr_pairs"), *[F.col(c) for c in extra]]),
+            "high_corr_pairs": _sum_of([F.coalesce(F.col(c), F.lit(0)) for c in extra]),
             "object_columns": F.lit(len([c for c in object_cols(df, by) if c != target])).cast("bigint"),
             **({} if nums else {"outliers_total": zero, "invalid_range_features": zero}),
             **({} if task == "classification" else {"imbalance_ratio": null, "entropy": null}),
