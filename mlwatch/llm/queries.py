@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlwatch.llm import bpe
+from mlwatch.llm import bpe, mixing
 from mlwatch.llm.register import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -24,3 +24,40 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight,
+         row_number() OVER (ORDER BY source NULLS LAST) AS place
+  FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, place) AS k FROM s),
+l AS (
+  SELECT k, 3.0::DOUBLE * source_size / weight AS ratio,
+         (SELECT sum(source_size) FROM s)
+           - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS rest,
+         sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM r),
+v AS (SELECT rest / free AS level FROM l WHERE ratio >= rest / free ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * level) AS target FROM s, v),
+c AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
+         ('0x' || substr(md5('mix|' || d.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS chance
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, copies, size * copies AS taken
+FROM (SELECT *, (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
+"""
+
+
+@query("op9_mix", MIX_SQL)
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.word_count(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    weighted = mixing.cyclic_weights(mixing.source_sizes(docs))
+    taken = mixing.copies(docs, weighted)
+    return taken.select(
+        "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+    )
