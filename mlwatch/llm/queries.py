@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlwatch.llm import bpe, mixing
+from mlwatch.llm import bpe, labelled, mixing, quality_model, toxicity
 from mlwatch.llm.register import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -61,3 +61,23 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(
         "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+def held_out(modulus: int, rest: int):
+    return labelled.remainder("doc_id", modulus) == rest
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    scored = toxicity.score(docs, lexicon).select("doc_id", held_out(5, 0).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    scored = quality_model.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
