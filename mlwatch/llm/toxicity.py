@@ -35,12 +35,11 @@ START, END = "\x02", "\x03"
 
 def _fold_table() -> dict[int, str]:
     table = {ord(a): b for a, b in (LOOKALIKES | DIGITS).items()}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if not unicodedata.combining(c))
-        if code not in table and plain != chr(code):
-            table[code] = "".join(table.get(ord(c), c) for c in plain)
-    for code in [*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD, *range(0x300, 0x370)]:
-        table[code] = ""  # invisible signs and loose accents
+    for code in range(0xFF01, 0xFF5F):  # full-width forms
+        plain = chr(code - 0xFEE0).lower()
+        table[code] = table.get(ord(plain), plain)
+    for code in [*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD, *range(0x335, 0x339)]:
+        table[code] = ""  # invisible signs and strokes
     for code in (*range(9, 14), 32, *b".,;:?!|\"'()[]{}<>-_/\\+*=#%&^~`"):
         table[code] = END + START
     return table
@@ -52,11 +51,13 @@ FOLD = _fold_table()
 def fold(text: str) -> str:
     """Words of a text in plain small letters, each between START and END.
 
-    Accents go, look-alikes from other scripts become Latin letters, and digits and signs the letters they stand for.
+    Letters and accents are composed, look-alikes from other scripts become Latin letters, and digits and signs the letters they stand for.
     An exclamation mark or bar between letters is an i, and so is an l, which looks like one.
     """
     if "!" in text or "|" in text:
         text = INSIDE.sub("i", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
     return START + text.lower().translate(FOLD) + END
 
 
@@ -120,59 +121,67 @@ def starts(text: str) -> list[str]:
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, toxic, clean): in how many documents of either label a word start or whole word occurs."""
+    """(term, docs, toxic, clean): toxic documents that have a word start or whole word, and how often either label has it.
+
+    The term ``""`` has the numbers of all words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
+        docs, toxic, clean = Counter(), Counter(), Counter()
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                own = set()
-                for w in set(starts(text)):
-                    own.update(w[: k + 1] for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
+                own = Counter()
+                for w, n in Counter(starts(text)).items():
+                    own[""] += n
+                    for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1):
+                        own[w[: k + 1]] += n
                     if len(w) > SHORTEST - 1:
-                        own.add(w + END)
+                        own[w + END] += n
+                if label:
+                    docs.update(own.keys())
                 (toxic if label else clean).update(own)
                 if len(toxic) + len(clean) > 500_000:
-                    yield table(toxic, clean)
-                    toxic, clean = Counter(), Counter()
-        yield table(toxic, clean)
+                    yield table(docs, toxic, clean)
+                    docs, toxic, clean = Counter(), Counter(), Counter()
+        yield table(docs, toxic, clean)
 
-    def table(toxic: Counter, clean: Counter) -> pa.RecordBatch:
-        names = list(toxic.keys() | clean.keys())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([clean[x] for x in names], pa.int64())],
-            ["term", "toxic", "clean"],
-        )
+    def table(*counts: Counter) -> pa.RecordBatch:
+        names = list(counts[1].keys() | counts[2].keys())
+        columns = [pa.array(names, pa.string()), *[pa.array([c[x] for x in names], pa.int64()) for c in counts]]
+        return pa.RecordBatch.from_arrays(columns, ["term", "docs", "toxic", "clean"])
 
-    counted = rows.mapInArrow(run, "term string, toxic long, clean long")
-    return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.mapInArrow(run, "term string, docs long, toxic long, clean long")
+    return counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")])
 
 
-def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, support: int, least: float) -> dict[str, float]:
-    """Terms that mark toxic documents: log odds with half a document added, for those seen in ``support`` or more.
+def choose_terms(counts: DataFrame, support: int, least: float, evidence: float) -> dict[str, float]:
+    """Terms that mark toxic texts: log odds of their rates among words, for those that ``support`` toxic documents have.
 
-    A longer start goes where a shorter one says as much, and a whole word where its start does.
+    Evidence, documents times weight, grows with the sample, so that what chance finds among very many starts stays
+    out. A longer start goes where a shorter one says as much, and a whole word where its start does.
     """
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    # evidence grows with the number of documents, so that chance finds among very many starts stay out
+    whole = counts.where(F.col("term") == "").first()
+    if whole is None or not whole.toxic or not whole.clean:
+        return {}
+    odds = F.log((F.col("toxic") + 0.5) / F.lit(float(whole.toxic))) - F.log((F.col("clean") + 0.5) / F.lit(float(whole.clean)))
     rows = (
-        counts.where(F.col("toxic") >= support)
+        counts.where((F.col("docs") >= support) & (F.col("term") != ""))
         .withColumn("weight", odds)
-        .where((F.col("weight") >= least) & (F.col("toxic") * F.col("weight") >= 40.0))
-        .orderBy(F.desc(F.col("toxic") * F.col("weight")), "term")
+        .where((F.col("weight") >= least) & (F.col("docs") * F.col("weight") >= evidence))
+        .orderBy(F.desc(F.col("docs") * F.col("weight")), "term")
         .limit(MOST_TERMS)
         .collect()
     )
-    terms = {r.term: (float(r.weight), r.toxic) for r in rows}
+    terms = {r.term: float(r.weight) for r in rows}
 
     def said(t: str, weight: float) -> bool:
-        return any(t[:k] in terms and terms[t[:k]][0] >= weight - 0.7 for k in range(SHORTEST + 1, len(t)))
+        return any(terms.get(t[:k], -1.0) >= weight - 0.7 for k in range(SHORTEST + 1, len(t)))
 
-    return {t: w for t, (w, _) in terms.items() if not said(t, w)}
+    return {t: w for t, w in terms.items() if not said(t, w)}
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", text: str = "text", most: int = MOST_ROWS,
-          support: int = 8, least: float = 2.0, phrase_support: int = 3) -> Lexicon:
+          support: int = 8, least: float = 2.0, evidence: float = 50.0, phrase_support: int = 3) -> Lexicon:
     """Learn a lexicon from a bounded sample of labelled rows: at most ``most`` labelled ids for which ``learn`` holds.
 
     Terms are counted in Spark by label; at most ``MOST_TERMS`` are kept. Then every row of the sample is matched once
@@ -185,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     n_toxic, n_clean = by_label.get(1, 0), by_label.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({}, frozenset(), ({(0, 0): 0.0}.get((n_toxic, n_clean), 4.0 if n_toxic else -4.0), 0.0, 0.0, 0.0, 0.0))
-    terms = choose_terms(term_counts(rows), n_toxic, n_clean, support, least)
+    terms = choose_terms(term_counts(rows), support, least, evidence)
     bare = Lexicon(terms, frozenset(), (0.0,) * 5)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
