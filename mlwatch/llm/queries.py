@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlwatch.llm import bpe, labelled, mixing, quality_model, toxicity
+from mlwatch.llm import bpe, labelled, line_rules, mixing, quality_model, toxicity
 from mlwatch.llm.register import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -81,3 +81,44 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_model.train(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
     scored = quality_model.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+LINE_RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(list) AS word, generate_subscripts(list, 1) AS i
+      FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS list FROM d)),
+g AS (SELECT r, i, word || ' ' || lead(word) OVER p || ' ' || lead(word, 2) OVER p AS gram FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+a AS (SELECT r, i, gram IS NOT NULL AND count(*) OVER (PARTITION BY r, gram) > 1 AS again FROM g),
+c AS (SELECT r, count(*) AS n_words, sum(CASE WHEN x THEN 1 ELSE 0 END)::BIGINT AS n_repeat_words
+      FROM (SELECT r, again OR coalesce(lag(again) OVER p, false) OR coalesce(lag(again, 2) OVER p, false) AS x
+            FROM a WINDOW p AS (PARTITION BY r ORDER BY i)) GROUP BY r),
+l0 AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS list,
+             len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '!!')) AS shouts,
+             len(regexp_extract_all(line, '[|»›·•]')) AS bars
+      FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+u AS (SELECT r, line, count(*) AS times, any_value(
+               (symbols < 2 OR symbols * 4 < len(list)) AND (shouts < 2 OR shouts * 4 < len(list)) AND bars * 4 < len(list)
+               AND (len(list) < 10 OR regexp_matches(line, '[.!?:;…]["''”’)\]]*(\s|$)'))
+               AND (len(list) < 10 OR len(list_distinct(list)) * 3 > len(list))
+               AND NOT regexp_matches(line, '(?i)(cookie|javascript|lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|sign (in|up)\b|log ?in\b|click here|read more|subscribe|skip to content|back to top)')) AS stays
+      FROM l GROUP BY r, line),
+s AS (SELECT r, sum(times - 1)::BIGINT AS n_dup_lines,
+             coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (stays), 0)::BIGINT AS stay
+      FROM u GROUP BY r),
+f AS (
+  SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(s.n_dup_lines, 0) AS n_dup_lines,
+         coalesce(c.n_repeat_words, 0) AS n_repeat_words, coalesce(s.stay, 0) AS stay
+  FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * stay >= 70 * word_chars AS kept
+FROM f
+"""
+
+
+@query("op7_line_rules", LINE_RULES_SQL)
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_rules.clean(docs).drop("text", "cleaned")
