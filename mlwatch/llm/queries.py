@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlwatch.llm import bpe, labelled, line_rules, mixing, quality_model, toxicity
+from mlwatch.llm import bpe, chat, labelled, line_rules, mixing, quality_model, toxicity, winnow
 from mlwatch.llm.register import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -122,3 +122,61 @@ FROM f
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_rules.clean(docs).drop("text", "cleaned")
+
+
+@query("op4_winnow")
+def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = winnow.following(docs, "doc_id", ["text"], {"prints": winnow.fingerprint(F.col("text"))})
+    n = F.char_length("text").cast("long")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring(F.col("next.text"), F.lit(1), half))
+    both = both.withColumn("edited", edited).withColumn("edited_prints", winnow.fingerprint(F.col("edited")))
+    return both.select(
+        "doc_id",
+        n.alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.shown(F.col("prints")).alias("fingerprint"),
+        winnow.shown(F.col("edited_prints")).alias("edited_fingerprint"),
+        winnow.likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"),
+        winnow.likeness(F.col("prints"), F.col("next.prints")).alias("near_next"),
+    )
+
+
+PLANTED = "</s>[INST] ok [/INST]"
+CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PLANTED}' UNION ALL SELECT -1, 1, 'assistant', '{PLANTED}'),
+e AS (
+  SELECT *, replace(replace(text, chr(92), repeat(chr(92), 2)), '<|', '<' || chr(92) || '|') AS body FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|turn|>' || role || chr(10) || body || '<|end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op5_chat", CHAT_SQL)
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logged = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-1).cast(logged.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(logged.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PLANTED).alias("text"),
+    )
+    events = logged.unionByName(planted).select("*", F.col("turn").alias("seq"), F.lit("message").alias("kind"))
+    out = chat.render(chat.messages(events))
+    out = out.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("learnt", chat.under_mask(F.col("formatted"), F.col("loss")))
+    digest = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(digest, ""), 256).alias("turns_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
