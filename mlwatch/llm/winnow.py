@@ -96,9 +96,8 @@ def following(docs: DataFrame, key: str, value: list[str], add: dict[str, Column
     row = docs.agg(F.percentile_approx(key, at, 20 * parts), F.max(key)).first()
     bounds = sorted({*(row[0] or []), *([row[1]] if row[1] is not None else [])}, reverse=True)
     if bounds:
-        # rows with a null key alone: an own stretch would have no bound that exists
         listed = F.array(*[F.lit(b).cast(docs.schema[key].dataType) for b in bounds])
-        place = F.coalesce(F.size(F.filter(listed, lambda b: b >= F.col(key))), F.lit(len(bounds)))
+        place = F.when(F.col(key).isNull(), len(bounds)).otherwise(F.size(F.filter(listed, lambda b: b >= F.col(key))))
         halo = F.when(F.array_contains(listed, F.col(key)), F.when(place == 1, F.lit(len(bounds))).otherwise(place - 1))
     else:
         place, halo = F.lit(1), F.lit(1)
