@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlwatch.llm import bpe, chat, labelled, line_rules, mixing, quality_model, toxicity, winnow
+from mlwatch.llm import bpe, chat, labelled, line_rules, mixing, ngram_join, quality_model, toxicity, winnow
 from mlwatch.llm.register import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -180,3 +180,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learnt", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
