@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlwatch.llm import bpe, chat, labelled, line_rules, mixing, ngram_join, quality_model, repeats, toxicity, winnow
+from mlwatch.llm import (
+    bpe,
+    chat,
+    labelled,
+    line_rules,
+    lm_score,
+    mixing,
+    ngram_join,
+    quality_model,
+    repeats,
+    toxicity,
+    winnow,
+)
 from mlwatch.llm.register import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -198,3 +210,12 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score.score(docs, ~held_out(7, 2))
+    return scored.select(
+        "doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
