@@ -88,17 +88,17 @@ def dealt(cls, n, tokens, doc, to, parts, df=None) -> Iterator[tuple[int, bytes]
             yield int(to[a]), packed(cls, n, tokens[a:b], doc[a:b], None if df is None else df[a:b])
 
 
-def rows_with_class(df: DataFrame, id: str, text: str, k: int) -> DataFrame:
-    """(id, n_shingles, cls) of every row."""
-    own = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    schema = own.select("id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("cls")).schema
+def rows_with_class(df: DataFrame, text: str, k: int) -> DataFrame:
+    """The rows with the size and the class of their sets, as n_shingles and cls."""
+    kept = df.drop("n_shingles", "cls")
+    schema = kept.select("*", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("cls")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            _, n, cls = token_sets(*text_bytes(b.column("text")), k)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(cls)], ["id", "n_shingles", "cls"])
+        for b in slices(batches, text):
+            _, n, cls = token_sets(*text_bytes(b.column(text)), k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(cls)], [*b.schema.names, "n_shingles", "cls"])
 
-    return own.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> DataFrame:
@@ -253,6 +253,18 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
     return roots
 
 
+def class_components(df: DataFrame, rows: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """(cls, component_id, chosen) for the classes of settled ``rows`` (id, n_shingles, cls): the smallest id of the
+    component, and whether the class is the one that stands for it, the smallest of those that have that id."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = settled(survivors(df, text, k, percent, parts))
+    roots = class_roots(found, percent)
+    classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("least"))
+    placed = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("best"))
+    return placed.join(best, "root").select("cls", F.col("best.least").alias("component_id"), (F.col("cls") == F.col("best.cls")).alias("chosen"))
+
+
 def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id), one row per row: size of its set, and the smallest id that links lead to.
 
@@ -262,15 +274,25 @@ def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text",
     compared, so repeated rows and exact copies cost nothing. The smallest id of a component leaves out null ids; rows
     with null ids only have null. Tokens and classes are hashes of 48 and 63 bits.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = settled(rows_with_class(df, id, text, k))
-    found = settled(survivors(df, text, k, percent, parts))
-    roots = class_roots(found, percent)
-    classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("least"))
-    placed = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("cls", "component_id")
-    return (
-        rows.join(named, "cls", "left")
-        .select(F.col("id").alias(id), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    own = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = settled(rows_with_class(own, "text", k).drop("text"))
+    named = class_components(own, rows, "text", k, percent).drop("chosen")
+    return rows.join(named, "cls", "left").select(
+        F.col("id").alias(id), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
+
+
+def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` with one row of each component: one that has its smallest id. Rows with an empty set all stay.
+
+    Of rows that repeat this id with equal sets one stays. Rows meet the chosen classes by class and id, so that the
+    copies of a text, however many, do not meet in one task.
+    """
+    own = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = settled(rows_with_class(own, "text", k).drop("text"))
+    chosen = class_components(own, rows, "text", k, percent).where("chosen")
+    chosen = chosen.select("cls", F.struct("component_id").alias("_id"), F.lit(True).alias("_stays"))
+    keyed = rows_with_class(df, text, k).withColumn("_id", F.struct(F.col(id).alias("component_id")))
+    joined = keyed.join(chosen, ["cls", "_id"], "left")
+    place = F.row_number().over(W.partitionBy("cls", "_id").orderBy(F.xxhash64(text)))
+    return joined.withColumn("_place", place).where("n_shingles = 0 or (_stays and _place = 1)").select(*df.columns)

@@ -262,11 +262,11 @@ def spans_of(pieces: DataFrame, size: int, parts: int) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """Add ``n_bytes``, ``spans`` and ``kept``: the UTF-8 bytes of each text without those that repeated strings cover.
+    """Add ``n_bytes``, ``spans``, ``kept`` and ``rest``: each text without the UTF-8 bytes that repeated strings cover.
 
     A byte goes if a string of ``size`` bytes covers it that also starts elsewhere, in the same or another row; overlaps
     count, strings never cross rows, and all are judged on the input. ``spans`` lists the removed runs as (begin, end), none
-    touching another; ``kept`` is binary, as a cut may part a character. A null text is empty and shorter texts than
+    touching another; ``kept`` is binary, as a cut may part a character; ``rest`` is its whole characters. A null text is empty and shorter texts than
     ``size`` stay whole; equal rows count as two places. Other columns stay, those that have the names of new ones are
     replaced. Rows are told apart by a 64-bit hash of all their columns; strings by hashes of their bytes.
 
@@ -274,13 +274,13 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
     that occur again move, and each task sorts its own.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = df.drop("n_bytes", "spans", "kept", "_key")
+    own = df.drop("n_bytes", "spans", "kept", "rest", "_key")
     keyed = own.withColumn("_key", F.xxhash64(*[F.to_json(F.struct(F.col(c))) if "map" in t or "variant" in t else F.col(c) for c, t in own.dtypes]))
     docs = keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= size)
     found = settled(candidates(docs, size, gram, max(1, parts // 4)))
     spans = settled(spans_of(stretches(docs, found, size), size, parts).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_found")))
-    joined = keyed.join(spans, keyed["_key"] == spans["key"], "left").drop("key", "_key")
-    schema = own.select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept")).schema
+    joined = keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    schema = own.select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("rest")).schema
     names = own.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,8 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
                 kept.append(part.tobytes())
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in names], pa.array(np.diff(at)), pa.array(lists, kind), pa.array(kept, pa.binary())], [*names, "n_bytes", "spans", "kept"]
+                [*[b.column(c) for c in names], pa.array(np.diff(at)), pa.array(lists, kind), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                [*names, "n_bytes", "spans", "kept", "rest"],
             )
 
     return joined.mapInArrow(cut, schema)
