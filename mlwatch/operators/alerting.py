@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mlwatch.functions.columns import quoted
-from mlwatch.operators.order import hour_slice, sliced_scan
+from mlwatch.operators.frames import settled
+from mlwatch.operators.order import sliced_scan
 
-# The labels that make up an alert group, and the repeat interval.
+# The labels that make up an alert group, the repeat interval, and how long an alert fires.
 GROUP_BY = ("alertname", "job", "severity")
 INHIBIT_EQUAL = ("alertname", "job")
 REPEAT_SECONDS = 3600
+HOLD_SECONDS = 300
 
 PAYLOAD = (
     "struct<status: string, alerts: array<struct<status: string, labels: map<string,string>, "
@@ -51,13 +54,55 @@ def group_alerts(alerts: DataFrame, ts: str = "ts", by: Sequence[str] = GROUP_BY
     )
 
 
-def inhibit(alerts: DataFrame, equal: Sequence[str] = INHIBIT_EQUAL) -> DataFrame:
-    """Alerts without the warnings that a critical alert with the same labels covers; absent labels are equal."""
-    same = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in equal])
-    critical = alerts.where(F.col("severity") == "critical").select(same.alias("_same")).distinct()
-    critical = critical.withColumn("_covers", F.lit("warning"))
-    marked = alerts.withColumns({"_same": same, "_covers": F.col("severity")})
-    return marked.join(critical, ["_same", "_covers"], "left_anti").drop("_same", "_covers")
+def _labels(names: Sequence[str]) -> Column:
+    """Labels as one value; absent ones are equal."""
+    return F.struct(*[F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")).alias(f"l{i}") for i, c in enumerate(names)])
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(quoted(ts)).cast("timestamp"))
+
+
+def inhibit(alerts: DataFrame, ts: str = "ts", equal: Sequence[str] = INHIBIT_EQUAL, hold_seconds: int = HOLD_SECONDS) -> DataFrame:
+    """Alerts without the warnings that a critical alert with the same labels covers while it fires.
+
+    A critical alert fires from its time until ``hold_seconds`` later; absent labels are equal. Time is cut into stretches
+    as long as that: within one, the criticals of the stretch before cover its start up to the latest one's end, and its
+    own ones everything from the earliest on. So two times per label set and stretch decide, and alerts meet them by
+    equality only.
+    """
+    span = hold_seconds * 1_000_000
+    piece = F.floor(F.col("_us") / span)
+    marked = alerts.withColumns({"_same": _labels(equal), "_us": _micros(ts)}).withColumn("_piece", piece)
+    critical = marked.where(F.col("severity") == "critical").groupBy("_same", "_piece")
+    critical = critical.agg(F.min("_us").alias("_from"), F.max("_us").alias("_last"))
+    after = critical.select("_same", (F.col("_piece") + 1).alias("_piece"), (F.col("_last") + span).alias("_until"), F.lit(None).cast("bigint").alias("_from"))
+    own = critical.select("_same", "_piece", F.lit(None).cast("bigint").alias("_until"), "_from")
+    cover = after.unionByName(own).groupBy("_same", "_piece").agg(F.max("_until").alias("_until"), F.max("_from").alias("_from"))
+    out = marked.join(cover, ["_same", "_piece"], "left")
+    covered = (F.col("_us") < F.col("_until")) | (F.col("_us") >= F.col("_from"))
+    silent = (F.col("severity") == "warning") & F.coalesce(covered, F.lit(False))
+    return out.where(~F.coalesce(silent, F.lit(False))).select(*alerts.columns)
+
+
+def _next_sent(moments: DataFrame, interval: int) -> DataFrame:
+    """(_grp, _us, _next): for each time of a group the first one an interval or more later, or null.
+
+    Pieces are an interval long, so that time lies in the next piece, or is the first of the first piece with any after
+    that. The first is found among the rows of one piece, the second among one row per piece.
+    """
+    pieced = moments.select("_grp", "_us", F.floor(F.col("_us") / interval).alias("_piece"))
+    asked = pieced.select("_grp", (F.col("_piece") + 1).alias("_piece"), (F.col("_us") + interval).alias("_at"), F.lit(0).alias("_kind"))
+    both = asked.unionByName(pieced.select("_grp", "_piece", F.col("_us").alias("_at"), F.lit(1).alias("_kind")))
+    ahead = W.partitionBy("_grp", "_piece").orderBy("_at", "_kind").rowsBetween(0, W.unboundedFollowing)
+    near = both.withColumn("_near", F.min(F.when(F.col("_kind") == 1, F.col("_at"))).over(ahead)).where("_kind = 0")
+    near = near.select("_grp", (F.col("_at") - interval).alias("_us"), "_piece", "_near")
+    firsts = pieced.groupBy("_grp", "_piece").agg(F.min("_us").alias("_first"))
+    pieces = W.partitionBy("_grp").orderBy("_piece")
+    one, two = (F.lead(F.struct("_piece", "_first"), k).over(pieces) for k in (1, 2))
+    later = F.when(F.col("_one._piece") >= F.col("_piece") + 2, F.col("_one._first")).otherwise(F.col("_two._first"))
+    far = firsts.withColumns({"_one": one, "_two": two}).select("_grp", (F.col("_piece") + 1).alias("_piece"), later.alias("_far"))
+    return near.join(far, ["_grp", "_piece"], "left").select("_grp", "_us", F.coalesce("_near", "_far").alias("_next"))
 
 
 def dedup_repeat(
@@ -67,7 +112,34 @@ def dedup_repeat(
     by: Sequence[str] = GROUP_BY,
     seconds: int = REPEAT_SECONDS,
 ) -> DataFrame:
-    """Alerts that start a new episode of their group: none of the group came in the interval before."""
-    seen = sliced_scan(alerts, by, [ts, tie], hour_slice(F.col(ts)), last={"_before": F.col(ts)})
-    quiet = F.col("_before").isNull() | (F.col(ts) >= F.col("_before") + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
-    return seen.where(quiet).drop("_before")
+    """Alerts as they are sent on: the first of a group, and then the first at or after the repeat interval since the
+    last one that was sent. Of alerts at one time the first by ``tie`` is sent.
+
+    Every time points to the next one that would be sent after it. An alert with none of its group in the interval
+    before is sent whatever came earlier, so chains start at all of these at once, and pointers double in length each
+    round: a storm of n intervals takes log2(n) rounds, and no group is one task.
+    """
+    interval = seconds * 1_000_000
+    keyed = alerts.withColumns({"_grp": _labels_null_safe(by), "_us": _micros(ts)})
+    moments = settled(keyed.groupBy("_grp", "_us").agg(F.min(tie).alias("_tie")))
+    piece = F.floor(F.col("_us") / interval)
+    seen = sliced_scan(moments, ["_grp"], ["_us"], piece, last={"_before": F.col("_us")})
+    starts = seen.where(F.col("_before").isNull() | (F.col("_us") >= F.col("_before") + interval))
+    sent = settled(starts.select("_grp", "_us"))
+    jump = settled(_next_sent(moments, interval).where(F.col("_next").isNotNull()))
+    while True:
+        new = sent.join(jump, ["_grp", "_us"]).select("_grp", F.col("_next").alias("_us")).distinct()
+        new = settled(new.join(sent, ["_grp", "_us"], "left_anti"))
+        if new.isEmpty():
+            break
+        sent = settled(sent.unionByName(new))
+        onward = jump.select("_grp", F.col("_us").alias("_next"), F.col("_next").alias("_after"))
+        jump = settled(jump.join(onward, ["_grp", "_next"]).select("_grp", "_us", F.col("_after").alias("_next")))
+    first = moments.join(sent, ["_grp", "_us"]).select("_grp", "_us", F.col("_tie").alias("_sent"))
+    out = keyed.join(first, ["_grp", "_us"]).where(F.col(quoted(tie)) == F.col("_sent"))
+    return out.select(*alerts.columns)
+
+
+def _labels_null_safe(names: Sequence[str]) -> Column:
+    """Labels as one value; structs compare null-safely in joins."""
+    return F.struct(*[F.col(quoted(c)).alias(f"l{i}") for i, c in enumerate(names)])

@@ -228,7 +228,7 @@ def group_alerts(spark, d):
     "inhibit",
     f"""WITH {ALERTS} SELECT event_id, severity FROM al a WHERE NOT (severity = 'warning' AND EXISTS (
       SELECT 1 FROM al c WHERE c.severity = 'critical' AND c.alertname = a.alertname
-        AND c.job IS NOT DISTINCT FROM a.job))""",
+        AND c.job IS NOT DISTINCT FROM a.job AND c.ts <= a.ts AND a.ts < c.ts + INTERVAL 5 MINUTE))""",
 )
 def inhibit(spark, d):
     return A.inhibit(alerts(spark, d)).select("event_id", "severity")
@@ -236,9 +236,15 @@ def inhibit(spark, d):
 
 @query(
     "dedup_repeat",
-    f"""WITH {ALERTS}, p AS (
-      SELECT *, lag(ts) OVER (PARTITION BY alertname, job, severity ORDER BY ts, event_id) AS before FROM al)
-    SELECT event_id FROM p WHERE before IS NULL OR ts >= before + INTERVAL 1 HOUR""",
+    f"""WITH RECURSIVE {ALERTS},
+    sent AS (SELECT alertname, job, severity, min(ts) AS ts FROM al GROUP BY ALL
+             UNION ALL
+             SELECT s.alertname, s.job, s.severity, min(a.ts) FROM sent s JOIN al a
+               ON a.alertname = s.alertname AND a.severity = s.severity AND a.job IS NOT DISTINCT FROM s.job
+                  AND a.ts >= s.ts + INTERVAL 1 HOUR GROUP BY s.alertname, s.job, s.severity, s.ts)
+    SELECT min(a.event_id) AS event_id FROM sent s JOIN al a
+      ON a.alertname = s.alertname AND a.severity = s.severity AND a.job IS NOT DISTINCT FROM s.job AND a.ts = s.ts
+    GROUP BY a.alertname, a.job, a.severity, a.ts""",
 )
 def dedup_repeat(spark, d):
     return A.dedup_repeat(alerts(spark, d)).select("event_id")
@@ -248,7 +254,7 @@ def dedup_repeat(spark, d):
 
 
 def log_lines(events: DataFrame) -> DataFrame:
-    """events as JSON log lines; every hundredth line is cut off in the middle."""
+    """events as JSON log lines."""
     kind = F.col("event_type")
     line = F.to_json(
         F.struct(
@@ -266,7 +272,13 @@ def log_lines(events: DataFrame) -> DataFrame:
             F.lit("ok").alias("status"),
         )
     )
-    return events.select(F.when(F.col("event_id") % 100 == 99, F.substring(line, 1, 40)).otherwise(line).alias("value"))
+    return events.select(line.alias("value"), "event_id")
+
+
+def damaged(lines: DataFrame) -> DataFrame:
+    """The lines with every hundredth cut off in the middle."""
+    cut = F.when(F.col("event_id") % 100 == 99, F.substring("value", 1, 40)).otherwise(F.col("value"))
+    return lines.select(cut.alias("value"))
 
 
 LOGS = """
@@ -274,7 +286,7 @@ LOGS = """
                   event_type AS operation, 'svc' || (user_id % 3) AS service, (user_id % 50)::VARCHAR AS correlation_id,
                   user_id, value, event_id, date_trunc('millisecond', ts) AS ts,
                   CASE WHEN value > 100 THEN 'database connection lost' ELSE 'done' END AS message
-           FROM events WHERE event_id % 100 <> 99)"""
+           FROM events)"""
 
 
 @query(
@@ -283,7 +295,7 @@ LOGS = """
     FROM lg GROUP BY ALL""",
 )
 def log_rollup(spark, d):
-    logs = G.parse_logs(log_lines(table(spark, d, "events"))).where("_corrupt_record IS NULL")
+    logs = G.parse_logs(log_lines(table(spark, d, "events")))
     out = G.log_rollup(logs, by=["level", "operation", "service"])
     return out.select(
         "level", "operation", "service", "records",
@@ -318,5 +330,5 @@ def log_events(spark, d):
 
 @query("log_corrupt", "SELECT count(*) AS corrupt FROM events WHERE event_id % 100 = 99")
 def log_corrupt(spark, d):
-    logs = G.parse_logs(log_lines(table(spark, d, "events")))
+    logs = G.parse_logs(damaged(log_lines(table(spark, d, "events"))))
     return logs.agg(F.count("_corrupt_record").alias("corrupt"))

@@ -61,7 +61,7 @@ def test_flatten_alerts_falls_back(spark):
 
 
 def test_inhibit_and_repeat(spark):
-    rows = [(1, "A", None, "critical", 0), (2, "A", None, "warning", 5), (3, "A", "j", "warning", 6), (4, "A", None, "info", 7),
+    rows = [(1, "A", None, "critical", 0), (2, "A", None, "warning", 4), (3, "A", "j", "warning", 6), (4, "A", None, "info", 7),
             (5, "A", None, "critical", 50), (6, "A", None, "critical", 111)]
     df = spark.createDataFrame([(i, n, j, s, T0 + timedelta(minutes=m)) for i, n, j, s, m in rows],
                                "event_id int, alertname string, job string, severity string, ts timestamp")
@@ -69,6 +69,25 @@ def test_inhibit_and_repeat(spark):
     assert {r.event_id for r in A.dedup_repeat(df).collect()} == {1, 2, 3, 4, 6}
 
 
+def test_repeat_runs_from_the_last_alert_sent(spark):
+    minutes = [*range(0, 1500, 30), 1500 + 61, 1500 + 100, 5000]
+    df = spark.createDataFrame([(i, "A", None, "critical", T0 + timedelta(minutes=m)) for i, m in enumerate(minutes)],
+                               "event_id int, alertname string, job string, severity string, ts timestamp")
+    want, last = [], None
+    for i, m in enumerate(minutes):
+        if last is None or m >= last + 60:
+            want.append(i)
+            last = m
+    assert sorted(r.event_id for r in A.dedup_repeat(df).collect()) == want
+
+
+def test_warnings_after_a_critical_are_heard(spark):
+    df = spark.createDataFrame([(i, "A", "j", s, T0 + timedelta(seconds=t)) for i, (s, t) in enumerate(
+        [("warning", -1), ("critical", 0), ("warning", 0), ("warning", 299), ("warning", 300), ("info", 10), ("warning", 86400)])],
+        "event_id int, alertname string, job string, severity string, ts timestamp")
+    assert {r.event_id for r in A.inhibit(df).collect()} == {0, 1, 4, 5, 6}
+
+
 def test_logs_roundtrip(spark, tmp_path):
     lines = [
         '{"timestamp":"2024-01-01T10:00:00.123Z","level":"INFO","logger":"a","message":"m","correlation_id":"c","event":"dataset_validation","rows":7,"issues":["x"]}',
