@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlwatch.functions.columns import align, quoted
+from mlwatch.functions.columns import align, missing, quoted
 from mlwatch.operators.evaluate import classification_metrics, regression_metrics, roc_auc, roc_auc_ovr
 from mlwatch.operators.split import kfold, scaler
 
@@ -33,13 +33,27 @@ REGRESSORS = ("Random Forest", "Gradient Boosting", "Ridge Regression", "Decisio
 DEEPEST_TREE = 30
 
 
+def checked_params(algo: str, params: Mapping | None) -> dict:
+    """Defaults with the given parameters over them; an unknown name or a tree deeper than Spark grows is an error.
+
+    ``max_depth`` None means the deepest tree there can be, DEEPEST_TREE levels.
+    """
+    unknown = set(params or {}) - set(DEFAULTS[algo])
+    if unknown:
+        raise ValueError(f"{algo} has no parameters {sorted(unknown)}")
+    p = {**DEFAULTS[algo], **(params or {})}
+    if (p.get("max_depth") or 1) > DEEPEST_TREE:
+        raise ValueError(f"max_depth can be {DEEPEST_TREE} at most")
+    return p
+
+
 def build_estimator(algo: str, task: str, params: Mapping | None, n: int, n_classes: int, seed: int):
     """The Spark ML estimator for an algorithm name; ``n`` training rows turn C and alpha into penalties per row."""
     if algo not in (CLASSIFIERS if task == "classification" else REGRESSORS):
-        raise ValueError(f"Unsupported model type '{algo}' for task '{task}'")
-    p = {**DEFAULTS[algo], **(params or {})}
+        raise ValueError(f"no {task} algorithm is called {algo!r}")
+    p = checked_params(algo, params)
     cols = {"featuresCol": "_x", "labelCol": "_y"}
-    depth = min(p.get("max_depth") or DEEPEST_TREE, DEEPEST_TREE)
+    depth = p.get("max_depth") or DEEPEST_TREE
     kind = "Classifier" if task == "classification" else "Regressor"
     mod = C if task == "classification" else R
     if algo == "Random Forest":
@@ -90,6 +104,15 @@ def _scaling(train: DataFrame, features: Sequence[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
 
 
+def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The frame itself if no cell of the columns is missing; else an error."""
+    counts = df.agg(*[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    found = {c: n for c, n in zip(cols, counts, strict=True) if n}
+    if found:
+        raise ValueError(f"missing cells, to be filled or dropped first: {found}")
+    return df
+
+
 def fit(
     train: DataFrame,
     features: Sequence[str],
@@ -99,8 +122,8 @@ def fit(
     params: Mapping | None = None,
     seed: int = 42,
 ) -> Fitted:
-    """Fit one algorithm on standardised features. Rows with a missing feature or target are left out."""
-    rows = train.dropna(subset=[*features, target])
+    """Fit one algorithm on standardised features. Missing features or targets are an error that tells their number."""
+    rows = complete(train, [*features, target])
     stages: list = [
         _scaling(rows, features),
         VectorAssembler(inputCols=[f"_z{i}" for i in range(len(features))], outputCol="_x"),
@@ -119,11 +142,14 @@ def fit(
     if task == "classification":
         stages.append(IndexToString(inputCol="prediction", outputCol="_class", labels=classes))
     model = Pipeline(stages=stages).fit(rows)
-    return Fitted(model, algo, task, list(features), target, classes, {**DEFAULTS[algo], **(params or {})})
+    return Fitted(model, algo, task, list(features), target, classes, checked_params(algo, params))
 
 
 def score(df: DataFrame, fitted: Fitted, keep: Sequence[str] = (), meta: Mapping | None = None) -> DataFrame:
-    """Predictions for every row, with probabilities per class where the model has them and the model's identity."""
+    """Predictions for every row, with probabilities per class where the model has them and the model's identity.
+
+    A missing feature fails the job, as it does in ``fit``.
+    """
     aligned = align(df, [*dict.fromkeys([*keep, *fitted.features])])
     out = fitted.model.transform(aligned)
     info = {**fitted.meta, **(meta or {})}
@@ -282,34 +308,41 @@ def run_to_rows(spark, run: Run) -> tuple[DataFrame, DataFrame]:
 def explode_payload(
     df: DataFrame, json_col: str, features: Sequence[str], keep: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """Feature rows from JSON payloads of four shapes, and the payloads that have none of them.
+    """Feature rows from JSON payloads of four shapes, and the payloads that are refused, with the reason.
 
-    A payload is an object, a list of objects, one vector or a list of vectors; vectors are in feature order.
+    A payload is an object, a list of objects, one vector or a list of vectors; vectors are in feature order. Every object
+    must name every feature (other names are ignored), every vector have one value per feature, and every value
+    be a number or a text of one. A payload with any other part is refused whole, so that each input row is in one
+    of the two results, and rows of a payload are never fewer than it has.
     """
-    raw = F.trim(F.col(quoted(json_col)))
-    body = F.try_parse_json(raw)
-    head = F.regexp_replace(F.substring(raw, 1, 64), r"\s+", "")
-    shape = (
-        F.when(body.isNull(), "bad")
-        .when(head.startswith("{"), "object")
-        .when(head.startswith("[{"), "objects")
-        .when(head.startswith("[["), "vectors")
-        .when(head.rlike(r"^\[-?[0-9.]"), "vector")
-        .otherwise("bad")
+    body = F.try_parse_json(F.col(quoted(json_col)))
+    parts = F.try_variant_get("_body", "$", "array<variant>")
+    single = F.try_variant_get("_body", "$", "map<string,variant>").isNotNull() | (
+        F.exists("_parts", lambda p: ~F.coalesce(F.substring(F.schema_of_variant(p), 1, 5).isin("OBJEC", "ARRAY"), F.lit(False)))
     )
-    as_list = (
-        F.when(F.col("_shape") == "object", F.concat(F.lit("["), raw, F.lit("]")))
-        .when(F.col("_shape") == "vector", F.concat(F.lit("["), raw, F.lit("]")))
-        .otherwise(raw)
-    )
-    marked = df.withColumn("_shape", shape).withColumn("_list", as_list)
-    bad = marked.where("_shape = 'bad'").select(*keep, F.col(quoted(json_col)))
-    objects = F.from_json("_list", "array<map<string,double>>")
-    vectors = F.from_json("_list", "array<array<double>>")
-    named = F.transform(
-        objects, lambda m: F.struct(*[F.try_element_at(m, F.lit(c)).alias(c) for c in features])
-    )
-    placed = F.transform(vectors, lambda v: F.struct(*[F.get(v, F.lit(i)).alias(c) for i, c in enumerate(features)]))
-    rows = F.when(F.col("_shape").isin("object", "objects"), named).otherwise(placed)
-    good = marked.where("_shape <> 'bad'").select(*keep, F.posexplode(rows).alias("row_index", "_r"))
-    return good.select(*keep, "row_index", "_r.*"), bad
+    marked = df.withColumn("_body", body).withColumn("_parts", parts)
+    marked = marked.withColumn("_items", F.when(single, F.array("_body")).otherwise(F.col("_parts")))
+
+    def values(item):
+        named = F.try_variant_get(item, "$", "map<string,variant>")
+        placed = F.try_variant_get(item, "$", "array<variant>")
+        number = [
+            F.try_variant_get(F.coalesce(F.try_element_at(named, F.lit(c)), F.get(placed, F.lit(i))), "$", "double")
+            for i, c in enumerate(features)
+        ]
+        known = F.forall(F.array(*map(F.lit, features)), lambda c: F.map_contains_key(named, c))
+        reason = (
+            F.when(named.isNull() & placed.isNull(), "no object or vector")
+            .when(named.isNotNull() & ~known, "missing feature")
+            .when(placed.isNotNull() & (F.size(placed) != len(features)), "vector length")
+            .when(F.exists(F.array(*number), lambda x: x.isNull()), "not a number")
+        )
+        return F.struct(reason.alias("reason"), F.struct(*[x.alias(c) for x, c in zip(number, features, strict=True)]).alias("row"))
+
+    marked = marked.withColumn("_rows", F.transform("_items", values))
+    first = F.get(F.filter(F.transform("_rows", lambda r: r["reason"]), lambda r: r.isNotNull()), 0)
+    reason = F.when(F.col("_body").isNull(), "not JSON").when(F.coalesce(F.size("_rows"), F.lit(0)) < 1, "no rows").otherwise(first)
+    marked = marked.withColumn("_reason", reason)
+    bad = marked.where(F.col("_reason").isNotNull()).select(*keep, F.col(quoted(json_col)), F.col("_reason").alias("reason"))
+    good = marked.where(F.col("_reason").isNull()).select(*keep, F.posexplode("_rows").alias("row_index", "_r"))
+    return good.select(*keep, "row_index", "_r.row.*"), bad

@@ -265,25 +265,44 @@ def train_metrics(spark, d):
     return exp.select("run_id", "dataset", "model_type", "task", "status", "metrics")
 
 
+PAYLOADS = """e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, value, event_id % 10 AS shape FROM events)"""
+
+
+def payloads(spark, d):
+    """Event properties as payloads: the four shapes, one of them behind many blanks, and five that are refused."""
+    ev = table(spark, d, "events").select("event_id", "props", "value")
+    k, v = F.get_json_object("props", "$.k"), F.col("value").cast("string")
+    both = F.concat(F.lit('{"k": '), k, F.lit(', "v": '), v, F.lit("}"))
+    pair = F.concat(F.lit("["), k, F.lit(", "), v, F.lit("]"))
+    bodies = [
+        both,
+        pair,
+        F.concat(F.lit("["), both, F.lit(', {"v": '), k, F.lit(', "other": "x", "k": '), k, F.lit("}]")),
+        F.concat(F.lit("[ "), pair, F.lit(", ["), k, F.lit(","), k, F.lit("]]")),
+        F.concat(F.repeat(F.lit(" "), F.lit(70)), both),
+        F.concat(F.lit("["), k, F.lit("]")),
+        F.concat(F.lit("[["), k, F.lit(", 1], ["), k, F.lit(", 1, 2]]")),
+        F.concat(F.lit('[{"k": '), k, F.lit("}]")),
+        F.concat(F.lit("["), k, F.lit(', "x"]')),
+        F.lit("oops"),
+    ]
+    body = F.element_at(F.array(*bodies), (F.col("event_id") % 10).cast("int") + 1)
+    return T.explode_payload(ev.withColumn("body", body), "body", ["k", "v"], keep=["event_id"])
+
+
 @query(
     "payload_rows",
-    """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, value, event_id % 4 AS shape FROM events)
-    SELECT event_id, 0::INTEGER AS row_index, k, CASE WHEN shape IN (0, 2) THEN NULL ELSE value END AS v FROM e
-    UNION ALL
-    SELECT event_id, 1::INTEGER, k, CASE WHEN shape = 2 THEN NULL ELSE k END FROM e WHERE shape IN (2, 3)""",
+    f"""WITH {PAYLOADS} SELECT event_id, 0::INTEGER AS row_index, k, value AS v FROM e WHERE shape < 5
+    UNION ALL SELECT event_id, 1::INTEGER, k, k FROM e WHERE shape IN (2, 3)""",
 )
 def payload_rows(spark, d):
-    """Event properties as the four payload shapes: object, vector, list of objects, list of vectors."""
-    ev = table(spark, d, "events").select("event_id", "props", "value")
-    k = F.get_json_object("props", "$.k")
-    v = F.col("value").cast("string")
-    pair = F.concat(F.lit("["), k, F.lit(", "), v, F.lit("]"))
-    shape = F.col("event_id") % 4
-    body = (
-        F.when(shape == 0, F.col("props"))
-        .when(shape == 1, pair)
-        .when(shape == 2, F.concat(F.lit("["), "props", F.lit(", "), "props", F.lit("]")))
-        .otherwise(F.concat(F.lit("[ "), pair, F.lit(", ["), k, F.lit(","), k, F.lit("]]")))
-    )
-    rows, _ = T.explode_payload(ev.withColumn("body", body), "body", ["k", "v"], keep=["event_id"])
-    return rows
+    return payloads(spark, d)[0]
+
+
+@query(
+    "payload_rejects",
+    f"""WITH {PAYLOADS} SELECT event_id, CASE shape WHEN 5 THEN 'vector length' WHEN 6 THEN 'vector length'
+      WHEN 7 THEN 'missing feature' WHEN 8 THEN 'not a number' ELSE 'not JSON' END AS reason FROM e WHERE shape >= 5""",
+)
+def payload_rejects(spark, d):
+    return payloads(spark, d)[1].select("event_id", "reason")

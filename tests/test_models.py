@@ -136,7 +136,7 @@ def test_regression_run_leaves_registry_rows(spark, points):
 
 
 def test_unsupported_algorithm(spark, points):
-    with pytest.raises(ValueError, match="Unsupported model type"):
+    with pytest.raises(ValueError, match="algorithm is called"):
         T.fit(points, ["a"], "r", "SVM", "regression")
 
 
@@ -147,9 +147,14 @@ def test_missing_feature_is_named(spark, points):
 
 
 def test_payload_shapes(spark):
-    bodies = ['{"x": 1, "y": 2}', '[{"x": 3}, {"y": 4, "x": 5}]', "[6, 7]", "[[8, 9], [10, 11]]", '"nope"', "{broken"]
+    bodies = ['{"x": 1, "y": 2}', '[{"x": 3, "y": "7"}, {"y": 4, "x": 5, "z": []}]', "[6, 7]", "[[8, 9], [10, 11]]", " " * 99 + "[12,13]",
+              '"nope"', "{broken", '{"x": 1}', "[1]", "[1,2,3]", '[1,"x"]', '{"x":"a","y":2}', "[]", "[[1,2],[3]]", '[[1,2],{"x":1}]', None,
+              '[{"x":1,"y":2},5]', "[1, null]", "7"]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, body string")
     good, bad = T.explode_payload(df, "body", ["x", "y"], keep=["id"])
     rows = sorted((r.id, r.row_index, r.x, r.y) for r in good.collect())
-    assert rows == [(0, 0, 1.0, 2.0), (1, 0, 3.0, None), (1, 1, 5.0, 4.0), (2, 0, 6.0, 7.0), (3, 0, 8.0, 9.0), (3, 1, 10.0, 11.0)]
-    assert sorted(r.id for r in bad.collect()) == [4, 5]
+    assert rows == [(0, 0, 1.0, 2.0), (1, 0, 3.0, 7.0), (1, 1, 5.0, 4.0), (2, 0, 6.0, 7.0), (3, 0, 8.0, 9.0), (3, 1, 10.0, 11.0), (4, 0, 12.0, 13.0)]
+    assert sorted(r.id for r in bad.collect()) == list(range(5, len(bodies)))
+    reasons = {r.id: r.reason for r in bad.collect()}
+    assert reasons[6] == "not JSON" and reasons[7] == "missing feature" and reasons[8] == "vector length"
+    assert reasons[10] == "not a number" and reasons[12] == "no rows"
