@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mlwatch.functions.columns import clean, clean_sql, missing, numeric_cols, object_cols, quoted
 from mlwatch.functions.stats import pct_of, safe_div
-from mlwatch.operators.frames import attach, grouped, melt_stats, settled, side_by_side
+from mlwatch.operators.frames import attach, grouped, key_of, melt_stats, settled, side_by_side
 from mlwatch.operators.order import approx_quantiles, exact_quantiles
 
 # Penalty weights of the quality score.
@@ -64,10 +67,10 @@ ADVICE = {
     "passed": "Validation passed. Ready for training.",
 }
 
-PAIRS_PER_PASS = 150
-WIDE_ROW = 8
 
 
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 # ---------------------------------------------------------------------------------------------------------------
 # Single checks
 
@@ -111,12 +114,13 @@ def duplicate_report(
 ) -> DataFrame:
     """Rows that occur more than once, all copies counted; missing equals missing.
 
-    Narrow rows are grouped as they are: copies collapse before the shuffle. Wide rows (``two_step``) first shuffle
-    only a 64-bit hash; the rows whose hash repeats are then compared in full, so collisions change nothing.
+    Rows of numbers and times are grouped as they are: copies collapse before the shuffle. Rows with columns of other
+    types, whose values may be long (or ``two_step``), first shuffle only a 64-bit hash; the rows whose hash repeats are
+    then compared in full, so collisions change nothing.
     """
     cols = list(cols) if cols is not None else [c for c in df.columns if c not in by]
     if two_step is None:
-        two_step = len(cols) > WIDE_ROW
+        two_step = any(not isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in cols)
     fields = [f"d{i}" for i in range(len(cols))]
     rows = df.select(*by, *[_null_for_nan(df, c).alias(f) for f, c in zip(fields, cols, strict=True)])
     sizes = grouped(rows, by).agg(F.count("*").alias("rows"))
@@ -284,8 +288,8 @@ def _counted(wide: DataFrame, cols: Sequence[str], by: Sequence[str], sfx: str,
 
 def class_balance(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and share per class; a missing class is a class of its own."""
-    counts = df.groupBy(*by, _null_for_nan(df, target).cast("string").alias("class")).agg(F.count("*").alias("count"))
-    totals = settled(grouped(df, by).agg(F.count("*").alias("n")))
+    counts = settled(df.groupBy(*by, _null_for_nan(df, target).cast("string").alias("class")).agg(F.count("*").alias("count")))
+    totals = settled(grouped(counts, by).agg(F.sum("count").alias("n")))
     return attach(counts, totals, by).select(
         *by, "class", "count", pct_of(F.col("count"), F.col("_s.n")).alias("pct")
     )
@@ -324,82 +328,74 @@ def _centre_aggs(df: DataFrame, cols: Sequence[str]) -> list[Column]:
     ]
 
 
-def _pair_correlations(
-    df: DataFrame, cols: Sequence[str], by: Sequence[str], stats: DataFrame, pairs: Sequence[tuple[int, int]]
-) -> DataFrame:
-    """Pearson correlation of column pairs as ``p{a}_{b}``, one row per group; null where one side has no spread.
+def _pair_correlations(df: DataFrame, cols: Sequence[str], by: Sequence[str], stats: DataFrame) -> DataFrame:
+    """(keys, a, b, r): Pearson correlation of all column pairs by their places; null where one side has no spread.
 
-    ``stats`` is settled and holds ``rows`` and the values of ``_centre_aggs``. Columns are centred first, so plain sums
-    of products are safe: one sum per pair, and two per column that all pairs share. Only a column with missing
-    cells costs its partners sums of their own, over the rows both have.
+    ``stats`` is settled and holds the values of ``_centre_aggs``. Columns are centred first, so plain sums of products
+    are safe. One scan, whatever the number of columns: each task multiplies the matrix of its rows with itself, batch
+    by batch, with missing cells as zeros and a second matrix that marks them, and hands over one row per pair and group.
     """
-    full = stats.agg(F.sum("rows"), *[F.sum(f"m{i}_count") for i in range(len(cols))]).first()
-    complete = {i for i in range(len(cols)) if full[i + 1] == full[0]}
     # A constant column is centred on its own value, which leaves exact zeros.
-    centred = attach(df, stats, by).select(
-        *[F.col(quoted(k)) for k in by],
-        *[
-            F.expr(f"{clean_sql(df, c)} - IF(_s.m{i}_min = _s.m{i}_max, _s.m{i}_min, _s.m{i}_avg) AS z{i}")
-            for i, c in enumerate(cols)
-        ],
-    )
-    aggs: dict[str, str] = {"n": "count(*)"}
-
-    def side(x: int, other: int) -> tuple[str, str]:
-        """Names of the sums of a column and of its squares over the rows its partner has too."""
-        tag = f"{x}" if other in complete else f"{x}_{other}"
-        v = f"z{x}" if other in complete else f"IF(z{other} IS NOT NULL, z{x}, NULL)"
-        aggs[f"s{tag}"] = f"sum({v})"
-        aggs[f"q{tag}"] = f"sum({v} * {v})"
-        return f"s{tag}", f"q{tag}"
-
-    out = []
-    for a, b in pairs:
-        aggs[f"x{a}_{b}"] = f"sum(z{a} * z{b})"
-        n = "n"
-        if not {a, b} <= complete:
-            n = f"n{a}_{b}"
-            aggs[n] = f"count(z{a} * z{b})"
-        (sa, qa), (sb, qb) = side(a, b), side(b, a)
-
-        def spread(sq: str, su: str, n: str = n) -> str:
-            """Squared deviations; rounding noise around a constant is none."""
-            left = f"({sq} - try_divide({su} * {su}, {n}))"
-            return f"IF({left} > 1e-13D * {sq}, {left}, NULL)"
-
-        top = f"(x{a}_{b} - try_divide({sa} * {sb}, {n}))"
-        out.append((f"p{a}_{b}", f"{top} / sqrt({spread(qa, sa)} * {spread(qb, sb)})"))
-    sums = grouped(centred, by).agg(*[F.expr(f"{e} AS {name}") for name, e in aggs.items()])
+    cells = [
+        F.expr(f"{clean_sql(df, c)} - IF(_s.m{i}_min = _s.m{i}_max, _s.m{i}_min, _s.m{i}_avg)") for i, c in enumerate(cols)
+    ]
+    centred = attach(df, stats, by).select(key_of(by).alias("_key") if by else F.lit(0).alias("_key"), F.array(*cells).alias("_z"))
+    d = len(cols)
+    first, second = np.triu_indices(d, 1)
+    sums = ("n", "sa", "sb", "qa", "qb", "x")
+    numbers = [T.StructField(c, T.IntegerType()) for c in "ab"] + [T.StructField(c, T.DoubleType()) for c in sums]
+    schema = T.StructType([centred.schema["_key"], *numbers])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[pa.Array, np.ndarray]] = {}
+        for batch in batches:
+            keys = batch.column("_key")
+            names = [repr(k) for k in keys.to_pylist()] if by else [""] * batch.num_rows
+            z = batch.column("_z").flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(float)
+            codes, labels = pd.factorize(np.array(names, dtype=object))
+            for code, label in enumerate(labels):
+                own = np.flatnonzero(codes == code)
+                part = z[own]
+                there = ~np.isnan(part)
+                part, mark = np.where(there, part, 0.0), there.astype(float)
+                s, q = part.T @ mark, (part * part).T @ mark
+                found = np.stack([(mark.T @ mark)[first, second], s[first, second], s[second, first], q[first, second], q[second, first], (part.T @ part)[first, second]])
+                if label in held:
+                    held[label][1][...] += found
+                else:
+                    held[label] = (keys.slice(int(own[0]), 1), found)
+        for key, found in held.values():
+            repeated = key.take(pa.array(np.zeros(len(first), np.int64)))
+            places = [pa.array(x.astype(np.int32)) for x in (first, second)]
+            yield pa.RecordBatch.from_arrays([repeated, *places, *[pa.array(x) for x in found]], schema.names)
+
+    total = centred.mapInArrow(multiply, schema).groupBy("_key", "a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+
+    def spread(sq: str, su: str) -> str:
+        """Squared deviations; rounding noise around a constant is none."""
+        left = f"({sq} - try_divide({su} * {su}, n))"
+        return f"IF({left} > 1e-13D * {sq}, {left}, NULL)"
+
+    r = f"(x - try_divide(sa * sb, n)) / sqrt({spread('qa', 'sa')} * {spread('qb', 'sb')})"
+    keys = [F.col("_key").getField(k).alias(k) for k in by]
     # Rounding may pass one by a hair; least and greatest would turn a null into a bound.
-    held = [F.expr(f"IF({e} IS NULL, NULL, greatest(-1D, least(1D, {e}))) AS {name}") for name, e in out]
-    return sums.select(*by, *held)
+    return total.select(*keys, "a", "b", F.expr(f"IF({r} IS NULL, NULL, greatest(-1D, least(1D, {r}))) AS r"))
 
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Absolute Pearson correlation of every column pair over rows where both have a value; null without spread.
 
-    All pairs of up to PAIRS_PER_PASS share one scan; the columns, not the rows, are paired.
+    Two scans, one for the means and one for all pairs.
     """
     cols = list(cols) if cols is not None else numeric_cols(df, by)
-    pairs = [(a, b) for a in range(len(cols)) for b in range(a + 1, len(cols))]
-    if not pairs:
+    if len(cols) < 2:
         text = [T.StructField(n, T.StringType()) for n in ("feature_a", "feature_b")]
         schema = [*[df.schema[k] for k in by], *text, T.StructField("abs_corr", T.DoubleType())]
         return df.sparkSession.createDataFrame([], T.StructType(schema))
-    stats = settled(grouped(df, by).agg(F.count("*").alias("rows"), *_centre_aggs(df, cols)))
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        wide = _pair_correlations(df, cols, by, stats, chunk)
-        cells = [
-            f"named_struct('feature_a', {_text(cols[a])}, 'feature_b', {_text(cols[b])}, 'abs_corr', abs(p{a}_{b}))"
-            for a, b in chunk
-        ]
-        parts.append(wide.select(*by, F.expr(f"inline(array({', '.join(cells)}))")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stats = settled(grouped(df, by).agg(*_centre_aggs(df, cols)))
+    names = F.array(*map(F.lit, cols))
+    pairs = _pair_correlations(df, cols, by, stats)
+    return pairs.select(*by, F.get(names, "a").alias("feature_a"), F.get(names, "b").alias("feature_b"), F.abs("r").alias("abs_corr"))
 
 
 def _text(value: str) -> str:
@@ -466,7 +462,6 @@ def quality_findings(
     """
     feats = [c for c in df.columns if c != target and c not in by]
     nums = [c for c in numeric_cols(df, by) if c != target]
-    pairs = [(a, b) for a in range(len(nums)) for b in range(a + 1, len(nums))]
     const_aggs, const_cols, const_numeric = _constant_aggs(df, feats)
     base = settled(
         grouped(df, by).agg(
@@ -484,11 +479,10 @@ def quality_findings(
         ),
         duplicate_report(df, [*feats, target], by).select(*by, F.col("duplicate_rows_pct").alias("duplicates_pct")),
     ]
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        found = _pair_correlations(df, nums, by, base, chunk)
-        hits = " + ".join(f"IF(abs(p{a}_{b}) > {float(corr_threshold)!r}D, 1L, 0L)" for a, b in chunk)
-        parts.append(found.select(*by, F.expr(f"{hits} AS pairs_{start}")))
+    if len(nums) > 1:
+        found = _pair_correlations(df, nums, by, base)
+        close = F.count_if(F.abs("r") > F.lit(float(corr_threshold)))
+        parts.append(grouped(found, by).agg(close.alias("high_corr_pairs")))
     if nums:
         quant = approx_quantiles if approx else exact_quantiles
         limits = quant(df, nums, [quantiles[0], 0.25, 0.75, quantiles[1]], by)
@@ -510,12 +504,11 @@ def quality_findings(
     if task == "classification":
         parts.append(class_summary(df, target, by).select(*by, "imbalance_ratio", "entropy"))
     out = side_by_side(parts, by)
-    extra = [f"pairs_{start}" for start in range(0, len(pairs), PAIRS_PER_PASS)]
     null = F.lit(None).cast("double")
     zero = F.lit(0).cast("bigint")
     out = out.withColumns(
         {
-            "high_corr_pairs": _sum_of([F.coalesce(F.col(c), F.lit(0)) for c in extra]),
+            "high_corr_pairs": F.coalesce(F.col("high_corr_pairs"), zero) if len(nums) > 1 else zero,
             "object_columns": F.lit(len([c for c in object_cols(df, by) if c != target])).cast("bigint"),
             **({} if nums else {"outliers_total": zero, "invalid_range_features": zero}),
             **({} if task == "classification" else {"imbalance_ratio": null, "entropy": null}),
