@@ -68,3 +68,12 @@ def missing(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         return F.expr(f"({quoted(name)} IS NULL OR isnan({quoted(name)}))")
     return F.expr(f"({quoted(name)} IS NULL)")
+
+
+def vector_width(df: DataFrame, col: str) -> int:
+    """The length that all vectors of a column share; different lengths are an error. Null vectors don't count."""
+    size = F.when(F.col(quoted(col)).isNotNull(), F.size(quoted(col)))
+    least, most = df.agg(F.min(size), F.max(size)).first()
+    if least != most:
+        raise ValueError(f"vectors of {col} have {least} to {most} values")
+    return least or 0

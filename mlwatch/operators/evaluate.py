@@ -14,6 +14,10 @@ from mlwatch.operators.frames import grouped, settled, side_by_side
 from mlwatch.operators.order import bucket_count, bucketed, edges_agg, sliced_scan
 
 
+# A confusion matrix larger than this squared is an error.
+MAX_CLASSES = 1_000
+
+
 def _cells(df: DataFrame, label: str, pred: str, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by, F.col(quoted(label)).alias("label"), F.col(quoted(pred)).alias("pred")).agg(
         F.count("*").alias("n")
@@ -62,19 +66,24 @@ def classification_metrics(df: DataFrame, label: str, pred: str, by: Sequence[st
     )
 
 
-def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """Every cell of the confusion matrix over the classes that occur, zeros included."""
-    cells = _cells(df, label, pred, by)
-    classes = F.sort_array(F.array_union(F.collect_set("label"), F.collect_set("pred")))
-    grid = grouped(cells, by).agg(classes.alias("classes"))
-    grid = grid.select(*by, "classes", F.explode("classes").alias("label"))
-    grid = grid.select(*by, "label", F.explode("classes").alias("pred"))
-    key = F.struct(*by, "label", "pred").alias("_cell")
-    return (
-        grid.withColumn("_cell", key)
-        .join(cells.select(key, "n"), "_cell", "left")
-        .select(*by, "label", "pred", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
-    )
+def confusion(df: DataFrame, label: str, pred: str, by: Sequence[str] = (), max_classes: int = MAX_CLASSES) -> DataFrame:
+    """Every cell of the confusion matrix over a group's classes that occur, zeros included.
+
+    A group with more than ``max_classes`` classes is an error, as the matrix has their square.
+    """
+    cells = settled(_cells(df, label, pred, by))
+    known = cells.select(*by, F.explode(F.array("label", "pred")).alias("_class")).where("_class IS NOT NULL").distinct()
+    most = grouped(known, by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > max_classes:
+        raise ValueError(f"a confusion matrix of {most} classes is larger than max_classes={max_classes}")
+    key = F.struct(*by) if by else F.lit(0)
+    left = known.select(key.alias("_group"), F.col("_class").alias("label"))
+    right = known.select(key.alias("_group"), F.col("_class").alias("pred"))
+    cell = F.struct("_group", "label", "pred").alias("_cell")
+    counted = cells.withColumn("_group", key).select(cell, "n")
+    grid = left.join(right, "_group").select("*", cell).join(counted, "_cell", "left")
+    keys = [F.col("_group").getField(k).alias(k) for k in by]
+    return grid.select(*keys, "label", "pred", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str, classes: Sequence, by: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Mapping, Sequence
 
@@ -19,12 +20,17 @@ def grouped(df: DataFrame, by: Sequence[str]):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for checkpoints; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster shares for checkpoints.
+
+    Where the session names none, a local master gets a temporary one; on a cluster that is an error, as executors
+    would write to disks of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="mlwatch-")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="mlwatch-")
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mlwatch.functions.json import text_field
-from mlwatch.operators.registry import newest_first
+from mlwatch.operators.registry import check_limit, newest_first
 
 
 def activity_counts(activity: DataFrame, by: Sequence[str] = ("user_id", "action")) -> DataFrame:
@@ -23,9 +23,9 @@ def activity_field(activity: DataFrame, key: str) -> DataFrame:
 
 
 def alerts(table: DataFrame, workspace: int | None = None, n: int = 50) -> DataFrame:
-    """Alert events, newest first; a limit outside 1..1000 means 50."""
+    """Alert events, newest first; a limit outside 1..1000 is an error."""
     where = None if workspace is None else F.col("workspace_id") == workspace
-    return newest_first(table, ["created_at", "id"], n if 1 <= n <= 1000 else 50, where)
+    return newest_first(table, ["created_at", "id"], check_limit(n), where)
 
 
 def due_schedules(schedules: DataFrame, now: Column | datetime) -> DataFrame:

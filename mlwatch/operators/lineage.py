@@ -12,17 +12,22 @@ from mlwatch.functions.columns import missing, quoted
 from mlwatch.operators.frames import grouped
 from mlwatch.operators.registry import check_limit, newest_first
 
-def row_hash(cols: Sequence[str], null: str = "~") -> Column:
-    """48 bits of a digest of the row as a decimal number; a null is not the same as an empty text."""
-    text = [F.coalesce(F.col(quoted(c)).cast("string"), F.lit(null)) for c in cols]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *text)), 1, 12), 16, 10).cast("decimal(20,0)")
+
+def row_hash(cols: Sequence[str]) -> Column:
+    """48 bits of a digest of the row as a decimal number.
+
+    Every cell stands behind its length, and a null behind -1, so that no two different rows give the same text.
+    """
+    texts = [F.col(quoted(c)).cast("string") for c in cols]
+    cells = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-1:")) for t in texts]
+    return F.conv(F.substring(F.md5(F.concat(F.lit(""), *cells)), 1, 12), 16, 10).cast("decimal(20,0)")
 
 
 def dataset_version(df: DataFrame, dataset_id: str, by: Sequence[str] = ()) -> DataFrame:
     """Content fingerprint, size and missing cells of a table.
 
     The fingerprint adds up row digests, so it does not depend on row order or partitioning, sees repeated rows, and
-    needs no shuffle of the data.
+    needs no shuffle of the data. The columns' names and order are part of it.
     """
     cols = [c for c in df.columns if c not in by]
     gaps = [F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
@@ -33,7 +38,14 @@ def dataset_version(df: DataFrame, dataset_id: str, by: Sequence[str] = ()) -> D
     return s.select(
         *by,
         F.lit(dataset_id).alias("dataset_id"),
-        F.md5(F.concat_ws("|", F.col("row_count").cast("string"), F.coalesce(F.col("total"), F.lit(0)).cast("string"))).alias("hash"),
+        F.md5(
+            F.concat_ws(
+                "|",
+                F.lit("".join(f"{len(c)}:{c}" for c in cols)),
+                F.col("row_count").cast("string"),
+                F.coalesce(F.col("total"), F.lit(0)).cast("string"),
+            )
+        ).alias("hash"),
         "row_count",
         F.lit(len(cols)).alias("column_count"),
         summary.alias("missing_values_summary"),

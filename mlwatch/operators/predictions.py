@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlwatch.operators.registry import newest_first, upsert
+from mlwatch.operators.registry import check_limit, newest_first, upsert
 
 
 def prediction_rows(batches: DataFrame, predictions: str = "predictions", probabilities: str | None = None) -> DataFrame:
@@ -28,16 +28,16 @@ def log_requests(current: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def history(requests: DataFrame, n: int = 50) -> DataFrame:
-    """Newest requests; a limit outside 1..1000 means 50."""
-    return newest_first(requests, ["created_at", "request_id"], n if 1 <= n <= 1000 else 50)
+    """Newest requests; a limit outside 1..1000 is an error."""
+    return newest_first(requests, ["created_at", "request_id"], check_limit(n))
 
 
 def request_detail(requests: DataFrame, predictions: DataFrame, request_id: str | None = None) -> DataFrame:
-    """Requests with their predictions in row order; a request without predictions keeps one row."""
+    """Requests with their predictions, unsorted: ``row_index`` tells the order. A request without any keeps one row."""
     if request_id is not None:
         requests = requests.where(F.col("request_id") == request_id)
         predictions = predictions.where(F.col("request_id") == request_id)
-    return requests.join(predictions, "request_id", "left").orderBy("request_id", "row_index")
+    return requests.join(predictions, "request_id", "left")
 
 
 def request_pages(

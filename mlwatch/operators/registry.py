@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mlwatch.functions.columns import backfill
 from mlwatch.functions.json import metric
-from mlwatch.operators.frames import attach, grouped, settled
+from mlwatch.operators.frames import attach, grouped, key_of, settled
 from mlwatch.operators.order import hour_slice, sliced_scan
 
 # Lifecycle stages and event notes.
@@ -68,25 +68,26 @@ def upsert(
 ) -> DataFrame:
     """Insert rows with new keys and replace rows with known ones by their latest change.
 
-    ``order`` decides between several changes of one key. ``keep_cols`` hold on to the value already in the table.
+    ``order`` decides between several changes of one key. ``keep_cols`` hold on to the value already in the table, unless
+    that is null. The changes are reduced to one per key first and stored rows only meet their keys, so that a few changes,
+    which Spark then broadcasts, leave the stored table where it is. Null keys are equal.
     """
-    old = current.withColumn("_new", F.lit(0))
-    if not keep_cols:
-        both = old.unionByName(changes.withColumn("_new", F.lit(1)))
-        return top_per_group(both, keys, ["_new", *order], 1).drop("_new")
-    fresh = top_per_group(changes, keys, order, 1).withColumn("_new", F.lit(1))
-    both = old.unionByName(fresh).withColumns({f"_keep_{c}": F.when(F.col("_new") == 0, F.col(c)) for c in keep_cols})
-    # At most two rows per key are left: the stored one and its replacement.
-    pair = W.partitionBy(*keys)
-    kept = {c: F.coalesce(F.max(f"_keep_{c}").over(pair), F.col(c)) for c in keep_cols}
-    both = both.withColumn("_last", F.max("_new").over(pair)).withColumns(kept)
-    return both.where("_new = _last").drop("_new", "_last", *[f"_keep_{c}" for c in keep_cols])
-
-
-def insert_new(current: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the changes whose keys are not in the table yet, one row per key."""
-    first = changes.dropDuplicates(list(keys))
-    return current.unionByName(first.join(current.select(*keys), list(keys), "left_anti").select(*current.columns))
+    names = list(current.columns)
+    fresh = top_per_group(changes, keys, order, 1).select(*names)
+    touched = fresh.select(key_of(keys).alias("_key"))
+    old = current.withColumn("_key", key_of(keys))
+    if keep_cols:
+        stored = old.join(touched, "_key", "left_semi").groupBy("_key").agg(*[F.first(c, True).alias(f"_keep_{c}") for c in keep_cols])
+        fresh = fresh.withColumn("_key", key_of(keys)).join(stored, "_key", "left")
+        fresh = fresh.withColumns({c: F.coalesce(f"_keep_{c}", c) for c in keep_cols}).select(*names)
+    return old.join(touched, "_key", "left_anti").drop("_key").unionByName(fresh)
+
+
+def insert_new(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add the changes whose keys are not in the table yet, for each key the newest by ``order``. Null keys are equal."""
+    first = top_per_group(changes, keys, order, 1).withColumn("_key", key_of(keys))
+    known = current.select(key_of(keys).alias("_key"))
+    return current.unionByName(first.join(known, "_key", "left_anti").select(*current.columns))
 
 
 def unique_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:

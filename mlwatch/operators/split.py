@@ -20,13 +20,16 @@ MAX_CLASSES = 20
 
 
 def class_group(df: DataFrame, stratify: str | None, max_classes: int = MAX_CLASSES) -> Column:
-    """The class as text when there are few enough to stratify on; otherwise one group for all rows."""
-    if stratify is not None:
-        # Stops at the first classes too many, so a continuous target costs no more than a class label.
-        found = df.select(quoted(stratify)).distinct().limit(max_classes + 1).count()
-        if found <= max_classes:
-            return F.col(quoted(stratify)).cast("string")
-    return F.lit("all")
+    """The class as text, a missing one being a class of its own; or one group for all rows without ``stratify``.
+
+    More than ``max_classes`` known classes are an error: raise the number, or pass no column to stratify on.
+    """
+    if stratify is None:
+        return F.lit("all")
+    found = df.where(F.col(quoted(stratify)).isNotNull()).select(quoted(stratify)).distinct().count()
+    if found > max_classes:
+        raise ValueError(f"{stratify} has {found} classes, more than max_classes={max_classes}")
+    return F.col(quoted(stratify)).cast("string")
 
 
 def _assign(
@@ -36,8 +39,9 @@ def _assign(
     stratify: str | None,
     quotas: Callable[[DataFrame], DataFrame],
     n_cuts: int,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
-    group, digest = class_group(df, stratify), row_digest(keys, seed)
+    group, digest = class_group(df, stratify, max_classes), row_digest(keys, seed)
     cuts = digest_cuts(df, digest, group, quotas, n_cuts)
     return attach(df.withColumns({"_grp": group, "_dig": digest}), cuts.withColumnRenamed("grp", "_grp"), ["_grp"])
 
@@ -45,7 +49,7 @@ def _assign(
 def test_quotas(sizes: DataFrame, test_size: float) -> DataFrame:
     """Test rows per class: the test set takes ceil(test_size * n) rows, the training rows are shared out in
     proportion to the classes by largest remainder, and the rest of each class is its test part."""
-    total = sizes.agg(F.sum("n").alias("total"))
+    total = settled(sizes.agg(F.sum("n").alias("total")))
     few = W.partitionBy(F.lit(0))
     n_train = F.col("_s.total") - F.ceil(F.lit(float(test_size)) * F.col("_s.total"))
     share = F.col("n") / F.col("_s.total") * n_train
@@ -59,12 +63,17 @@ def test_quotas(sizes: DataFrame, test_size: float) -> DataFrame:
 
 
 def split(
-    df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 42, stratify: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    test_size: float = 0.2,
+    seed: int = 42,
+    stratify: str | None = None,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """Adds ``split`` (train or test). ``keys`` identify a row; rows with equal keys stay on one side."""
     if not 0.05 <= test_size <= 0.5:
         raise ValueError("test_size must be between 0.05 and 0.5")
-    near = _assign(df, keys, seed, stratify, lambda s: test_quotas(s, test_size), 1)
+    near = _assign(df, keys, seed, stratify, lambda s: test_quotas(s, test_size), 1, max_classes)
     side = F.when(F.col("_dig") <= F.col("_s.cut0"), "test").otherwise("train")
     return near.withColumn("split", side).drop("_grp", "_dig", "_s")
 
@@ -84,12 +93,17 @@ def fold_quotas(sizes: DataFrame, k: int) -> DataFrame:
 
 
 def kfold(
-    df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, stratify: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    k: int = 5,
+    seed: int = 42,
+    stratify: str | None = None,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """Adds ``fold`` 0..k-1, sizes per class differing by at most one row."""
     if not 2 <= k <= 10:
         raise ValueError("cv_folds must be between 2 and 10")
-    near = _assign(df, keys, seed, stratify, lambda s: fold_quotas(s, k), k - 1)
+    near = _assign(df, keys, seed, stratify, lambda s: fold_quotas(s, k), k - 1, max_classes)
     fold = F.lit(0)
     for i in range(k - 1):
         cut = F.col(f"_s.cut{i}")

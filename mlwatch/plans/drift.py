@@ -1,6 +1,5 @@
 """Drift queries: lineitem before and after 1998, events by day, embedding dimensions by label.
 
-SQL can say the asymptotic p-value only, so queries with SQL ask for it (``exact_below=0``).
 """
 
 from __future__ import annotations
@@ -8,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mlwatch.functions.columns import vector_width
 from mlwatch.operators import drift as D
 from mlwatch.plans.register import query, table
 
@@ -120,7 +120,7 @@ _DIMS = """
 @query("drift_features", f"{_WITH} SELECT * FROM report")
 def drift_features(spark, d):
     ref, cur = lineitem_sides(spark, d)
-    return D.drift_features(ref, cur, FEATURES, exact_below=0)
+    return D.drift_features(ref, cur, FEATURES)
 
 
 @query("drift_summary", f"{_WITH}, {summary_sql()} SELECT * FROM summary")
@@ -137,7 +137,7 @@ def psi(spark, d):
 @query("ks", f"{_WITH} SELECT feature, round(d, 6) AS ks_statistic, round(p, 6) AS p_value FROM pv")
 def ks(spark, d):
     ref, cur = lineitem_sides(spark, d)
-    out = D.ks(ref, cur, FEATURES, exact_below=0)
+    out = D.ks(ref, cur, FEATURES)
     return out.select(
         "feature", F.round("ks_statistic", 6).alias("ks_statistic"), F.round("p_value", 6).alias("p_value")
     )
@@ -146,7 +146,7 @@ def ks(spark, d):
 @query("drift_by_day", f"{_BY_DAY} SELECT * FROM report")
 def drift_by_day(spark, d):
     ref, cur = event_sides(spark, d)
-    return D.drift_by_window(ref, cur, "ts", "1 day", ["value"], by=["event_type"], exact_below=0)
+    return D.drift_by_window(ref, cur, "ts", "1 day", ["value"], by=["event_type"])
 
 
 @query("drift_summary_by_day", f"{_BY_DAY}, {summary_sql('window_start')} SELECT * FROM summary")
@@ -201,10 +201,10 @@ def drift_significant(spark, d):
 @query("drift_embeddings", f"WITH {drift_sql(_DIMS, 'feature')} SELECT feature, psi, drift_detected, severity FROM report")
 def drift_embeddings(spark, d):
     emb = table(spark, d, "embeddings")
-    width = 64
+    width = vector_width(emb, "embedding")
     dims = emb.select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"d{i}") for i in range(width)])
     cols = [f"d{i}" for i in range(width)]
-    out = D.drift_features(dims.where("label = 0"), dims.where("label <> 0"), cols, exact_below=0)
+    out = D.drift_features(dims.where("label = 0"), dims.where("label <> 0"), cols)
     return out.select("feature", "psi", "drift_detected", "severity")
 
 
@@ -228,10 +228,3 @@ def perturb_shift(spark, d):
     return out.agg(
         F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_tax"), 2).alias("tax")
     )
-
-
-@query("drift_events_exact")
-def drift_events_exact(spark, d):
-    """Event values after the first week against the first week, with the exact p-value for small samples."""
-    ref, cur = event_sides(spark, d)
-    return D.drift_features(ref, cur, ["value"], by=["event_type"])

@@ -296,8 +296,8 @@ def validate_by_priority(spark, d):
 @query(
     "schema_diff",
     """WITH c AS (SELECT DISTINCT user_id::VARCHAR AS dataset, event_type AS col FROM events
-                  WHERE ts >= TIMESTAMP '2024-01-15'),
-    b AS (SELECT DISTINCT user_id::VARCHAR AS dataset, event_type AS col FROM events WHERE ts < TIMESTAMP '2024-01-03'),
+                  WHERE ts >= TIMESTAMP '2024-01-08'),
+    b AS (SELECT DISTINCT user_id::VARCHAR AS dataset, event_type AS col FROM events WHERE ts < TIMESTAMP '2024-01-08'),
     j AS (SELECT coalesce(c.dataset, b.dataset) AS dataset, c.col AS cc, b.col AS bc
           FROM c FULL JOIN b ON c.dataset = b.dataset AND c.col = b.col)
     SELECT dataset, count(bc) > 0 AS has_baseline,
@@ -306,11 +306,11 @@ def validate_by_priority(spark, d):
     FROM j GROUP BY dataset""",
 )
 def schema_diff(spark, d):
-    """Users as data sets and the event types they show as columns: late January against its first two days."""
+    """Users as data sets and the event types they show as columns: the events from 8 January on against those before."""
     ev = table(spark, d, "events")
     rows = ev.select("ts", F.col("user_id").cast("string").alias("dataset"), F.col("event_type").alias("column"))
-    cur = rows.where("ts >= timestamp_ntz'2024-01-15'").drop("ts")
-    base = rows.where("ts < timestamp_ntz'2024-01-03'").drop("ts")
+    cur = rows.where("ts >= timestamp_ntz'2024-01-08'").drop("ts")
+    base = rows.where("ts < timestamp_ntz'2024-01-08'").drop("ts")
     out = Q.compare_schema(cur, base)
     return out.withColumns({c: F.array_join(c, ",") for c in ("new_columns", "missing_columns")})
 

@@ -284,13 +284,18 @@ def upsert_events(spark, d):
 
 @query(
     "insert_new",
-    """SELECT c_custkey AS id, c_name AS name, 'stored' AS origin FROM customer WHERE c_nationkey < 10
-    UNION ALL SELECT c_custkey, c_name, 'new' FROM customer WHERE c_nationkey >= 10""",
+    """WITH cur AS (SELECT c_custkey AS id, c_name AS name, 'stored' AS origin FROM customer WHERE c_nationkey < 10),
+    new AS (SELECT o_custkey AS id, max_by(o_orderkey, (o_orderdate, o_orderkey))::VARCHAR AS name FROM orders GROUP BY 1)
+    SELECT * FROM cur UNION ALL SELECT id, name, 'new' FROM new WHERE id NOT IN (SELECT id FROM cur)""",
 )
 def insert_new(spark, d):
     cust = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     current = cust.where("c_nationkey < 10").select("id", "name", F.lit("stored").alias("origin"))
-    return R.insert_new(current, cust.select("id", "name", F.lit("new").alias("origin")), ["id"])
+    new = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("id"), F.col("o_orderkey").cast("string").alias("name"), F.lit("new").alias("origin"),
+        "o_orderdate", "o_orderkey",
+    )
+    return R.insert_new(current, new, ["id"], ["o_orderdate", "o_orderkey"])
 
 
 @query(
@@ -385,12 +390,13 @@ def duration_series(spark, d):
 
 
 def _hash_sql(name: str, cols: list[str], by: str = "") -> str:
-    text = ", ".join(f"coalesce({c}::VARCHAR, '~')" for c in cols)
+    text = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-1:')" for c in cols)
+    names = "".join(f"{len(c)}:{c}" for c in cols)
     k = f"{by}, " if by else ""
     zeros = ",".join(f'"{c}":0' for c in cols)
     return f"""SELECT {k}'{name}' AS dataset_id,
-      md5(concat_ws('|', count(*)::VARCHAR,
-        sum(('0x' || substr(md5(concat_ws('|', {text})), 1, 12))::BIGINT)::HUGEINT::VARCHAR)) AS hash,
+      md5(concat_ws('|', '{names}', count(*)::VARCHAR,
+        sum(('0x' || substr(md5({text}), 1, 12))::BIGINT)::HUGEINT::VARCHAR)) AS hash,
       count(*) AS row_count, {len(cols)} AS column_count, '{{{zeros}}}' AS missing_values_summary
     FROM {name} GROUP BY ALL"""
 
@@ -408,7 +414,7 @@ def dataset_version(spark, d):
     """WITH s AS (SELECT user_id::VARCHAR AS dataset_id, event_type AS column_name,
                          CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 0 ELSE 1 END AS later,
                          CASE WHEN max(value) >= 100 THEN 'int' ELSE 'tinyint' END AS dtype
-                  FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL),
+                  FROM events GROUP BY ALL),
     j AS (SELECT coalesce(a.dataset_id, b.dataset_id) AS dataset_id, coalesce(a.column_name, b.column_name) AS c,
                  a.dtype AS old_type, b.dtype AS new_type
           FROM (SELECT * FROM s WHERE later = 0) a FULL JOIN (SELECT * FROM s WHERE later = 1) b
@@ -421,7 +427,7 @@ def dataset_version(spark, d):
 )
 def schema_change(spark, d):
     """Users as data sets and event types as columns whose type is inferred from the largest value seen."""
-    ev = table(spark, d, "events").where("ts < timestamp_ntz'2024-01-15'")
+    ev = table(spark, d, "events")
     later = F.col("ts") >= F.expr("timestamp_ntz'2024-01-08'")
     snap = ev.groupBy(
         F.col("user_id").cast("string").alias("dataset_id"), F.col("event_type").alias("column_name"), later.alias("later")
@@ -499,7 +505,7 @@ def request_pages(spark, d):
 @query(
     "prediction_history",
     """SELECT event_id::VARCHAR AS request_id, user_id::VARCHAR AS model_id, ts AS created_at FROM events
-    ORDER BY ts DESC, request_id DESC LIMIT 50""",
+    ORDER BY ts DESC, request_id DESC LIMIT 200""",
 )
 def prediction_history(spark, d):
     reqs = table(spark, d, "events").select(
@@ -507,7 +513,7 @@ def prediction_history(spark, d):
         F.col("user_id").cast("string").alias("model_id"),
         F.col("ts").alias("created_at"),
     )
-    return H.history(reqs, n=0)
+    return H.history(reqs, n=200)
 
 
 @query(
@@ -550,13 +556,13 @@ def activity_pages(spark, d):
 @query(
     "alert_events",
     """SELECT event_id AS id, ts AS created_at, value FROM events WHERE user_id % 3 = 1
-    ORDER BY ts DESC, event_id DESC LIMIT 50""",
+    ORDER BY ts DESC, event_id DESC LIMIT 300""",
 )
 def alert_events(spark, d):
     t = table(spark, d, "events").select(
         F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("workspace_id"), F.col("ts").alias("created_at"), "value"
     )
-    return G.alerts(t, workspace=1, n=-1).drop("workspace_id")
+    return G.alerts(t, workspace=1, n=300).drop("workspace_id")
 
 
 @query(

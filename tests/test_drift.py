@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from itertools import combinations
 
-from mlwatch.functions.exact_ks import exact_pvalue
 from mlwatch.functions.stats import ks_pvalue
 from mlwatch.operators import drift as D
 
@@ -136,25 +135,3 @@ def test_health_and_alerts(spark):
     assert [(r.health_score, r.health_label) for r in D.drift_health(s).collect()] == [(80, "STABLE"), (0, "DRIFTED")]
     alerts = D.drift_alerts(s, "iris").collect()
     assert [a.message for a in alerts] == ["Data drift detected for dataset=iris; ratio=0.50"]
-
-
-@pytest.mark.parametrize(("m", "n"), [(4, 4), (5, 3), (2, 7)])
-def test_exact_pvalue_against_all_orders(m, n):
-    """Every way to interleave the two samples is equally likely."""
-    seen = []
-    for first in combinations(range(m + n), m):
-        r = np.array(first, float)
-        c = np.array([k for k in range(m + n) if k not in first], float)
-        seen.append(np_ks(r, c))
-    seen = np.array(seen)
-    for d in np.unique(seen.round(12)):
-        assert exact_pvalue(d, m, n) == pytest.approx((seen >= d - 1e-9).mean(), abs=1e-12)
-
-
-def test_exact_pvalue_is_used_for_small_samples(spark):
-    ref = spark.createDataFrame([(float(v),) for v in range(6)], "x double")
-    cur = spark.createDataFrame([(float(v),) for v in range(4, 10)], "x double")
-    d = 4 / 6
-    assert D.ks(ref, cur, ["x"]).first().p_value == pytest.approx(exact_pvalue(d, 6, 6))
-    loose = D.ks(ref, cur, ["x"], exact_below=0).first().p_value
-    assert loose != pytest.approx(exact_pvalue(d, 6, 6), abs=1e-3)

@@ -99,8 +99,11 @@ def test_upsert_keeps_stage_and_takes_the_latest_change(spark):
 
 def test_insert_new_constraints_and_orphans(spark):
     cur = spark.createDataFrame([(1, "x")], "id int, v string")
+    new = spark.createDataFrame([(1, "y"), (2, "a"), (2, "z"), (None, "n"), (None, "m")], "id int, v string")
+    for parts in (1, 3, 5):
+        got = R.insert_new(cur, new.repartition(parts), ["id"], ["v"]).collect()
+        assert sorted(map(tuple, got), key=str) == [(1, "x"), (2, "z"), (None, "n")]
     new = spark.createDataFrame([(1, "y"), (2, "z"), (2, "z")], "id int, v string")
-    assert sorted(map(tuple, R.insert_new(cur, new, ["id"]).collect())) == [(1, "x"), (2, "z")]
     assert [tuple(r) for r in R.unique_violations(new, ["id"]).collect()] == [(2, 2)]
     child = spark.createDataFrame([(1,), (5,), (None,)], "fk int")
     assert [r.fk for r in R.orphans(child, cur, "fk", "id").collect()] == [5]
@@ -138,6 +141,9 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert h.hash == L.dataset_version(df.orderBy(F.desc("x")).repartition(3), "d").first().hash
     assert h.hash != L.dataset_version(df.distinct(), "d").first().hash
     assert h.hash != L.dataset_version(df.na.fill(""), "d").first().hash
+    assert h.hash != L.dataset_version(df.withColumnRenamed(df.columns[0], "other"), "d").first().hash
+    a, b = [spark.createDataFrame([r], "a string, b string, c string") for r in (("a|b", "c", None), ("a", "b|c", "~"))]
+    assert L.dataset_version(a, "d").first().hash != L.dataset_version(b, "d").first().hash
     assert h.missing_values_summary == '{"x":0,"y":2}'
 
 
