@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo a number; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % modulus
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit(""))) % modulus
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, text: str = "text") -> DataFrame:

@@ -157,7 +157,8 @@ def train(docs: DataFrame, counts: DataFrame, key: str = "key", share: float = T
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(LISTED).select("word", "form", "n").toPandas()
     if not (top["word"] == 0).any():
-        top = pd.concat([top, pd.DataFrame({"word": [0], "form": [0], "n": [0]})], ignore_index=True)
+        end = counts.where("word = 0").first()
+        top = pd.concat([top, pd.DataFrame({"word": [0], "form": [0], "n": [end.n if end else 0]})], ignore_index=True)
     first = np.zeros(len(top), bool)
     first[:WORDS] = True
     first[np.flatnonzero(top["word"].to_numpy() == 0)] = True

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,8 +20,9 @@ PERCENT = 75
 BUFFER = 4_000_000
 TOKEN_BITS = 48
 STARS = 3
+BITS = 512
 ORDER_B, ORDER_C, CLASS = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2B7E151628AED2A7), np.uint64(0x243F6A8885A308D3)
-SURVIVOR = "cls long, n int, p int, centre double, tokens binary, cut_b long, cut_c long, rare array<long>"
+SURVIVOR = "cls long, n int, p int, centre double, tokens binary, cut_b long, cut_c long, rare array<long>, bits array<long>"
 
 
 def token_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,17 +89,16 @@ def dealt(cls, n, tokens, doc, to, parts, df=None) -> Iterator[tuple[int, bytes]
             yield int(to[a]), packed(cls, n, tokens[a:b], doc[a:b], None if df is None else df[a:b])
 
 
-def rows_with_class(df: DataFrame, text: str, k: int) -> DataFrame:
-    """The rows with the size and the class of their sets, as n_shingles and cls."""
-    kept = df.drop("n_shingles", "cls")
-    schema = kept.select("*", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("cls")).schema
+def rows_with_class(df: DataFrame, text: str, k: int, names: tuple[str, str] = ("n_shingles", "cls")) -> DataFrame:
+    """The rows with the size and the class of their sets."""
+    schema = df.select("*", *[F.lit(0).cast("long").alias(c) for c in names]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             _, n, cls = token_sets(*text_bytes(b.column(text)), k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(cls)], [*b.schema.names, "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(cls)], [*b.schema.names, *names])
 
-    return kept.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> DataFrame:
@@ -108,7 +108,7 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
     A class survives if it has shared tokens enough for a partner. Its prefix under an order is what is left of the first
     n - ceil(percent of n) + 1 tokens once the unshared ones, which come first in every order, are out. Orders: rare
     tokens first (``rare`` lists the prefix), and two by hashes of the token (``cut_b`` and ``cut_c`` are the last ones'
-    hashes). Values between the steps hold the tokens of many documents, so that a token costs six bytes, not a row.
+    hashes). ``bits`` tells for BITS places whether an odd number of shared tokens falls there. Values between the steps hold the tokens of many documents, so that a token costs six bytes, not a row.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +171,10 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
             by_b, by_c = (np.partition(mixed(own ^ salt), p - 1)[p - 1] for salt in (ORDER_B, ORDER_C))
             rare = own[np.lexsort((mixed(own), times))[:p]]
             centre = (float(times.sum()) + size - len(own)) / size
-            out.append((cls[a], size, p, centre, six(own), by_b.astype(np.int64), by_c.astype(np.int64), rare.astype(np.int64)))
-        return pd.DataFrame(out, columns=["cls", "n", "p", "centre", "tokens", "cut_b", "cut_c", "rare"])
+            odd = np.bincount((mixed(own ^ CLASS) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            out.append((cls[a], size, p, centre, six(own), by_b.astype(np.int64), by_c.astype(np.int64), rare.astype(np.int64), bits))
+        return pd.DataFrame(out, columns=["cls", "n", "p", "centre", "tokens", "cut_b", "cut_c", "rare", "bits"])
 
     posted = df.select(F.col(text).alias("text")).mapInArrow(post, "part int, blob binary")
     shared = posted.groupBy("part").applyInPandas(count, "part int, blob binary")
@@ -214,6 +216,19 @@ def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return slim.mapInArrow(run, "a long, b long")
 
 
+def may_be_close(percent: int) -> Column:
+    """Whether two sets can be similar enough, by their sizes and by how many of their bits differ.
+
+    Each token that only one of them has turns at most one bit, and unshared tokens are each in one of them only; so more
+    of both than similar sets can have rules a pair out, and never a similar one.
+    """
+    turned = F.lit(0)
+    for i in range(BITS // 64):
+        turned = turned + F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i))))
+    allowed = F.expr(f"a_n + b_n - 2 * ((({percent} * (a_n + b_n)) + {99 + percent}) div {100 + percent})")
+    return turned + F.col("a_free") + F.col("b_free") <= allowed
+
+
 def class_roots(found: DataFrame, percent: int) -> DataFrame:
     """(node, root) for the classes that have a link, the root being the smallest class of their component.
 
@@ -221,7 +236,7 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
     its components need few of them: first the most central class at each token, whose tokens are the most common
     ones, is compared with the others there, and again for tokens that still join several components. What is left
     is compared in full: at each token every class outside the token's largest component, with all of other components.
-    So no pair is left out but those already connected.
+    So no pair is left out but those already connected and those that ``may_be_close`` rules out.
     """
     met = settled(found.select(F.explode("rare").alias("token"), "cls", "n", "centre"))
     edges, roots = None, None
@@ -234,14 +249,18 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
         sizes = at.groupBy("token", "comp").agg(F.count("*").alias("size"))
         largest = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).where("comps > 1")
         open_ = settled(at.join(largest.select("token", "major"), "token"))
+        if round_ == STARS:
+            facts = found.select("cls", "bits", (F.col("n") - F.expr("length(tokens) div 6")).alias("free"))
+            open_ = settled(open_.join(facts, "cls"))
         minor = open_ if round_ == 0 else open_.where(F.col("comp") != F.col("major"))
         if round_ < STARS:
             best = minor.groupBy("token").agg(F.max(F.struct("centre", "cls", "n", "comp")).alias("x"))
             left = best.select("token", F.col("x.cls").alias("a"), F.col("x.n").alias("a_n"), F.col("x.comp").alias("a_comp"))
         else:
-            left = minor.select("token", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
-        right = open_.select("token", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
-        pairs = left.join(right, "token").where((F.col("a_comp") != F.col("b_comp")) & close)
+            left = minor.select("token", F.col("cls").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "comp", "bits", "free")])
+        right = open_.select("token", F.col("cls").alias("b"), *[F.col(c).alias(f"b_{c}") for c in open_.columns if c in ("n", "comp", "bits", "free")])
+        near = close & may_be_close(percent) if round_ == STARS else close
+        pairs = left.join(right, "token").where((F.col("a_comp") != F.col("b_comp")) & near)
         pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")) if round_ == STARS else pairs.select("a", "b")
         links = settled(verified(pairs.distinct(), found, percent))
         if round_ and links.isEmpty():
@@ -291,8 +310,8 @@ def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     own = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = settled(rows_with_class(own, "text", k).drop("text"))
     chosen = class_components(own, rows, "text", k, percent).where("chosen")
-    chosen = chosen.select("cls", F.struct("component_id").alias("_id"), F.lit(True).alias("_stays"))
-    keyed = rows_with_class(df, text, k).withColumn("_id", F.struct(F.col(id).alias("component_id")))
-    joined = keyed.join(chosen, ["cls", "_id"], "left")
-    place = F.row_number().over(W.partitionBy("cls", "_id").orderBy(F.xxhash64(text)))
-    return joined.withColumn("_place", place).where("n_shingles = 0 or (_stays and _place = 1)").select(*df.columns)
+    chosen = chosen.select(F.col("cls").alias("_cls"), F.struct("component_id").alias("_id"), F.lit(True).alias("_stays"))
+    keyed = rows_with_class(df, text, k, ("_n", "_cls")).withColumn("_id", F.struct(F.col(id).alias("component_id")))
+    joined = keyed.join(chosen, ["_cls", "_id"], "left")
+    place = F.row_number().over(W.partitionBy("_cls", "_id").orderBy(F.xxhash64(text)))
+    return joined.withColumn("_place", place).where("_n = 0 or (_stays and _place = 1)").select(*df.columns)
