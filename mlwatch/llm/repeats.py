@@ -16,8 +16,9 @@ from mlwatch.operators.frames import settled
 
 SIZE = 200
 GRAM = 32
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 BUFFER = 400_000
+TOGETHER = 8 << 20
 
 
 def window_hashes(raw: np.ndarray, size: int) -> np.ndarray:
@@ -162,7 +163,7 @@ def stretches(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
     joined = docs.join(listed, "key").select("key", "text", "blobs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TOGETHER):
             held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
             for key, text, blobs in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("blobs").to_pylist(), strict=True):
                 raw = (text or "").encode()
