@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import time
 from collections.abc import Mapping, Sequence
@@ -12,11 +13,12 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlwatch.functions.columns import align, missing, quoted
 from mlwatch.operators.evaluate import classification_metrics, regression_metrics, roc_auc, roc_auc_ovr
+from mlwatch.operators.registry import latest_production
 from mlwatch.operators.split import kfold, scaler
 
 # Default parameters per algorithm.
@@ -47,8 +49,11 @@ def checked_params(algo: str, params: Mapping | None) -> dict:
     return p
 
 
-def build_estimator(algo: str, task: str, params: Mapping | None, n: int, n_classes: int, seed: int):
-    """The Spark ML estimator for an algorithm name; ``n`` training rows turn C and alpha into penalties per row."""
+def build_estimator(algo: str, task: str, params: Mapping | None, n: int, n_classes: int, seed: int, spread: float = 1.0):
+    """The Spark ML estimator for an algorithm name; ``n`` training rows turn C and alpha into penalties per row.
+
+    Spark's linear regression measures its penalty in standard deviations of the target, ``spread``.
+    """
     if algo not in (CLASSIFIERS if task == "classification" else REGRESSORS):
         raise ValueError(f"no {task} algorithm is called {algo!r}")
     p = checked_params(algo, params)
@@ -69,7 +74,7 @@ def build_estimator(algo: str, task: str, params: Mapping | None, n: int, n_clas
     elif algo == "SVM":
         est = C.LinearSVC(regParam=1.0 / (p["C"] * n), maxIter=p["max_iter"], standardization=False, **cols)
     else:
-        return R.LinearRegression(regParam=p["alpha"] / n, elasticNetParam=0.0, standardization=False, **cols)
+        return R.LinearRegression(regParam=p["alpha"] * spread / n, elasticNetParam=0.0, standardization=False, **cols)
     if task == "classification" and n_classes > 2:
         return C.OneVsRest(classifier=est, **cols)
     return est
@@ -138,7 +143,8 @@ def fit(
         rows = indexer.transform(rows)
     else:
         rows = rows.withColumn("_y", F.col(quoted(target)).cast("double"))
-    stages.append(build_estimator(algo, task, params, rows.count(), n_classes, seed))
+    spread = 1.0 if task == "classification" else rows.agg(F.stddev_samp("_y")).first()[0] or 1.0
+    stages.append(build_estimator(algo, task, params, rows.count(), n_classes, seed, spread))
     if task == "classification":
         stages.append(IndexToString(inputCol="prediction", outputCol="_class", labels=classes))
     model = Pipeline(stages=stages).fit(rows)
@@ -164,6 +170,30 @@ def score(df: DataFrame, fitted: Fitted, keep: Sequence[str] = (), meta: Mapping
     return out.select(*cols)
 
 
+def save_model(fitted: Fitted, path: str) -> str:
+    """Write a fitted model and its description under a path, replacing what is there; the path is its artifact_path."""
+    fitted.model.write().overwrite().save(f"{path}/pipeline")
+    facts = {"algo": fitted.algo, "task": fitted.task, "features": fitted.features, "target": fitted.target,
+             "classes": fitted.classes, "params": fitted.params, "meta": fitted.meta}
+    spark = SparkSession.active()
+    spark.range(1).select(F.lit(json.dumps(facts)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+    return path
+
+
+def load_model(path: str) -> Fitted:
+    """The model that ``save_model`` has written."""
+    facts = json.loads(SparkSession.active().read.text(f"{path}/facts").first()[0])
+    return Fitted(model=PipelineModel.load(f"{path}/pipeline"), **facts)
+
+
+def score_production(df: DataFrame, models: DataFrame, dataset: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Scores of the newest production model of a data set, loaded from the artifact path of its row."""
+    row = latest_production(models.where(F.col("dataset") == dataset)).first()
+    if row is None:
+        raise ValueError(f"{dataset} has no production model")
+    return score(df, load_model(row.artifact_path), keep, {k: row[k] for k in ("model_id", "dataset", "version", "stage")})
+
+
 def evaluate(df: DataFrame, fitted: Fitted) -> dict[str, float]:
     """Metrics of a fitted model on a frame that has the target: a handful of numbers."""
     target = F.col(quoted(fitted.target))

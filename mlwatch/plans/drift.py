@@ -4,12 +4,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlwatch.functions.columns import vector_width
 from mlwatch.operators import drift as D
+from mlwatch.operators.frames import shared_dir
 from mlwatch.plans.register import query, table
+from mlwatch.sources.tables import DriftReference, save_report, write_alerts
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 FIRST_WEEK_END = "timestamp_ntz'2024-01-08'"
@@ -228,3 +232,36 @@ def perturb_shift(spark, d):
     return out.agg(
         F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_tax"), 2).alias("tax")
     )
+
+
+@query("drift_common", f"{_WITH} SELECT * FROM report")
+def drift_common(spark, d):
+    """The numeric columns that both sides share, found by the operator."""
+    ref, cur = lineitem_sides(spark, d)
+    return D.drift_features(ref.withColumn("only_ref", F.lit(1)), cur.withColumns({"only_cur": F.lit(2), "note": F.lit("text")}))
+
+
+@query("drift_stored", f"{_WITH} SELECT * FROM report")
+def drift_stored(spark, d):
+    """Current data against a reference that the first scan has stored; the report is saved and read back."""
+    ref, cur = lineitem_sides(spark, d)
+    root = f"{shared_dir(spark)}/drift/{uuid.uuid4().hex}"
+    store = DriftReference(spark, f"{root}/references")
+    store.get_or_create("lineitem", ref)
+    known = store.get_or_create("lineitem", cur)
+    save_report(D.drift_features(known, cur, FEATURES), f"{root}/reports", {"report_id": "R1"})
+    return spark.read.parquet(f"{root}/reports").where("report_id = 'R1'").drop("report_id")
+
+
+@query(
+    "alerts_written",
+    f"""{_BY_DAY}, {summary_sql('window_start')}
+    SELECT overall_severity AS severity, 'Data drift detected for dataset=events ' || strftime(window_start, '%Y-%m-%d')
+      || '; ratio=' || printf('%.2f', drift_ratio) AS message FROM summary WHERE overall_drift""",
+)
+def alerts_written(spark, d):
+    """Drift alerts as JSON lines, read back."""
+    name = F.concat(F.lit("events "), F.date_format("window_start", "yyyy-MM-dd"))
+    path = f"{shared_dir(spark)}/alerts/{uuid.uuid4().hex}"
+    write_alerts(D.drift_alerts(drift_summary_by_day(spark, d), name).select("severity", "message"), path)
+    return spark.read.schema("severity string, message string").json(path)

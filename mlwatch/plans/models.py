@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from mlwatch.operators import evaluate as E
 from mlwatch.operators import profile as P
 from mlwatch.operators import split as S
 from mlwatch.operators import train as T
+from mlwatch.operators.frames import shared_dir
 from mlwatch.plans.register import query, table
+from mlwatch.sources.tables import cached_split
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -241,14 +245,71 @@ def regression_metrics(spark, d):
     return E.regression_metrics(li, "l_extendedprice", "f", by=["l_returnflag"])
 
 
-@query("train_score")
+_SCORED = """l_orderkey, l_linenumber, l_partkey, l_suppkey, 'RUN1' AS model_id, 'lineitem' AS dataset, 1 AS version,
+      'production' AS stage, true AS known_class, 1.0 AS total_probability"""
+
+
+def _checked(scored: DataFrame) -> DataFrame:
+    """What can be said of any classifier's scores: whose they are, a known class, probabilities that add up to one."""
+    total = F.round(F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p), 6)
+    return scored.withColumns({"known_class": F.col("predicted").isin("A", "N", "R"), "total_probability": total}).drop(
+        "predicted", "probabilities"
+    )
+
+
+@query("train_score", f"WITH {_SPLIT} SELECT {_SCORED} FROM sp WHERE split = 'test'")
 def train_score(spark, d):
     """Fit on the training part of lineitem and score its test part."""
     li = S.split(lineitem(spark, d), KEYS, 0.2, 42, "l_returnflag")
     m = T.fit(li.where("split = 'train'"), NUMS, "l_returnflag", "Decision Tree", params={"max_depth": 4})
     m.meta = {"model_id": "RUN1", "dataset": "lineitem", "version": 1, "stage": "production"}
-    out = T.score(li.where("split = 'test'"), m, keep=KEYS)
-    return out.withColumn("probabilities", F.array_join(F.transform("probabilities", lambda p: F.round(p, 6)), ","))
+    return _checked(T.score(li.where("split = 'test'"), m, keep=KEYS))
+
+
+@query("production_scores", f"WITH {_SPLIT} SELECT {_SCORED} FROM sp WHERE split = 'test'")
+def production_scores(spark, d):
+    """As ``train_score``, with the model stored, registered, found as the newest production one and loaded."""
+    li = S.split(lineitem(spark, d), KEYS, 0.2, 42, "l_returnflag")
+    m = T.fit(li.where("split = 'train'"), NUMS, "l_returnflag", "Logistic Regression", params={"max_iter": 5})
+    path = T.save_model(m, f"{shared_dir(spark)}/models/{uuid.uuid4().hex}")
+    row = spark.range(1).select(
+        F.lit("RUN1").alias("model_id"), F.lit("lineitem").alias("dataset"), F.lit(1).alias("version"),
+        F.lit("production").alias("stage"), F.current_timestamp().alias("created_at"), F.lit(path).alias("artifact_path"),
+    )
+    older = row.withColumns({"model_id": F.lit("RUN0"), "version": F.lit(0), "artifact_path": F.lit("gone"),
+                             "created_at": F.col("created_at") - F.expr("INTERVAL 1 DAY")})
+    return _checked(T.score_production(li.where("split = 'test'"), row.unionByName(older), "lineitem", keep=KEYS))
+
+
+@query(
+    "train_ridge",
+    """WITH o AS (SELECT o_orderkey, o_totalprice AS y, o_custkey::DOUBLE AS c, month(o_orderdate)::DOUBLE AS m FROM orders),
+    s AS (SELECT count(*)::DOUBLE AS n, avg(y) AS my, avg(c) AS mc, stddev_pop(c) AS sc, avg(m) AS mm, stddev_pop(m) AS sm FROM o),
+    z AS (SELECT o_orderkey, y - my AS y, (c - mc) / sc AS c, (m - mm) / sm AS m, n, my FROM o, s),
+    x AS (SELECT sum(c * c) + 50.0 AS cc, sum(m * m) + 50.0 AS mm, sum(c * m) AS cm, sum(c * y) AS cy, sum(m * y) AS my FROM z),
+    w AS (SELECT (mm * cy - cm * my) / (cc * mm - cm * cm) AS wc, (cc * my - cm * cy) / (cc * mm - cm * cm) AS wm FROM x)
+    SELECT o_orderkey, round(z.my + wc * c + wm * m, 2) AS predicted FROM z, w""",
+)
+def train_ridge(spark, d):
+    """Predictions of a ridge regression against its normal equations."""
+    orders = table(spark, d, "orders").select(
+        "o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("cust"), F.month("o_orderdate").alias("month")
+    )
+    m = T.fit(orders, ["cust", "month"], "o_totalprice", "Ridge Regression", "regression", {"alpha": 50.0})
+    return T.score(orders, m, ["o_orderkey"]).select("o_orderkey", F.round("predicted", 2).alias("predicted"))
+
+
+@query(
+    "split_cache",
+    f"""WITH {_SPLIT}
+    SELECT split, l_returnflag, count(*) AS n, sum(l_orderkey)::BIGINT AS orders FROM sp GROUP BY ALL""",
+)
+def split_cache(spark, d):
+    """A split stored once and read again."""
+    root = f"{shared_dir(spark)}/splits/{uuid.uuid4().hex}"
+    for _ in range(2):
+        out = cached_split(lineitem(spark, d), "lineitem", KEYS, root, 0.2, 42, "l_returnflag")
+    return out.groupBy("split", "l_returnflag").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"))
 
 
 @query("train_metrics")

@@ -15,6 +15,7 @@ from mlwatch.operators import predictions as H
 from mlwatch.operators import profile as P
 from mlwatch.operators import registry as R
 from mlwatch.plans.register import query, table
+from mlwatch.sources.tables import load
 
 
 def models(spark: SparkSession, d: str) -> DataFrame:
@@ -592,3 +593,20 @@ def schedule_status(spark, d):
         F.col("user_id").alias("schedule_id"), s.alias("status"), F.col("ts").alias("started_at")
     )
     return G.schedule_status(t).withColumn("success_pct", F.round("success_pct", 6))
+
+
+@query(
+    "schema_rows",
+    """SELECT 'V1' AS dataset_version_id, column_name, CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int'
+      WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type = 'DATE' THEN 'date'
+      WHEN data_type = 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS dtype
+    FROM (DESCRIBE SELECT * FROM orders) t(column_name, data_type, a, b, c, e)""",
+)
+def schema_rows(spark, d):
+    return L.schema_snapshot(table(spark, d, "orders"), "V1")
+
+
+@query("load_by_name", "SELECT n_regionkey, count(*) AS n, max(n_name) AS last FROM nation GROUP BY 1")
+def load_by_name(spark, d):
+    nation = load(spark, d, "nation", catalog=["nation", "region"])
+    return nation.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.max("n_name").alias("last"))

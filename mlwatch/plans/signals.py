@@ -172,8 +172,12 @@ def error_categories(spark, d):
 
 
 def alerts(spark: SparkSession, d: str) -> DataFrame:
+    return alerts_of(table(spark, d, "events"))
+
+
+def alerts_of(events: DataFrame) -> DataFrame:
     v = F.col("value")
-    return table(spark, d, "events").select(
+    return events.select(
         "event_id",
         "ts",
         F.col("event_type").alias("alertname"),
@@ -234,9 +238,7 @@ def inhibit(spark, d):
     return A.inhibit(alerts(spark, d)).select("event_id", "severity")
 
 
-@query(
-    "dedup_repeat",
-    f"""WITH RECURSIVE {ALERTS},
+DEDUP_SQL = f"""WITH RECURSIVE {ALERTS},
     sent AS (SELECT alertname, job, severity, min(ts) AS ts FROM al GROUP BY ALL
              UNION ALL
              SELECT s.alertname, s.job, s.severity, min(a.ts) FROM sent s JOIN al a
@@ -244,8 +246,10 @@ def inhibit(spark, d):
                   AND a.ts >= s.ts + INTERVAL 1 HOUR GROUP BY s.alertname, s.job, s.severity, s.ts)
     SELECT min(a.event_id) AS event_id FROM sent s JOIN al a
       ON a.alertname = s.alertname AND a.severity = s.severity AND a.job IS NOT DISTINCT FROM s.job AND a.ts = s.ts
-    GROUP BY a.alertname, a.job, a.severity, a.ts""",
-)
+    GROUP BY a.alertname, a.job, a.severity, a.ts"""
+
+
+@query("dedup_repeat", DEDUP_SQL)
 def dedup_repeat(spark, d):
     return A.dedup_repeat(alerts(spark, d)).select("event_id")
 

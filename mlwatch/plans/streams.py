@@ -6,10 +6,14 @@ the input are reported as well: each stream has the rows of its batch twin.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mlwatch.operators.frames import shared_dir
 from mlwatch.operators.telemetry import BUCKETS
+from mlwatch.plans import signals
 from mlwatch.plans.records import LOG, requests_of
 from mlwatch.plans.register import query, table
 from mlwatch.plans.signals import log_lines
@@ -125,6 +129,12 @@ def stream_quality(spark, d):
     return plain(newest(S.stream_quality(s, "ts", limits), ["window_start", "feature"]), "window_start")
 
 
+@query("stream_dedup", signals.DEDUP_SQL)
+def stream_dedup(spark, d):
+    sent = S.stream_dedup(signals.alerts_of(events(spark, d)), f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
+    return sent.select("event_id")
+
+
 @query(
     "stream_stages",
     f"WITH {LOG} SELECT dataset, model_id, from_stage, to_stage, changed_at, event_id, ord, note FROM log",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mlwatch.functions.columns import clean, missing, quoted
 from mlwatch.functions.stats import equal_width_bin
 from mlwatch.functions.text import ERROR_KEYWORDS, ERROR_OTHER, ERROR_TYPES, error_category
-from mlwatch.operators.alerting import GROUP_BY, REPEAT_SECONDS
+from mlwatch.operators.alerting import GROUP_BY, REPEAT_SECONDS, dedup_repeat
 from mlwatch.operators.drift import drift_features, psi_from_bins, side_stats, with_bins
 from mlwatch.operators.frames import long_values, settled
 from mlwatch.operators.order import exact_quantiles
@@ -133,13 +133,39 @@ def drift_batch_writer(ref: DataFrame, cols: Sequence[str], path: str) -> Callab
     return write
 
 
-def stream_dedup(alerts: DataFrame, ts: str = "ts", by: Sequence[str] = GROUP_BY) -> DataFrame:
-    """Alerts without repeats of the same group inside the repeat interval.
+def dedup_batch_writer(
+    path: str, ts: str = "ts", tie: str = "event_id", by: Sequence[str] = GROUP_BY, seconds: int = REPEAT_SECONDS
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that stores the alerts of each micro-batch that are sent on, as ``dedup_repeat`` says.
 
-    The interval runs from the alert that was let through; the batch form measures from the alert just before.
+    The last alert sent of each group goes from batch to batch in a folder of its own and leads its group in the next
+    one. Batch folders are replaced when a batch is run again. Alerts must come in order between batches.
     """
-    timed = with_event_time(alerts, ts, f"{REPEAT_SECONDS} seconds")
-    return timed.dropDuplicatesWithinWatermark(list(by))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        alerts = batch.withColumn("_carried", F.lit(False))
+        if batch_id:
+            before = spark.read.schema(batch.schema).parquet(f"{path}/state/batch={batch_id - 1}")
+            alerts = alerts.unionByName(before.withColumn("_carried", F.lit(True)))
+        sent = settled(dedup_repeat(alerts, ts, tie, by, seconds))
+        newest = sent.groupBy(*by).agg(F.max_by(F.struct(*batch.columns), ts).alias("_row"))
+        newest.select("_row.*").write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        sent.where("NOT _carried").drop("_carried").write.mode("overwrite").parquet(f"{path}/sent/batch={batch_id}")
+
+    return write
+
+
+def stream_dedup(alerts: DataFrame, path: str, **options) -> DataFrame:
+    """Alerts of a stream that are sent on, once everything available is processed; ``path`` lies in the shared folder."""
+    query = (
+        alerts.writeStream.foreachBatch(dedup_batch_writer(path, **options))
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return alerts.sparkSession.read.schema(alerts.schema).option("recursiveFileLookup", True).parquet(f"{path}/sent")
 
 
 def quality_limits(

@@ -170,10 +170,10 @@ def test_stage_stream_equals_the_loop_across_batches(spark, tmp_path):
 
 
 def test_repeat_suppression_stream(spark, tmp_path):
-    rows = [("A", "j", "critical", T0 + timedelta(minutes=m)) for m in (0, 10, 20)] + [("B", "j", "critical", T0)]
-    df = spark.createDataFrame(rows, "alertname string, job string, severity string, ts timestamp")
-    out = run_available(X.stream_dedup(stream_of(spark, tmp_path, df)))
-    assert sorted(r.alertname for r in out.collect()) == ["A", "B"]
+    rows = [(i, "A", "j", "critical", T0 + timedelta(minutes=7 * i)) for i in range(60)] + [(99, "B", None, "critical", T0)]
+    df = spark.createDataFrame(rows, "event_id int, alertname string, job string, severity string, ts timestamp")
+    out = X.stream_dedup(stream_of(spark, tmp_path, df.coalesce(1).orderBy("ts"), 3), str(tmp_path / "sent"))
+    assert sorted(r.event_id for r in out.collect()) == sorted(r.event_id for r in A.dedup_repeat(df).collect())
 
 
 def test_drift_batches(spark, tmp_path):
