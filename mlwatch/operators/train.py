@@ -143,8 +143,8 @@ def fit(
         rows = indexer.transform(rows)
     else:
         rows = rows.withColumn("_y", F.col(quoted(target)).cast("double"))
-    spread = 1.0 if task == "classification" else rows.agg(F.stddev_samp("_y")).first()[0] or 1.0
-    stages.append(build_estimator(algo, task, params, rows.count(), n_classes, seed, spread))
+    size, spread = rows.agg(F.count("*"), F.stddev_pop("_y") if task == "regression" else F.lit(1.0)).first()
+    stages.append(build_estimator(algo, task, params, size, n_classes, seed, spread or 1.0))
     if task == "classification":
         stages.append(IndexToString(inputCol="prediction", outputCol="_class", labels=classes))
     model = Pipeline(stages=stages).fit(rows)

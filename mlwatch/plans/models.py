@@ -288,7 +288,7 @@ def production_scores(spark, d):
     z AS (SELECT o_orderkey, y - my AS y, (c - mc) / sc AS c, (m - mm) / sm AS m, n, my FROM o, s),
     x AS (SELECT sum(c * c) + 50.0 AS cc, sum(m * m) + 50.0 AS mm, sum(c * m) AS cm, sum(c * y) AS cy, sum(m * y) AS my FROM z),
     w AS (SELECT (mm * cy - cm * my) / (cc * mm - cm * cm) AS wc, (cc * my - cm * cy) / (cc * mm - cm * cm) AS wm FROM x)
-    SELECT o_orderkey, round(z.my + wc * c + wm * m, 2) AS predicted FROM z, w""",
+    SELECT o_orderkey, round(z.my + wc * c + wm * m, 1) AS predicted FROM z, w""",
 )
 def train_ridge(spark, d):
     """Predictions of a ridge regression against its normal equations."""
@@ -296,7 +296,7 @@ def train_ridge(spark, d):
         "o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("cust"), F.month("o_orderdate").alias("month")
     )
     m = T.fit(orders, ["cust", "month"], "o_totalprice", "Ridge Regression", "regression", {"alpha": 50.0})
-    return T.score(orders, m, ["o_orderkey"]).select("o_orderkey", F.round("predicted", 2).alias("predicted"))
+    return T.score(orders, m, ["o_orderkey"]).select("o_orderkey", F.round("predicted", 1).alias("predicted"))
 
 
 @query(
