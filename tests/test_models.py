@@ -37,8 +37,11 @@ def test_split_sizes_add_up_and_repeat(spark, points):
 def test_split_bounds_and_continuous_target(spark, points):
     with pytest.raises(ValueError, match="test_size"):
         S.split(points, ["id"], 0.6)
-    out = S.split(points, ["id"], 0.25, stratify="r")
-    assert out.where("split = 'test'").count() == 100
+    with pytest.raises(ValueError, match="400 classes"):
+        S.split(points, ["id"], 0.25, stratify="r")
+    assert S.split(points, ["id"], 0.25).where("split = 'test'").count() == 100
+    classes = spark.range(105).selectExpr("id", "IF(id < 100, id % 20, NULL) AS y")
+    assert S.split(classes, ["id"], 0.2, stratify="y").where("split = 'test'").count() == 21
 
 
 def test_tiny_class_may_have_no_test_rows(spark):
@@ -158,3 +161,25 @@ def test_payload_shapes(spark):
     reasons = {r.id: r.reason for r in bad.collect()}
     assert reasons[6] == "not JSON" and reasons[7] == "missing feature" and reasons[8] == "vector length"
     assert reasons[10] == "not a number" and reasons[12] == "no rows"
+
+
+def test_limits_are_errors(spark, points):
+    with pytest.raises(ValueError, match="max_depth"):
+        T.fit(points, ["a"], "y", "Decision Tree", params={"max_depth": 99})
+    with pytest.raises(ValueError, match="no parameters.*min_samples_split"):
+        T.fit(points, ["a"], "y", "Decision Tree", params={"min_samples_split": 2})
+    with pytest.raises(ValueError, match="missing cells"):
+        T.fit(points.withColumn("a", F.when(F.col("id") > 3, F.col("a"))), ["a"], "y", "Decision Tree")
+    wide = spark.range(50).selectExpr("id AS y", "id AS p")
+    with pytest.raises(ValueError, match="50 classes"):
+        E.confusion(wide, "y", "p", max_classes=10)
+
+
+def test_stored_model(spark, points, tmp_path):
+    m = T.fit(points, ["a", "b"], "y", "Logistic Regression", params={"max_iter": 5})
+    again = T.load_model(T.save_model(m, str(tmp_path / "m")))
+    one, two = (T.score(points, x, ["id"]).orderBy("id").collect() for x in (m, again))
+    assert one == two and again.features == ["a", "b"] and again.classes == m.classes
+    none = spark.createDataFrame([], "model_id string, dataset string, version int, stage string, created_at timestamp, artifact_path string")
+    with pytest.raises(ValueError, match="no production model"):
+        T.score_production(points, none, "d")

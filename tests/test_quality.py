@@ -157,3 +157,20 @@ def test_schema_compare(spark):
     out = {r.dataset: r for r in Q.compare_schema(cur, base_).collect()}
     assert out["d"].new_columns == ["c"] and out["d"].missing_columns == ["b"] and out["d"].has_baseline
     assert out["e"].new_columns == ["x"] and not out["e"].has_baseline
+
+
+def test_many_columns_are_paired_in_one_scan(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 60))
+    x[:, 59] = -3 * x[:, 0] + 0.01 * x[:, 1]
+    x[rng.random((200, 60)) < 0.1] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(60)])
+    pdf["g"] = np.arange(200) % 2
+    df = spark.createDataFrame(pdf)
+    out = Q.correlations(df, by=["g"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {(r.g, r.feature_a, r.feature_b): r.abs_corr for r in out.collect()}
+    assert len(got) == 2 * 60 * 59 // 2
+    for g in (0, 1):
+        want = pdf[pdf.g == g].drop(columns="g").corr().abs()
+        assert all(abs(got[g, a, b] - want.loc[a, b]) < 1e-9 for a, b in [("c0", "c59"), ("c3", "c7"), ("c10", "c11")])

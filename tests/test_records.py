@@ -159,7 +159,9 @@ def test_prediction_log(spark):
     rows = H.prediction_rows(reqs)
     assert [(r.request_id, r.row_index, r.prediction) for r in rows.collect()] == [("r1", 0, "0.5"), ("r1", 1, "0.25")]
     detail = H.request_detail(reqs.select("request_id"), rows)
-    assert [(r.request_id, r.row_index) for r in detail.collect()] == [("r1", 0), ("r1", 1), ("r2", None)]
+    assert {(r.request_id, r.row_index) for r in detail.collect()} == {("r1", 0), ("r1", 1), ("r2", None)}
+    with pytest.raises(ValueError, match="limit"):
+        H.history(reqs, 5000)
     assert H.request_detail(reqs.select("request_id"), rows, "zz").count() == 0
     pages = H.request_pages(reqs.select("request_id"), rows, page_size=1)
     assert pages.where("request_id = 'r1'").count() == 2
