@@ -145,17 +145,30 @@ def learner(shared, step: float, key: str):
     return learn
 
 
-def train(docs: DataFrame, counts: DataFrame, key: str = "key", share: float = TRAIN_SHARE, rounds: int = 2, rate: float = 0.02,
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Words from some count on, that are ``most`` at most. Counts are told apart in sixteen steps for each doubling, so that
+    finding the limit takes one row per step, not a sort."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    total, limit = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        total += r.words
+        if total > most:
+            break
+        limit = r.step
+    return counts.where(F.lit(False) if limit is None else step >= limit)
+
+
+def train(docs: DataFrame, counts: DataFrame, key: str = "deal", share: float = TRAIN_SHARE, rounds: int = 2, rate: float = 0.02,
           hidden: int = 32) -> Model:
     """Totals and the most frequent words of settled ``counts``, and a network trained on texts of ``docs``.
 
-    Counts cover all documents. Backpropagation takes a share of them, chosen by a hash of the key, which grows with the
-    input: at 0.08 it costs about as much as scoring all. Their texts are dealt to tasks, as many as the shuffle
+    Counts cover all documents. Backpropagation takes a share of them, chosen by a hash of the whole row, so that copies are
+    spread, which grows with the input: at 0.08 it costs about as much as scoring all. Their texts are dealt to tasks, as many as the shuffle
     partitions over four; each task goes through its own once from the same start, the mean of the networks, weighted by tokens,
     is the next start, and there are ``rounds`` of this.
     """
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(LISTED).select("word", "form", "n").toPandas()
+    top = most_frequent(counts, LISTED).select("word", "form", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
     if not (top["word"] == 0).any():
         end = counts.where("word = 0").first()
         top = pd.concat([top, pd.DataFrame({"word": [0], "form": [0], "n": [end.n if end else 0]})], ignore_index=True)
@@ -275,8 +288,9 @@ def score(df: DataFrame, learn: Column, text: str = "text", share: float = TRAIN
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = df.drop(*new, "_key")
     keyed = kept.withColumn("_learn", F.coalesce(learn, F.lit(False))).withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    slim = keyed.select(F.col("_key").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), "_learn")
-    training = slim.where("_learn").select("key", "text")
+    known = [F.col(c) for c, t in df.dtypes if "map" not in t and "variant" not in t]
+    slim = keyed.select(F.col("_key").alias("key"), F.xxhash64(*known).alias("deal"), F.coalesce(F.col(text), F.lit("")).alias("text"), "_learn")
+    training = slim.where("_learn").select("deal", "text")
     counts = settled(word_counts(training))
     model = train(training, counts, share=share, rounds=rounds)
     docs = slim.select("key", "text")
