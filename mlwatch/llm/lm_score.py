@@ -19,7 +19,7 @@ WORDS = 2_048
 LISTED = 1 << 17
 GROUPS = 12
 TRAIN_SHARE = 0.08
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 MERGE = 1_500_000
 SIGN = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 END = np.uint64(0)

@@ -17,7 +17,7 @@ from mlwatch.operators.frames import settled
 
 K = 5
 PERCENT = 75
-BUFFER = 4_000_000
+BUFFER = 1_500_000
 TOKEN_BITS = 48
 STARS = 3
 BITS = 512

@@ -16,9 +16,9 @@ from mlwatch.operators.frames import settled
 
 SIZE = 200
 GRAM = 32
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 BUFFER = 400_000
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 def window_hashes(raw: np.ndarray, size: int) -> np.ndarray:
