@@ -35,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeated strings cover; what is left of a cut character goes too, and n_chars follows."""
-    cut = repeats.remove_repeats(docs)
+    # workers of the stages before still hold memory
+    cut = repeats.remove_repeats(docs, anchor_parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = cut.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("rest")))
     length = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
     return cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

@@ -262,7 +262,7 @@ def spans_of(pieces: DataFrame, size: int, parts: int) -> DataFrame:
     return sorted_.mapInArrow(search, "key long, begin int, end int")
 
 
-def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: int = GRAM, anchor_parts: int | None = None) -> DataFrame:
     """Add ``n_bytes``, ``spans``, ``kept`` and ``rest``: each text without the UTF-8 bytes that repeated strings cover.
 
     A byte goes if a string of ``size`` bytes covers it that also starts elsewhere, in the same or another row; overlaps
@@ -272,13 +272,14 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
     replaced. Rows are told apart by a 64-bit hash of all their columns; strings by hashes of their bytes.
 
     Whole texts move twice: to the places of their anchors, and to their spans. Between, only stretches around anchors
-    that occur again move, and each task sorts its own.
+    that occur again move, and each task sorts its own. ``anchor_parts`` tasks count anchors, a quarter of the shuffle
+    partitions if not given: more of them need less memory each and some more disk.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = df.drop("n_bytes", "spans", "kept", "rest", "_key")
     keyed = own.withColumn("_key", F.xxhash64(*[F.to_json(F.struct(F.col(c))) if "map" in t or "variant" in t else F.col(c) for c, t in own.dtypes]))
     docs = keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= size)
-    found = settled(candidates(docs, size, gram, max(1, parts // 4)))
+    found = settled(candidates(docs, size, gram, anchor_parts or max(1, parts // 4)))
     spans = settled(spans_of(stretches(docs, found, size), size, parts).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_found")))
     joined = keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
     schema = own.select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("rest")).schema
