@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,10 @@ GRAM = 32
 CHUNK = 1_000_000
 BUFFER = 400_000
 TOGETHER = 4 << 20
+HOT = 2_000_000
+GROUP_BYTES = 64 << 20
+GROUP_STARTS = 2_000_000
+SEEN = 1 << 30
 
 
 def window_hashes(raw: np.ndarray, size: int) -> np.ndarray:
@@ -107,60 +113,180 @@ def dealt(to: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield int(to[a]), pack(*[c[order[a:b]] for c in columns])
 
 
-def candidates(docs: DataFrame, size: int, gram: int, parts: int) -> DataFrame:
-    """(key, blob): the stretches of each document whose anchor occurs again anywhere.
+def posts(key: np.ndarray, value: np.ndarray, first: np.ndarray, count: np.ndarray, own: np.ndarray, parts: int, runs: bool = False) -> Iterator[tuple[int, bytes]]:
+    """Rows by the group that counts them, packed. Values that occur again among these rows, or that are ``own``, are settled:
+    their rows go to groups from ``parts`` on, dealt by key, and one row a value, marked as seen, is counted with the others.
 
-    Anchors are dealt by their value and counted; values carry many of them, packed. A count is all that a task keeps of an
-    anchor, however often it occurs.
+    So a group gets a value once from each lot, however often it occurs. Values are mixed first: the least of many
+    hashes is a small number. ``runs`` joins settled places of a key that follow each other.
     """
-    own_mark = 1 << 30
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        rows = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            key, value, first, count = (np.concatenate([h[i] for h in held]) for i in range(4))
-            for part, blob in dealt(((value >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), key, value, first, count):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
-
-        for b in slices(batches, "text"):
-            row, value, first, count, own = anchored(*text_bytes(b.column("text")), size, gram)
-            held.append((b.column("key").to_numpy()[row], value, first, count + own * own_mark))
-            rows += len(row)
-            if rows > BUFFER:
-                yield from flush()
-                held, rows = [], 0
-        if rows:
-            yield from flush()
+    order = np.argsort(value, kind="stable")
+    v = value[order]
+    again = own[order]
+    same = v[1:] == v[:-1]
+    again[1:] |= same
+    again[:-1] |= same
+    head = again & np.concatenate([[True], ~same])
+    counted, seen, settled_ = order[~again], order[head], order[again]
+    to = np.concatenate([counted, seen])
+    part = ((mixed(value[to]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    yield from dealt(part, key[to], value[to], first[to], np.concatenate([count[counted], count[seen] | SEEN]))
+    key, value, first, count = key[settled_], value[settled_], first[settled_], count[settled_]
+    if runs and len(key):
+        order = np.lexsort((first, key))
+        key, value, first = key[order], value[order], first[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] > first[:-1] + 1)])
+        last = np.append(np.flatnonzero(new)[1:], len(key)) - 1
+        key, value, count, first = key[new], value[new], first[last] - first[new] + 1, first[new]
+    yield from dealt(parts + key % parts, key, value, first, count)
+
+
+def occurring_again(posted: DataFrame, parts: int) -> DataFrame:
+    """(key, blob): the posted rows whose value occurs again."""
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         doc, value, first, times = unpack(rows["blob"].tolist())
-        order = np.argsort(value, kind="stable")
-        v = value[order]
-        again = times[order] >= own_mark
-        same = v[1:] == v[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        # a value that one stretch repeats within itself is a candidate for that stretch; it has no other
-        order = order[again]
-        doc, value, first, times = doc[order], value[order], first[order], times[order] % own_mark
+        if key[0] < parts:
+            order = np.argsort(value, kind="stable")
+            v = value[order]
+            again = np.zeros(len(v), bool)
+            same = v[1:] == v[:-1]
+            again[1:] |= same
+            again[:-1] |= same
+            order = order[again & (times[order] < SEEN)]
+            doc, value, first, times = doc[order], value[order], first[order], times[order]
         order = np.argsort(doc, kind="stable")
         doc = doc[order]
         cuts = np.flatnonzero(np.diff(doc)) + 1
         out = [(doc[a], pack(doc[a:b], value[order[a:b]], first[order[a:b]], times[order[a:b]])) for a, b in zip([0, *cuts], [*cuts, len(doc)], strict=True) if b > a]
         return pd.DataFrame({"key": np.array([k for k, _ in out], np.int64), "blob": [b for _, b in out]})
 
-    return docs.mapInArrow(find, "part int, blob binary").groupBy("part").applyInPandas(count, "key long, blob binary")
+    return posted.groupBy("part").applyInPandas(count, "key long, blob binary")
+
+
+def lots(rows: Iterator[tuple], parts: int, runs: bool = False) -> Iterator[pa.RecordBatch]:
+    """Posts of (key, value, first, count, own) arrays, some at a time."""
+    held: list[tuple] = []
+    size = 0
+    for own in itertools.chain(rows, [None]):
+        if own is not None:
+            held.append(own)
+            size += len(own[0])
+        if size > BUFFER or (own is None and size):
+            for part, blob in posts(*(np.concatenate([h[i] for h in held]) for i in range(5)), parts, runs):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
+            held, size = [], 0
+
+
+def posted(docs: DataFrame, size: int, gram: int, parts: int) -> DataFrame:
+    """(part, blob): the stretches of each document, dealt by anchor."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in slices(batches, "text"):
+                row, value, first, count, own = anchored(*text_bytes(b.column("text")), size, gram)
+                yield b.column("key").to_numpy()[row], value, first, count, own
+
+        return lots(rows(), parts)
+
+    return docs.mapInArrow(find, "part int, blob binary")
+
+
+def candidates(docs: DataFrame, size: int, gram: int, parts: int) -> DataFrame:
+    """(key, blob): the stretches of each document whose anchor occurs again anywhere, or in the stretch itself.
+
+    Anchors are dealt by their value and counted; values carry many of them, packed. A group that counts gets an anchor once
+    from each lot of stretches; the stretches themselves are dealt by document.
+    """
+    return occurring_again(posted(docs, size, gram, parts), parts)
+
+
+@dataclass
+class HotAnchors:
+    """Anchors of which one task should not sort all stretches, by buckets of their hashes."""
+
+    bits: int
+    buckets: np.ndarray
+    weight: int
+
+    def has(self, value: np.ndarray) -> np.ndarray:
+        return np.isin((mixed(value) >> np.uint64(64 - self.bits)).astype(np.int64), self.buckets)
+
+
+def hot_anchors(found: DataFrame, size: int, n_bytes: int) -> HotAnchors:
+    """Buckets of anchors whose stretches have more than HOT bytes, and maybe some that have half of it.
+
+    A task tells of buckets that have their share of half of HOT; what it leaves out of all others adds up to less than the
+    other half. There are so many buckets that few anchors share one.
+    """
+    bits = max(12, int(np.ceil(np.log2(32 * max(n_bytes, 1) / HOT))))
+    share = HOT / 2 / max(1, found.rdd.getNumPartitions())
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits)
+        for b in batches:
+            if b.num_rows:
+                _, value, _, times = unpack(b.column("blob").to_pylist())
+                total += np.bincount((mixed(value) >> np.uint64(64 - bits)).astype(np.int64), weights=times + size - 1.0, minlength=1 << bits)
+        own = np.flatnonzero(total >= share)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own].astype(np.int64))], ["bucket", "weight"])
+
+    weights = found.mapInArrow(weigh, "bucket long, weight long").groupBy("bucket").agg(F.sum("weight").alias("weight"))
+    got = weights.where(F.col("weight") >= HOT / 2).collect()
+    return HotAnchors(bits, np.array([r.bucket for r in got], np.int64), sum(r.weight for r in got))
 
 
 PLACED = "anchor long, bytes binary, places array<struct<key:long,first:int>>"
 
 
-def stretches(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
-    """(anchor, bytes, places): the bytes of candidate stretches; a task's equal ones share a row."""
+def with_candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
     listed = found.groupBy("key").agg(F.collect_list("blob").alias("blobs"))
-    joined = docs.join(listed, "key").select("key", "text", "blobs")
+    return docs.join(listed, "key").select("key", "text", "blobs")
+
+
+def hot_spans(joined: DataFrame, shared, size: int, parts: int) -> DataFrame:
+    """(key, begin, end): bytes that repeated strings with hot anchors cover.
+
+    Every string of ``size`` bytes is counted by its hash, as anchors are: equal strings meet in one group, of which there
+    are as many as the strings need, and each lot of strings sends equal ones once.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in slices(batches, "text", TOGETHER):
+                for key, text, blobs in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("blobs").to_pylist(), strict=True):
+                    _, value, first, count = unpack(blobs)
+                    pick = np.flatnonzero(shared.value.has(value))
+                    if not len(pick):
+                        continue
+                    raw = np.frombuffer((text or "").encode(), np.uint8)
+                    at, one = np.unique(first[pick], return_index=True)  # rows with equal key are listed once each
+                    for a, n in zip(at.tolist(), count[pick][one].tolist(), strict=True):
+                        for x in range(a, a + n, BUFFER):
+                            h = window_hashes(raw[x : min(x + BUFFER, a + n) + size - 1], size)
+                            yield np.full(len(h), key), h, np.arange(x, x + len(h)), np.ones(len(h), np.int64), np.zeros(len(h), bool)
+
+        return lots(rows(), parts, runs=True)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = [(np.empty(0, np.int64),) * 3]
+            for key, blobs in zip(b.column("key").to_pylist(), b.column("blobs").to_pylist(), strict=True):
+                _, _, first, count = unpack(blobs)
+                order = np.argsort(first, kind="stable")
+                begin, reach = first[order], np.maximum.accumulate((first + count)[order]) + size - 1
+                new = np.concatenate([[True], begin[1:] > reach[:-1]])
+                last = np.append(np.flatnonzero(new)[1:], len(begin)) - 1
+                out.append((np.full(new.sum(), key), begin[new], reach[last]))
+            key, begin, end = (np.concatenate([o[i] for o in out]) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["key", "begin", "end"])
+
+    again = occurring_again(joined.mapInArrow(find, "part int, blob binary"), parts)
+    return again.groupBy("key").agg(F.collect_list("blob").alias("blobs")).mapInArrow(merged, "key long, begin int, end int")
+
+
+def stretches(joined: DataFrame, shared, size: int) -> DataFrame:
+    """(anchor, bytes, places): the bytes of candidate stretches whose anchor is not hot; a task's equal ones share a row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", TOGETHER):
@@ -169,6 +295,7 @@ def stretches(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
                 raw = (text or "").encode()
                 _, value, first, count = unpack(blobs)
                 order = np.lexsort((value, first))
+                order = order[~shared.value.has(value)[order]]
                 last = -1
                 for i in order.tolist():
                     at = int(first[i])
@@ -217,7 +344,8 @@ def spans_of(pieces: DataFrame, size: int, parts: int) -> DataFrame:
     """(key, begin, end): bytes of documents that repeated strings cover, before overlaps are merged.
 
     Stretches are dealt by anchor and sorted, by Spark and with its spilling; equal ones arrive in a row and become one
-    with a count. Anchors are taken together until there is enough to sort.
+    with a count. Anchors are taken together until there is enough to sort: CHUNK bytes, and HOT for the last one at most, so that
+    what the suffix order holds in memory does not grow with the input.
     """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
@@ -272,16 +400,25 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
     replaced. Rows are told apart by a 64-bit hash of all their columns; strings by hashes of their bytes.
 
     Whole texts move twice: to the places of their anchors, and to their spans. Between, only stretches around anchors
-    that occur again move, and each task sorts its own. ``anchor_parts`` tasks count anchors, a quarter of the shuffle
-    partitions if not given: more of them need less memory each and some more disk.
+    that occur again move, and each task sorts its own. Anchors with more than HOT bytes of stretches are not sorted: their strings are
+    counted by hash. ``anchor_parts`` groups count anchors, a quarter of the shuffle partitions if not given, and more where
+    the texts have more than GROUP_BYTES for each: more of them need less memory each and some more disk.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = df.drop("n_bytes", "spans", "kept", "rest", "_key")
     keyed = own.withColumn("_key", F.xxhash64(*[F.to_json(F.struct(F.col(c))) if "map" in t or "variant" in t else F.col(c) for c, t in own.dtypes]))
     docs = keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= size)
-    found = settled(candidates(docs, size, gram, anchor_parts or max(1, parts // 4)))
-    spans = settled(spans_of(stretches(docs, found, size), size, parts).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_found")))
-    joined = keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    anchor_parts = max(anchor_parts or max(1, parts // 4), -(-n_bytes // GROUP_BYTES))
+    found = settled(candidates(docs, size, gram, anchor_parts))
+    hot = hot_anchors(found, size, n_bytes)
+    shared = df.sparkSession.sparkContext.broadcast(hot)
+    joined = with_candidates(docs, found)
+    pieces = spans_of(stretches(joined, shared, size), size, parts)
+    if len(hot.buckets):
+        pieces = pieces.union(hot_spans(joined, shared, size, max(anchor_parts, -(-2 * hot.weight // GROUP_STARTS))))
+    spans = settled(pieces.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_found")))
+    cut_here = keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
     schema = own.select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("rest")).schema
     names = own.columns
 
@@ -312,6 +449,6 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
                 [*names, "n_bytes", "spans", "kept", "rest"],
             )
 
-    return joined.mapInArrow(cut, schema)
+    return cut_here.mapInArrow(cut, schema)
 
 

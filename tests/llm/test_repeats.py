@@ -47,6 +47,37 @@ def test_small_chunks(docs, rows, monkeypatch):
     assert sum(s.end - s.begin for r in got for s in r.spans) == sum(w[2] for w in plain(rows, 20))
 
 
+def test_hot_anchors_are_not_sorted_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = letters(40)
+    rows = [(i, letters(30) + passage + letters(30)) for i in range(600)] + [(600, "a" * 9_000), (601, letters(50))]
+    sort = repeats.repeated_starts
+
+    def bounded(texts, times, size):
+        assert sum(map(len, texts)) <= 500 + 3_000
+        return sort(texts, times, size)
+
+    monkeypatch.setattr(repeats, "repeated_starts", bounded)
+    monkeypatch.setattr(repeats, "CHUNK", 500)
+    monkeypatch.setattr(repeats, "HOT", 3_000, raising=False)
+    monkeypatch.setattr(repeats, "BUFFER", 5_000)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=20, gram=8).collect()
+    own = sorted(((r.doc_id, r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str)
+    assert own == plain(rows, 20)
+
+
+def test_groups_that_count_get_a_common_anchor_once_from_each_lot(spark):
+    rng = np.random.default_rng(3)
+    passage = bytes(rng.integers(97, 123, 2_000, dtype=np.uint8)).decode()
+    own = [bytes(rng.integers(97, 123, 3_000, dtype=np.uint8)).decode() for _ in range(40)]
+    docs = spark.createDataFrame([(i, t + passage) for i, t in enumerate(own)], "key long, text string").coalesce(1)
+    sizes = {r.part: np.concatenate([repeats.unpack([r.blob])[1]]) for r in repeats.posted(docs, 200, 32, 8).collect()}
+    counted = [v for part, v in sizes.items() if part < 8]
+    assert len(counted) == 8 and max(map(len, counted)) < 2 * min(map(len, counted))
+    assert all(len(np.unique(v)) == len(v) for v in counted)
+
+
 def test_empty(spark, empty, empty_folder):
     assert QUERIES["op8_repeats"](spark, empty_folder).collect() == []
 
