@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -186,23 +187,33 @@ def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return place[lane], at, total[order]
 
 
-def grid(symbols: np.ndarray, offsets: np.ndarray, end: int, most: int):
-    """Inputs, targets, starts and documents as (steps, lanes). A document's inputs are the end and its words, its targets
-    its words and the end."""
+def windows(symbols: np.ndarray, offsets: np.ndarray, end: int, most: int, steps: int) -> tuple[int, int, Iterator[tuple[np.ndarray, ...]]]:
+    """Number of lanes and of windows, and inputs, targets, starts and documents of each window as (steps, busy lanes).
+
+    A document's inputs are the end and its words, its targets its words and the end. Lanes lie one behind the other, so that
+    besides the symbols themselves only one window is in memory, however unlike the lengths are. Document -1 is none.
+    """
     size = np.diff(offsets) + 1
     lane, at, total = lanes(size, most)
-    steps = int(total[0])
-    ids = np.zeros((steps, len(total)), np.int32)
-    targets = np.zeros_like(ids)
-    doc = np.full_like(ids, -1)
-    fresh = np.zeros(ids.shape, bool)
-    for d in range(len(size)):
-        own, a, b = symbols[offsets[d] : offsets[d + 1]], at[d], at[d] + size[d]
-        ids[a, lane[d]], ids[a + 1 : b, lane[d]] = end, own
-        targets[a : b - 1, lane[d]], targets[b - 1, lane[d]] = own, end
-        doc[a:b, lane[d]] = d
-        fresh[a, lane[d]] = True
-    return ids, targets, fresh, doc, total
+    base = np.cumsum(total) - total
+    start = base[lane] + at
+    order = np.argsort(start)
+    flat = np.full(int(total.sum()) + 1, end, np.int32)  # a target is the next input: after a document comes an end
+    doc = np.repeat(order.astype(np.int32), size[order])
+    for d in order.tolist():
+        flat[start[d] + 1 : start[d] + size[d]] = symbols[offsets[d] : offsets[d + 1]]
+    fresh = np.zeros(len(doc), bool)
+    fresh[start] = True
+
+    def each() -> Iterator[tuple[np.ndarray, ...]]:
+        for t in range(0, int(total[0]), steps):
+            busy = int(np.searchsorted(-total, -t, "left"))
+            step = np.arange(t, min(t + steps, int(total[0])))[:, None]
+            inside = step < total[:busy]
+            cell = np.where(inside, base[:busy] + step, 0)
+            yield flat[cell], flat[cell + 1], fresh[cell] & inside, np.where(inside, doc[cell], np.int32(-1))
+
+    return len(total), -(-int(total[0]) // steps), each()
 
 
 def log_likelihood(net: Network, symbols: np.ndarray, offsets: np.ndarray, end: int, most: int = SCORE_LANES) -> np.ndarray:
@@ -210,16 +221,14 @@ def log_likelihood(net: Network, symbols: np.ndarray, offsets: np.ndarray, end:
     n = len(offsets) - 1
     if not n:
         return np.zeros(0)
-    ids, targets, fresh, doc, total = grid(symbols, offsets, end, most)
+    count, _, parts = windows(symbols, offsets, end, most, SCORE_STEPS)
     out = np.zeros(n)
-    h = np.zeros((len(total), net.hidden), np.float32)
-    for t in range(0, len(ids), SCORE_STEPS):
-        busy = int(np.searchsorted(-total, -t, "left"))
-        part = slice(t, t + SCORE_STEPS), slice(0, busy)
-        states, h = net.unroll(ids[part], fresh[part], h[:busy])
-        own = doc[part].reshape(-1)
+    h = np.zeros((count, net.hidden), np.float32)
+    for ids, targets, fresh, doc in parts:
+        states, h = net.unroll(ids, fresh, h[: ids.shape[1]])
+        own = doc.reshape(-1)
         flat = own >= 0
-        got, _ = net.loss(states.reshape(-1, net.hidden)[flat], targets[part].reshape(-1)[flat])
+        got, _ = net.loss(states.reshape(-1, net.hidden)[flat], targets.reshape(-1)[flat])
         out += np.bincount(own[flat], weights=got, minlength=n)
     return out
 
@@ -229,16 +238,12 @@ def fit(net: Network, symbols: np.ndarray, offsets: np.ndarray, end: int, rate:
     n = len(offsets) - 1
     if not n:
         return net
-    ids, targets, fresh, doc, total = grid(symbols, offsets, end, TRAIN_LANES)
+    count, rounds, parts = windows(symbols, offsets, end, TRAIN_LANES, STEPS)
     m = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
     v = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
-    h = np.zeros((len(total), net.hidden), np.float32)
-    rounds = -(-len(ids) // STEPS)
-    for i in range(rounds):
-        t = i * STEPS
-        busy = int(np.searchsorted(-total, -t, "left"))
-        part = slice(t, t + STEPS), slice(0, busy)
-        g, h, _, count = net.gradients(ids[part], targets[part], fresh[part], doc[part] >= 0, h[:busy])
+    h = np.zeros((count, net.hidden), np.float32)
+    for i, (ids, targets, fresh, doc) in enumerate(parts):
+        g, h, _, count = net.gradients(ids, targets, fresh, doc >= 0, h[: ids.shape[1]])
         step = rate * (1.0 - (1.0 - decay) * i / rounds)
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) / count
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / count)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -141,6 +142,18 @@ def test_state_carries_over_windows(monkeypatch):
     assert math.isclose(sum(math.exp(net.loss(state, np.array([t]))[0][0]) for t in range(32)), 1, rel_tol=1e-4)
 
 
+def test_a_long_text_among_short_ones_needs_no_more_memory_than_its_words():
+    net = recurrent.Network(recurrent.Layout.by_frequency(np.arange(30, 0, -1), 2, 5), 4)
+    size = np.array([5] * 300 + [20_000])
+    symbols, offsets = np.random.default_rng(2).integers(0, 32, size.sum()).astype(np.int32), np.concatenate([[0], np.cumsum(size)])
+    for run in (lambda: recurrent.log_likelihood(net, symbols, offsets, 0), lambda: recurrent.fit(net, symbols, offsets, 0, 0.02, 0.3)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 10 << 20
+
+
 def test_lm_query(spark, rows, folder, empty_folder):
     got = QUERIES["op3_lm_score"](spark, folder).collect()
     tokens = [[*words(r[1]), None] for r in rows]
