@@ -18,7 +18,7 @@ from mlwatch.operators.frames import settled
 WORDS = 2_048
 LISTED = 1 << 17
 GROUPS = 12
-TRAIN_SHARE = 0.08
+PART_TOKENS = 4_000_000
 TOGETHER = 8 << 20
 MERGE = 1_500_000
 SIGN = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
@@ -114,9 +114,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def average(vectors: DataFrame) -> np.ndarray | None:
-    """Mean of (piece, weight, vector) rows by piece, weighted, joined to one vector; no row is larger than a piece."""
+    """Mean of (piece, part, weight, vector) rows by piece, weighted, joined to one vector; no row is larger than a piece."""
 
     def mean(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
         total = sum(w * np.frombuffer(v, np.float32).astype(np.float64) for w, v in zip(rows["weight"], rows["vector"], strict=True))
         return pd.DataFrame({"piece": [key[0]], "vector": [(total / rows["weight"].sum()).astype(np.float32).tobytes()]})
 
@@ -124,23 +125,34 @@ def average(vectors: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r.vector, np.float32) for r in sorted(got, key=lambda r: r.piece)]) if got else None
 
 
-def learner(shared, step: float, key: str):
-    """One task's training: from the shared model's network once through the texts, and its weights in pieces."""
+def dealt(docs: DataFrame, shared, key: str, parts: int) -> DataFrame:
+    """(part, key, ids): every text as the network's symbols, and the part that learns from it."""
 
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        texts = pa.array(rows.sort_values([key, "text"])["text"], pa.string())
-        ids, offsets = [np.zeros(0, np.int32)], [0]
-        for b in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
-            h, g, at = tokens(*text_bytes(b.column(0)))
-            ids.append(own.symbols(h, g))
-            offsets.extend((at[1:] + offsets[-1]).tolist())
-        symbols = np.concatenate(ids)
-        net = fit(Network(own.layout, own.hidden).load(own.network), symbols, np.array(offsets), own.end(), step, 0.3)
-        flat, cuts = net.vector(), np.linspace(0, len(own.network), 17).astype(int)
-        pieces = [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for b in slices(batches, "text"):
+            h, g, rows = tokens(*text_bytes(b.column("text")))
+            ids = own.symbols(h, g).astype("<i4").tobytes()
+            blobs = pa.array([ids[4 * x : 4 * y] for x, y in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column(key), blobs], ["part", key, "ids"])
+
+    part = F.pmod(F.xxhash64(key, F.lit(13)), F.lit(parts)).cast("int").alias("part")
+    return docs.select(part, key, "text").mapInArrow(run, f"part int, {key} long, ids binary")
+
+
+def learner(shared, step: float, key: str, pieces: int):
+    """One part's training: from the shared model's network once through its texts, and its weights in pieces."""
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        own, part = shared.value, int(rows["part"].iloc[0])
+        texts = rows.sort_values([key, "ids"])["ids"].tolist()
+        symbols = np.frombuffer(b"".join(texts), "<i4")
+        offsets = np.concatenate([[0], np.cumsum([len(t) // 4 for t in texts])])
+        net = fit(Network(own.layout, own.hidden).load(own.network), symbols, offsets, own.end(), step, 0.3)
+        flat, cuts = net.vector(), np.linspace(0, len(own.network), pieces + 1).astype(int)
+        vectors = [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         weight = float(len(symbols) + len(offsets))
-        return pd.DataFrame({"piece": np.arange(16, dtype=np.int32), "weight": weight, "vector": pieces})
+        return pd.DataFrame({"piece": np.arange(pieces, dtype=np.int32), "part": np.int32(part), "weight": weight, "vector": vectors})
 
     return learn
 
@@ -158,14 +170,12 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if limit is None else step >= limit)
 
 
-def train(docs: DataFrame, counts: DataFrame, key: str = "deal", share: float = TRAIN_SHARE, rounds: int = 2, rate: float = 0.02,
-          hidden: int = 32) -> Model:
-    """Totals and the most frequent words of settled ``counts``, and a network trained on texts of ``docs``.
+def train(docs: DataFrame, counts: DataFrame, key: str = "deal", rounds: int = 1, rate: float = 0.02, hidden: int = 32) -> Model:
+    """Totals and the most frequent words of settled ``counts``, and a network trained on the texts of ``docs``.
 
-    Counts cover all documents. Backpropagation takes a share of them, chosen by a hash of the whole row, so that copies are
-    spread, which grows with the input: at 0.08 it costs about as much as scoring all. Their texts are dealt to tasks, as many as the shuffle
-    partitions over four; each task goes through its own once from the same start, the mean of the networks, weighted by tokens,
-    is the next start, and there are ``rounds`` of this.
+    Counts and backpropagation cover all documents. Texts are dealt by a hash of the whole row, so that copies are spread, to
+    parts of some PART_TOKENS tokens, whatever the session's settings; each part is gone through once from the same start,
+    the mean of the networks, weighted by tokens, is the next start, and there are ``rounds`` of this.
     """
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts, LISTED).select("word", "form", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
@@ -190,13 +200,12 @@ def train(docs: DataFrame, counts: DataFrame, key: str = "deal", share: float =
     net = Network(layout, hidden).start(n[first], group_n)
     model = Model(hashes[order], n[order], places[order], int(totals[0]), int(totals[1]), group_n, group_distinct, net.vector(), layout, hidden)
 
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    sample = docs.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(10_000)) < int(share * 10_000))
-    sample = sample.select(F.pmod(F.xxhash64(key, F.lit(13)), F.lit(parts)).cast("int").alias("part"), key, "text")
+    parts = max(1, -(-model.n // PART_TOKENS))
+    pieces = max(16, parts // 16)
     for i in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        step = rate / (1 + 2 * i)
-        mean = average(sample.groupBy("part").applyInPandas(learner(shared, step, key), "piece int, weight double, vector binary"))
+        learn = learner(shared, rate / (1 + 2 * i), key, pieces)
+        mean = average(dealt(docs, shared, key, parts).groupBy("part").applyInPandas(learn, "piece int, part int, weight double, vector binary"))
         if mean is None:
             break
         model.network = mean
@@ -273,7 +282,7 @@ def unlisted(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "key long, word long, form byte, times long")
 
 
-def score(df: DataFrame, learn: Column, text: str = "text", share: float = TRAIN_SHARE, rounds: int = 2) -> DataFrame:
+def score(df: DataFrame, learn: Column, text: str = "text", rounds: int = 1) -> DataFrame:
     """Add ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` to every row, learning from those for
     which ``learn`` holds.
 
@@ -292,7 +301,7 @@ def score(df: DataFrame, learn: Column, text: str = "text", share: float = TRAIN
     slim = keyed.select(F.col("_key").alias("key"), F.xxhash64(*known).alias("deal"), F.coalesce(F.col(text), F.lit("")).alias("text"), "_learn")
     training = slim.where("_learn").select("deal", "text")
     counts = settled(word_counts(training))
-    model = train(training, counts, share=share, rounds=rounds)
+    model = train(training, counts, rounds=rounds)
     docs = slim.select("key", "text")
     scored = listed_scores(docs, model).dropDuplicates(["key"])
     rest = unlisted(docs, model).join(counts.select("word", "n"), "word", "left").dropDuplicates(["key", "word"])

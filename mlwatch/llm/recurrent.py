@@ -10,7 +10,7 @@ import numpy as np
 
 HIDDEN = 32
 STEPS = 24
-TRAIN_LANES = 48
+TRAIN_LANES = 192
 SCORE_LANES = 256
 SCORE_STEPS = 64
 

@@ -177,6 +177,23 @@ def test_lm_words_beyond_the_list(spark, rows, folder, monkeypatch):
     assert short == full
 
 
+def test_lm_learns_from_every_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three w{i % 7} four") for i in range(50)], "deal long, text string")
+    counts = lm_score.settled(lm_score.word_counts(docs))
+    learned = []
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 100, raising=False)
+    average = lm_score.average
+    monkeypatch.setattr(lm_score, "average", lambda vectors: (learned.append(vectors.where("piece = 0").collect()), average(vectors))[1])
+    model = lm_score.train(docs, counts)
+    # a part weighs its words and its texts and one more
+    assert [sum(r.weight - 1 for r in x) for x in learned] == [50 * 5 + 50] and len(learned[0]) == 3
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert (lm_score.train(docs, counts).network == model.network).all()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_leader_is_deterministic():
     texts, labels = ["good words here.", "bad*** words***", "more good words.", "###"] * 5, np.array([1, 0, 1, 0] * 5)
     a, b = (quality_model.leader(texts, labels, 0.3, 1.0, 0.02, 0.0, 5) for _ in range(2))
