@@ -22,7 +22,7 @@ TOKEN_BITS = 48
 STARS = 3
 BITS = 512
 ORDER_B, ORDER_C, CLASS = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2B7E151628AED2A7), np.uint64(0x243F6A8885A308D3)
-SURVIVOR = "cls long, n int, p int, centre double, tokens binary, cut_b long, cut_c long, rare array<long>, bits array<long>"
+SURVIVOR = "cls long, n int, p int, centre double, tokens binary, by_b array<long>, by_c array<long>, rare array<long>, bits array<long>"
 
 
 def token_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,8 +107,7 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
     Tokens are dealt by their value, counted over different classes, and those of two or more go back to their classes.
     A class survives if it has shared tokens enough for a partner. Its prefix under an order is what is left of the first
     n - ceil(percent of n) + 1 tokens once the unshared ones, which come first in every order, are out. Orders: rare
-    tokens first (``rare`` lists the prefix), and two by hashes of the token (``cut_b`` and ``cut_c`` are the last ones'
-    hashes). ``bits`` tells for BITS places whether an odd number of shared tokens falls there. Values between the steps hold the tokens of many documents, so that a token costs six bytes, not a row.
+    tokens first (``rare`` lists the prefix), and two by hashes of the token (``by_b`` and ``by_c``). ``bits`` tells for BITS places whether an odd number of shared tokens falls there. Values between the steps hold the tokens of many documents, so that a token costs six bytes, not a row.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,54 +167,65 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
             p = size - need + 1 - (size - len(own))
             if p < 1:
                 continue
-            by_b, by_c = (np.partition(mixed(own ^ salt), p - 1)[p - 1] for salt in (ORDER_B, ORDER_C))
+            by_b, by_c = (own[np.argpartition(mixed(own ^ salt), p - 1)[:p]].astype(np.int64) for salt in (ORDER_B, ORDER_C))
             rare = own[np.lexsort((mixed(own), times))[:p]]
             centre = (float(times.sum()) + size - len(own)) / size
             odd = np.bincount((mixed(own ^ CLASS) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
             bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
-            out.append((cls[a], size, p, centre, six(own), by_b.astype(np.int64), by_c.astype(np.int64), rare.astype(np.int64), bits))
-        return pd.DataFrame(out, columns=["cls", "n", "p", "centre", "tokens", "cut_b", "cut_c", "rare", "bits"])
+            out.append((cls[a], size, p, centre, six(own), by_b, by_c, rare.astype(np.int64), bits))
+        return pd.DataFrame(out, columns=["cls", "n", "p", "centre", "tokens", "by_b", "by_c", "rare", "bits"])
 
     posted = df.select(F.col(text).alias("text")).mapInArrow(post, "part int, blob binary")
     shared = posted.groupBy("part").applyInPandas(count, "part int, blob binary")
     return shared.groupBy("part").applyInPandas(gather, SURVIVOR)
 
 
+def sharing_prefixes(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that share prefix tokens under both hash orders too; only prefixes move."""
+    side = found.select("cls", "by_b", "by_c")
+    left = side.select(*[F.col(c).alias(f"a_{c}") for c in side.columns])
+    right = side.select(*[F.col(c).alias(f"b_{c}") for c in side.columns])
+    joined = pairs.join(left, F.col("a") == F.col("a_cls")).join(right, F.col("b") == F.col("b_cls"))
+    return joined.where(F.arrays_overlap("a_by_b", "b_by_b") & F.arrays_overlap("a_by_c", "b_by_c")).select("a", "b")
+
+
 def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that share prefix tokens under both hash orders too, and then are similar enough."""
-    side = found.select("cls", "n", "tokens", "cut_b", "cut_c")
+    side = found.select("cls", "n", "tokens")
     left = side.select(*[F.col(c).alias(f"a_{c}") for c in side.columns])
     right = side.select(*[F.col(c).alias(f"b_{c}") for c in side.columns])
-    joined = pairs.join(right, F.col("b") == F.col("b_cls")).join(left, F.col("a") == F.col("a_cls"))
+    joined = sharing_prefixes(pairs, found).join(right, F.col("b") == F.col("b_cls")).join(left, F.col("a") == F.col("a_cls"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {c: batch.column(c) for c in batch.schema.names}
             keep = []
-            last, x, xb, xc = None, None, None, None
-            cut = {c: cols[c].to_numpy(zero_copy_only=False).astype(np.uint64) for c in ("a_cut_b", "a_cut_c", "b_cut_b", "b_cut_c")}
+            last, x = None, None
             size_a, size_b = cols["a_n"].to_pylist(), cols["b_n"].to_pylist()
             for i, a in enumerate(cols["a"].to_pylist()):
                 if a != last:
-                    x = unsix(cols["a_tokens"][i].as_py())
-                    xb, xc, last = mixed(x ^ ORDER_B), mixed(x ^ ORDER_C), a
+                    x, last = unsix(cols["a_tokens"][i].as_py()), a
                 y = unsix(cols["b_tokens"][i].as_py())
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
-                at = at[x[at] == y]  # places in x of the shared tokens
-                if (
-                    (xb[at] <= min(cut["a_cut_b"][i], cut["b_cut_b"][i])).any()
-                    and (xc[at] <= min(cut["a_cut_c"][i], cut["b_cut_c"][i])).any()
-                    and 100 * len(at) >= percent * (size_a[i] + size_b[i] - len(at))
-                ):
+                both = int((x[at] == y).sum())
+                if 100 * both >= percent * (size_a[i] + size_b[i] - both):
                     keep.append(i)
             if keep:
                 yield pa.RecordBatch.from_arrays([cols["a"].take(pa.array(keep)), cols["b"].take(pa.array(keep))], ["a", "b"])
 
-    slim = joined.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in ("n", "tokens", "cut_b", "cut_c")])
+    slim = joined.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in ("n", "tokens")])
     return slim.mapInArrow(run, "a long, b long")
 
 
+def slack(percent: int) -> Column:
+    """What a class's unshared tokens are above its part of those that a similar pair can have; similar classes' add up to 0 or less.
+
+    Of a pair's tokens n at most (100 - percent) in (100 + percent) are in one of the sets only, and unshared ones are.
+    """
+    return (100 + percent) * (F.col("n") - F.expr("length(tokens) div 6")) - (100 - percent) * F.col("n").cast("long")
+
+
 def may_be_close(percent: int) -> Column:
     """Whether two sets can be similar enough, by their sizes and by how many of their bits differ.
 
@@ -236,9 +246,11 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
     its components need few of them: first the most central class at each token, whose tokens are the most common
     ones, is compared with the others there, and again for tokens that still join several components. What is left
     is compared in full: at each token every class outside the token's largest component, with all of other components.
-    So no pair is left out but those already connected and those that ``may_be_close`` rules out.
+    At each token classes go, before any pair is made, whose ``slack`` is too large even for the one with the least there, and
+    two with a positive slack are never paired. So no pair is left out but those already connected and those that ``slack`` or
+    ``may_be_close`` rules out.
     """
-    met = settled(found.select(F.explode("rare").alias("token"), "cls", "n", "centre"))
+    met = settled(found.select(F.explode("rare").alias("token"), "cls", "n", "centre", slack(percent).alias("slack")))
     edges, roots = None, None
     close = (F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100)
     for round_ in range(STARS + 1):
@@ -246,9 +258,9 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
             at = met.withColumn("comp", F.col("cls"))
         else:
             at = met.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
-        sizes = at.groupBy("token", "comp").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).where("comps > 1")
-        open_ = settled(at.join(largest.select("token", "major"), "token"))
+        sizes = at.groupBy("token", "comp").agg(F.count("*").alias("size"), F.min("slack").alias("least"))
+        largest = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("major"), F.count("*").alias("comps"), F.min("least").alias("least")).where("comps > 1")
+        open_ = settled(at.join(largest.select("token", "major", "least"), "token").where("slack + least <= 0").drop("least"))
         if round_ == STARS:
             facts = found.select("cls", "bits", (F.col("n") - F.expr("length(tokens) div 6")).alias("free"))
             open_ = settled(open_.join(facts, "cls"))
@@ -257,10 +269,13 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
             best = minor.groupBy("token").agg(F.max(F.struct("centre", "cls", "n", "comp")).alias("x"))
             left = best.select("token", F.col("x.cls").alias("a"), F.col("x.n").alias("a_n"), F.col("x.comp").alias("a_comp"))
         else:
-            left = minor.select("token", F.col("cls").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "comp", "bits", "free")])
-        right = open_.select("token", F.col("cls").alias("b"), *[F.col(c).alias(f"b_{c}") for c in open_.columns if c in ("n", "comp", "bits", "free")])
+            left = minor.select("token", F.col("cls").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "comp", "bits", "free", "slack")])
+        right = open_.select("token", F.col("cls").alias("b"), *[F.col(c).alias(f"b_{c}") for c in open_.columns if c in ("n", "comp", "bits", "free", "slack")])
         near = close & may_be_close(percent) if round_ == STARS else close
-        pairs = left.join(right, "token").where((F.col("a_comp") != F.col("b_comp")) & near)
+        met_ = left.join(right, "token")
+        if round_ == STARS:
+            met_ = left.where("a_slack <= 0").join(right, "token").union(left.where("a_slack > 0").join(right.where("b_slack <= 0"), "token"))
+        pairs = met_.where((F.col("a_comp") != F.col("b_comp")) & near)
         pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")) if round_ == STARS else pairs.select("a", "b")
         links = settled(verified(pairs.distinct(), found, percent))
         if round_ and links.isEmpty():

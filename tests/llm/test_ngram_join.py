@@ -73,6 +73,25 @@ def test_chain_through_middle_members(spark):
     assert {r.component_id for r in got} == {89}
 
 
+def test_a_template_with_too_much_of_its_own_makes_no_pairs(spark, monkeypatch):
+    own = lambda i, n: " ".join(f"own{i}x{j}" for j in range(n))
+    template = " ".join(f"t{j}" for j in range(84))
+    rows = [(i, f"{template} {own(i, 20)}") for i in range(30)]  # 80 shared shingles of 100, two are 80 of 120 alike
+    sent, plain_verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: (sent.append(pairs.count()), plain_verified(pairs, *rest))[1])
+    got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert ordered(got) == ordered(plain(rows)) and sum(sent) == 0
+    rows += [(30 + i, f"{template} {own(i, 1)}") for i in range(3)]  # these are similar to all
+    got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert ordered(got) == ordered(plain(rows)) and len({r.component_id for r in got}) == 1
+
+
+def test_prefixes_are_compared_before_token_lists_move(spark):
+    found = spark.createDataFrame([(1, [5], [7]), (2, [5, 6], [8]), (3, [5], [7, 9])], "cls long, by_b array<long>, by_c array<long>")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")
+    assert ngram_join.sharing_prefixes(pairs, found).collect() == [(3, 1)]
+
+
 def test_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (5, 5), (1, 0)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
