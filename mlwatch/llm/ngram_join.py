@@ -18,6 +18,7 @@ from mlwatch.operators.frames import settled
 K = 5
 PERCENT = 75
 BUFFER = 1_500_000
+GROUP_TOKENS = 2_000_000
 TOKEN_BITS = 48
 STARS = 3
 BITS = 512
@@ -290,7 +291,8 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
 def class_components(df: DataFrame, rows: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     """(cls, component_id, chosen) for the classes of settled ``rows`` (id, n_shingles, cls): the smallest id of the
     component, and whether the class is the one that stands for it, the smallest of those that have that id."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tokens = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // GROUP_TOKENS))
     found = settled(survivors(df, text, k, percent, parts))
     roots = class_roots(found, percent)
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("least"))

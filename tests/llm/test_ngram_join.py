@@ -92,6 +92,14 @@ def test_prefixes_are_compared_before_token_lists_move(spark):
     assert ngram_join.sharing_prefixes(pairs, found).collect() == [(3, 1)]
 
 
+def test_groups_follow_the_tokens(docs, rows, monkeypatch):
+    used, survivors = [], ngram_join.survivors
+    monkeypatch.setattr(ngram_join, "survivors", lambda *x: (used.append(x[-1]), survivors(*x))[1])
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 500, raising=False)
+    assert ordered(ngram_join.similarity_components(docs).collect()) == ordered(plain(rows))
+    assert used == [-(-sum(n for _, n, _ in plain(rows)) // 500)] and used[0] > 4
+
+
 def test_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (5, 5), (1, 0)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
