@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mlwatch.llm import (
     bpe,
     chat,
+    collocations,
     labelled,
     line_rules,
     lm_score,
@@ -234,3 +235,32 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+PHRASE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                       '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, w[i : i + k - 1] AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE a >= 30 AND k > 1),
+x AS (SELECT lang, k, phrase, a, cut, phrase[1 : cut] AS lhs, phrase[cut + 1 : k] AS rhs
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+y AS (SELECT x.lang, x.phrase, x.a, cut, lf.a AS l, rf.a AS r, (2000000 * x.a) // (lf.a + rf.a) AS score
+      FROM x JOIN f lf ON lf.lang = x.lang AND lf.phrase = x.lhs JOIN f rf ON rf.lang = x.lang AND rf.phrase = x.rhs),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, phrase[j : j + m - 1] AS phrase, max(a) AS longer
+      FROM (SELECT lang, phrase, a, m, unnest(range(1, k - m + 2)) AS j FROM c, (VALUES (2), (3)) AS s(m) WHERE k > m) GROUP BY ALL),
+s AS (SELECT z.lang, array_to_string(z.phrase, ' ') AS phrase, z.a, l, r, score
+      FROM z LEFT JOIN i ON i.lang = z.lang AND i.phrase = z.phrase WHERE longer IS NULL OR 100 * longer < 80 * z.a)
+SELECT s.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s) s JOIN n ON n.lang = s.lang
+WHERE rank <= 2000
+"""
+
+
+@query("op12_phrases", PHRASE_SQL)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
