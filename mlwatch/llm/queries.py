@@ -18,6 +18,7 @@ from mlwatch.llm import (
     quality_model,
     repeats,
     toxicity,
+    turn_repair,
     winnow,
 )
 from mlwatch.llm.register import QUERIES, SQL, query, table
@@ -264,3 +265,54 @@ WHERE rank <= 2000
 @query("op12_phrases", PHRASE_SQL)
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+# The check sum's table and its steps over ASCII text; then rows from last to first, the cheapest edits by state before each.
+REPAIR_SQL = r"""
+WITH RECURSIVE
+k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             xor(list_reduce(list_concat([4294967295], list_transform(string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda x: ascii(x)::BIGINT)),
+                             lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS rest FROM conversations, k),
+d AS (SELECT conv_id, turn, CASE WHEN rest = 4 THEN 'user' ELSE role END AS role,
+             CASE rest WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE rest WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS x, row_number() OVER p AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+             lag(left(role, 1)) OVER p AS y
+      FROM d WINDOW p AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 3 WHEN again THEN 2
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 1 ELSE 0 END AS fault FROM o),
+n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+             count(*) FILTER (y IS NOT NULL AND y || x NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+r AS (
+  SELECT conv_id, rows AS i, {'c': 0, 'e': '', 't': ''} AS s0, {'c': 10, 'e': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)} AS s1,
+         {'c': 5, 'e': 'I', 't': 'assistant:' || chr(10)} AS s2, {'c': 0, 'e': '', 't': ''} AS s3 FROM n
+  UNION ALL
+  SELECT conv_id, i, least(s0, b0), least(s1, b0), least(s2, a0), least(s3, b0) FROM (
+  SELECT conv_id, i, s0, s1, s2, s3, a0,
+         {'c': least(s2, a0).c + 5, 'e': 'I' || least(s2, a0).e, 't': 'user:' || chr(10) || least(s2, a0).t} AS b0 FROM (
+  SELECT conv_id, i, s0, s1, s2, s3, {'c': s3.c + 5, 'e': 'I' || s3.e, 't': 'assistant:' || chr(10) || s3.t} AS a0 FROM (
+  SELECT r.conv_id, r.i - 1 AS i,
+         least({'c': s0.c + 2, 'e': 'D' || s0.e, 't': s0.t}, CASE WHEN fault < 2 AND x = 's' THEN {'c': s1.c + 5 * fault, 'e': 'K' || s1.e, 't': role || ':' || text || chr(10) || s1.t} END, u) AS s0,
+         least({'c': s1.c + 2, 'e': 'D' || s1.e, 't': s1.t}, u) AS s1, least({'c': s2.c + 2, 'e': 'D' || s2.e, 't': s2.t}, a) AS s2, least({'c': s3.c + 2, 'e': 'D' || s3.e, 't': s3.t}, u) AS s3
+  FROM (SELECT r.*, f.*, CASE WHEN fault >= 2 THEN NULL WHEN x = 'u' THEN {'c': s2.c + 5 * fault, 'e': 'K' || s2.e, 't': role || ':' || text || chr(10) || s2.t}
+                  ELSE {'c': s2.c + 1 + 5 * fault, 'e': 'R' || s2.e, 't': 'user:' || text || chr(10) || s2.t} END AS u,
+             CASE WHEN fault >= 2 THEN NULL WHEN x = 'a' THEN {'c': s3.c + 5 * fault, 'e': 'K' || s3.e, 't': role || ':' || text || chr(10) || s3.t}
+                  ELSE {'c': s3.c + 1 + 5 * fault, 'e': 'R' || s3.e, 't': 'assistant:' || text || chr(10) || s3.t} END AS a
+        FROM (SELECT conv_id AS conv, i AS place, s0, s1, s2, s3 FROM r WHERE i > 0) r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv AND f.i = r.place) r))))
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.e, '') AS audit, sha256(coalesce(left(s0.t, -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = 0
+"""
+
+
+@query("op13_turn_repair", REPAIR_SQL)
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logged = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = turn_repair.repair(turn_repair.damaged(logged)).withColumnRenamed("conv_id", "own_id")
+    every = logged.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    audit, digest = F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return every.join(fixed, F.col("conv_id").eqNullSafe(F.col("own_id")), "left").select("conv_id", *counts, audit, digest)
