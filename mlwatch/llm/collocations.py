@@ -22,14 +22,14 @@ LEAST = 30
 TOP = 2000
 WITHIN = 80
 SCALE = 2_000_000
-SHARD = 500_000
-LOT = 2 << 20
+SHARD = 300_000
+LOT = 1 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09]] = True
 CUT = np.zeros(256, bool)
 CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-COUNTED = f"{' long, '.join(WORDS)} long, code long, n long"
+COUNTED = f"code long, {' long, '.join(WORDS)} long"
 
 
 def positions(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -72,41 +72,55 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, word string, code long, n long").groupBy("lang", "word", "code").agg(F.sum("n").alias("n"))
 
 
-def pair_codes(code: np.ndarray) -> np.ndarray:
-    """Hash of each word and the next one."""
-    return mixed(code[:-1] * GRAM + code[1:])
+def run_codes(code: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words, at the place where it begins."""
+    n = max(0, len(code) - size + 1)
+    return reduce(lambda h, j: mixed(h * GRAM + code[j : j + n]), range(1, size), code[:n])
 
 
-def sequences(texts: DataFrame, shared, sizes: range, pairs: bool) -> DataFrame:
-    """(w1, ..., w4, code, n): runs of words of which every word, or every pair if ``pairs``, is in the shared bitmap.
+def in_piece(piece: np.ndarray, size: int) -> np.ndarray:
+    """Whether a run of ``size`` words lies in one piece, at the place where it begins."""
+    n = max(0, len(piece) - size + 1)
+    return piece[size - 1 :] == piece[:n]
 
-    Whatever is frequent has frequent parts, so nothing frequent is left out. Each lot sends equal runs once.
-    """
 
-    def counted(code: np.ndarray, fits: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(fits)
-        whole = reduce(lambda h, j: mixed(h * GRAM + code[at + j]), range(1, size), code[at])
-        whole, one, n = np.unique(whole, return_index=True, return_counts=True)
-        words = [pa.array((code[at[one] + j] if j < size else np.zeros(len(one), np.uint64)).view(np.int64)) for j in range(LONGEST)]
-        yield pa.RecordBatch.from_arrays([*words, pa.array(whole.view(np.int64)), pa.array(n)], [*WORDS, "code", "n"])
+def run_counts(texts: DataFrame, shared, sizes: range, part: int) -> DataFrame:
+    """(code, n): how often runs of words stand in the texts whose parts of ``part`` words are all in the shared bitmap.
+
+    Whatever is frequent has frequent parts, so nothing frequent is left out. Each lot sends equal runs once, as a hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Bitmap = shared.value
         for b in slices(batches, "text", LOT):
             _, _, code, piece, _ = positions(b)
-            if len(code) < min(sizes):
-                continue
-            joined = piece[1:] == piece[:-1]
-            if pairs:
-                step = joined & known.has(pair_codes(code))
-            else:
-                own = known.has(code)
-                step = joined & own[1:] & own[:-1]
+            own = known.has(run_codes(code, part))
             for size in sizes:
-                if len(step) >= size - 1:
-                    yield from counted(code, reduce(np.logical_and, [step[j : len(step) - size + 2 + j] for j in range(size - 1)]), size)
+                fits = in_piece(piece, size)
+                for j in range(size - part + 1):
+                    fits = fits & own[j : j + len(fits)]
+                found, n = np.unique(run_codes(code, size)[fits], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["code", "n"])
+
+    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def spelled_out(texts: DataFrame, codes: DataFrame) -> DataFrame:
+    """(w1, ..., w4): the words of the runs with the settled ``codes``, 0 after a run's end."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(codes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Bitmap = shared.value
+        for b in slices(batches, "text", LOT):
+            _, _, code, piece, _ = positions(b)
+            for size in range(2, LONGEST + 1):
+                whole = run_codes(code, size)
+                at = np.flatnonzero(in_piece(piece, size) & known.has(whole))
+                whole, one = np.unique(whole[at], return_index=True)
+                words = [pa.array((code[at[one] + j] if j < size else np.zeros(len(one), np.uint64)).view(np.int64)) for j in range(LONGEST)]
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), *words], ["code", *WORDS])
 
-    return texts.mapInArrow(run, COUNTED).groupBy(*WORDS, "code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, COUNTED).distinct().join(codes, "code", "left_semi").select(*WORDS)
 
 
 def trie_counts(texts: DataFrame, candidates: DataFrame, shard: int) -> DataFrame:
@@ -178,9 +192,9 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     no words; repeated rows count as often as they stand; an empty table gives no rows; other columns are not read.
     Words are told apart by 64-bit hashes, counts are exact.
 
-    Words are counted first, then pairs of frequent words, then runs of three and four whose pairs are frequent. These
-    candidates make the tries that count them, ``shard`` to a trie: what tasks hold does not grow with the input,
-    and more candidates take more passes. The filters between the steps are bitmaps of at most 8 MB.
+    Words are counted first, then pairs of frequent words, then runs of three and four whose pairs are frequent, by hashes
+    that may take other runs along. These candidates make the tries that count them, ``shard`` to a trie: what tasks hold
+    does not grow with the input, and more candidates take more passes. The filters between the steps are bitmaps of at most 8 MB.
     """
     if least < 1 or shard < 1:
         raise ValueError("least and shard must be at least 1")
@@ -189,11 +203,10 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     counts = settled(word_counts(texts))
     words = counts.where(F.col("n") >= least)
     shared = spark.sparkContext.broadcast(bitmap(words.select("code")))
-    pairs = settled(sequences(texts, shared, range(2, 3), pairs=False).where(F.col("n") >= least))
-    shared = spark.sparkContext.broadcast(bitmap(pairs.select("code")))
-    longer = sequences(texts, shared, range(3, LONGEST + 1), pairs=True).where(F.col("n") >= least)
-    candidates = settled(pairs.union(longer).select(*WORDS))
-    # in order, so that a word's hash may be 0 only after the end
+    pairs = settled(run_counts(texts, shared, range(2, 3), 1).where(F.col("n") >= least).select("code"))
+    shared = spark.sparkContext.broadcast(bitmap(pairs))
+    longer = run_counts(texts, shared, range(3, LONGEST + 1), 2).where(F.col("n") >= least).select("code")
+    candidates = settled(spelled_out(texts, settled(pairs.union(longer))))
     found = trie_counts(texts, candidates, shard).where(F.col("a") >= least)
     phrases = settled(found.select(F.filter(F.array(*WORDS), lambda w: w != 0).alias("phrase"), "a"))
     best = scored(phrases, words).join(absorbed(phrases, within), "phrase", "left_anti")
