@@ -13,6 +13,7 @@ from mlwatch.llm import (
     labelled,
     line_rules,
     lm_score,
+    lsh_forest,
     mixing,
     ngram_join,
     quality_model,
@@ -316,3 +317,11 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     audit, digest = F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
     return every.join(fixed, F.col("conv_id").eqNullSafe(F.col("own_id")), "left").select("conv_id", *counts, audit, digest)
+
+
+NEAR_SQL = NGRAM_SQL.replace("w[i : i + 4]", "w[i : i + 1]").replace("len(w) - 4", "len(w) - 1").replace("100 * k >= 75", "100 * k >= 80")
+
+
+@query("op11_lsh_forest", f"SELECT *, doc_id = component_id AS kept FROM ({NEAR_SQL})")
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
