@@ -24,7 +24,7 @@ VALUES = TREES * DEPTH
 CHAINS = 4
 CHAIN_DEPTH = 16
 DEPTHS = (DEPTH, 4, 6, 8, 12, 18, 27, 40, VALUES)
-MINOR = 64
+MINOR = 1024
 MISS = 1e-6
 LIMBS = VALUES // 24
 FIT_SIGMAS = 5.5
@@ -190,7 +190,8 @@ def searched(found: DataFrame, roots: DataFrame, missed: DataFrame, percent: int
 
     A region is the classes that share a prefix of a sorted order. It is compared where at most MINOR of its classes are
     outside its largest component: these with all of it, so that work grows with the classes alone. Others are
-    searched one step deeper, in smaller regions, which may part similar classes; ``missed`` keeps account.
+    searched one step deeper, in smaller regions, which may part similar classes; ``missed`` keeps account. Comparing is
+    cheap, a few numbers of each, and only the pairs that pass it leave the join.
     """
     chance = F.lit(percent / 100)
     facts = found.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls"))
