@@ -105,8 +105,16 @@ def run_counts(texts: DataFrame, shared, sizes: range, part: int) -> DataFrame:
     return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def codes_of(words: np.ndarray) -> np.ndarray:
+    """Hash of the sequences of words in the rows, 0 after a sequence's end, as ``run_codes`` gives."""
+    out = words[:, 0]
+    for j in range(1, words.shape[1]):
+        out = np.where(words[:, j] != 0, mixed(out * GRAM + words[:, j]), out)
+    return out
+
+
 def spelled_out(texts: DataFrame, codes: DataFrame) -> DataFrame:
-    """(w1, ..., w4): the words of the runs with the settled ``codes``, 0 after a run's end."""
+    """(code, w1, ..., w4): the words of the runs with the settled ``codes``, 0 after a run's end."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap(codes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +128,15 @@ def spelled_out(texts: DataFrame, codes: DataFrame) -> DataFrame:
                 words = [pa.array((code[at[one] + j] if j < size else np.zeros(len(one), np.uint64)).view(np.int64)) for j in range(LONGEST)]
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), *words], ["code", *WORDS])
 
-    return texts.mapInArrow(run, COUNTED).distinct().join(codes, "code", "left_semi").select(*WORDS)
+    return texts.mapInArrow(run, COUNTED).dropDuplicates(["code"]).join(codes, "code", "left_semi")
+
+
+def words_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([batch.column(w).to_numpy().view(np.uint64) for w in WORDS], axis=1)
 
 
 def trie_counts(texts: DataFrame, candidates: DataFrame, shard: int) -> DataFrame:
-    """(w1, ..., w4, a): how often each candidate stands in the texts, counted by tries of ``shard`` candidates at most.
+    """(code, a): how often each candidate stands in the texts, counted by tries of about ``shard`` candidates.
 
     All positions of a lot go through a trie at once; a task adds up the states that accept, and sums go to the shuffle.
     """
@@ -132,9 +144,8 @@ def trie_counts(texts: DataFrame, candidates: DataFrame, shard: int) -> DataFram
     n = -(-candidates.count() // shard)
     out = []
     for k in range(n):
-        # a little more than ``shard`` in a part that the hash made large
-        part = candidates.where(F.pmod(F.xxhash64(*WORDS), F.lit(n)) == k).select(*WORDS).toArrow()
-        own = spark.sparkContext.broadcast(trie(np.stack([part[w].to_numpy().view(np.uint64) for w in WORDS], axis=1)))
+        part = candidates.where(F.pmod("code", F.lit(n)) == k).select(*WORDS).toArrow()
+        own = spark.sparkContext.broadcast(trie(words_of(part)))
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             t = own.value
@@ -145,40 +156,58 @@ def trie_counts(texts: DataFrame, candidates: DataFrame, shard: int) -> DataFram
                 if ends:
                     total += np.bincount(np.concatenate(ends), minlength=len(total))
             some = np.flatnonzero(total)
-            places = t.sequences[some]
-            words = np.where(places >= 0, t.labels[places] if len(t.labels) else np.uint64(0), np.uint64(0)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[pa.array(words[:, j]) for j in range(LONGEST)], pa.array(total[some])], [*WORDS, "a"])
+            if len(some):
+                places = t.sequences[some]
+                found = codes_of(np.where(places >= 0, t.labels[places], np.uint64(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total[some])], ["code", "a"])
 
-        counted = texts.mapInArrow(run, f"{' long, '.join(WORDS)} long, a long").groupBy(*WORDS).agg(F.sum("a").alias("a"))
-        out.append(settled(counted))
+        out.append(settled(texts.mapInArrow(run, "code long, a long").groupBy("code").agg(F.sum("a").alias("a"))))
         own.unpersist()
-    if not out:
-        return spark.createDataFrame([], f"{' long, '.join(WORDS)} long, a long")
-    return reduce(DataFrame.union, out)
+    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], "code long, a long")
+
+
+def parts_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(code, k, left, right): the hashes of both parts of each sequence cut after ``k`` words; and (code, inner): of the
+    shorter sequences of two words or more inside each."""
+
+    def parts(batches: Iterator[pa.RecordBatch], cuts: bool) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = words_of(b)
+            length, code = (words != 0).sum(axis=1), b.column("code").to_numpy()
+            for size in range(2, LONGEST + 1):
+                own, at = words[length == size][:, :size], code[length == size]
+                if cuts:
+                    for k in range(1, size):
+                        sides = [pa.array(codes_of(x).view(np.int64)) for x in (own[:, :k], own[:, k:])]
+                        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), k, np.int32)), *sides], ["code", "k", "left", "right"])
+                else:
+                    for n in range(2, size):
+                        for i in range(size - n + 1):
+                            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(codes_of(own[:, i : i + n]).view(np.int64))], ["code", "inner"])
+
+    cut = candidates.mapInArrow(lambda batches: parts(batches, True), "code long, k int, left long, right long")
+    return cut, candidates.mapInArrow(lambda batches: parts(batches, False), "code long, inner long")
 
 
 def exact(x: str | Column) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("decimal(19,0)")
 
 
-def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
-    """(phrase, a, l, r, score) for (phrase, a): the cut with the lowest score, of equal ones the earliest."""
-    known = phrases.select("phrase", "a").union(words.select(F.array("code"), "n"))
-    cut = phrases.select("phrase", "a", F.explode(F.sequence(F.lit(1), F.size("phrase") - 1)).alias("k"))
-    cut = cut.withColumn("left", F.slice("phrase", 1, F.col("k"))).withColumn("right", F.expr("slice(phrase, k + 1, size(phrase) - k)"))
+def scored(phrases: DataFrame, words: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(code, a, l, r, score) for (code, a): the cut with the lowest score, of equal ones the earliest."""
+    known = phrases.select("code", "a").union(words.select("code", "n"))
+    cut = cuts.join(phrases, "code")
     for side, name in (("left", "l"), ("right", "r")):
-        cut = cut.join(known.select(F.col("phrase").alias(side), F.col("a").alias(name)), side)
+        cut = cut.join(known.select(F.col("code").alias(side), F.col("a").alias(name)), side)
     cut = cut.withColumn("over", exact("l") + exact("r")).withColumn("times", exact("a") * F.lit(SCALE).cast("decimal(10,0)"))
     cut = cut.withColumn("score", F.expr("times div over"))
-    return cut.groupBy("phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low")).select("phrase", "a", "low.l", "low.r", "low.score")
+    return cut.groupBy("code", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low")).select("code", "a", "low.l", "low.r", "low.score")
 
 
-def absorbed(phrases: DataFrame, within: int) -> DataFrame:
-    """(phrase): those that lie inside a longer phrase which is nearly as frequent."""
-    inner = phrases.where(F.size("phrase") > 2).select("a", "phrase", F.explode(F.expr("sequence(2, size(phrase) - 1)")).alias("size"))
-    inner = inner.select("a", F.explode(F.expr("transform(sequence(1, size(phrase) - size + 1), i -> slice(phrase, i, size))")).alias("phrase"))
-    longer = inner.groupBy("phrase").agg(F.max("a").alias("longer"))
-    return phrases.join(longer, "phrase").where(exact("longer") * 100 >= exact("a") * within).select("phrase")
+def absorbed(phrases: DataFrame, inner: DataFrame, within: int) -> DataFrame:
+    """(code): phrases that lie inside a longer one which is nearly as frequent."""
+    longer = inner.join(phrases, "code").groupBy(F.col("inner").alias("code")).agg(F.max("a").alias("longer"))
+    return phrases.join(longer, "code").where(exact("longer") * 100 >= exact("a") * within).select("code")
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, within: int = WITHIN, shard: int = SHARD) -> DataFrame:
@@ -190,7 +219,7 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     of which the lowest counts. Phrases inside a longer frequent one that has ``within`` percent of their frequency go.
     Equal scores are ordered by frequency, then by the phrase. A null language is ``und``; null, empty and blank texts have
     no words; repeated rows count as often as they stand; an empty table gives no rows; other columns are not read.
-    Words are told apart by 64-bit hashes, counts are exact.
+    Words and phrases are told apart by 64-bit hashes, counts are exact.
 
     Words are counted first, then pairs of frequent words, then runs of three and four whose pairs are frequent, by hashes
     that may take other runs along. These candidates make the tries that count them, ``shard`` to a trie: what tasks hold
@@ -207,12 +236,14 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     shared = spark.sparkContext.broadcast(bitmap(pairs))
     longer = run_counts(texts, shared, range(3, LONGEST + 1), 2).where(F.col("n") >= least).select("code")
     candidates = settled(spelled_out(texts, settled(pairs.union(longer))))
-    found = trie_counts(texts, candidates, shard).where(F.col("a") >= least)
-    phrases = settled(found.select(F.filter(F.array(*WORDS), lambda w: w != 0).alias("phrase"), "a"))
-    best = scored(phrases, words).join(absorbed(phrases, within), "phrase", "left_anti")
-    spelled = best.select("phrase", F.posexplode("phrase").alias("i", "code")).join(words.select("code", "word", "lang"), "code")
-    spelled = spelled.groupBy("phrase").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("i", "word"))).alias("spelled"))
-    shown = best.join(spelled, "phrase").select("lang", F.concat_ws(" ", F.col("spelled.word")).alias("phrase"), "a", "l", "r", "score")
+    phrases = settled(trie_counts(texts, candidates, shard).where(F.col("a") >= least))
+    cuts, inner = parts_of(candidates)
+    best = settled(scored(phrases, words, cuts).join(absorbed(phrases, inner, within), "code", "left_anti"))
+    listed = candidates.join(best.select("code"), "code", "left_semi")
+    spelled = listed.select(F.col("code").alias("whole"), F.posexplode(F.filter(F.array(*WORDS), lambda w: w != 0)).alias("i", "code"))
+    spelled = spelled.join(words.select("code", "word", "lang"), "code").groupBy(F.col("whole").alias("code"))
+    spelled = spelled.agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("i", "word"))).alias("spelled"))
+    shown = best.join(spelled, "code").select("lang", F.concat_ws(" ", F.col("spelled.word")).alias("phrase"), "a", "l", "r", "score")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     ranked = shown.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
