@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mlwatch.functions.columns import quoted
 from mlwatch.operators.frames import settled
-from mlwatch.operators.order import sliced_scan
+from mlwatch.operators.order import DEPTH, equi_depth
 
 # The labels that make up an alert group, the repeat interval, and how long an alert fires.
 GROUP_BY = ("alertname", "job", "severity")
@@ -85,24 +86,63 @@ def inhibit(alerts: DataFrame, ts: str = "ts", equal: Sequence[str] = INHIBIT_EQ
     return out.where(~F.coalesce(silent, F.lit(False))).select(*alerts.columns)
 
 
-def _next_sent(moments: DataFrame, interval: int) -> DataFrame:
-    """(_grp, _us, _next): for each time of a group the first one an interval or more later, or null.
+def _exits(times: np.ndarray, interval: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch of sorted times does to the time of the last alert sent, as steps (upto, exit).
 
-    Pieces are an interval long, so that time lies in the next piece, or is the first of the first piece with any after
-    that. The first is found among the rows of one piece, the second among one row per piece.
+    The first time an interval after that one is sent, and from there all is settled: ``exit`` is the last one sent
+    if that first time lies at or before ``upto`` and after the step before. Each time points to the next one that would be sent; the
+    pointers are followed in doubling strides. Only times up to an interval after the first can come first.
     """
-    pieced = moments.select("_grp", "_us", F.floor(F.col("_us") / interval).alias("_piece"))
-    asked = pieced.select("_grp", (F.col("_piece") + 1).alias("_piece"), (F.col("_us") + interval).alias("_at"), F.lit(0).alias("_kind"))
-    both = asked.unionByName(pieced.select("_grp", "_piece", F.col("_us").alias("_at"), F.lit(1).alias("_kind")))
-    ahead = W.partitionBy("_grp", "_piece").orderBy("_at", "_kind").rowsBetween(0, W.unboundedFollowing)
-    near = both.withColumn("_near", F.min(F.when(F.col("_kind") == 1, F.col("_at"))).over(ahead)).where("_kind = 0")
-    near = near.select("_grp", (F.col("_at") - interval).alias("_us"), "_piece", "_near")
-    firsts = pieced.groupBy("_grp", "_piece").agg(F.min("_us").alias("_first"))
-    pieces = W.partitionBy("_grp").orderBy("_piece")
-    one, two = (F.lead(F.struct("_piece", "_first"), k).over(pieces) for k in (1, 2))
-    later = F.when(F.col("_one._piece") >= F.col("_piece") + 2, F.col("_one._first")).otherwise(F.col("_two._first"))
-    far = firsts.withColumns({"_one": one, "_two": two}).select("_grp", (F.col("_piece") + 1).alias("_piece"), later.alias("_far"))
-    return near.join(far, ["_grp", "_piece"], "left").select("_grp", "_us", F.coalesce("_near", "_far").alias("_next"))
+    n = len(times)
+    ahead = np.append(np.searchsorted(times, times + interval), n)
+    last = np.arange(n + 1)
+    while (ahead[:n] < n).any():
+        last = np.where(ahead < n, last[np.minimum(ahead, n - 1)], last)
+        ahead = np.where(ahead < n, ahead[np.minimum(ahead, n - 1)], n)
+    some = min(n, int(np.searchsorted(times, times[0] + interval)) + 1)
+    exits, upto = times[last[:some]], times[:some]
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return upto[keep], exits[keep]
+
+
+def _sent(times: np.ndarray, before: int | None, interval: int) -> np.ndarray:
+    """The sorted times that are sent after an alert at ``before``."""
+    out = []
+    at = 0 if before is None else int(np.searchsorted(times, before + interval))
+    while at < len(times):
+        out.append(times[at])
+        at = int(np.searchsorted(times, times[at] + interval))
+    return np.array(out, np.int64)
+
+
+def _entries(listed: DataFrame, kind: str, interval: int) -> DataFrame:
+    """(_grp, _piece, _before): the last alert sent before each piece of a group that has several.
+
+    Pieces become functions of that time side by side; only their steps are then passed through, piece by piece.
+    """
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            steps = [_exits(np.asarray(t, np.int64), interval) for t in b.column("_us").to_pylist()]
+            lists = [pa.array([s[k] for s in steps], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("_grp"), b.column("_piece"), *lists], ["_grp", "_piece", "_upto", "_exit"])
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, before = None, None
+        for b in batches:
+            out = []
+            for i, own in enumerate(b.column("_grp").to_pylist()):
+                before = before if own == group else None
+                group = own
+                out.append(before)
+                upto, exits = (b.column(c)[i].values.to_numpy() for c in ("_upto", "_exit"))
+                at = 0 if before is None else int(np.searchsorted(upto, before + interval))
+                before = int(exits[at]) if at < len(exits) else before
+            yield pa.RecordBatch.from_arrays([b.column("_grp"), b.column("_piece"), pa.array(out, pa.int64())], ["_grp", "_piece", "_before"])
+
+    steps = listed.mapInArrow(functions, f"_grp {kind}, _piece long, _upto array<long>, _exit array<long>")
+    dealt = steps.repartition("_grp").sortWithinPartitions("_grp", "_piece")
+    return dealt.mapInArrow(composed, f"_grp {kind}, _piece long, _before long")
 
 
 def dedup_repeat(
@@ -111,30 +151,37 @@ def dedup_repeat(
     tie: str = "event_id",
     by: Sequence[str] = GROUP_BY,
     seconds: int = REPEAT_SECONDS,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """Alerts as they are sent on: the first of a group, and then the first at or after the repeat interval since the
-    last one that was sent. Of alerts at one time the first by ``tie`` is sent.
+    last one that was sent. Of alerts at one time the first by ``tie`` is sent. Alerts without a time are not.
 
-    Every time points to the next one that would be sent after it. An alert with none of its group in the interval
-    before is sent whatever came earlier, so chains start at all of these at once, and pointers double in length each
-    round: a storm of n intervals takes log2(n) rounds, and no group is one task.
+    A group's times are looked through in order, in pieces of ``depth`` at most. A piece of a longer group is first
+    turned into a function from the time of the last alert sent before it to that of the last one sent in it; composing the functions
+    tells every piece where to start, so that pieces are searched side by side.
     """
     interval = seconds * 1_000_000
     keyed = alerts.withColumns({"_grp": _labels_null_safe(by), "_us": _micros(ts)})
-    moments = settled(keyed.groupBy("_grp", "_us").agg(F.min(tie).alias("_tie")))
-    piece = F.floor(F.col("_us") / interval)
-    seen = sliced_scan(moments, ["_grp"], ["_us"], piece, last={"_before": F.col("_us")})
-    starts = seen.where(F.col("_before").isNull() | (F.col("_us") >= F.col("_before") + interval))
-    sent = settled(starts.select("_grp", "_us"))
-    jump = settled(_next_sent(moments, interval).where(F.col("_next").isNotNull()))
-    while True:
-        new = sent.join(jump, ["_grp", "_us"]).select("_grp", F.col("_next").alias("_us")).distinct()
-        new = settled(new.join(sent, ["_grp", "_us"], "left_anti"))
-        if new.isEmpty():
-            break
-        sent = settled(sent.unionByName(new))
-        onward = jump.select("_grp", F.col("_us").alias("_next"), F.col("_next").alias("_after"))
-        jump = settled(jump.join(onward, ["_grp", "_next"]).select("_grp", "_us", F.col("_after").alias("_next")))
+    moments = keyed.where("_us IS NOT NULL").groupBy("_grp", "_us").agg(F.min(tie).alias("_tie"))
+    kind = moments.schema["_grp"].dataType.simpleString()
+    moments = settled(moments)
+    pieced = equi_depth(moments, ["_grp"], ["_us"], "_piece", depth)
+    if pieced is None:
+        entered = moments.groupBy("_grp").agg(F.array_sort(F.collect_list("_us")).alias("_us")).withColumn("_before", F.lit(None).cast("bigint"))
+    else:
+        listed = settled(pieced.groupBy("_grp", "_piece").agg(F.array_sort(F.collect_list("_us")).alias("_us")))
+        entries = _entries(listed.select("_grp", "_piece", "_us"), kind, interval)
+        entered = listed.join(entries, ["_grp", "_piece"]).select("_grp", "_us", "_before")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            befores = b.column("_before").to_pylist()
+            sent = [_sent(b.column("_us")[i].values.to_numpy(), befores[i], interval) for i in range(b.num_rows)]
+            rows = np.repeat(np.arange(b.num_rows), [len(s) for s in sent])
+            times = np.concatenate([*sent, np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([b.column("_grp").take(pa.array(rows)), pa.array(times, pa.int64())], ["_grp", "_us"])
+
+    sent = entered.mapInArrow(search, f"_grp {kind}, _us long")
     first = moments.join(sent, ["_grp", "_us"]).select("_grp", "_us", F.col("_tie").alias("_sent"))
     out = keyed.join(first, ["_grp", "_us"]).where(F.col(quoted(tie)) == F.col("_sent"))
     return out.select(*alerts.columns)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from mlwatch.functions.columns import clean, clean_sql, common_cols, numeric_cols, quoted
 from mlwatch.functions.stats import equal_width_bin, ks_pvalue, safe_div
 from mlwatch.operators.frames import attach, grouped, long_values, melt_stats, settled
-from mlwatch.operators.order import bucket_count, bucketed, edges_agg, sliced_scan
+from mlwatch.operators.narrowing import edges_agg, largest_gap
+from mlwatch.operators.order import bucket_count, bucketed, sliced_scan
 
 # Default thresholds.
 ALPHA = 0.05
@@ -122,60 +123,22 @@ def _psi_column(n_bins: int, prefix: str) -> Column:
     return F.when(F.col("ranged"), F.round(value, 5)).otherwise(0.0)
 
 
-def _share(part: Column, whole: str) -> Column:
-    return F.coalesce(part / F.nullif(F.col(whole), F.lit(0)), F.lit(0.0))
-
-
 def _distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str], n_bins: int, by: Sequence[str]) -> DataFrame:
-    """Unrounded KS distance and the index per feature, from one scan after the statistics pass.
+    """Unrounded KS distance and the index per feature.
 
-    Distinct values are windowed per value bucket. With x = F_ref - F_cur counted from the bucket's start and ``a`` the
-    same difference over all lower buckets, the distance is the largest |a + x|, and only the extremes of x per
-    bucket can reach it. So one row per (bucket, bin) is all that leaves the parallel part.
+    The distance is found by bound and prune; the counts of its first round also tell those of the index's bins.
     """
     keys = [*by, "feature"]
-    buckets = bucket_count(ref.sparkSession)
     both = both_sides(ref, cur, cols, by)
-    stats = side_stats(both, cols, by, n_bins, buckets)
-    counts = (
-        long_values(both, [*by, "side"], cols)
-        .groupBy(*keys, "value")
-        .agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    )
-    placed = bucketed(counts, stats, keys, "value", buckets)
-    in_bucket = W.partitionBy(*keys, "bucket").orderBy("value")
-    gap = _share(F.sum("r").over(in_bucket), "n_ref") - _share(F.sum("c").over(in_bucket), "n_cur")
-    cells = (
-        placed.withColumn("x", gap)
-        .withColumn("bin", equal_width_bin("value", "lo", "step", "nb", n_bins))
-        .groupBy(*keys, "bucket", "bin")
-        .agg(
-            F.sum("r").alias("r"),
-            F.sum("c").alias("c"),
-            F.max("x").alias("x_hi"),
-            F.min("x").alias("x_lo"),
-            F.max("n_ref").alias("n_ref"),
-            F.max("n_cur").alias("n_cur"),
-        )
-    )
-    lower = W.partitionBy(*keys).orderBy("bucket").rangeBetween(W.unboundedPreceding, -1)
-    a = _share(F.sum("r").over(lower), "n_ref") - _share(F.sum("c").over(lower), "n_cur")
-    wide = (
-        cells.withColumn("a", a)
-        .groupBy(*keys)
-        .agg(
-            F.expr("max(greatest(abs(a + x_hi), abs(a + x_lo))) AS d"),
-            *bin_sums(n_bins),
-        )
-    )
-    # Only sizes and range travel on; the cut points have done their work.
-    facts = stats.drop("edges")
-    packed = wide.select(F.struct(*keys).alias("_key"), F.struct(*[c for c in wide.columns if c not in keys]).alias("_s"))
-    out = facts.withColumn("_key", F.struct(*keys)).join(packed, "_key", "left")
-    both_present = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
-    return out.select(
-        *keys, "n_ref", "n_cur", F.when(both_present, F.col("_s.d")).alias("d"), _psi_column(n_bins, "_s.").alias("psi")
+    stats = side_stats(both, cols, by, n_bins)
+    cells = attach(long_values(both, [*by, "side"], cols), stats, keys)
+    cells = cells.select(
+        *keys, "side", "value", F.when(F.col("_s.ranged"), equal_width_bin("value", "_s.lo", "_s.step", "_s.nb", n_bins)).alias("psi_bin")
     )
+    d, by_bin, _ = largest_gap(cells, stats.where("n_ref > 0 AND n_cur > 0"), keys, ["psi_bin"])
+    wide = by_bin.withColumnRenamed("psi_bin", "bin").groupBy(*keys).agg(*bin_sums(n_bins))
+    out = attach(attach(stats, settled(wide), keys), settled(d), keys, "_d")
+    return out.select(*keys, "n_ref", "n_cur", F.col("_d.d").alias("d"), _psi_column(n_bins, "_s.").alias("psi"))
 
 
 def ks(ref: DataFrame, cur: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from mlwatch.functions.columns import clean, quoted
 from mlwatch.functions.stats import safe_div
 from mlwatch.operators.frames import grouped, settled, side_by_side
-from mlwatch.operators.order import bucket_count, bucketed, edges_agg, sliced_scan
+from mlwatch.operators.narrowing import edges_agg
+from mlwatch.operators.order import bucket_count, bucketed, sliced_scan
 
 
 # A confusion matrix larger than this squared is an error.

@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mlwatch.functions.columns import clean, quoted
-from mlwatch.operators.frames import attach, grouped, key_of, settled
+from mlwatch.operators.frames import attach, grouped, key_of, settled, within_broadcast
+from mlwatch.operators.narrowing import ROUNDS, SPLITS, TASK_VALUES, bucket_of, looked_up, split
 
 # ---------------------------------------------------------------------------------------------------------------
 # Value buckets
@@ -27,19 +28,6 @@ def bucket_count(spark: SparkSession, at_least: int = 256) -> int:
     return 1 << (want - 1).bit_length()
 
 
-def edges_agg(value: str, buckets: int) -> Column:
-    """Approximate equal-frequency cut points of a SQL expression (an aggregate)."""
-    probs = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
-    return F.expr(f"percentile_approx({value}, array({probs}), {max(10_000, 20 * buckets)})")
-
-
-def bucket_of(value: str, edges: str, buckets: int) -> Column:
-    """How many of the ``buckets - 1`` cut points lie strictly below the value: a binary search, as SQL."""
-    steps = ", ".join(str(1 << k) for k in reversed(range(buckets.bit_length() - 1)))
-    found = f"aggregate(array({steps}), 0, (p, s) -> IF({edges}[p + s - 1] < {value}, p + s, p))"
-    return F.expr(f"IF({edges} IS NULL, 0, {found})")
-
-
 def bucketed(counts: DataFrame, stats: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
     """Rows with the statistics of their group and their ``bucket``; ``stats`` is settled and holds ``edges``."""
     extra = [c for c in stats.columns if c not in by and c != "edges"]
@@ -54,82 +42,53 @@ def bucketed(counts: DataFrame, stats: DataFrame, by: Sequence[str], value: str,
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 20_000
+    df: DataFrame,
+    cols: Sequence[str],
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    accuracy: int = 20_000,
+    most: int = TASK_VALUES,
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per group with ``c{i}_n`` and an array ``c{i}_q`` per column.
 
-    Three passes, none of which shuffles the data as a whole:
-
-    1. a sketch gives two cut points close around every probability;
-    2. exact counts up to each cut point show which interval holds each wanted rank;
-    3. only values inside those narrow intervals are shuffled, counted and ranked.
-
-    The sketch decides how little data pass 3 moves, never the result.
+    Two passes over the rows. A sketch gives two cut points close around every probability. Then values between a pair
+    are counted one by one, and all others by the cut points that they lie between; so little is shuffled, and every rank
+    is known to lie at a value or between two cut points. Where more than ``most`` values lie there, the interval is cut
+    again and again, and only the part that holds a wanted rank is looked into, so that no task sorts more. Should the
+    sketch be wrong by more than it promises, wider pairs are tried. It decides how little moves, never the result.
     """
     probs = list(probs)
     width = 2.0 / accuracy
     marks = sorted({min(1.0, max(0.0, p + s * width)) for p in probs for s in (-1, 1)})
     m, cs = len(marks), range(len(cols))
+    pairs = [tuple(marks.index(min(1.0, max(0.0, p + s * width))) for s in (-1, 1)) for p in probs]
 
     slim = df.select(*[F.col(quoted(k)) for k in by], *[clean(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     at_marks = ", ".join(f"{x!r}D" for x in marks)
     sketch = settled(
         grouped(slim, by).agg(
             *[F.expr(f"count(v{i}) AS c{i}_n") for i in cs],
-            *[F.expr(f"percentile_approx(v{i}, array({at_marks}), {accuracy}) AS c{i}_e") for i in cs],
-        )
-    )
-    upto = grouped(attach(slim, sketch, by), by).agg(
-        *[F.expr(f"array({', '.join(f'count_if(v{i} <= _s.c{i}_e[{j}])' for j in range(m))}) AS c{i}_k") for i in cs]
-    )
-
-    # One interval (lo, hi] per feature and wanted rank: it ends at the first cut whose exact count reaches the rank.
-    asked = ", ".join(
-        f"named_struct('pi', {pi}, 'side', {side}, 'rank', CAST({fn}((_s.c{{i}}_n - 1) * {p!r}D) AS BIGINT) + 1)"
-        for pi, p in enumerate(probs)
-        for side, fn in enumerate(("floor", "ceil"))
-    )
-    interval = (
-        "transform(transform(array(" + asked + "), a -> named_struct('a', a, "
-        "'at', size(filter(c{i}_k, k -> k < a.rank)))), x -> named_struct("
-        "'pi', x.a.pi, 'side', x.a.side, 'rank', x.a.rank, 'lo', get(_s.c{i}_e, x.at - 1), "
-        "'hi', get(_s.c{i}_e, x.at), 'below', coalesce(get(c{i}_k, x.at - 1), 0L))) AS c{i}_t"
-    )
-    plan = settled(
-        attach(upto, sketch, by).select(
-            *by,
-            *[F.expr(f"_s.c{i}_n AS c{i}_n") for i in cs],
-            *[F.expr(interval.replace("{i}", str(i))) for i in cs],
+            *[F.expr(f"percentile_approx(v{i}, array({at_marks}), {max(100, accuracy)}) AS c{i}_e") for i in cs],
         )
     )
 
-    def inside(v: str, t: str) -> str:
-        return f"({v} IS NOT NULL AND ({t}.lo IS NULL OR {v} > {t}.lo) AND ({t}.hi IS NULL OR {v} <= {t}.hi))"
-
-    # A value travels only if some interval of its own feature holds it, and repeated values collapse before the
-    # shuffle; which of the intervals it serves is settled afterwards, on distinct values.
-    cells = ", ".join(
-        f"named_struct('ci', {i}, 'v', IF("
-        + " OR ".join(inside(f"v{i}", f"_s.c{i}_t[{k}]") for k in range(2 * len(probs)))
-        + f", v{i}, NULL))"
-        for i in cs
-    )
-    near = (
-        attach(slim, plan, by)
-        .select(*by, F.expr(f"inline(array({cells}))"))
-        .where("v IS NOT NULL")
-        .groupBy(*by, "ci", "v")
-        .agg(F.count("*").alias("k"))
-    )
-    asked_of = "CASE ci " + " ".join(f"WHEN {i} THEN _s.c{i}_t" for i in cs) + " END"
-    hits = (
-        attach(near, plan, by)
-        .select(*by, "ci", "v", "k", F.expr(f"inline(filter({asked_of}, t -> {inside('v', 't')}))"))
-        .select(*by, "ci", "v", "k", "pi", "side", "rank", "below")
-    )
-    w = W.partitionBy(*by, "ci", "pi", "side").orderBy("v")
-    ranked = hits.withColumn("upto", F.col("below") + F.sum("k").over(w))
-    picked = grouped(ranked.where("rank <= upto AND rank > upto - k"), by).agg(
+    def cell(i: int) -> str:
+        """A value's place among the cut points: 2j between two of them, odd or in steps of two at one; and itself if between a pair."""
+        e = [f"_s.c{i}_e[{j}]" for j in range(m)]
+        place = " + ".join(f"int(v{i} > {x}) + int(v{i} >= {x})" for x in e)
+        near = " OR ".join(f"(v{i} >= {e[a]} AND v{i} <= {e[b]})" for a, b in pairs)
+        return f"named_struct('ci', {i}, 'slot', CAST(IF(v{i} IS NULL, -1, {place}) AS BIGINT), 'v', IF({near}, v{i}, NULL))"
+
+    cells = attach(slim, sketch, by).select(*by, F.expr(f"inline(array({', '.join(cell(i) for i in cs)}))"))
+    keys = [*by, "ci"]
+    near = settled(cells.where("slot >= 0").groupBy(*keys, "slot", "v").agg(F.count("*").alias("k")))
+    sizes = [F.expr(f"named_struct('ci', {i}, 'n', c{i}_n)") for i in cs]
+    ranks = ", ".join(f"named_struct('pi', {pi}, 'side', {side}, 'rank', CAST({fn}((n - 1) * {p!r}D) AS BIGINT) + 1)" for pi, p in enumerate(probs) for side, fn in enumerate(("floor", "ceil")))
+    wanted = sketch.select(*by, F.inline(F.array(*sizes))).where("n > 0").select(*keys, F.expr(f"inline(array({ranks}))"))
+    picked = _at_ranks(near, wanted, keys, most)
+    if picked is None:
+        return exact_quantiles(df, cols, probs, by, max(1, accuracy // 10), most)
+    wide = grouped(picked, by).agg(
         *[
             F.expr(f"max(CASE WHEN ci = {i} AND pi = {pi} AND side = {side} THEN v END) AS x{i}_{pi}_{side}")
             for i in cs
@@ -139,21 +98,63 @@ def exact_quantiles(
     )
 
     def interpolate(i: int, pi: int, p: float) -> str:
-        pos = f"((_s.c{i}_n - 1) * {p!r}D)"
-        return f"x{i}_{pi}_0 + (x{i}_{pi}_1 - x{i}_{pi}_0) * ({pos} - floor({pos}))"
+        pos = f"((c{i}_n - 1) * {p!r}D)"
+        x = f"_s.x{i}_{pi}"
+        return f"{x}_0 + ({x}_1 - {x}_0) * ({pos} - floor({pos}))"
 
     return settled(
-        attach(picked, plan, by).select(
+        attach(sketch, settled(wide), by).select(
             *by,
-            *[F.expr(f"_s.c{i}_n AS c{i}_n") for i in cs],
-            *[
-                F.expr(f"array({', '.join(interpolate(i, pi, p) for pi, p in enumerate(probs))}) AS c{i}_q")
-                for i in cs
-            ],
+            *[f"c{i}_n" for i in cs],
+            *[F.expr(f"array({', '.join(interpolate(i, pi, p) for pi, p in enumerate(probs))}) AS c{i}_q") for i in cs],
         )
     )
 
 
+def _at_ranks(near: DataFrame, wanted: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
+    """``wanted`` (keys, pi, side, rank) with the value ``v`` at each rank; None if a rank lies where values were not kept.
+
+    ``near``, settled, has (keys, slot, v, k): how often a value stands in a slot, or with a null how many values do that
+    were not kept. Slots are in the order of values. A slot that holds a wanted rank and more than ``most`` values is cut
+    in parts, which are the slots of the next round.
+    """
+    spans = near.groupBy(*keys, "slot").agg(
+        F.sum("k").alias("k"), F.count("v").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    below = F.lit(0).cast("bigint")
+    done, rows = None, near
+    for round_ in range(ROUNDS):
+        parent = [] if round_ == 0 else ["parent"]
+        earlier = W.partitionBy(*keys, *parent).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+        spans = settled(spans.withColumn("below", F.coalesce(F.sum("k").over(earlier), F.lit(0)) + below))
+        # one row per slot, and a few ranks per group
+        hits = looked_up(spans, settled(wanted.groupBy(*keys).agg(F.collect_list(F.struct("pi", "side", "rank")).alias("asked"))), keys)
+        hits = hits.select(*keys, "slot", "k", "m", "lo", "hi", "below", F.expr("inline(filter(asked, a -> a.rank > below AND a.rank <= below + k))"))
+        hits = settled(hits)
+        lost, widest = hits.agg(F.count_if(F.col("m") == 0), F.coalesce(F.max("m"), F.lit(0))).first()
+        if lost:
+            return None
+        found = hits.where("lo = hi").select(*keys, "pi", "side", F.col("lo").alias("v"))
+        done = found if done is None else done.union(found)
+        open_ = settled(hits.where("lo < hi").select(*keys, "slot", "lo", "hi", "below").distinct())
+        inside = looked_up(rows.where("v IS NOT NULL").select(*keys, "slot", "v", "k"), open_, [*keys, "slot"])
+        if widest <= most or round_ == ROUNDS - 1:
+            break
+        wanted = hits.where("lo < hi").select(*keys, "pi", "side", "rank")
+        cut = split(inside.withColumnRenamed("below", "start"), [*keys, "slot"], "v")
+        rows = settled(cut.select(*keys, F.col("slot").alias("parent"), F.expr(f"slot * {SPLITS} + part").alias("slot"), "v", "k", "start"))
+        below = F.col("start")
+        spans = rows.groupBy(*keys, "parent", "slot").agg(
+            F.sum("k").alias("k"), F.count("v").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.any_value("start").alias("start")
+        )
+    upto = W.partitionBy(*keys, "slot").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    summed = inside.withColumn("upto", F.col("below") + F.sum("k").over(upto)).select(*keys, "slot", "v", "k", "upto")
+    asked = hits.where("lo < hi").groupBy(*keys, "slot").agg(F.collect_list(F.struct("pi", "side", "rank")).alias("asked"))
+    ranked = looked_up(summed, settled(asked), [*keys, "slot"])
+    ranked = ranked.select(*keys, "v", F.expr("inline(filter(asked, a -> a.rank <= upto AND a.rank > upto - k))"))
+    return done.union(ranked.select(*keys, "pi", "side", "v"))
+
+
 def approx_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000
 ) -> DataFrame:
@@ -217,41 +218,100 @@ def digest_cuts(
 
 
 # ---------------------------------------------------------------------------------------------------------------
-# Time slices: ranks and previous values per key
+# Scans along an order: ranks, sums, and previous and following values per key
+
+# Rows of a group that one task takes, and how many of them a splitter is chosen from.
+DEPTH = 1_000_000
+SAMPLED = 32
 
 
-def hour_slice(ts: Column, hours: int = 1) -> Column:
-    """Number of the calendar slice a timestamp falls into; does not depend on the session time zone."""
-    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date"))
-    return F.floor((days * 24 + F.hour(ts)) / F.lit(hours)).cast("bigint")
+def equi_depth(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str, depth: int = DEPTH) -> DataFrame | None:
+    """Rows with a piece number ``into`` that does not decrease along ``order`` and gives pieces of some ``depth`` rows in each
+    group of ``keys``; None if no group has more rows than that.
+
+    Splitters are values of the whole order key, taken at even distances from a sample of each large group. They are chosen by a
+    hash, so that they are the same whenever they are computed; equal keys are never parted. A group costs its splitters,
+    a millionth of its rows, and a row of a group that is not large no search.
+    """
+    at = F.struct(*[F.col(quoted(c)) for c in order])
+    named = df.select(key_of(keys).alias("_grp"), at.alias("_at"))
+    large = settled(named.groupBy("_grp").agg(F.count("*").alias("_n")).where(F.col("_n") > depth))
+    if large.isEmpty():
+        return None
+    chosen = F.pmod(F.xxhash64("_grp", "_at"), F.lit(max(1, depth // SAMPLED))) == 0
+    sampled = looked_up(named.where(chosen), large, ["_grp"]).groupBy("_grp", "_at").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(W.partitionBy("_grp").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    cut = F.expr(f"_upto DIV {SAMPLED} > (_upto - _k) DIV {SAMPLED}")
+    edges = sampled.withColumn("_upto", upto).where(cut).groupBy(F.col("_grp").alias("_key"))
+    edges = settled(edges.agg(F.array_sort(F.collect_list("_at")).alias("_edges")))
+    if within_broadcast(edges):
+        edges = F.broadcast(edges)
+    steps = ", ".join(f"{1 << k}L" for k in reversed(range(32)))
+    search = f"aggregate(array({steps}), 0L, (p, s) -> IF(p + s <= size(_edges) AND _edges[CAST(p + s - 1 AS INT)] <= _at, p + s, p))"
+    found = df.withColumns({"_key": key_of(keys), "_at": at}).join(edges, "_key", "left")
+    return found.withColumn(into, F.expr(f"IF(_edges IS NULL, 0L, {search})")).drop("_key", "_at", "_edges")
 
 
 def sliced_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    piece: Column,
+    piece: Column | None = None,
     last: Mapping[str, Column] | None = None,
     total: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
     rank: str | None = None,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """Window functions over (keys, order) for groups too large to sort in one task.
 
-    ``piece`` must not decrease along ``order`` and splits a group into pieces. On the rows strictly before the
-    current one, ``last`` adds, per name, the latest non-null value of an expression, and ``total`` the sum of an
-    integer expression. ``following`` adds the value of an expression on the next row, and ``rank`` the 1-based row
-    number. Windows run per (keys, piece); one summary row per piece, which reads only the columns it needs and is
-    combined before its shuffle, carries values across.
+    ``piece`` must not decrease along ``order`` and splits a group into pieces; without it, groups of more than ``depth`` rows
+    are cut by splitters of their order. On the rows strictly before the current one, ``last`` adds, per name, the latest
+    non-null value of an expression, and ``total`` the sum of an integer expression. ``following`` adds the value of an
+    expression on the next row, and ``rank`` the 1-based row number. Windows run per (keys, piece); one summary row per piece,
+    which reads only the columns it needs and is combined before its shuffle, carries values across.
     """
     last, total, following = dict(last or {}), dict(total or {}), dict(following or {})
     named = {**last, **total, **{n: F.struct(e.alias("v")) for n, e in following.items()}}
-    base = df.withColumns({"_piece": piece, **{f"_v_{n}": e for n, e in named.items()}})
-    base = base.withColumn("_cell", key_of([*keys, "_piece"]))
+    base = df.withColumns({f"_v_{n}": e for n, e in named.items()})
+    if piece is not None:
+        pieced = base.withColumn("_piece", piece)
+    else:
+        pieced = equi_depth(base, keys, order, "_piece", depth)
+    whole = pieced is None
+    base = base.withColumn("_cell", key_of(keys)) if whole else pieced.withColumn("_cell", key_of([*keys, "_piece"])).drop("_piece")
     here = W.partitionBy("_cell").orderBy(*order)
     before = here.rowsBetween(W.unboundedPreceding, -1)
-    pos = F.struct(*order)
+    new = {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(before) for n in last}
+    new |= {f"_l_{n}": F.sum(f"_v_{n}").over(before) for n in total}
+    new |= {f"_l_{n}": F.lead(f"_v_{n}").over(here) for n in following}
+    if rank:
+        new["_rn"] = F.row_number().over(here)
+    out = base.withColumns(new)
+    if not whole:
+        out = out.join(_carried(base, keys, order, last, total, following), "_cell", "left")
 
+    def joined(name: str) -> Column:
+        return F.col(f"_l_{name}") if whole else F.coalesce(f"_l_{name}", f"_c_{name}")
+
+    def added(own: str, carried: str) -> Column:
+        own_ = F.coalesce(own, F.lit(0))
+        return (own_ if whole else own_ + F.coalesce(carried, F.lit(0))).cast("bigint")
+
+    out = out.withColumns(
+        {
+            **{n: joined(n) for n in last},
+            **{n: added(f"_l_{n}", f"_c_{n}") for n in total},
+            **{n: joined(n).getField("v") for n in following},
+            **({rank: added("_rn", "_off")} if rank else {}),
+        }
+    )
+    return out.drop("_cell", "_off", "_rn", *[f"{p}{n}" for n in named for p in ("_v_", "_l_", "_c_")])
+
+
+def _carried(base: DataFrame, keys: Sequence[str], order: Sequence[str], last, total, following) -> DataFrame:
+    """(_cell, _off, _c_...): per piece, what the group's earlier and next pieces hand over."""
+    pos = F.struct(*order)
     cells = base.groupBy("_cell").agg(
         F.count("*").alias("_cnt"),
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), pos)).alias(f"_t_{n}") for n in last],
@@ -260,27 +320,10 @@ def sliced_scan(
     )
     pieces = W.partitionBy(*[F.col("_cell").getField(k) for k in keys]).orderBy(F.col("_cell").getField("_piece"))
     earlier = pieces.rowsBetween(W.unboundedPreceding, -1)
-    carried = cells.select(
+    return cells.select(
         "_cell",
         F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_off"),
         *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in last],
         *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in total],
         *[F.lead(f"_t_{n}").over(pieces).alias(f"_c_{n}") for n in following],
     )
-    new = {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(before) for n in last}
-    new |= {f"_l_{n}": F.sum(f"_v_{n}").over(before) for n in total}
-    new |= {f"_l_{n}": F.lead(f"_v_{n}").over(here) for n in following}
-    if rank:
-        new["_rn"] = F.row_number().over(here)
-    out = base.withColumns(new).join(carried, "_cell", "left")
-    out = out.withColumns(
-        {
-            **{n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in last},
-            **{
-                n: (F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).cast("bigint") for n in total
-            },
-            **{n: F.coalesce(f"_l_{n}", f"_c_{n}").getField("v") for n in following},
-            **({rank: (F.col("_rn") + F.col("_off")).cast("bigint")} if rank else {}),
-        }
-    )
-    return out.drop("_cell", "_piece", "_off", "_rn", *[f"{p}{n}" for n in named for p in ("_v_", "_l_", "_c_")])

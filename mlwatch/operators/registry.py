@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mlwatch.functions.columns import backfill
 from mlwatch.functions.json import metric
 from mlwatch.operators.frames import attach, grouped, key_of, settled
-from mlwatch.operators.order import hour_slice, sliced_scan
+from mlwatch.operators.order import DEPTH, sliced_scan
 
 # Lifecycle stages and event notes.
 STAGES = ("development", "staging", "production", "archived")
@@ -119,7 +119,7 @@ def register(
     models: DataFrame,
     new: DataFrame,
     order: Sequence[str] = ("created_at", "model_id"),
-    slice_hours: int = 24,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """``new`` with version and parent: each model follows the one registered before it for the same data set.
 
@@ -135,9 +135,9 @@ def register(
         new.drop("stage"),
         ["dataset"],
         list(order),
-        hour_slice(F.col(order[0]), slice_hours),
         last={"_prev": F.col("model_id")},
         rank="_nth",
+        depth=depth,
     )
     seq = attach(seq, stored, ["dataset"])
     version = (F.coalesce(F.col("_s.top"), F.lit(0)) + F.col("_nth")).cast("int")
@@ -201,7 +201,7 @@ def initial_events(models: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def apply_transitions(
-    requests: DataFrame, order: Sequence[str] = ("changed_at", "event_id"), slice_hours: int = 1
+    requests: DataFrame, order: Sequence[str] = ("changed_at", "event_id"), depth: int = DEPTH
 ) -> DataFrame:
     """The stage event log that a sequence of requests (dataset, model_id, to_stage) produces.
 
@@ -211,22 +211,22 @@ def apply_transitions(
 
     A promotion takes production away from the model promoted before it, unless that is the same model or it asked
     for another stage in between. So it is enough to know, for each promotion, the data set's next one, and for each
-    request its model's previous and next: two sliced scans, and a data set with very many requests is not one task.
+    request its model's previous and next: two scans, in which a data set of more than ``depth`` requests is cut at
+    splitters of their order and is not one task, not even if all are of one second.
     """
-    piece = hour_slice(F.col(order[0]), slice_hours)
     at = F.struct(*order)
     valid = requests.where(F.col("to_stage").isin(*STAGES)).select("dataset", "model_id", "to_stage", *order)
     promotion = F.col("to_stage") == "production"
     taker = F.struct(F.col("model_id").alias("model"), at.alias("at"))
-    promoted = sliced_scan(valid.where(promotion), ["dataset"], order, piece, following={"_next": taker})
+    promoted = sliced_scan(valid.where(promotion), ["dataset"], order, following={"_next": taker}, depth=depth)
     rows = promoted.unionByName(valid.where(~promotion), allowMissingColumns=True)
     own = sliced_scan(
         rows,
         ["dataset", "model_id"],
         order,
-        piece,
         last={"_prev": F.struct("to_stage", "_next")},
         following={"_own": at},
+        depth=depth,
     )
     other = F.col("_next.model") != F.col("model_id")
     loses = other & (F.col("_own").isNull() | (F.col("_next.at") < F.col("_own")))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from mlwatch.operators.frames import shared_dir
 
 
-def run_available(stream: DataFrame, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process all available input and return what the query emitted, with the micro-batch it came from.
 
     Output and progress live in the cluster's shared folder. Every micro-batch writes its own folder and replaces it
@@ -23,21 +23,14 @@ def run_available(stream: DataFrame, mode: str = "append", conf: dict[str, str]
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    before = {k: spark.conf.get(k, None) for k in conf or {}}
-    for k, v in (conf or {}).items():
-        spark.conf.set(k, v)
-    try:
-        query = (
-            stream.writeStream.outputMode(mode)
-            .option("checkpointLocation", f"{root}/progress")
-            .foreachBatch(write)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    query = (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", f"{root}/progress")
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     return spark.read.schema(schema).parquet(f"{root}/out")
 

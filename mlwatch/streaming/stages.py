@@ -1,81 +1,67 @@
-"""The stage machine of the model registry as a keyed stateful operator."""
+"""The stage log of the model registry from a stream of requests: a stored relation joins every batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from mlwatch.operators.registry import NOTE_DEMOTED, NOTE_MANUAL, STAGES
+from mlwatch.operators.frames import settled
+from mlwatch.operators.order import DEPTH
+from mlwatch.operators.registry import apply_transitions, current_stage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Before every request: the time of what a batch is told of the ones before.
+BEFORE = "0001-01-01 00:00:00"
+LOG = "dataset string, model_id string, from_stage string, to_stage string, changed_at timestamp, event_id bigint, ord int, note string"
+STATE = "dataset string, model_id string, stage string"
 
-LOG = (
-    "dataset string, model_id string, from_stage string, to_stage string, changed_at timestamp, event_id bigint, "
-    "ord int, note string"
-)
 
+def stage_batch(batch: DataFrame, state: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """The log of a batch of requests (dataset, model_id, to_stage, changed_at, event_id), and the state after it.
 
-class StageMachine(StatefulProcessor):
-    """Per data set: which model holds production, and the stage of every model seen.
+    ``state`` (dataset, model_id, stage) is the stage each model has when the batch begins. It leads the batch as
+    one request per model, at a time before all others, of which only what the batch changes is logged: the batch
+    operator then sees the models promoted earlier and the stages left. Only models of data sets in the batch take part.
+    """
+    named = ("changed_at", "event_id")
+    known = state.join(batch.select("dataset").distinct(), "dataset", "left_semi")
+    told = known.select(
+        "dataset", "model_id", F.col("stage").alias("to_stage"), F.lit(BEFORE).cast("timestamp").alias("changed_at"), F.lit(None).cast("bigint").alias("event_id")
+    )
+    log = settled(apply_transitions(told.unionByName(batch.select(*told.columns)), named, depth).where(F.col("event_id").isNotNull()))
+    after = current_stage(log)
+    return log, state.join(after, ["dataset", "model_id"], "left_anti").unionByName(after)
+
+
+def stage_batch_writer(path: str, depth: int = DEPTH) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that stores the stage log of every micro-batch under ``path``, in the shared folder.
 
-    Requests of one micro-batch are applied in (changed_at, event_id) order; a request that arrives in a later batch
-    is applied then. The batch form orders all requests at once, so the two agree when no request is late.
+    The state after a batch has a folder of its own and leads the next one. A batch that is run again reads the state before
+    it and replaces what it wrote. A request that arrives in a later batch is applied then.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        text = T.StructType([T.StructField("value", T.StringType())])
-        self.holder = handle.getValueState("holder", text)
-        self.stages = handle.getMapState("stages", text, text)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        dataset = key[0]
-        held = self.holder.get()[0] if self.holder.exists() else None
-        # Each model's stage is read from the state once and written back once per micro-batch.
-        now: dict[str, str] = {}
-        for r in sorted(rows, key=lambda r: (r.changed_at, r.event_id)):
-            if r.to_stage not in STAGES:
-                continue
-            old = now[r.model_id] if r.model_id in now else self._stage(r.model_id)
-            now[r.model_id] = old
-            if old == r.to_stage:
-                continue
-            if r.to_stage == "production":
-                if held is not None and held != r.model_id:
-                    now[held] = "staging"
-                    yield self._row(dataset, held, "production", "staging", r, 0, NOTE_DEMOTED + r.model_id)
-                held = r.model_id
-            elif held == r.model_id:
-                held = None
-            now[r.model_id] = r.to_stage
-            yield self._row(dataset, r.model_id, old, r.to_stage, r, 1, NOTE_MANUAL)
-        for model_id, stage in now.items():
-            self.stages.updateValue((model_id,), (stage,))
-        self.holder.update((held,))
-
-    def _stage(self, model_id: str) -> str:
-        k = (model_id,)
-        return self.stages.getValue(k)[0] if self.stages.containsKey(k) else "development"
-
-    @staticmethod
-    def _row(dataset, model_id, old, new, r, ord_, note) -> Row:
-        return Row(
-            dataset=dataset, model_id=model_id, from_stage=old, to_stage=new, changed_at=r.changed_at,
-            event_id=r.event_id, ord=ord_, note=note,
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def stream_transitions(requests: DataFrame) -> DataFrame:
-    """The stage event log of a stream of requests (dataset, model_id, to_stage, changed_at, event_id).
-
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). State and order are per data
-    set, so one data set is one task per micro-batch; bound the batches with the source's rate options.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(STATE).parquet(f"{path}/state/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], STATE)
+        log, after = stage_batch(batch, state, depth)
+        after.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        log.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+
+    return write
+
+
+def stream_transitions(requests: DataFrame, path: str, depth: int = DEPTH) -> DataFrame:
+    """The stage event log of a stream of requests, with the micro-batch each event came from, once everything available is processed.
+
+    A data set is not one task: each batch runs the batch operator on the requests and the stored state. ``path`` lies in the
+    cluster's shared folder and holds log, state and progress.
     """
-    return requests.groupBy("dataset").transformWithState(
-        statefulProcessor=StageMachine(), outputStructType=LOG, outputMode="Append", timeMode="None"
+    query = (
+        requests.writeStream.foreachBatch(stage_batch_writer(path, depth))
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+    return requests.sparkSession.read.schema(f"{LOG}, batch bigint").parquet(f"{path}/log")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -81,6 +82,29 @@ def test_repeat_runs_from_the_last_alert_sent(spark):
     assert sorted(r.event_id for r in A.dedup_repeat(df).collect()) == want
 
 
+@pytest.mark.parametrize("depth", [1, 40, 10**6])
+def test_repeat_in_pieces(spark, depth):
+    """Busy groups are cut in pieces; quiet ones, bursts within a second and times much denser than the interval agree with a plain loop."""
+    rng = random.Random(depth)
+    times = {
+        "even": [60 * i for i in range(400)],
+        "burst": [0.000001 * i for i in range(300)],
+        "steps": [3600 * i for i in range(100)],
+        "random": sorted(rng.uniform(0, 80_000) for _ in range(500)),
+        "gaps": [100_000 * i + j for i in range(20) for j in (0, 3599, 3600, 7199.5)],
+        "one": [5],
+    }
+    rows = [(i, g, None, "critical", T0 + timedelta(seconds=t)) for i, (g, t) in enumerate((g, t) for g, own in times.items() for t in own)]
+    rows.append((10**6, "even", None, "critical", None))
+    df = spark.createDataFrame(rows, "event_id int, alertname string, job string, severity string, ts timestamp").repartition(5)
+    want, last = set(), {}
+    for i, g, _, _, t in sorted(rows[:-1], key=lambda r: (r[1], r[4], r[0])):
+        if g not in last or t >= last[g] + timedelta(hours=1):
+            want.add(i)
+            last[g] = t
+    assert {r.event_id for r in A.dedup_repeat(df, depth=depth).collect()} == want
+
+
 def test_warnings_after_a_critical_are_heard(spark):
     df = spark.createDataFrame([(i, "A", "j", s, T0 + timedelta(seconds=t)) for i, (s, t) in enumerate(
         [("warning", -1), ("critical", 0), ("warning", 0), ("warning", 299), ("warning", 300), ("info", 10), ("warning", 86400)])],
@@ -161,14 +185,37 @@ def test_stage_stream_equals_the_loop_across_batches(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame(reqs[i * 100 : (i + 1) * 100], ddl).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path)
-    out = run_available(
-        M.stream_transitions(stream), conf={"spark.sql.streaming.stateStore.providerClass": M.ROCKSDB}
-    )
+    out = M.stream_transitions(stream, str(tmp_path / "stages"), depth=20)
     assert out.select("batch").distinct().count() == 3
     got = sorted((r.dataset, r.model_id, r.from_stage, r.to_stage, r.event_id, r.ord) for r in out.collect())
     assert got == fold(reqs)[0]
 
 
+def test_a_stage_batch_that_is_run_again_and_late_requests(spark, tmp_path):
+    """A repeated batch replaces its rows; what arrives late is applied when it arrives; other data sets keep their state."""
+    ddl = "dataset string, model_id string, to_stage string, changed_at timestamp, event_id long"
+    batches = [
+        [("a", "m1", "production", T0, 1), ("b", "x", "staging", T0, 2)],
+        [("a", "m2", "production", T0 - timedelta(days=9), 3), ("a", "m1", "nonsense", T0, 4)],
+        [("a", "m1", "staging", T0, 5), ("b", "x", "production", T0, 6), ("b", "y", "production", T0, 7)],
+    ]
+    write = M.stage_batch_writer(str(tmp_path))
+    for i in (0, 1, 1, 2, 2):
+        write(spark.createDataFrame(batches[i], ddl), i)
+    log = spark.read.parquet(str(tmp_path / "log")).orderBy("event_id", "ord").collect()
+    assert [(r.batch, r.dataset, r.model_id, r.from_stage, r.to_stage, r.event_id, r.ord) for r in log] == [
+        (0, "a", "m1", "development", "production", 1, 1),
+        (0, "b", "x", "development", "staging", 2, 1),
+        (1, "a", "m1", "production", "staging", 3, 0),
+        (1, "a", "m2", "development", "production", 3, 1),
+        (2, "b", "x", "staging", "production", 6, 1),
+        (2, "b", "x", "production", "staging", 7, 0),
+        (2, "b", "y", "development", "production", 7, 1),
+    ]
+    state = spark.read.parquet(str(tmp_path / "state" / "batch=2")).collect()
+    assert {(r.dataset, r.model_id, r.stage) for r in state} == {("a", "m1", "staging"), ("a", "m2", "production"), ("b", "x", "staging"), ("b", "y", "production")}
+
+
 def test_repeat_suppression_stream(spark, tmp_path):
     rows = [(i, "A", "j", "critical", T0 + timedelta(minutes=7 * i)) for i in range(60)] + [(99, "B", None, "critical", T0)]
     df = spark.createDataFrame(rows, "event_id int, alertname string, job string, severity string, ts timestamp")
