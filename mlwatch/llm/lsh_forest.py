@@ -25,6 +25,8 @@ CHAINS = 4
 CHAIN_DEPTH = 16
 DEPTHS = (DEPTH, 4, 6, 8, 12, 18, 27, 40, VALUES)
 MINOR = 1024
+BLOCK = 1024
+NEAREST = 8
 MISS = 1e-6
 LIMBS = VALUES // 24
 FIT_SIGMAS = 5.5
@@ -72,18 +74,20 @@ def signatures(df: DataFrame, text: str, k: int, seed: int) -> DataFrame:
     return settled(df.select(F.col(text).alias("text")).mapInArrow(run, schema).dropDuplicates(["cls"]))
 
 
-def alike(percent: int) -> Column:
-    """Whether two sets may be similar enough: by their sizes, and by how many of their values agree in two bits.
+def most_differing(percent: int) -> int:
+    """How many values of similar sets differ in two bits at most; more do once in 5e7, FIT_SIGMAS standard deviations above the mean."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    return math.ceil(VALUES * (1 - p) + FIT_SIGMAS * math.sqrt(VALUES * p * (1 - p)))
 
-    Sizes rule out no similar pair. Similar sets agree in fewer than FIT_SIGMAS standard deviations below the mean once in 5e7.
-    """
+
+def alike(percent: int) -> Column:
+    """Whether two sets may be similar enough: by their sizes, which rule out no similar pair, and by how many values agree in two bits."""
     both = (F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100)
     differ = F.lit(0)
     for j in range(LIMBS):
         x = F.col(f"a_limb{j}").bitwiseXOR(F.col(f"b_limb{j}"))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555_5555_5555)))
-    p = percent / 100 + (1 - percent / 100) / 4
-    return both & (differ <= math.ceil(VALUES * (1 - p) + FIT_SIGMAS * math.sqrt(VALUES * p * (1 - p))))
+    return both & (differ <= most_differing(percent))
 
 
 def sides(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -184,20 +188,98 @@ def region_keys(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("cls", "signature", "trees").mapInArrow(run, "tree int, key long, cls long")
 
 
-def searched(found: DataFrame, roots: DataFrame, missed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+Region = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def met(left: Region, right: Region, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (left, right) of classes of different components that may be similar; the most alike of each left one if ``nearest``."""
+    (_, comp, n, limbs), (_, comp_, n_, limbs_) = left, right
+    differ = np.zeros((len(comp), len(comp_)), np.uint8)
+    for j in range(LIMBS):
+        x = limbs[:, None, j] ^ limbs_[None, :, j]
+        differ += np.bitwise_count((x | (x >> 1)) & 0x5555_5555_5555)
+    fits = (comp[:, None] != comp_) & (n[:, None] * percent <= n_ * 100) & (n_ * percent <= n[:, None] * 100) & (differ <= most_differing(percent))
+    if not nearest:
+        return np.nonzero(fits)
+    best = np.where(fits, differ, 255).argmin(axis=1)
+    some = np.flatnonzero(fits[np.arange(len(best)), best])
+    return some, best[some]
+
+
+def compared(regions: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b): candidates in regions (tree, key, cls, comp, n, limbs, major): classes outside a region's largest component with all others.
+
+    Those outside come first and are held; the largest component passes by, a batch at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def pairs(left: Region, right: Region, out: list) -> None:
+            for i in range(0, len(left[0]), BLOCK):
+                block = tuple(x[i : i + BLOCK] for x in left)
+                for j in range(0, len(right[0]), BLOCK):
+                    other = tuple(x[j : j + BLOCK] for x in right)
+                    x, y = met(block, other, percent, nearest)
+                    out.append(np.stack([block[0][x], other[0][y]]))
+
+        def closed(out: list) -> None:
+            """The held classes with each other, once they are all known."""
+            if len(held) > 1 or (held and len(held[0][0]) > 1):
+                own = tuple(np.concatenate([h[k] for h in held]) for k in range(4))
+                held[:] = [own]
+                pairs(own, own, out)
+
+        for b in batches:
+            out: list[np.ndarray] = []
+            tree, key, minor = (b.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "key", "minor"))
+            columns = (b.column("cls").to_numpy(), b.column("comp").to_numpy(), b.column("n").to_numpy().astype(np.int64), np.stack([b.column(f"limb{j}").to_numpy() for j in range(LIMBS)], axis=1))
+            cuts = np.flatnonzero((tree[1:] != tree[:-1]) | (key[1:] != key[:-1]) | (minor[1:] != minor[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tree)], strict=True):
+                if i == j:
+                    continue
+                part = tuple(x[i:j] for x in columns)
+                if (tree[i], key[i]) != (last[:2] if last else None):
+                    if last and last[2]:
+                        closed(out)
+                    held = []
+                elif last[2] and not minor[i]:
+                    closed(out)
+                if minor[i]:
+                    held.append(part)
+                else:
+                    for own in held:
+                        pairs(own, part, out)
+                last = (tree[i], key[i], minor[i])
+            if out:
+                yield batch_of(np.concatenate(out, axis=1))
+        out = []
+        if last and last[2]:
+            closed(out)
+        if out:
+            yield batch_of(np.concatenate(out, axis=1))
+
+    def batch_of(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found.max(axis=0)), pa.array(found.min(axis=0))], ["a", "b"])
+
+    marked = regions.withColumn("minor", F.col("comp") != F.col("major"))
+    return marked.repartition("tree", "key").sortWithinPartitions("tree", "key", F.desc("minor")).mapInArrow(run, "a long, b long")
+
+
+def searched(found: DataFrame, roots: DataFrame, missed: DataFrame, percent: int, trees: int = TREES, nearest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs, missed) of one round: candidates (a, b) of different components, and what chance each class is left with to
     have missed a partner, as a logarithm.
 
     A region is the classes that share a prefix of a sorted order. It is compared where at most MINOR of its classes are
     outside its largest component: these with all of it, so that work grows with the classes alone. Others are
     searched one step deeper, in smaller regions, which may part similar classes; ``missed`` keeps account. Comparing is
-    cheap, a few numbers of each, and only the pairs that pass it leave the join.
+    cheap, a few numbers of each, and only the pairs that pass it are sent on; with ``nearest`` one for each class.
     """
     chance = F.lit(percent / 100)
     facts = found.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls"))
     facts = settled(facts.select("cls", "comp", "n", *[f"limb{j}" for j in range(LIMBS)]))
     open_ = missed.where(F.col("missed") > math.log(MISS)).select(F.col("cls").alias("needed"))
-    rows = found.select("cls", "signature", F.array(*[F.lit(t) for t in range(TREES)]).alias("trees"))
+    rows = found.select("cls", "signature", F.array(*[F.lit(t) for t in range(trees)]).alias("trees"))
     pairs, closed = None, []
     for step, depth in enumerate(DEPTHS):
         at = settled(region_keys(rows, depth).join(facts.select("cls", "comp"), "cls"))
@@ -205,19 +287,14 @@ def searched(found: DataFrame, roots: DataFrame, missed: DataFrame, percent: int
         regions = sizes.groupBy("tree", "key").agg(
             F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("needed").alias("needed")
         )
-        mixed_ = settled(regions.where("comps > 1 and needed > 0").select("tree", "key", F.col("major.comp").alias("major"), (F.col("size") - F.col("major.size")).alias("minors")))
+        shared = settled(regions.where("comps > 1 and needed > 0").select("tree", "key", F.col("major.comp").alias("major"), (F.col("size") - F.col("major.size")).alias("minors")))
         fits = F.lit(True) if depth == VALUES else F.col("minors") <= MINOR
-        here = at.join(mixed_.where(fits), ["tree", "key"]).join(facts.drop("comp"), "cls")
-        columns = ["cls", "comp", "n", *[f"limb{j}" for j in range(LIMBS)]]
-        left = here.where(F.col("comp") != F.col("major")).select("tree", "key", *[F.col(c).alias(f"a_{c}") for c in columns])
-        right = here.select("tree", "key", "major", *[F.col(c).alias(f"b_{c}") for c in columns])
-        once = (F.col("b_comp") == F.col("major")) | (F.col("a_cls") < F.col("b_cls"))
-        met = left.join(right, ["tree", "key"]).where((F.col("a_comp") != F.col("b_comp")) & once & alike(percent))
-        met = met.select(F.greatest("a_cls", "b_cls").alias("a"), F.least("a_cls", "b_cls").alias("b"))
-        pairs = met if pairs is None else pairs.union(met)
-        deeper = at.join(mixed_.where(~fits), ["tree", "key"]).select("cls", "tree")
+        here = at.join(shared.where(fits), ["tree", "key"]).join(facts.drop("comp"), "cls")
+        own = compared(here, percent, nearest)
+        pairs = own if pairs is None else pairs.union(own)
+        deeper = at.join(shared.where(~fits), ["tree", "key"]).select("cls", "tree")
         if step:
-            closed.append(at.join(mixed_.where(~fits), ["tree", "key"], "left_anti").select("cls", F.log1p(-F.pow(chance, F.lit(depth))).alias("chance")))
+            closed.append(at.join(shared.where(~fits), ["tree", "key"], "left_anti").select("cls", F.log1p(-F.pow(chance, F.lit(depth))).alias("chance")))
         lists = settled(deeper.groupBy("cls").agg(F.collect_list("tree").alias("trees")))
         if lists.isEmpty():
             break
@@ -225,31 +302,38 @@ def searched(found: DataFrame, roots: DataFrame, missed: DataFrame, percent: int
             first = F.log1p(-F.pow(chance, F.lit(DEPTH)))
             closed.append(lists.select("cls", (-F.size("trees") * first).alias("chance")))
         rows = found.select("cls", "signature").join(lists, "cls")
-    gained = found.select("cls", F.lit(TREES * math.log1p(-((percent / 100) ** DEPTH))).alias("chance"))
+    pairs = settled(pairs.distinct())
+    if nearest:
+        return pairs, missed
+    gained = found.select("cls", F.lit(trees * math.log1p(-((percent / 100) ** DEPTH))).alias("chance"))
     for more in closed:
         gained = gained.union(more)
     gained = gained.groupBy("cls").agg(F.sum("chance").alias("chance"))
     left_over = missed.join(gained, "cls").select("cls", (F.col("missed") + F.col("chance")).alias("missed"))
-    return settled(pairs.distinct()), settled(left_over)
+    return pairs, settled(left_over)
 
 
 def near_classes(df: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     """(node, root): classes that have a link, with the smallest class of their component.
 
-    Neighbours in a few sorted orders link most of every family at little cost. Then all trees are searched for
-    pairs that are not yet connected, with new hash functions round by round, until every class has missed
-    a similar one with a chance of less than MISS.
+    Neighbours in a few sorted orders, then the most alike ones in the regions of a few trees, link most of every family with
+    a few pairs of each class. Then all trees are searched for pairs that are not yet connected, with new hash
+    functions round by round, until every class has missed a similar one with a chance of less than MISS.
     """
     found = signatures(df, text, k, 0)
-    links = settled(confirmed(settled(chained(found, percent)), df, text, k, percent))
-    roots = components(links)
+    roots = components(confirmed(settled(chained(found, percent)), df, text, k, percent))
     missed = found.select("cls", F.lit(0.0).alias("missed"))
+
+    def grown(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return roots
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(confirmed(pairs, df, text, k, percent)))
+
+    roots = grown(searched(found, roots, missed, percent, NEAREST, True)[0])
     round_ = 0
     while True:
         pairs, missed = searched(found, roots, missed, percent)
-        links = settled(confirmed(pairs, df, text, k, percent))
-        if not links.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+        roots = grown(pairs)
         if missed.where(F.col("missed") > math.log(MISS)).isEmpty():
             return roots
         round_ += 1
