@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_BITS = 26
-SHIFTS = (0, 12, 25, 38)
+SHIFTS = (0, 5, 9, 14)
 
 
 class Bitmap:
@@ -25,7 +25,7 @@ class Bitmap:
 
 
 def bitmap(hashes: DataFrame, most_bits: int = MOST_BITS) -> Bitmap:
-    """The bitmap of a settled column of well-mixed 64-bit hashes, of 2 to the power of ``most_bits`` bits at most.
+    """The bitmap of a settled column of well-mixed hashes of 40 bits or more, of 2 to the power of ``most_bits`` bits at most.
 
     Spark puts the bits together; the driver gets one number for each 64 of them, 8 MB in all at most, whatever the input.
     A hash sets up to four bits, fewer where they are short. Nulls are left out; no hashes give a bitmap that has none.

@@ -24,6 +24,7 @@ WITHIN = 80
 SCALE = 2_000_000
 SHARD = 300_000
 LOT = 1 << 20
+SPARE_BITS = 14
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09]] = True
 CUT = np.zeros(256, bool)
@@ -84,22 +85,27 @@ def in_piece(piece: np.ndarray, size: int) -> np.ndarray:
     return piece[size - 1 :] == piece[:n]
 
 
-def run_counts(texts: DataFrame, shared, sizes: range, part: int) -> DataFrame:
+def leading(code: np.ndarray, bits: int) -> np.ndarray:
+    return code >> np.uint64(64 - bits)
+
+
+def run_counts(texts: DataFrame, shared, sizes: range, part: int, bits: int, cut: int) -> DataFrame:
     """(code, n): how often runs of words stand in the texts whose parts of ``part`` words are all in the shared bitmap.
 
-    Whatever is frequent has frequent parts, so nothing frequent is left out. Each lot sends equal runs once, as a hash.
+    Whatever is frequent has frequent parts, so nothing frequent is left out. Each lot sends equal runs once, as the leading
+    ``cut`` bits of their hash; the bitmap has the leading ``bits``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Bitmap = shared.value
         for b in slices(batches, "text", LOT):
             _, _, code, piece, _ = positions(b)
-            own = known.has(run_codes(code, part))
+            own = known.has(leading(run_codes(code, part), bits))
             for size in sizes:
                 fits = in_piece(piece, size)
                 for j in range(size - part + 1):
                     fits = fits & own[j : j + len(fits)]
-                found, n = np.unique(run_codes(code, size)[fits], return_counts=True)
+                found, n = np.unique(leading(run_codes(code, size)[fits], cut), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["code", "n"])
 
     return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -113,8 +119,8 @@ def codes_of(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def spelled_out(texts: DataFrame, codes: DataFrame) -> DataFrame:
-    """(code, w1, ..., w4): the words of the runs with the settled ``codes``, 0 after a run's end."""
+def spelled_out(texts: DataFrame, codes: DataFrame, cut: int) -> DataFrame:
+    """(code, w1, ..., w4): hash and words of the runs whose hashes begin with the settled ``codes`` of ``cut`` bits, 0 after a run's end."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap(codes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +129,18 @@ def spelled_out(texts: DataFrame, codes: DataFrame) -> DataFrame:
             _, _, code, piece, _ = positions(b)
             for size in range(2, LONGEST + 1):
                 whole = run_codes(code, size)
-                at = np.flatnonzero(in_piece(piece, size) & known.has(whole))
-                whole, one = np.unique(whole[at], return_index=True)
+                at = np.flatnonzero(in_piece(piece, size) & known.has(leading(whole, cut)))
+                one = np.unique(whole[at], return_index=True)[1]
                 words = [pa.array((code[at[one] + j] if j < size else np.zeros(len(one), np.uint64)).view(np.int64)) for j in range(LONGEST)]
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), *words], ["code", *WORDS])
+                yield pa.RecordBatch.from_arrays(words, WORDS)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(codes_of(words_of(b)).view(np.int64)), *b.columns], ["code", *WORDS])
 
-    return texts.mapInArrow(run, COUNTED).dropDuplicates(["code"]).join(codes, "code", "left_semi")
+    once = texts.mapInArrow(run, f"{' long, '.join(WORDS)} long").distinct().mapInArrow(named, COUNTED)
+    begins = codes.select(F.col("code").alias("begin"))
+    return once.join(begins, F.shiftrightunsigned(once["code"], 64 - cut) == F.col("begin"), "left_semi")
 
 
 def words_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -232,10 +244,12 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     counts = settled(word_counts(texts))
     words = counts.where(F.col("n") >= least)
     shared = spark.sparkContext.broadcast(bitmap(words.select("code")))
-    pairs = settled(run_counts(texts, shared, range(2, 3), 1).where(F.col("n") >= least).select("code"))
+    # so many bits that runs that meet by chance add little to a count
+    cut = min(64, int(counts.agg(F.sum("n")).first()[0] or 0).bit_length() + SPARE_BITS)
+    pairs = settled(run_counts(texts, shared, range(2, 3), 1, 64, cut).where(F.col("n") >= least).select("code"))
     shared = spark.sparkContext.broadcast(bitmap(pairs))
-    longer = run_counts(texts, shared, range(3, LONGEST + 1), 2).where(F.col("n") >= least).select("code")
-    candidates = settled(spelled_out(texts, settled(pairs.union(longer))))
+    longer = run_counts(texts, shared, range(3, LONGEST + 1), 2, cut, cut).where(F.col("n") >= least).select("code")
+    candidates = settled(spelled_out(texts, settled(pairs.union(longer).distinct()), cut))
     phrases = settled(trie_counts(texts, candidates, shard).where(F.col("a") >= least))
     cuts, inner = parts_of(candidates)
     best = settled(scored(phrases, words, cuts).join(absorbed(phrases, inner, within), "code", "left_anti"))
