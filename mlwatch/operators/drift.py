@@ -137,7 +137,9 @@ def _distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str], n_bins: int,
     )
     d, by_bin, _ = largest_gap(cells, stats.where("n_ref > 0 AND n_cur > 0"), keys, ["psi_bin"])
     wide = by_bin.withColumnRenamed("psi_bin", "bin").groupBy(*keys).agg(*bin_sums(n_bins))
-    out = attach(attach(stats, settled(wide), keys), settled(d), keys, "_d")
+    out = stats.withColumn("_key", F.struct(*keys))
+    for found, name in ((wide, "_s"), (d, "_d")):
+        out = out.join(found.select(F.struct(*keys).alias("_key"), F.struct(*[c for c in found.columns if c not in keys]).alias(name)), "_key", "left")
     return out.select(*keys, "n_ref", "n_cur", F.col("_d.d").alias("d"), _psi_column(n_bins, "_s.").alias("psi"))
 
 

@@ -51,6 +51,17 @@ def within_broadcast(stats: DataFrame) -> bool:
     return (size or 0) <= BROADCAST_BYTES
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores behind it that no column of the frame has it; case does not tell names apart."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def key_of(by: Sequence[str]) -> Column:
     """The grouping keys as one struct. Equality of structs is null-safe, so null groups find each other in joins."""
     return F.struct(*[F.col(quoted(k)) for k in by])
@@ -66,10 +77,11 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = (), name: str =
     if not by:
         row = stats.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()
         return df.withColumn(name, F.from_json(F.lit(row[0]), stats.schema))
-    packed = stats.select(key_of(by).alias("_key"), F.struct(*[c for c in stats.columns if c not in by]).alias(name))
+    (key,) = unused(df, "_key")
+    packed = stats.select(key_of(by).alias(key), F.struct(*[c for c in stats.columns if c not in by]).alias(name))
     if within_broadcast(stats):
         packed = F.broadcast(packed)
-    return df.withColumn("_key", key_of(by)).join(packed, "_key", "left").drop("_key")
+    return df.withColumn(key, key_of(by)).join(packed, key, "left").drop(key)
 
 
 def side_by_side(frames: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:

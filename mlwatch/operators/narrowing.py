@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mlwatch.operators.frames import settled, within_broadcast
+from mlwatch.operators.frames import settled, unused, within_broadcast
 
 # Parts of the first round, and of an open part in each later one; a long holds a path of ROUNDS parts.
 BINS = 1 << 12
@@ -44,7 +44,7 @@ def split(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return looked_up(rows, edges, keys).withColumn("part", bucket_of(value, "edges", SPLITS).cast("bigint")).drop("edges")
 
 
-def bin_sql(value: str, lo: str, hi: str, bins: int = BINS) -> str:
+def bin_sql(value: str, lo: str, hi: str, bins: int) -> str:
     """Which of ``bins`` parts of lo..hi holds a value between them, never less for a larger value, as SQL.
 
     The ends have bins of their own and the rest is cut evenly. Where the width overflows, all but the ends share a bin.
@@ -55,10 +55,11 @@ def bin_sql(value: str, lo: str, hi: str, bins: int = BINS) -> str:
 
 def looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with the columns of the settled ``table`` of their keys, null-safe; rows without an entry leave."""
-    packed = table.select(F.struct(*keys).alias("_looked"), *[c for c in table.columns if c not in keys])
+    (at,) = unused(rows, "_at")
+    packed = table.select(F.struct(*keys).alias(at), *[c for c in table.columns if c not in keys])
     if within_broadcast(table):
         packed = F.broadcast(packed)
-    return rows.withColumn("_looked", F.struct(*keys)).join(packed, "_looked").drop("_looked")
+    return rows.withColumn(at, F.struct(*keys)).join(packed, at).drop(at)
 
 
 def share(part: str, whole: str) -> str:
@@ -80,44 +81,51 @@ def largest_gap(cells: DataFrame, ranges: DataFrame, keys: Sequence[str], parts:
     Returns (keys, d); the counts (keys, *parts, r, c) of the first round, by the SQL expressions of ``parts`` by name; and the cells that travel.
     """
     named = list(parts)
-    level = settled(ranges.select(*keys, F.lit(0).cast("bigint").alias("slot"), "lo", "hi", *[F.lit(0).cast("bigint").alias(c) for c in ("r0", "c0")]))
-    sizes = settled(ranges.select(*keys, "n_ref", "n_cur"))
-    total = sizes.agg(F.sum(F.col("n_ref") + F.col("n_cur"))).first()[0] or 0
-    rows = cells.withColumn("slot", F.lit(0).cast("bigint"))
-    best, by_part = None, None
+    zero = F.lit(0).cast("bigint")
+    level = ranges.select(*keys, zero.alias("slot"), "lo", "hi", "n_ref", "n_cur", zero.alias("r0"), zero.alias("c0"), F.lit(0.0).alias("d"))
+    carried = ["n_ref", "n_cur", "r0", "c0", "d"]
+    total = ranges.agg(F.sum(F.col("n_ref") + F.col("n_cur"))).first()[0] or 0
+    rows, best, by_part = cells.withColumn("slot", zero), None, None
     for round_ in range(ROUNDS):
         here = looked_up(rows, level, [*keys, "slot"])
         if round_ == 0:
-            here = here.withColumn("part", F.expr(bin_sql("value", "lo", "hi")))
+            here = here.withColumn("part", F.expr(bin_sql("value", "lo", "hi", BINS)))
         else:
-            here = split(here.select(*keys, "side", "value", "slot"), [*keys, "slot"], "value")
+            here = split(here.drop("lo", "hi"), [*keys, "slot"], "value")
         counted = here.groupBy(*keys, "slot", "part", *(named if round_ == 0 else ())).agg(
-            F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")
+            F.count_if(F.col("side") == 0).alias("r"),
+            F.count_if(F.col("side") == 1).alias("c"),
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+            *[F.first(x).alias(x) for x in carried],
         )
         if round_ == 0 and named:
             counted = settled(counted)
             by_part = counted.groupBy(*keys, *named).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-            counted = counted.groupBy(*keys, "slot", "part").agg(*[F.sum(x).alias(x) for x in "rc"], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        # one row per part: at most BINS in a window
+            counted = counted.groupBy(*keys, "slot", "part").agg(
+                *[F.sum(x).alias(x) for x in "rc"], F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.first(x).alias(x) for x in carried]
+            )
+        # one row per part: at most BINS in a window, and per group those of all open parts
         before = W.partitionBy(*keys, "slot").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-        starts = {f"{x}0": F.coalesce(F.sum(x).over(before), F.lit(0)) + F.col(f"level_{x}0") for x in "rc"}
-        own = level.select(*keys, "slot", *[F.col(f"{x}0").alias(f"level_{x}0") for x in "rc"])
-        placed = looked_up(looked_up(counted, own, [*keys, "slot"]).withColumns(starts), sizes, keys)
+        starts = {f"{x}0": F.coalesce(F.sum(x).over(before), F.lit(0)) + F.col(f"{x}0") for x in "rc"}
+        placed = counted.withColumns(starts).withColumn("at_end", F.expr(gap("r0 + r", "c0 + c")))
+        placed = placed.withColumn("d", F.greatest("d", F.max("at_end").over(W.partitionBy(*keys))))
         bound = F.expr(f"greatest({gap('r0 + r', 'c0')}, {gap('r0', 'c0 + c')})")
-        placed = settled(placed.withColumn("at_end", F.expr(gap("r0 + r", "c0 + c"))).withColumn("bound", F.when(F.col("hi") > F.col("lo"), bound)))
-        found = placed.groupBy(*keys).agg(F.max("at_end").alias("d"))
-        best = settled(found if best is None else best.union(found).groupBy(*keys).agg(F.max("d").alias("d")))
-        open_ = looked_up(placed.where("bound IS NOT NULL"), best, keys).where("bound > d")
-        level = settled(open_.select(*keys, F.expr(f"slot * {SPLITS} + part").alias("slot"), "lo", "hi", "r0", "c0", (F.col("r") + F.col("c")).alias("k")))
+        placed = settled(placed.withColumn("open", (F.col("hi") > F.col("lo")) & (bound > F.col("d"))))
+        found = placed.groupBy(*keys).agg(F.max("d").alias("d"))
+        best = found if best is None else best.union(found)
+        inner = F.expr(f"slot * {SPLITS} + part").alias("slot")
+        level = placed.where("open").select(*keys, inner, "lo", "hi", *carried, (F.col("r") + F.col("c")).alias("k"))
         left, most = level.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
-        rows = here.select(*keys, "side", "value", F.expr(f"slot * {SPLITS} + part").alias("slot"))
+        level = level.drop("k")
+        rows = here.select(*keys, "side", "value", inner)
         if left <= SHARE * total and most <= TASK_VALUES:
             break
-    travel = looked_up(rows, level.drop("k", "lo", "hi"), [*keys, "slot"])
+    travel = looked_up(rows, level.drop("lo", "hi", "d"), [*keys, "slot"])
     values = travel.groupBy(*keys, "slot", "value").agg(
-        F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"), F.any_value("r0").alias("r0"), F.any_value("c0").alias("c0")
+        F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"), *[F.first(x).alias(x) for x in carried[:-1]]
     )
     upto = W.partitionBy(*keys, "slot").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    sums = values.select(*keys, *[(F.sum(x).over(upto) + F.col(f"{x}0")).alias(x) for x in "rc"])
-    inside = looked_up(sums, sizes, keys).groupBy(*keys).agg(F.max(F.expr(gap("r", "c"))).alias("d"))
+    sums = values.select(*keys, "n_ref", "n_cur", *[(F.sum(x).over(upto) + F.col(f"{x}0")).alias(x) for x in "rc"])
+    inside = sums.groupBy(*keys).agg(F.max(F.expr(gap("r", "c"))).alias("d"))
     return best.union(inside).groupBy(*keys).agg(F.max("d").alias("d")), by_part, travel

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+from itertools import combinations
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from itertools import combinations
-
 from mlwatch.functions.stats import ks_pvalue
 from mlwatch.operators import drift as D
+from mlwatch.operators import narrowing
+from mlwatch.plans.drift import lineitem_sides
 
 
 def np_psi(r, c, n=10):
@@ -135,3 +138,52 @@ def test_health_and_alerts(spark):
     assert [(r.health_score, r.health_label) for r in D.drift_health(s).collect()] == [(80, "STABLE"), (0, "DRIFTED")]
     alerts = D.drift_alerts(s, "iris").collect()
     assert [a.message for a in alerts] == ["Data drift detected for dataset=iris; ratio=0.50"]
+
+
+def plain_distance(a, b):
+    """The largest difference of the shares of values at most x, over all x."""
+    a, b = np.sort(a), np.sort(b)
+    at = np.concatenate([a, b])
+    return np.abs(np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max()
+
+
+@pytest.mark.parametrize("shape", ["same", "shifted", "ties", "wide", "one", "inside"])
+def test_largest_gap_by_bound_and_prune(spark, shape, monkeypatch):
+    """Few values travel, also when the sides hardly differ and when one part holds nearly all values."""
+    monkeypatch.setattr(narrowing, "BINS", 64)
+    monkeypatch.setattr(narrowing, "TASK_VALUES", 200)
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=6000), rng.normal(size=5000)
+    if shape == "shifted":
+        b = b + 0.3
+    elif shape == "ties":
+        a, b = np.round(a, 1), np.round(b + 0.05, 1)
+    elif shape == "wide":
+        a, b = np.append(a, [-1e300, np.inf]), np.append(np.append(b * 1.1, 2.0 ** rng.integers(-300, 300, 500)), -np.inf)
+    elif shape == "one":
+        a, b = np.full(50, 3.0), np.full(20, 3.0)
+    elif shape == "inside":
+        a, b = np.append(a * 1e-9, [1e9]), np.append(b * 1e-9 + 2e-10, [-1e9])
+    rows = [("x", 0, float(v)) for v in a] + [("x", 1, float(v)) for v in b]
+    cells = spark.createDataFrame(rows, "feature string, side int, value double").repartition(4)
+    both = np.concatenate([a, b])
+    ranges = spark.createDataFrame([("x", len(a), len(b), float(both.min()), float(both.max()))], "feature string, n_ref long, n_cur long, lo double, hi double")
+    d, _, travel = narrowing.largest_gap(cells, ranges, ["feature"])
+    assert d.collect() == [("x", plain_distance(a, b))]
+    assert travel.count() <= narrowing.SHARE * len(rows)
+    assert (travel.groupBy("slot").count().agg(F.max("count")).first()[0] or 0) <= 200
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="tables not present")
+def test_few_cells_travel(spark, monkeypatch):
+    moved = []
+    search = D.largest_gap
+
+    def watched(cells, *a):
+        out = search(cells, *a)
+        moved.append((out[2].count(), cells.count()))
+        return out
+
+    monkeypatch.setattr(D, "largest_gap", watched)
+    assert D.drift_features(*lineitem_sides(spark, "/root/testdata/sf0.1")).count() == 4
+    assert moved[0][0] < 0.1 * moved[0][1]
