@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,10 +18,24 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
 CODE = np.random.default_rng(20_177).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CODE_LOWER = CODE[LOWER]
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Hand memory that a task no longer needs back to the system: workers live on, and the tasks of later steps need room."""
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches that hold at most ``most`` bytes of text, or a single row."""
+    """The same rows in batches that hold at most ``most`` bytes of text, or a single row; memory is released after the last."""
+    yield from _slices(batches, column, most)
+    released()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue

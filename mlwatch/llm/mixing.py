@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mlwatch.operators.frames import attach, settled
+from mlwatch.operators.frames import attach, settled, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,23 +73,19 @@ def copies(docs: DataFrame, weighted: DataFrame, cap: float = 3.0, key: str = "d
     ``docs`` has sizes in whole numbers; ``weighted`` has source, source_size and weight. The source's rate is target
     over size. A document is taken floor(rate) times, and once more if its hashed key, read as a fraction, is below the
     rest. The hash depends on the seed and the key alone: runs agree, and rows of one key share their fate. Sources
-    missing in ``weighted`` are not taken. A size of 0 counts as any other document of its source.
+    missing in ``weighted`` are not taken. A size of 0 counts as any other document of its source. Null sources are one;
+    repeated rows share their fate; an empty table stays empty; columns that have the names of new ones are replaced.
     """
-    planned = settled(
-        targets(weighted, cap).select(
-            F.col("source").alias("_source"), F.struct("source_size", "target").alias("_plan")
-        ).select("_source", F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"))
-    )
-    out = attach(docs.drop("source_size", "target", "copies").withColumn("_source", F.col(source)), planned, ["_source"], "_plan")
-    rate = F.coalesce(F.when(F.col("_plan.source_size") > 0, F.col("_plan.target") / F.col("_plan.source_size")), F.lit(0.0))
+    docs = docs.drop("source_size", "target", "copies")
+    named, plan = unused(docs, "_source", "_plan")
+    planned = settled(targets(weighted, cap).select(F.col("source").alias(named), "source_size", "target"))
+    out = attach(docs.withColumn(named, F.col(source)), planned, [named], plan)
+    mine = {c: F.col(plan).getField(c) for c in ("source_size", "target")}
+    rate = F.coalesce(F.when(mine["source_size"] > 0, mine["target"] / mine["source_size"]), F.lit(0.0))
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13)
     chance = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
-    return (
-        out.withColumn("source_size", F.col("_plan.source_size"))
-        .withColumn("target", F.col("_plan.target"))
-        .withColumn("copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long"))
-        .drop("_source", "_plan")
-    )
+    taken = (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
+    return out.withColumns({**mine, "copies": taken}).drop(named, plan)
 
 
 def emit(planned: DataFrame, by: str = "copies") -> DataFrame:

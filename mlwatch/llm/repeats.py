@@ -9,12 +9,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mlwatch.llm.batches import CODE, mixed, powers, slices, text_bytes
+from mlwatch.llm.bitmaps import bitmap
 from mlwatch.llm.suffix_sort import suffix_order
-from mlwatch.operators.frames import settled
+from mlwatch.operators.frames import settled, unused
 
 SIZE = 200
 GRAM = 32
@@ -25,6 +26,7 @@ HOT = 2_000_000
 GROUP_BYTES = 64 << 20
 GROUP_STARTS = 2_000_000
 SEEN = 1 << 30
+SEEN_KEYS = 1_000_000
 
 
 def window_hashes(raw: np.ndarray, size: int) -> np.ndarray:
@@ -179,11 +181,18 @@ def lots(rows: Iterator[tuple], parts: int, runs: bool = False) -> Iterator[pa.R
 
 
 def posted(docs: DataFrame, size: int, gram: int, parts: int) -> DataFrame:
-    """(part, blob): the stretches of each document, dealt by anchor."""
+    """(part, blob): the stretches of each document, dealt by anchor; a task sends rows of one key once."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
         def rows() -> Iterator[tuple]:
             for b in slices(batches, "text"):
+                keys = b.column("key").to_numpy()
+                fresh = [i for i, k in enumerate(keys.tolist()) if not (k in seen or seen.add(k))]
+                b = b.take(pa.array(fresh, pa.int64())) if len(fresh) < b.num_rows else b
+                if len(seen) > SEEN_KEYS:
+                    seen.clear()
                 row, value, first, count, own = anchored(*text_bytes(b.column("text")), size, gram)
                 yield b.column("key").to_numpy()[row], value, first, count, own
 
@@ -239,9 +248,22 @@ def hot_anchors(found: DataFrame, size: int, n_bytes: int) -> HotAnchors:
 PLACED = "anchor long, bytes binary, places array<struct<key:long,first:int>>"
 
 
+def in_bitmap(key: str, shared) -> Column:
+    """Whether a key may be in a broadcast bitmap; only keys go to Python."""
+
+    @F.pandas_udf("boolean")
+    def has(keys: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(keys.to_numpy()))
+
+    return has(key)
+
+
 def with_candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, text, blobs): one row for each different document that has candidates; other texts don't move."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(found.select("key").distinct()))
     listed = found.groupBy("key").agg(F.collect_list("blob").alias("blobs"))
-    return docs.join(listed, "key").select("key", "text", "blobs")
+    once = docs.where(in_bitmap("key", shared)).groupBy("key").agg(F.first("text").alias("text"))
+    return once.join(listed, "key").select("key", "text", "blobs")
 
 
 def hot_spans(joined: DataFrame, shared, size: int, parts: int) -> DataFrame:
@@ -399,26 +421,34 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
     ``size`` stay whole; equal rows count as two places. Other columns stay, those that have the names of new ones are
     replaced. Rows are told apart by a 64-bit hash of all their columns; strings by hashes of their bytes.
 
-    Whole texts move twice: to the places of their anchors, and to their spans. Between, only stretches around anchors
-    that occur again move, and each task sorts its own. Anchors with more than HOT bytes of stretches are not sorted: their strings are
+    Texts move twice, and only where they must: to the places of their anchors that occur again, once for equal rows, and to their
+    spans. Between, only stretches around such anchors move, and each task sorts its own. Rows that are repeated go whole, as every
+    string of theirs starts elsewhere. Anchors with more than HOT bytes of stretches are not sorted: their strings are
     counted by hash. ``anchor_parts`` groups count anchors, a quarter of the shuffle partitions if not given, and more where
-    the texts have more than GROUP_BYTES for each: more of them need less memory each and some more disk.
+    the texts have more than GROUP_BYTES for each: more of them need less memory each and some more disk. An empty table stays empty.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = df.drop("n_bytes", "spans", "kept", "rest", "_key")
-    keyed = own.withColumn("_key", F.xxhash64(*[F.to_json(F.struct(F.col(c))) if "map" in t or "variant" in t else F.col(c) for c, t in own.dtypes]))
-    docs = keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= size)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = df.drop("n_bytes", "spans", "kept", "rest")
+    key, listed = unused(own, "_key", "_found")
+    keyed = own.withColumn(key, F.xxhash64(*[F.to_json(F.struct(F.col(c))) if "map" in t or "variant" in t else F.col(c) for c, t in own.dtypes]))
+    docs = keyed.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= size)
+    copies = docs.groupBy("key").agg(F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("bytes"))
+    copies = settled(copies.where("copies > 1").select("key", F.lit(0).alias("begin"), F.col("bytes").cast("int").alias("end")))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchor_parts = max(anchor_parts or max(1, parts // 4), -(-n_bytes // GROUP_BYTES))
     found = settled(candidates(docs, size, gram, anchor_parts))
     hot = hot_anchors(found, size, n_bytes)
-    shared = df.sparkSession.sparkContext.broadcast(hot)
+    shared = spark.sparkContext.broadcast(hot)
     joined = with_candidates(docs, found)
     pieces = spans_of(stretches(joined, shared, size), size, parts)
     if len(hot.buckets):
         pieces = pieces.union(hot_spans(joined, shared, size, max(anchor_parts, -(-2 * hot.weight // GROUP_STARTS))))
-    spans = settled(pieces.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_found")))
-    cut_here = keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    pieces = pieces.union(copies.select("key", "begin", "end"))
+    spans = settled(pieces.groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("begin", "end")).alias(listed)))
+    touched = in_bitmap(key, spark.sparkContext.broadcast(bitmap(spans.select(key))))
+    hit = keyed.where(touched).join(spans, key, "left").drop(key)
+    cut_here = hit.unionByName(keyed.where(~touched).drop(key).withColumn(listed, F.lit(None).cast(hit.schema[listed].dataType)))
     schema = own.select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("rest")).schema
     names = own.columns
 
@@ -426,7 +456,7 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
         for b in slices(batches, text):
             raw, at = text_bytes(b.column(text))
             lists, kept = [], []
-            found_ = b.column("_found").to_pylist()
+            found_ = b.column(listed).to_pylist()
             for i, own_ in enumerate(found_):
                 part = raw[at[i] : at[i + 1]]
                 merged = []
@@ -450,5 +480,3 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
             )
 
     return cut_here.mapInArrow(cut, schema)
-
-

@@ -5,10 +5,13 @@ from __future__ import annotations
 import collections
 
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from mlwatch.llm import quality_model
+from mlwatch.llm import mixing, ngram_join, quality_model
+from mlwatch.llm import repeats as repeats_module
 from mlwatch.llm.labelled import remainder
 from tests.llm.test_ngram_join import plain as components
 from tests.llm.test_repeats import plain as repeats
@@ -56,6 +59,36 @@ def test_stages(spark, docs, rows, tmp_path):
     assert collections.Counter(tuple(r.ids) for r in kept[5]) == want
 
 
+NAMES = "_score _size _found _cls _place _stays _id _n _source _facts _lines _stay _key _to _at _extra next _s _plan score size copies target source_size spans rest kept n_bytes cls key id"
+
+
+def test_other_columns_keep_values_and_types(spark, docs, tmp_path):
+    """Extra columns that have the names of any operator's own ones come out of every stage as they went in."""
+    extra = NAMES.split()
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    marked = plain.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in extra})
+    marked.write.parquet(f"{tmp_path}/marked")
+    marked = spark.read.parquet(f"{tmp_path}/marked")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, marked, str(tmp_path))
+        assert out.dtypes == marked.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in extra), name
+        want = collections.Counter(str(r) for r in stage(spark, plain, str(tmp_path)).select("doc_id", "n_chars").collect())
+        assert collections.Counter(str(r) for r in out.select("doc_id", "n_chars").collect()) == want, name
+
+
+@pytest.mark.parametrize("add", [lambda d: ngram_join.representatives(d), lambda d: repeats_module.remove_repeats(d), lambda d: mixing.copies(mixing.word_count(d), mixing.cyclic_weights(mixing.source_sizes(mixing.word_count(d))))])
+def test_operators_keep_columns_of_any_name(spark, docs, add, tmp_path):
+    """The names that are not those of an operator's results."""
+    extra = [c for c in NAMES.split() if c not in ("size", "copies", "target", "source_size", "spans", "rest", "kept", "n_bytes")]
+    plain = docs.select("doc_id", "text", "source")
+    plain.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in extra}).write.parquet(f"{tmp_path}/marked")
+    rows = add(spark.read.parquet(f"{tmp_path}/marked")).collect()
+    assert rows and all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in extra)
+
+
 def test_run(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs.where("doc_id < 12").write.parquet(f"{tmp_path}/documents.parquet")

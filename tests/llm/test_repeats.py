@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mlwatch.llm import repeats, suffix_sort
 from mlwatch.llm.queries import QUERIES
+from mlwatch.llm.repeats import remove_repeats
 
 
 def plain(rows, size=200):
@@ -96,3 +100,17 @@ def test_suffix_order(monkeypatch, run):
         assert suffix_sort.suffix_order(a, np.arange(len(a))).tolist() == want
         some = np.arange(0, len(a), 3)
         assert suffix_sort.suffix_order(a, some).tolist() == [i for i in want if i % 3 == 0]
+
+
+def test_many_equal_rows(spark):
+    """Rows in thousands of copies cost no more than their number."""
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    text, other = say(9000), say(5000)
+    part = say(300) + text[2000:2400] + say(300)
+    rows = [(1, text)] * 20_000 + [(2, other), (3, part), (4, None), (5, "")] + [(6, "short")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    began = time.time()
+    got = {tuple(r) for r in remove_repeats(df).select("doc_id", "n_bytes", F.size("spans"), F.length("kept")).collect()}
+    assert time.time() - began < 200
+    assert got == {(1, 9000, 1, 0), (2, 5000, 0, 5000), (3, 1000, 1, 600), (4, 0, 0, 0), (5, 0, 0, 0), (6, 5, 0, 5)}
