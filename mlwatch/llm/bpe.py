@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from mlwatch.llm.batches import slices
 
 CACHED_CHUNKS = 1 << 17
-CACHED_PIECES = 1 << 19
+CACHED_PIECES = 1 << 17
 PLAIN = "ɐ"  # below it there are no combining marks, and every release of Unicode has the same letters and digits
 
 

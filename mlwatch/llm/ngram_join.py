@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from mlwatch.llm.batches import grams, mixed, slices, text_bytes, words
 from mlwatch.llm.components import components
-from mlwatch.operators.frames import settled
+from mlwatch.operators.frames import settled, unused
 
 K = 5
 PERCENT = 75
-BUFFER = 1_500_000
-GROUP_TOKENS = 2_000_000
+BUFFER = 500_000
+GROUP_TOKENS = 500_000
 TOKEN_BITS = 48
 STARS = 3
+CENTRES = 3
 BITS = 512
 ORDER_B, ORDER_C, CLASS = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2B7E151628AED2A7), np.uint64(0x243F6A8885A308D3)
 SURVIVOR = "cls long, n int, p int, centre double, tokens binary, by_b array<long>, by_c array<long>, rare array<long>, bits array<long>"
@@ -144,6 +145,7 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
         cls, n, tokens, _ = unpacked(rows["blob"].tolist())
         order = np.lexsort((cls, tokens))
         cls, n, tokens = cls[order], n[order], tokens[order]
+        del order
         new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])])
         cls, n, tokens = cls[new], n[new], tokens[new]
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -245,7 +247,8 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
 
     Classes meet where they share a token of the rare-first prefix. All pairs of a large family would be far too many, and
     its components need few of them: first the most central class at each token, whose tokens are the most common
-    ones, is compared with the others there, and again for tokens that still join several components. What is left
+    ones, is compared with the others there, each with the CENTRES most central ones that it meets, and again for tokens that
+    still join several components. What is left
     is compared in full: at each token every class outside the token's largest component, with all of other components.
     At each token classes go, before any pair is made, whose ``slack`` is too large even for the one with the least there, and
     two with a positive slack are never paired. So no pair is left out but those already connected and those that ``slack`` or
@@ -268,7 +271,7 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
         minor = open_ if round_ == 0 else open_.where(F.col("comp") != F.col("major"))
         if round_ < STARS:
             best = minor.groupBy("token").agg(F.max(F.struct("centre", "cls", "n", "comp")).alias("x"))
-            left = best.select("token", F.col("x.cls").alias("a"), F.col("x.n").alias("a_n"), F.col("x.comp").alias("a_comp"))
+            left = best.select("token", F.col("x.cls").alias("a"), F.col("x.n").alias("a_n"), F.col("x.comp").alias("a_comp"), F.col("x.centre").alias("centre"))
         else:
             left = minor.select("token", F.col("cls").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "comp", "bits", "free", "slack")])
         right = open_.select("token", F.col("cls").alias("b"), *[F.col(c).alias(f"b_{c}") for c in open_.columns if c in ("n", "comp", "bits", "free", "slack")])
@@ -277,8 +280,13 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
         if round_ == STARS:
             met_ = left.where("a_slack <= 0").join(right, "token").union(left.where("a_slack > 0").join(right.where("b_slack <= 0"), "token"))
         pairs = met_.where((F.col("a_comp") != F.col("b_comp")) & near)
-        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")) if round_ == STARS else pairs.select("a", "b")
-        links = settled(verified(pairs.distinct(), found, percent))
+        if round_ == STARS:
+            pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
+        else:
+            # prefixes and token lists move once per pair: of the classes that a class meets, the most central will do
+            centres = F.reverse(F.array_sort(F.collect_set(F.struct("centre", "a"))))
+            pairs = pairs.groupBy("b").agg(F.slice(centres, 1, CENTRES).alias("near")).select("b", F.explode("near.a").alias("a"))
+        links = settled(verified(pairs, found, percent))
         if round_ and links.isEmpty():
             if round_ == STARS:
                 break
@@ -327,8 +335,9 @@ def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", k: in
     own = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = settled(rows_with_class(own, "text", k).drop("text"))
     chosen = class_components(own, rows, "text", k, percent).where("chosen")
-    chosen = chosen.select(F.col("cls").alias("_cls"), F.struct("component_id").alias("_id"), F.lit(True).alias("_stays"))
-    keyed = rows_with_class(df, text, k, ("_n", "_cls")).withColumn("_id", F.struct(F.col(id).alias("component_id")))
-    joined = keyed.join(chosen, ["_cls", "_id"], "left")
-    place = F.row_number().over(W.partitionBy("_cls", "_id").orderBy(F.xxhash64(text)))
-    return joined.withColumn("_place", place).where("_n = 0 or (_stays and _place = 1)").select(*df.columns)
+    cls, n, key, stays, place = unused(df, "_cls", "_n", "_id", "_stays", "_place")
+    chosen = chosen.select(F.col("cls").alias(cls), F.struct("component_id").alias(key), F.lit(True).alias(stays))
+    keyed = rows_with_class(df, text, k, (n, cls)).withColumn(key, F.struct(F.col(id).alias("component_id")))
+    joined = keyed.join(chosen, [cls, key], "left")
+    nth = F.row_number().over(W.partitionBy(cls, key).orderBy(F.xxhash64(text)))
+    return joined.withColumn(place, nth).where((F.col(n) == 0) | (F.col(stays) & (F.col(place) == 1))).select(*df.columns)
