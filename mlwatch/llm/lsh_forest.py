@@ -27,6 +27,8 @@ DEPTHS = (DEPTH, 4, 6, 8, 12, 18, 27, 40, VALUES)
 MINOR = 1024
 BLOCK = 1024
 NEAREST = 8
+ODD = 512
+ODD_ROWS = 2048
 MISS = 1e-6
 LIMBS = VALUES // 24
 FIT_SIGMAS = 5.5
@@ -51,8 +53,21 @@ def limbs_of(values: np.ndarray) -> np.ndarray:
     return (two << (2 * np.arange(24))).sum(axis=2)
 
 
+def odd_bits(token: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row whether an odd number of its tokens falls on each of ODD places, as bits; rows without tokens are left out."""
+    n = n[n > 0]
+    place = (mixed(token) % np.uint64(ODD)).astype(np.int64)
+    ends, out = np.cumsum(n), []
+    for i in range(0, len(n), ODD_ROWS):
+        size = n[i : i + ODD_ROWS]
+        own = place[ends[i] - n[i] : ends[min(i + ODD_ROWS, len(n)) - 1]]
+        count = np.bincount(np.repeat(np.arange(len(size)), size) * ODD + own, minlength=len(size) * ODD)
+        out.append(np.packbits((count & 1).astype(np.uint8)).reshape(len(size), ODD // 8))
+    return np.concatenate(out) if out else np.empty((0, ODD // 8), np.uint8)
+
+
 def signatures(df: DataFrame, text: str, k: int, seed: int) -> DataFrame:
-    """(cls, n, signature, limbs): one settled row for each different set of tokens."""
+    """(cls, n, signature, odd, limbs): one settled row for each different set of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -67,10 +82,11 @@ def signatures(df: DataFrame, text: str, k: int, seed: int) -> DataFrame:
             values = values_of(token[np.repeat(fresh, n)], n[fresh], seed)
             blobs = pa.array([v.tobytes() for v in values.astype(">u4")], pa.binary())
             limbs = limbs_of(values)
-            columns = [pa.array(cls[fresh]), pa.array(n[fresh], pa.int32()), blobs, *[pa.array(limbs[:, j]) for j in range(LIMBS)]]
-            yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "signature", *[f"limb{j}" for j in range(LIMBS)]])
+            odd = pa.array([x.tobytes() for x in odd_bits(token[np.repeat(fresh, n)], n[fresh])], pa.binary())
+            columns = [pa.array(cls[fresh]), pa.array(n[fresh], pa.int32()), blobs, odd, *[pa.array(limbs[:, j]) for j in range(LIMBS)]]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "signature", "odd", *[f"limb{j}" for j in range(LIMBS)]])
 
-    schema = "cls long, n int, signature binary, " + ", ".join(f"limb{j} long" for j in range(LIMBS))
+    schema = "cls long, n int, signature binary, odd binary, " + ", ".join(f"limb{j} long" for j in range(LIMBS))
     return settled(df.select(F.col(text).alias("text")).mapInArrow(run, schema).dropDuplicates(["cls"]))
 
 
@@ -188,17 +204,28 @@ def region_keys(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("cls", "signature", "trees").mapInArrow(run, "tree int, key long, cls long")
 
 
-Region = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Region = tuple[np.ndarray, ...]
 
 
 def met(left: Region, right: Region, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (left, right) of classes of different components that may be similar; the most alike of each left one if ``nearest``."""
-    (_, comp, n, limbs), (_, comp_, n_, limbs_) = left, right
+    """Places (left, right) of classes of different components that may be similar; the most alike of each left one if ``nearest``.
+
+    A token that only one of two sets has turns one of the ODD bits at most, so that more bits than similar sets have such
+    tokens rule a pair out, and never a similar one.
+    """
+    (_, comp, n, limbs, odd), (_, comp_, n_, limbs_, odd_) = left, right
     differ = np.zeros((len(comp), len(comp_)), np.uint8)
     for j in range(LIMBS):
         x = limbs[:, None, j] ^ limbs_[None, :, j]
         differ += np.bitwise_count((x | (x >> 1)) & 0x5555_5555_5555)
     fits = (comp[:, None] != comp_) & (n[:, None] * percent <= n_ * 100) & (n_ * percent <= n[:, None] * 100) & (differ <= most_differing(percent))
+    x, y = np.nonzero(fits)
+    both = n[x] + n_[y]
+    own = both - 2 * -(-percent * both // (100 + percent))
+    for i in range(0, len(x), ODD_ROWS):
+        at = slice(i, i + ODD_ROWS)
+        turned = np.bitwise_count(odd[x[at]] ^ odd_[y[at]]).sum(axis=1)
+        fits[x[at], y[at]] = turned <= own[at]
     if not nearest:
         return np.nonzero(fits)
     best = np.where(fits, differ, 255).argmin(axis=1)
@@ -226,14 +253,15 @@ def compared(regions: DataFrame, percent: int, nearest: bool) -> DataFrame:
         def closed(out: list) -> None:
             """The held classes with each other, once they are all known."""
             if len(held) > 1 or (held and len(held[0][0]) > 1):
-                own = tuple(np.concatenate([h[k] for h in held]) for k in range(4))
+                own = tuple(np.concatenate([h[k] for h in held]) for k in range(5))
                 held[:] = [own]
                 pairs(own, own, out)
 
         for b in batches:
             out: list[np.ndarray] = []
             tree, key, minor = (b.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "key", "minor"))
-            columns = (b.column("cls").to_numpy(), b.column("comp").to_numpy(), b.column("n").to_numpy().astype(np.int64), np.stack([b.column(f"limb{j}").to_numpy() for j in range(LIMBS)], axis=1))
+            columns = (b.column("cls").to_numpy(), b.column("comp").to_numpy(), b.column("n").to_numpy().astype(np.int64), np.stack([b.column(f"limb{j}").to_numpy() for j in range(LIMBS)], axis=1),
+                       np.frombuffer(b"".join(b.column("odd").to_pylist()), np.uint64).reshape(-1, ODD // 64))
             cuts = np.flatnonzero((tree[1:] != tree[:-1]) | (key[1:] != key[:-1]) | (minor[1:] != minor[:-1])) + 1
             for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tree)], strict=True):
                 if i == j:
@@ -262,8 +290,10 @@ def compared(regions: DataFrame, percent: int, nearest: bool) -> DataFrame:
     def batch_of(found: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(found.max(axis=0)), pa.array(found.min(axis=0))], ["a", "b"])
 
-    marked = regions.withColumn("minor", F.col("comp") != F.col("major"))
-    return marked.repartition("tree", "key").sortWithinPartitions("tree", "key", F.desc("minor")).mapInArrow(run, "a long, b long")
+    # dealt by a column of its own: Spark may leave out a repartition by columns that a join below has already dealt by, and then read
+    # that join's input in another way that parts regions, as it does not know that the function needs them whole
+    marked = regions.withColumn("minor", F.col("comp") != F.col("major")).withColumn("region", F.xxhash64("tree", "key"))
+    return marked.repartition("region").sortWithinPartitions("region", "tree", "key", F.desc("minor")).mapInArrow(run, "a long, b long")
 
 
 def searched(found: DataFrame, roots: DataFrame, missed: DataFrame, percent: int, trees: int = TREES, nearest: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -277,7 +307,7 @@ def searched(found: DataFrame, roots: DataFrame, missed: DataFrame, percent: int
     """
     chance = F.lit(percent / 100)
     facts = found.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls"))
-    facts = settled(facts.select("cls", "comp", "n", *[f"limb{j}" for j in range(LIMBS)]))
+    facts = settled(facts.select("cls", "comp", "n", "odd", *[f"limb{j}" for j in range(LIMBS)]))
     open_ = missed.where(F.col("missed") > math.log(MISS)).select(F.col("cls").alias("needed"))
     rows = found.select("cls", "signature", F.array(*[F.lit(t) for t in range(trees)]).alias("trees"))
     pairs, closed = None, []
