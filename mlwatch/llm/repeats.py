@@ -258,11 +258,12 @@ def in_bitmap(key: str, shared) -> Column:
     return has(key)
 
 
-def with_candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, text, blobs): one row for each different document that has candidates; other texts don't move."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(found.select("key").distinct()))
+def with_candidates(docs: DataFrame, found: DataFrame, sift: bool) -> DataFrame:
+    """(key, text, blobs): one row for each different document that has candidates; other texts don't move if ``sift``."""
+    if sift:
+        docs = docs.where(in_bitmap("key", docs.sparkSession.sparkContext.broadcast(bitmap(found.select("key").distinct()))))
     listed = found.groupBy("key").agg(F.collect_list("blob").alias("blobs"))
-    once = docs.where(in_bitmap("key", shared)).groupBy("key").agg(F.first("text").alias("text"))
+    once = docs.groupBy("key").agg(F.first("text").alias("text"))
     return once.join(listed, "key").select("key", "text", "blobs")
 
 
@@ -412,7 +413,7 @@ def spans_of(pieces: DataFrame, size: int, parts: int) -> DataFrame:
     return sorted_.mapInArrow(search, "key long, begin int, end int")
 
 
-def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: int = GRAM, anchor_parts: int | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: int = GRAM, anchor_parts: int | None = None, sift: bool = True) -> DataFrame:
     """Add ``n_bytes``, ``spans``, ``kept`` and ``rest``: each text without the UTF-8 bytes that repeated strings cover.
 
     A byte goes if a string of ``size`` bytes covers it that also starts elsewhere, in the same or another row; overlaps
@@ -425,7 +426,8 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
     spans. Between, only stretches around such anchors move, and each task sorts its own. Rows that are repeated go whole, as every
     string of theirs starts elsewhere. Anchors with more than HOT bytes of stretches are not sorted: their strings are
     counted by hash. ``anchor_parts`` groups count anchors, a quarter of the shuffle partitions if not given, and more where
-    the texts have more than GROUP_BYTES for each: more of them need less memory each and some more disk. An empty table stays empty.
+    the texts have more than GROUP_BYTES for each: more of them need less memory each and some more disk. ``sift`` looks keys up in a
+    bitmap before texts move, which takes a second Python worker beside a task's own; without it all texts move. An empty table stays empty.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -440,15 +442,18 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = SIZE, gram: in
     found = settled(candidates(docs, size, gram, anchor_parts))
     hot = hot_anchors(found, size, n_bytes)
     shared = spark.sparkContext.broadcast(hot)
-    joined = with_candidates(docs, found)
+    joined = with_candidates(docs, found, sift)
     pieces = spans_of(stretches(joined, shared, size), size, parts)
     if len(hot.buckets):
         pieces = pieces.union(hot_spans(joined, shared, size, max(anchor_parts, -(-2 * hot.weight // GROUP_STARTS))))
     pieces = pieces.union(copies.select("key", "begin", "end"))
     spans = settled(pieces.groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("begin", "end")).alias(listed)))
-    touched = in_bitmap(key, spark.sparkContext.broadcast(bitmap(spans.select(key))))
-    hit = keyed.where(touched).join(spans, key, "left").drop(key)
-    cut_here = hit.unionByName(keyed.where(~touched).drop(key).withColumn(listed, F.lit(None).cast(hit.schema[listed].dataType)))
+    if sift:
+        touched = in_bitmap(key, spark.sparkContext.broadcast(bitmap(spans.select(key))))
+        hit = keyed.where(touched).join(spans, key, "left").drop(key)
+        cut_here = hit.unionByName(keyed.where(~touched).drop(key).withColumn(listed, F.lit(None).cast(hit.schema[listed].dataType)))
+    else:
+        cut_here = keyed.join(spans, key, "left").drop(key)
     schema = own.select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("rest")).schema
     names = own.columns
 
