@@ -58,7 +58,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     def stage(d: DataFrame) -> DataFrame:
         # workers of the stages before still hold memory
-        cut = repeats.remove_repeats(d, anchor_parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        cut = repeats.remove_repeats(d, anchor_parts=int(spark.conf.get("spark.sql.shuffle.partitions")), sift=False)
         cut = cut.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("rest")))
         length = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
         return cut.withColumn("n_chars", length.cast(d.schema["n_chars"].dataType))
