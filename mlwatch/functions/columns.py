@@ -38,7 +38,7 @@ def align(df: DataFrame, expected: Sequence[str]) -> DataFrame:
     have = set(df.columns)
     missing = [c for c in expected if c not in have]
     if missing:
-        raise ValueError("Missing required features for production model: " + ", ".join(missing))
+        raise ValueError("columns that the model needs are absent: " + ", ".join(missing))
     return df.select(*[F.col(quoted(c)) for c in expected])
 
 

@@ -593,11 +593,11 @@ def validate(
     ).drop("_why", "_do")
 
 
-class DataQualityFailed(Exception):
+class BelowQuality(Exception):
     """Training must stop: the data did not reach the required quality."""
 
     def __init__(self, dataset: str, quality_score: float, min_quality_score: float, fail_reasons: Sequence[str]):
-        super().__init__(f"Data quality failed: {quality_score:.2f} < {min_quality_score:.2f} ({dataset})")
+        super().__init__(f"{dataset} scores {quality_score:.2f}, and {min_quality_score:.2f} is needed")
         self.dataset = dataset
         self.quality_score = quality_score
         self.min_quality_score = min_quality_score
@@ -608,7 +608,7 @@ def require_quality(verdict: DataFrame, dataset: str, minimum: float = THRESHOLD
     """Raise unless the one-row verdict of ``validate`` reaches the minimum score."""
     row = verdict.select("quality_score", "fail_reasons").first()
     if row["quality_score"] < minimum:
-        raise DataQualityFailed(dataset, float(row["quality_score"]), float(minimum), row["fail_reasons"])
+        raise BelowQuality(dataset, float(row["quality_score"]), float(minimum), row["fail_reasons"])
 
 
 def compare_schema(current: DataFrame, baseline: DataFrame) -> DataFrame:

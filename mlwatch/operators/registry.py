@@ -19,6 +19,7 @@ NOTE_INITIAL = "initial registration"
 NOTE_MANUAL = "manual stage update"
 NOTE_DEMOTED = "auto-demoted while promoting "
 
+# The columns of a lineage listing.
 LINEAGE_COLUMNS = (
     "model_id",
     "run_id",
@@ -280,7 +281,7 @@ def revert(log: DataFrame, dataset: str) -> DataFrame:
     """The request that promotes a data set's previous production model again; an error if there is none."""
     row = rollback_hint(log.where(F.col("dataset") == dataset)).select("previous_production").first()
     if row is None or row[0] is None:
-        raise ValueError("No previous production model available to revert.")
+        raise ValueError(f"nothing held production in {dataset!r} before its present model")
     spark = log.sparkSession
     return spark.range(1).select(
         F.lit(dataset).alias("dataset"), F.lit(row[0]).alias("model_id"), F.lit("production").alias("to_stage")

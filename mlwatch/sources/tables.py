@@ -25,7 +25,7 @@ def load(
 ) -> DataFrame:
     """A data set by name; an unknown name is an error. Text formats need a schema, so that no pass infers one."""
     if catalog is not None and name not in catalog:
-        raise ValueError(f"Unknown dataset key: {name!r}")
+        raise ValueError(f"no data set is named {name!r}")
     if fmt not in READERS:
         raise ValueError(f"Unknown format: {fmt!r}")
     if fmt in ("csv", "json") and schema is None:
@@ -39,7 +39,7 @@ def load(
         return reader.load(f"{path}/{name}.{fmt}")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            raise ValueError(f"Unknown dataset key: {name!r}") from e
+            raise ValueError(f"no data set is named {name!r}") from e
         raise
 
 

@@ -136,7 +136,7 @@ def test_score_formula(spark):
 
 def test_gate(spark, small):
     bad = Q.validate(small.where("f1 < 0"), "target")
-    with pytest.raises(Q.DataQualityFailed) as e:
+    with pytest.raises(Q.BelowQuality) as e:
         Q.require_quality(bad, "toy")
     assert e.value.quality_score == 0.0 and e.value.fail_reasons == ["empty_frame"]
 

@@ -67,7 +67,7 @@ def test_two_promotions_and_revert(spark):
     h = R.rollback_hint(log).first()
     assert (h.current_production, h.previous_production) == ("M2", "M1")
     assert R.revert(log, "d").first().model_id == "M1"
-    with pytest.raises(ValueError, match="No previous production"):
+    with pytest.raises(ValueError, match="nothing held production"):
         R.revert(log.where("model_id = 'M2'"), "d")
 
 

@@ -141,7 +141,7 @@ def test_log_stream_equals_batch(spark, tmp_path):
 def test_named_data_sets(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "toy.parquet"))
     assert S.load(spark, str(tmp_path), "toy").count() == 3
-    with pytest.raises(ValueError, match="Unknown dataset key: 'nope'"):
+    with pytest.raises(ValueError, match="no data set is named 'nope'"):
         S.load(spark, str(tmp_path), "nope")
     with pytest.raises(ValueError, match="needs a schema"):
         S.load(spark, str(tmp_path), "toy", "csv")
