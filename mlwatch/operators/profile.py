@@ -134,14 +134,25 @@ def feature_analysis(
 
 
 def split_summary(df: DataFrame, split: str, target: str) -> DataFrame:
-    """Rows, features and missing cells per split."""
+    """Rows, features, missing cells and class proportions per split.
+
+    ``class_shares`` lists ``class=share`` with four digits, by class; a missing class is ``null``. Rows are counted by split and class
+    within tasks, so that what moves is one row per class.
+    """
     feats = [c for c in df.columns if c not in (target, split)]
     gaps = F.lit(0).cast("bigint")
     for c in feats:
         gaps = gaps + F.count_if(missing(df, c))
-    return df.groupBy(split).agg(
-        F.count("*").alias("rows"), F.lit(len(feats)).cast("bigint").alias("features"), gaps.alias("missing_values")
+    label = F.coalesce(F.when(~missing(df, target), F.col(quoted(target)).cast("string")), F.lit("null"))
+    cells = df.groupBy(split, label.alias("label")).agg(F.count("*").alias("k"), gaps.alias("gaps"))
+    out = cells.groupBy(split).agg(
+        F.sum("k").alias("rows"),
+        F.lit(len(feats)).cast("bigint").alias("features"),
+        F.sum("gaps").alias("missing_values"),
+        F.array_sort(F.collect_list(F.struct("label", "k"))).alias("classes"),
     )
+    shares = F.transform("classes", lambda c: F.format_string("%s=%.4f", c["label"], c["k"] / F.col("rows")))
+    return out.withColumn("class_shares", F.array_join(shares, ", ")).drop("classes")
 
 
 # ---------------------------------------------------------------------------------------------------------------

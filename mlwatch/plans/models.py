@@ -83,9 +83,12 @@ def kfold(spark, d):
 
 @query(
     "split_summary",
-    f"""WITH {_SPLIT}
-    SELECT split, count(*) AS rows, 4::BIGINT AS features, count(*) FILTER (l_tax = 0) AS missing_values
-    FROM sp GROUP BY split""",
+    f"""WITH {_SPLIT},
+    per_class AS (SELECT split, l_returnflag, count(*) AS k, count(*) FILTER (l_tax = 0) AS gaps FROM sp GROUP BY ALL),
+    per_split AS (SELECT split, sum(k)::BIGINT AS rows, sum(gaps)::BIGINT AS missing_values FROM per_class GROUP BY split)
+    SELECT split, rows, 4::BIGINT AS features, missing_values,
+           string_agg(printf('%s=%.4f', l_returnflag, k / rows), ', ' ORDER BY l_returnflag) AS class_shares
+    FROM per_class JOIN per_split USING (split) GROUP BY ALL""",
 )
 def split_summary(spark, d):
     li = lineitem(spark, d).withColumn("l_tax", F.nullif(F.col("l_tax"), F.lit(0.0)))
