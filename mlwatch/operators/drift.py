@@ -1,8 +1,9 @@
 """Distribution drift between a reference and current data.
 
 Two measures per feature: the population stability index over equal-width bins, and the two-sample
-Kolmogorov-Smirnov distance. Both sides are unpivoted once and reduced to distinct values with counts before
-anything is sorted; sorting is spread over value buckets, so one feature is never one task.
+Kolmogorov-Smirnov distance. Two samples are compared by counts per part of the value range, and only parts that can
+hold the largest difference send values. Many windows against one reference are reduced to distinct values with counts
+and sorted in value buckets, so one feature is never one task.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mlwatch.functions.columns import clean, clean_sql, common_cols, numeric_cols, quoted

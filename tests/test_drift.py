@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from itertools import combinations
 from pathlib import Path
 
 import numpy as np
