@@ -72,16 +72,16 @@ def exact_quantiles(
         )
     )
 
-    def cell(i: int) -> str:
-        """A value's place among the cut points: 2j between two of them, odd or in steps of two at one; and itself if between a pair."""
-        e = [f"_s.c{i}_e[{j}]" for j in range(m)]
-        place = " + ".join(f"int(v{i} > {x}) + int(v{i} >= {x})" for x in e)
-        near = " OR ".join(f"(v{i} >= {e[a]} AND v{i} <= {e[b]})" for a, b in pairs)
-        return f"named_struct('ci', {i}, 'slot', CAST(IF(v{i} IS NULL, -1, {place}) AS BIGINT), 'v', IF({near}, v{i}, NULL))"
-
-    cells = attach(slim, sketch, by).select(*by, F.expr(f"inline(array({', '.join(cell(i) for i in cs)}))"))
+    # One row per cell first, so that the comparisons stand once in the compiled code, not once for each column: a method of all
+    # of them is beyond the size that the virtual machine compiles.
+    place = " + ".join(f"int(v > _marks[{j}]) + int(v >= _marks[{j}])" for j in range(m))
+    kept = " OR ".join(f"(v >= _marks[{a}] AND v <= _marks[{b}])" for a, b in pairs)
+    wide = ", ".join(f"named_struct('ci', {i}, 'v', v{i}, '_marks', _s.c{i}_e)" for i in cs)
+    cells = attach(slim, sketch, by).select(*by, F.expr(f"inline(array({wide}))")).where("v IS NOT NULL")
+    # 2j between two cut points, odd or in steps of two at one; and the value itself if between a pair
+    cells = cells.select(*by, "ci", F.expr(f"CAST({place} AS BIGINT) AS slot"), F.expr(f"IF({kept}, v, NULL) AS v"))
     keys = [*by, "ci"]
-    near = settled(cells.where("slot >= 0").groupBy(*keys, "slot", "v").agg(F.count("*").alias("k")))
+    near = settled(cells.groupBy(*keys, "slot", "v").agg(F.count("*").alias("k")))
     sizes = [F.expr(f"named_struct('ci', {i}, 'n', c{i}_n)") for i in cs]
     ranks = ", ".join(f"named_struct('pi', {pi}, 'side', {side}, 'rank', CAST({fn}((n - 1) * {p!r}D) AS BIGINT) + 1)" for pi, p in enumerate(probs) for side, fn in enumerate(("floor", "ceil")))
     wanted = sketch.select(*by, F.inline(F.array(*sizes))).where("n > 0").select(*keys, F.expr(f"inline(array({ranks}))"))

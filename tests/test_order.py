@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,20 @@ def test_quantiles_of_small_lists(spark, values):
     check(spark, [float(v) for v in values])
 
 
+def test_comparisons_with_cut_points_are_compiled(spark, monkeypatch, capsys):
+    frames, plain = [], order.settled
+    monkeypatch.setattr(order, "settled", lambda df: (frames.append(df), plain(df))[1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the code is made step by step
+    try:
+        df = spark.range(1000).select(*[(F.col("id") * k % 97).cast("double").alias(f"x{k}") for k in (1, 2, 3, 5)])
+        exact_quantiles(df, df.columns, [0.001, 0.25, 0.75, 0.999])
+        frames[1].explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the virtual machine interprets longer methods
+
+
 def test_quantiles_with_a_coarse_sketch_and_many_ties(spark):
     rng = np.random.default_rng(0)
     check(spark, np.concatenate([rng.normal(size=20_000), np.zeros(15_000), [np.nan] * 10]))
