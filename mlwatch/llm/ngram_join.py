@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mlwatch.llm.batches import grams, mixed, slices, text_bytes, words
+from mlwatch.llm.bitmaps import bitmap
 from mlwatch.llm.components import components
-from mlwatch.operators.frames import settled, unused
+from mlwatch.operators.frames import gathered, settled, unused
 
 K = 5
 PERCENT = 75
@@ -22,6 +23,8 @@ GROUP_TOKENS = 500_000
 TOKEN_BITS = 48
 STARS = 3
 CENTRES = 3
+TASK_PAIRS = 10_000
+TASK_BYTES = 4 << 20
 BITS = 512
 ORDER_B, ORDER_C, CLASS = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2B7E151628AED2A7), np.uint64(0x243F6A8885A308D3)
 SURVIVOR = "cls long, n int, p int, centre double, tokens binary, by_b array<long>, by_c array<long>, rare array<long>, bits array<long>"
@@ -183,21 +186,38 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
     return shared.groupBy("part").applyInPandas(gather, SURVIVOR)
 
 
+def in_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose classes are in settled pairs (a, b), and by chance some others."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    shared = found.sparkSession.sparkContext.broadcast(bitmap(settled(gathered(wanted, 2 * pairs.count()))))
+
+    @F.pandas_udf("boolean")
+    def has(cls: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(cls.to_numpy()))
+
+    return found.where(has("cls"))
+
+
 def sharing_prefixes(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that share prefix tokens under both hash orders too; only prefixes move."""
     side = found.select("cls", "by_b", "by_c")
     left = side.select(*[F.col(c).alias(f"a_{c}") for c in side.columns])
     right = side.select(*[F.col(c).alias(f"b_{c}") for c in side.columns])
-    joined = pairs.join(left, F.col("a") == F.col("a_cls")).join(right, F.col("b") == F.col("b_cls"))
+    joined = gathered(pairs.join(left, F.col("a") == F.col("a_cls")), pairs.count(), TASK_PAIRS).join(right, F.col("b") == F.col("b_cls"))
     return joined.where(F.arrays_overlap("a_by_b", "b_by_b") & F.arrays_overlap("a_by_c", "b_by_c")).select("a", "b")
 
 
 def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that share prefix tokens under both hash orders too, and then are similar enough."""
-    side = found.select("cls", "n", "tokens")
+    """Those of the settled pairs (a, b) that share prefix tokens under both hash orders too, and then are similar enough.
+
+    Only classes in a pair send prefixes, and only those in a pair that shares them their token lists.
+    """
+    pairs = settled(gathered(sharing_prefixes(pairs, in_pairs(found, pairs)), pairs.count(), TASK_PAIRS))
+    n = pairs.count()
+    side = in_pairs(found, pairs).select("cls", "n", "tokens")
     left = side.select(*[F.col(c).alias(f"a_{c}") for c in side.columns])
     right = side.select(*[F.col(c).alias(f"b_{c}") for c in side.columns])
-    joined = sharing_prefixes(pairs, found).join(right, F.col("b") == F.col("b_cls")).join(left, F.col("a") == F.col("a_cls"))
+    joined = gathered(gathered(pairs, n, TASK_PAIRS).join(right, F.col("b") == F.col("b_cls")), n, TASK_PAIRS).join(left, F.col("a") == F.col("a_cls"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +238,7 @@ def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cols["a"].take(pa.array(keep)), cols["b"].take(pa.array(keep))], ["a", "b"])
 
     slim = joined.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in ("n", "tokens")])
-    return slim.mapInArrow(run, "a long, b long")
+    return gathered(slim, n, TASK_PAIRS).mapInArrow(run, "a long, b long")
 
 
 def slack(percent: int) -> Column:
@@ -255,19 +275,24 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
     ``may_be_close`` rules out.
     """
     met = settled(found.select(F.explode("rare").alias("token"), "cls", "n", "centre", slack(percent).alias("slack")))
+    n = met.count()
+    met = gathered(met, n)
     edges, roots = None, None
     close = (F.col("a_n") * percent <= F.col("b_n") * 100) & (F.col("b_n") * percent <= F.col("a_n") * 100)
     for round_ in range(STARS + 1):
         if roots is None:
             at = met.withColumn("comp", F.col("cls"))
         else:
-            at = met.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
-        sizes = at.groupBy("token", "comp").agg(F.count("*").alias("size"), F.min("slack").alias("least"))
+            at = gathered(met.join(roots, F.col("cls") == F.col("node"), "left"), n).withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
+        sizes = gathered(at.groupBy("token", "comp").agg(F.count("*").alias("size"), F.min("slack").alias("least")), n)
         largest = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("major"), F.count("*").alias("comps"), F.min("least").alias("least")).where("comps > 1")
-        open_ = settled(at.join(largest.select("token", "major", "least"), "token").where("slack + least <= 0").drop("least"))
+        largest = gathered(largest.select("token", "major", "least"), n)
+        open_ = settled(gathered(at.join(largest, "token"), n).where("slack + least <= 0").drop("least"))
+        n_open = open_.count()
+        open_ = gathered(open_, n_open)
         if round_ == STARS:
             facts = found.select("cls", "bits", (F.col("n") - F.expr("length(tokens) div 6")).alias("free"))
-            open_ = settled(open_.join(facts, "cls"))
+            open_ = gathered(settled(gathered(open_.join(facts, "cls"), n_open)), n_open)
         minor = open_ if round_ == 0 else open_.where(F.col("comp") != F.col("major"))
         if round_ < STARS:
             best = minor.groupBy("token").agg(F.max(F.struct("centre", "cls", "n", "comp")).alias("x"))
@@ -285,8 +310,9 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
         else:
             # prefixes and token lists move once per pair: of the classes that a class meets, the most central will do
             centres = F.reverse(F.array_sort(F.collect_set(F.struct("centre", "a"))))
-            pairs = pairs.groupBy("b").agg(F.slice(centres, 1, CENTRES).alias("near")).select("b", F.explode("near.a").alias("a"))
-        links = settled(verified(pairs, found, percent))
+            pairs = gathered(pairs, n_open).groupBy("b").agg(F.slice(centres, 1, CENTRES).alias("near")).select("b", F.explode("near.a").alias("a"))
+        pairs = settled(pairs)
+        links = settled(verified(gathered(pairs, pairs.count()), found, percent))
         if round_ and links.isEmpty():
             if round_ == STARS:
                 break
@@ -302,7 +328,8 @@ def class_components(df: DataFrame, rows: DataFrame, text: str, k: int, percent:
     n_tokens = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // GROUP_TOKENS))
     found = settled(survivors(df, text, k, percent, parts))
-    roots = class_roots(found, percent)
+    size = found.agg(F.sum(F.length("tokens") + 24 * F.col("p") + BITS // 8)).first()[0] or 0
+    roots = class_roots(gathered(found, size, TASK_BYTES), percent)
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("least"))
     placed = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("best"))

@@ -65,3 +65,14 @@ def folder(docs, tmp_path):
 def empty_folder(empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/empty/documents.parquet")
     return f"{tmp_path}/empty"
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """More shuffle partitions than rows need, which Spark leaves as they are."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -100,6 +100,20 @@ def test_groups_follow_the_tokens(docs, rows, monkeypatch):
     assert used == [-(-sum(n for _, n, _ in plain(rows)) // 500)] and used[0] > 4
 
 
+def test_small_steps_have_tasks_for_their_rows(spark, many_partitions):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert components(edges).rdd.getNumPartitions() == 1
+
+
+def test_only_classes_in_pairs_send_prefixes(spark):
+    far = [(i * 0x9E3779B97F4A7C15 % (1 << 63), [i], [i]) for i in range(1, 2000)]
+    found = spark.createDataFrame(far, "cls long, by_b array<long>, by_c array<long>")
+    pairs = spark.createDataFrame([(far[0][0], far[1][0]), (far[2][0], far[1][0]), (far[0][0], None)], "a long, b long")
+    got = {r.cls for r in ngram_join.in_pairs(found, pairs).collect()}
+    assert {far[0][0], far[1][0], far[2][0]} <= got and len(got) < 100
+    assert ngram_join.in_pairs(found, pairs.limit(0)).collect() == []
+
+
 def test_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (5, 5), (1, 0)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
