@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from mlwatch.llm.batches import mixed, slices, text_bytes
 from mlwatch.llm.bitmaps import bitmap
 from mlwatch.llm.components import components
-from mlwatch.llm.ngram_join import rows_with_class, six, token_sets, unsix
-from mlwatch.operators.frames import settled
+from mlwatch.llm.ngram_join import TASK_PAIRS, rows_with_class, six, token_sets, unsix
+from mlwatch.operators.frames import TASK_ROWS, gathered, settled
 
 K = 2
 PERCENT = 80
@@ -26,6 +26,7 @@ CHAIN_DEPTH = 16
 DEPTHS = (DEPTH, 4, 6, 8, 12, 18, 27, 40, VALUES)
 MINOR = 1024
 BLOCK = 1024
+TASK_SETS = 8192
 NEAREST = 8
 ODD = 512
 ODD_ROWS = 2048
@@ -66,6 +67,11 @@ def odd_bits(token: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, ODD // 8), np.uint8)
 
 
+def sized(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """A settled frame in as many partitions as its rows need."""
+    return gathered(df, df.count(), task_rows)
+
+
 def signatures(df: DataFrame, text: str, k: int, seed: int) -> DataFrame:
     """(cls, n, signature, odd, limbs): one settled row for each different set of tokens."""
 
@@ -87,7 +93,7 @@ def signatures(df: DataFrame, text: str, k: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "signature", "odd", *[f"limb{j}" for j in range(LIMBS)]])
 
     schema = "cls long, n int, signature binary, odd binary, " + ", ".join(f"limb{j} long" for j in range(LIMBS))
-    return settled(df.select(F.col(text).alias("text")).mapInArrow(run, schema).dropDuplicates(["cls"]))
+    return sized(settled(df.select(F.col(text).alias("text")).mapInArrow(run, schema).dropDuplicates(["cls"])), TASK_SETS)
 
 
 def most_differing(percent: int) -> int:
@@ -107,10 +113,11 @@ def alike(percent: int) -> Column:
 
 
 def sides(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that may be similar."""
+    """Those of the settled pairs (a, b) that may be similar."""
+    n = pairs.count()
     facts = found.select("cls", "n", *[f"limb{j}" for j in range(LIMBS)])
     for side in "ab":
-        pairs = pairs.join(facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]), F.col(side) == F.col(f"{side}_cls"))
+        pairs = gathered(pairs.join(facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]), F.col(side) == F.col(f"{side}_cls")), n)
     return pairs.where(alike(percent)).select("a", "b")
 
 
@@ -119,7 +126,9 @@ def confirmed(pairs: DataFrame, df: DataFrame, text: str, k: int, percent: int)
 
     Only texts of classes in a pair send their tokens, six bytes each, once.
     """
-    wanted = settled(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    n = pairs.count()
+    pairs = gathered(pairs, n)
+    wanted = settled(gathered(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), 2 * n))
     shared = df.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +165,8 @@ def confirmed(pairs: DataFrame, df: DataFrame, text: str, k: int, percent: int)
     tokens = df.select(F.col(text).alias("text")).mapInArrow(collect, "cls long, tokens binary").dropDuplicates(["cls"])
     right = tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("b_tokens"))
     left = tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("a_tokens"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_tokens", "b_tokens").mapInArrow(verify, "a long, b long")
+    both = gathered(gathered(pairs.join(right, "b"), n, TASK_PAIRS).join(left, "a"), n, TASK_PAIRS)
+    return both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(verify, "a long, b long")
 
 
 def chained(found: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +191,7 @@ def chained(found: DataFrame, percent: int) -> DataFrame:
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.select("cls", "signature").mapInArrow(orders, "cls long, tree int, sorted binary").repartitionByRange(parts, "tree", "sorted")
-    return sides(dealt.sortWithinPartitions("tree", "sorted").mapInArrow(neighbours, "a long, b long").distinct(), found, percent)
+    return sides(sized(settled(dealt.sortWithinPartitions("tree", "sorted").mapInArrow(neighbours, "a long, b long").distinct())), found, percent)
 
 
 def region_keys(rows: DataFrame, depth: int) -> DataFrame:
@@ -307,40 +317,44 @@ def searched(found: DataFrame, roots: DataFrame, missed: DataFrame, percent: int
     """
     chance = F.lit(percent / 100)
     facts = found.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls"))
-    facts = settled(facts.select("cls", "comp", "n", "odd", *[f"limb{j}" for j in range(LIMBS)]))
+    facts = sized(settled(gathered(facts, found.count()).select("cls", "comp", "n", "odd", *[f"limb{j}" for j in range(LIMBS)])))
     open_ = missed.where(F.col("missed") > math.log(MISS)).select(F.col("cls").alias("needed"))
     rows = found.select("cls", "signature", F.array(*[F.lit(t) for t in range(trees)]).alias("trees"))
     pairs, closed = None, []
     for step, depth in enumerate(DEPTHS):
         at = settled(region_keys(rows, depth).join(facts.select("cls", "comp"), "cls"))
-        sizes = at.join(open_, F.col("cls") == F.col("needed"), "left").groupBy("tree", "key", "comp").agg(F.count("*").alias("size"), F.count("needed").alias("needed"))
+        n = at.count()
+        at = gathered(at, n)
+        marked = gathered(at.join(open_, F.col("cls") == F.col("needed"), "left"), n)
+        sizes = gathered(marked.groupBy("tree", "key", "comp").agg(F.count("*").alias("size"), F.count("needed").alias("needed")), n)
         regions = sizes.groupBy("tree", "key").agg(
             F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("needed").alias("needed")
         )
-        shared = settled(regions.where("comps > 1 and needed > 0").select("tree", "key", F.col("major.comp").alias("major"), (F.col("size") - F.col("major.size")).alias("minors")))
+        shared = regions.where("comps > 1 and needed > 0").select("tree", "key", F.col("major.comp").alias("major"), (F.col("size") - F.col("major.size")).alias("minors"))
+        shared = sized(settled(gathered(shared, n)))
         fits = F.lit(True) if depth == VALUES else F.col("minors") <= MINOR
-        here = at.join(shared.where(fits), ["tree", "key"]).join(facts.drop("comp"), "cls")
-        own = compared(here, percent, nearest)
+        here = gathered(gathered(at.join(shared.where(fits), ["tree", "key"]), n).join(facts.drop("comp"), "cls"), n)
+        own = gathered(settled(compared(here, percent, nearest)), n)
         pairs = own if pairs is None else pairs.union(own)
-        deeper = at.join(shared.where(~fits), ["tree", "key"]).select("cls", "tree")
+        deeper = gathered(at.join(shared.where(~fits), ["tree", "key"]), n).select("cls", "tree")
         if step:
-            closed.append(at.join(shared.where(~fits), ["tree", "key"], "left_anti").select("cls", F.log1p(-F.pow(chance, F.lit(depth))).alias("chance")))
-        lists = settled(deeper.groupBy("cls").agg(F.collect_list("tree").alias("trees")))
+            closed.append(gathered(at.join(shared.where(~fits), ["tree", "key"], "left_anti"), n).select("cls", F.log1p(-F.pow(chance, F.lit(depth))).alias("chance")))
+        lists = sized(settled(gathered(deeper.groupBy("cls").agg(F.collect_list("tree").alias("trees")), n)))
         if lists.isEmpty():
             break
         if not step:
             first = F.log1p(-F.pow(chance, F.lit(DEPTH)))
             closed.append(lists.select("cls", (-F.size("trees") * first).alias("chance")))
-        rows = found.select("cls", "signature").join(lists, "cls")
-    pairs = settled(pairs.distinct())
+        rows = sized(settled(gathered(found.select("cls", "signature").join(lists, "cls"), n)), TASK_SETS)
+    pairs = sized(settled(pairs.distinct()))
     if nearest:
         return pairs, missed
     gained = found.select("cls", F.lit(trees * math.log1p(-((percent / 100) ** DEPTH))).alias("chance"))
     for more in closed:
         gained = gained.union(more)
-    gained = gained.groupBy("cls").agg(F.sum("chance").alias("chance"))
+    gained = gathered(gained.groupBy("cls").agg(F.sum("chance").alias("chance")), found.count())
     left_over = missed.join(gained, "cls").select("cls", (F.col("missed") + F.col("chance")).alias("missed"))
-    return pairs, settled(left_over)
+    return pairs, sized(settled(left_over))
 
 
 def near_classes(df: DataFrame, text: str, k: int, percent: int) -> DataFrame:

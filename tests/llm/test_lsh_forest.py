@@ -82,6 +82,15 @@ def test_many_copies(spark):
     assert sum(r.kept for r in got) == 3
 
 
+def test_signatures_and_pairs_have_tasks_for_their_rows(docs, spark, many_partitions):
+    found = lsh_forest.signatures(docs, "text", 2, 0)
+    assert found.rdd.getNumPartitions() == 1
+    none = spark.createDataFrame([], "node long, root long")
+    missed = found.selectExpr("cls", "0D AS missed")
+    pairs, missed = lsh_forest.searched(found, none, missed, 80)
+    assert pairs.count() and pairs.rdd.getNumPartitions() == missed.rdd.getNumPartitions() == 1
+
+
 def test_empty(empty):
     assert near_duplicates(empty).collect() == []
 
