@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mlwatch.llm.batches import grams, mixed, slices, text_bytes, words
-from mlwatch.llm.bitmaps import bitmap
+from mlwatch.llm.batches import grams, mixed, released, slices, text_bytes, words
+from mlwatch.llm.bitmaps import Bitmap, bitmap
 from mlwatch.llm.components import components
 from mlwatch.operators.frames import gathered, settled, unused
 
@@ -21,6 +22,7 @@ PERCENT = 75
 BUFFER = 500_000
 GROUP_TOKENS = 500_000
 TOKEN_BITS = 48
+SHARED = 32
 STARS = 3
 CENTRES = 3
 TASK_PAIRS = 10_000
@@ -61,27 +63,33 @@ def unsix(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def packed(cls: np.ndarray, n: np.ndarray, tokens: np.ndarray, doc: np.ndarray, df: np.ndarray | None = None) -> bytes:
-    """Tokens of several classes, grouped by class, in one value; ``doc`` is each token's place in ``cls``, ascending."""
+def packed(cls: np.ndarray, n: np.ndarray | None, tokens: np.ndarray, doc: np.ndarray, df: np.ndarray | None = None) -> bytes:
+    """Tokens of several classes, grouped by class, in one value; ``doc`` is each token's place in ``cls``, ascending.
+
+    Without sizes the last 48 bits of a class are its name.
+    """
     used, count = np.unique(doc, return_counts=True)
     head = np.array([len(used), len(tokens)], np.int32).tobytes()
-    body = cls[used].astype("<i8").tobytes() + n[used].astype("<i4").tobytes() + count.astype("<i4").tobytes() + six(tokens)
+    names = six(cls[used]) if n is None else cls[used].astype("<i8").tobytes() + n[used].astype("<i4").tobytes()
+    body = names + count.astype("<i4").tobytes() + six(tokens)
     return head + body + (b"" if df is None else df.astype("<i4").tobytes())
 
 
-def unpacked(blobs: list[bytes], with_df: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+def unpacked(blobs: list[bytes], with_df: bool = False, with_n: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray | None]:
     """Class, size of the class's set, token and count of documents, one each per token."""
     cls, n, tokens, dfs = [], [], [], []
     for b in blobs:
         docs, size = np.frombuffer(b, np.int32, 2)
-        at = 8 + 16 * docs
-        count = np.frombuffer(b, "<i4", docs, 8 + 12 * docs)
-        cls.append(np.repeat(np.frombuffer(b, "<i8", docs, 8), count))
-        n.append(np.repeat(np.frombuffer(b, "<i4", docs, 8 + 8 * docs), count))
+        at = 8 + (16 if with_n else 10) * docs
+        count = np.frombuffer(b, "<i4", docs, at - 4 * docs)
+        names = np.frombuffer(b, "<i8", docs, 8) if with_n else unsix(b[8 : 8 + 6 * docs]).astype(np.int64)
+        cls.append(np.repeat(names, count))
+        if with_n:
+            n.append(np.repeat(np.frombuffer(b, "<i4", docs, 8 + 8 * docs), count))
         tokens.append(unsix(b[at : at + 6 * size]))
         if with_df:
             dfs.append(np.frombuffer(b, "<i4", size, at + 6 * size))
-    return np.concatenate(cls), np.concatenate(n), np.concatenate(tokens), np.concatenate(dfs) if with_df else None
+    return np.concatenate(cls), np.concatenate(n) if with_n else None, np.concatenate(tokens), np.concatenate(dfs) if with_df else None
 
 
 def dealt(cls, n, tokens, doc, to, parts, df=None) -> Iterator[tuple[int, bytes]]:
@@ -106,14 +114,8 @@ def rows_with_class(df: DataFrame, text: str, k: int, names: tuple[str, str] = (
     return df.mapInArrow(run, schema)
 
 
-def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> DataFrame:
-    """Classes that may have a partner, with their shared tokens and prefixes.
-
-    Tokens are dealt by their value, counted over different classes, and those of two or more go back to their classes.
-    A class survives if it has shared tokens enough for a partner. Its prefix under an order is what is left of the first
-    n - ceil(percent of n) + 1 tokens once the unshared ones, which come first in every order, are out. Orders: rare
-    tokens first (``rare`` lists the prefix), and two by hashes of the token (``by_b`` and ``by_c``). ``bits`` tells for BITS places whether an odd number of shared tokens falls there. Values between the steps hold the tokens of many documents, so that a token costs six bytes, not a row.
-    """
+def posted(df: DataFrame, text: str, k: int, parts: int, chosen, with_n: bool) -> DataFrame:
+    """(part, blob): what ``chosen`` leaves of the classes (class, size) and of their tokens, dealt by the tokens' values."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -121,10 +123,10 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            cls, n, tokens = (np.concatenate([h[i] for h in held]) for i in range(3))
-            doc = np.repeat(np.arange(len(n)), n)
+            cls, n, tokens, times = (np.concatenate([h[i] for h in held]) for i in range(4))
+            doc = np.repeat(np.arange(len(n)), times)
             to = (tokens >> np.uint64(16)) * np.uint64(parts) >> np.uint64(TOKEN_BITS - 16)
-            for part, blob in dealt(cls, n, tokens, doc, to, parts):
+            for part, blob in dealt(cls, n if with_n else None, tokens, doc, to, parts):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
 
         for b in slices(batches, "text"):
@@ -134,9 +136,8 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
                 if c not in seen and n[i]:
                     seen.add(c)
                     fresh[i] = True
-            tokens = tokens[np.repeat(fresh, n)]
-            held.append((cls[fresh], n[fresh], tokens))
-            size += len(tokens)
+            held.append(chosen(cls[fresh], n[fresh], tokens[np.repeat(fresh, n)]))
+            size += len(held[-1][2])
             if size > BUFFER:
                 yield from flush()
                 held, size = [], 0
@@ -144,20 +145,77 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
         if size:
             yield from flush()
 
+    return df.select(F.col(text).alias("text")).mapInArrow(post, "part int, blob binary")
+
+
+def shared_tokens(rows: pd.DataFrame, with_n: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """Class, size of its set, token and number of different classes that have it, for the tokens of a group that several have."""
+    cls, n, tokens, _ = unpacked(rows["blob"].tolist(), with_n=with_n)
+    order = np.lexsort((cls, tokens))
+    cls, tokens = cls[order], tokens[order]
+    n = n[order] if with_n else None
+    del order
+    new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])])
+    cls, tokens = cls[new], tokens[new]
+    n = n[new] if with_n else None
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    times = np.diff(np.append(first, len(tokens)))
+    df = np.repeat(times, times)
+    return cls[df > 1], n[df > 1] if with_n else None, tokens[df > 1], df[df > 1]
+
+
+def screened(df: DataFrame, rows: DataFrame, text: str, k: int, percent: int) -> tuple[Bitmap, float]:
+    """The classes that can have a partner, by their first tokens alone, and their part of all tokens.
+
+    A similar pair has ceil(percent of n) tokens in common, for the n of either; so of each one's first
+    n - ceil(percent of n) + SHARED tokens by a hash SHARED are among the other's first ones. Classes whose ceil is below
+    SHARED send all, and need that many. Classes with fewer tokens that others have sent too are left out, and no other.
+    """
+    need = F.expr(f"({percent} * n_shingles + 99) div 100")
+    sent = rows.agg(F.sum(F.least("n_shingles", F.col("n_shingles") - need + SHARED)), F.sum("n_shingles")).first()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sent[0] or 0) // (2 * GROUP_TOKENS)))
+
+    def first(cls: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+        doc = np.repeat(np.arange(len(n)), n)
+        tokens = tokens[np.lexsort((mixed(tokens ^ ORDER_B), doc))]
+        least = -(-percent * n // 100)
+        times = np.where(least < SHARED, n, n - least + SHARED)
+        return cls, n, tokens[np.arange(len(tokens)) - (np.cumsum(n) - n)[doc] < times[doc]], times
+
+    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        own, times = np.unique(shared_tokens(group, False)[0], return_counts=True)
+        released()
+        return pd.DataFrame({"name": own, "shared": times.astype(np.int32)})
+
+    found = posted(df, text, k, parts, first, False).groupBy("part").applyInPandas(count, "name long, shared int")
+    found = found.groupBy("name").agg(F.sum("shared").alias("shared"))
+    sizes = rows.where("n_shingles > 0").select("cls", "n_shingles", F.col("cls").bitwiseAND(F.lit((1 << 48) - 1)).alias("name")).distinct()
+    wanted = settled(found.join(sizes, "name").where(F.col("shared") >= F.least(F.lit(SHARED), need)).select("cls", "n_shingles"))
+    size = wanted.agg(F.sum("n_shingles")).first()[0] or 0
+    return bitmap(wanted.select("cls")), size / max(1, sent[1] or 0)
+
+
+def survivors(df: DataFrame, text: str, k: int, percent: int, wanted: Bitmap, share: float, parts: int) -> DataFrame:
+    """Those of the wanted classes that may have a partner, with their shared tokens and prefixes.
+
+    Tokens are dealt by their value, counted over different classes, and those of two or more go back to their classes.
+    A class survives if it has shared tokens enough for a partner. Its prefix under an order is what is left of the first
+    n - ceil(percent of n) + 1 tokens once the unshared ones, which come first in every order, are out. Orders: rare
+    tokens first (``rare`` lists the prefix), and two by hashes of the token (``by_b`` and ``by_c``). Of ``parts`` groups, enough
+    for all tokens, those are used that the ``share`` of the wanted classes needs. ``bits`` tells for BITS places whether an odd number of shared tokens falls there. Values between the steps hold the tokens of many documents, so that a token costs six bytes, not a row.
+    """
+    shared_, parts = df.sparkSession.sparkContext.broadcast(wanted), max(1, min(parts, math.ceil(parts * share)))
+
+    def own(cls: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+        has = shared_.value.has(cls)
+        return cls[has], n[has], tokens[np.repeat(has, n)], n[has]
+
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cls, n, tokens, _ = unpacked(rows["blob"].tolist())
-        order = np.lexsort((cls, tokens))
-        cls, n, tokens = cls[order], n[order], tokens[order]
-        del order
-        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])])
-        cls, n, tokens = cls[new], n[new], tokens[new]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        times = np.diff(np.append(first, len(tokens)))
-        df = np.repeat(times, times)
-        cls, n, tokens, df = cls[df > 1], n[df > 1], tokens[df > 1], df[df > 1]
+        cls, n, tokens, df = shared_tokens(rows, True)
         own, at, doc = np.unique(cls, return_index=True, return_inverse=True)
         order = np.argsort(doc, kind="stable")
         out = list(dealt(own, n[at], tokens[order], doc[order], (own % parts)[doc[order]], parts, df[order])) if len(own) else []
+        released()
         return pd.DataFrame({"part": np.array([p for p, _ in out], np.int32), "blob": [b for _, b in out]})
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -179,10 +237,10 @@ def survivors(df: DataFrame, text: str, k: int, percent: int, parts: int) -> Dat
             odd = np.bincount((mixed(own ^ CLASS) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
             bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
             out.append((cls[a], size, p, centre, six(own), by_b, by_c, rare.astype(np.int64), bits))
+        released()
         return pd.DataFrame(out, columns=["cls", "n", "p", "centre", "tokens", "by_b", "by_c", "rare", "bits"])
 
-    posted = df.select(F.col(text).alias("text")).mapInArrow(post, "part int, blob binary")
-    shared = posted.groupBy("part").applyInPandas(count, "part int, blob binary")
+    shared = posted(df, text, k, parts, own, True).groupBy("part").applyInPandas(count, "part int, blob binary")
     return shared.groupBy("part").applyInPandas(gather, SURVIVOR)
 
 
@@ -327,7 +385,8 @@ def class_components(df: DataFrame, rows: DataFrame, text: str, k: int, percent:
     component, and whether the class is the one that stands for it, the smallest of those that have that id."""
     n_tokens = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // GROUP_TOKENS))
-    found = settled(survivors(df, text, k, percent, parts))
+    wanted, share = screened(df, rows, text, k, percent)
+    found = settled(gathered(survivors(df, text, k, percent, wanted, share, parts), int(n_tokens * share), GROUP_TOKENS))
     size = found.agg(F.sum(F.length("tokens") + 24 * F.col("p") + BITS // 8)).first()[0] or 0
     roots = class_roots(gathered(found, size, TASK_BYTES), percent)
     classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("least"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 
+import numpy as np
+
 from mlwatch.llm import ngram_join
 from mlwatch.llm.components import components
 from mlwatch.llm.queries import QUERIES
@@ -100,6 +102,28 @@ def test_groups_follow_the_tokens(docs, rows, monkeypatch):
     assert used == [-(-sum(n for _, n, _ in plain(rows)) // 500)] and used[0] > 4
 
 
+def test_screen_keeps_every_class_with_a_partner(docs, rows, spark):
+    sets = sets_of(rows)
+    linked = lambda i: any(j != i and a != sets[i] and 100 * len(a & sets[i]) >= 75 * len(a | sets[i]) for j, a in enumerate(sets))
+    partners = {sets[i] for i in range(len(rows)) if sets[i] and linked(i)}
+    sized = ngram_join.rows_with_class(docs.select("text"), "text", 5).select("text", "n_shingles", "cls").cache()
+    wanted, share = ngram_join.screened(docs, sized, "text", 5, 75)
+    got = sized.collect()
+    kept = {s for r in got for s in sets_of([(0, r.text)]) if wanted.has(np.array([r.cls]))[0]}
+    assert partners <= kept and len(partners) > 20
+    assert len(kept) < len({s for s in sets if s}) / 2 + len(partners) and 0 < share < 1
+
+
+def test_lone_classes_send_their_first_tokens_only(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(60)]
+    rows += [(100 + i, " ".join(f"near{j}" for j in range(i, 400 + i))) for i in range(3)]
+    sent, plain_shared = [], ngram_join.posted
+    monkeypatch.setattr(ngram_join, "posted", lambda *x: (out := plain_shared(*x), sent.append(sum(len(r.blob) for r in out.collect())))[0])
+    got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got if r.doc_id >= 100} == {100} and len({r.component_id for r in got}) == 61
+    assert sum(sent) < 63 * 396 * 6
+
+
 def test_small_steps_have_tasks_for_their_rows(spark, many_partitions):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert components(edges).rdd.getNumPartitions() == 1
