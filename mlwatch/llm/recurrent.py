@@ -88,25 +88,35 @@ class Network:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
             a = h @ self.u
             g = gates[t]
-            zr = 1.0 / (1.0 + np.exp(-(g[:, : 2 * k] + a[:, : 2 * k])))
+            zr = g[:, : 2 * k] + a[:, : 2 * k]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += np.float32(1)
+            np.divide(np.float32(1), zr, out=zr)
             z, r = zr[:, :k], zr[:, k:]
-            n = np.tanh(g[:, 2 * k :] + r * a[:, 2 * k :])
-            new = n + z * (h - n)
+            n = r * a[:, 2 * k :]
+            n += g[:, 2 * k :]
+            np.tanh(n, out=n)
+            new = np.subtract(h, n, out=out[t])
+            new *= z
+            new += n
             if keep is not None:
                 keep.append((h, z, r, n, a[:, 2 * k :]))
-            out[t] = h = new
+            h = new
         return out, h
 
     def loss(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target symbol given its state, by class and then by word; adds to ``gradients``."""
         layout = self.layout
         cls = layout.classes[targets]
-        logits = states @ self.wc + self.bc
+        logits = states @ self.wc
+        logits += self.bc
         logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1)
         rows = np.arange(len(targets))
-        out = logits[rows, cls] - np.log(s)
+        out = logits[rows, cls]
+        e = np.exp(logits, out=logits)
+        s = e.sum(axis=1)
+        out -= np.log(s)
         back = None
         if gradients is not None:
             e /= s[:, None]
@@ -116,24 +126,33 @@ class Network:
             back = e @ self.wc.T
         order = np.argsort(cls.astype(np.uint8 if len(self.bc) < 256 else np.int64), kind="stable")
         ends = np.searchsorted(cls[order], np.arange(len(layout.cuts)))
+        # rows in the order of their classes, so that each class is a slice
+        order = order[: ends[-1]]
+        sorted_states, sorted_targets = states[order], targets[order]
+        words, steps = np.zeros(len(order), out.dtype), None if back is None else np.zeros_like(sorted_states)
         for c in range(len(layout.cuts) - 1):
-            own = order[ends[c] : ends[c + 1]]
+            own = slice(ends[c], ends[c + 1])
             a, b = layout.cuts[c], layout.cuts[c + 1]
-            if not len(own) or b - a == 1:
+            if ends[c] == ends[c + 1] or b - a == 1:
                 continue
-            h, w = states[own], self.wo[a:b]
-            logits = h @ w.T + self.bo[a:b]
+            h, w = sorted_states[own], self.wo[a:b]
+            logits = h @ w.T
+            logits += self.bo[a:b]
             logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
+            at, place = sorted_targets[own] - a, rows[: len(h)]
+            got = logits[place, at]
+            e = np.exp(logits, out=logits)
             s = e.sum(axis=1)
-            at = targets[own] - a
-            out[own] += logits[np.arange(len(own)), at] - np.log(s)
+            np.subtract(got, np.log(s), out=words[own])
             if gradients is not None:
                 e /= s[:, None]
-                e[np.arange(len(own)), at] -= 1.0
+                e[place, at] -= 1.0
                 gradients["wo"][a:b] += e.T @ h
                 gradients["bo"][a:b] += e.sum(axis=0)
-                back[own] += e @ w
+                np.matmul(e, w, out=steps[own])
+        out[order] += words
+        if back is not None:
+            back[order] += steps
         return out, back
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, fresh: np.ndarray, valid: np.ndarray, h: np.ndarray):
@@ -248,9 +267,19 @@ def fit(net: Network, symbols: np.ndarray, offsets: np.ndarray, end: int, rate:
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) / count
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / count)
         for k in net.NAMES:
-            own = g[k] * scale
-            m[k] += np.float32(0.1) * (own - m[k])
-            v[k] += np.float32(0.01) * (own * own - v[k])
+            own = g[k]
+            own *= scale
+            moved = own - m[k]
+            moved *= np.float32(0.1)
+            m[k] += moved
+            own *= own
+            own -= v[k]
+            own *= np.float32(0.01)
+            v[k] += own
             fix = step * np.sqrt(1 - 0.99 ** (i + 1)) / (1 - 0.9 ** (i + 1))
-            getattr(net, k)[...] -= np.float32(fix) * m[k] / (np.sqrt(v[k]) + np.float32(1e-7))
+            np.multiply(np.float32(fix), m[k], out=moved)
+            np.sqrt(v[k], out=own)
+            own += np.float32(1e-7)
+            moved /= own
+            getattr(net, k)[...] -= moved
     return net
