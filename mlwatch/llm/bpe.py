@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mlwatch.llm.batches import slices
+from mlwatch.llm.batches import released, slices
 
 CACHED_CHUNKS = 1 << 17
 CACHED_PIECES = 1 << 17
@@ -51,6 +51,10 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.between = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.shown = byte_characters()
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory of what has been encoded: workers live on, and the tasks of later steps need room."""
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.new_pieces: dict[str, bytes] = {}
@@ -184,6 +188,8 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
         for b in slices(batches, text):
             ids = own.encode_batch(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, into])
+        own.forget()
+        released()
 
     return kept.mapInArrow(run, schema)
 
@@ -218,5 +224,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, ids, own.decode_batch(ids)], [*b.schema.names, "ids", "decoded"]
             )
+        own.forget()
+        released()
 
     return kept.mapInArrow(run, schema)

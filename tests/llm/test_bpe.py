@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -64,3 +65,16 @@ def test_general_interface(docs, rows, spark, empty, empty_folder):
     assert out.where("text IS NULL").first().ids == [] and out.where("text IS NULL").first().decoded == ""
     assert out.count() == len(rows)
     assert QUERIES["op1_bpe"](spark, empty_folder).collect() == []
+
+
+def test_memory_is_empty_behind_a_task(spark):
+    class Frame:
+        columns, schema = ["text"], None
+        drop = select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    batch = pa.RecordBatch.from_pydict({"text": ["some words here", "and here"]})
+    for make in (bpe.encode, bpe.round_trip):
+        assert sum(b.num_rows for b in make(Frame(), PATH)(iter([batch]))) == 2
+        own = bpe.codec(PATH)
+        assert len(own.new) == 1 and not (own.old or own.new_pieces or own.old_pieces)
