@@ -28,14 +28,15 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return gathered(tied.union(least.select("a", F.col("m").alias("b"))).distinct(), n)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the smallest node of its component; roots are left out.
 
     Links from a node to itself and nulls don't count. Each round is settled; the number of rounds grows with the logarithm
     of a component's size, and sums over neighbours are taken within tasks first, so that a node with very many
-    neighbours is no hot group. Tasks are as many as the links need.
+    neighbours is no hot group. Tasks are as many as the links need, from the start where the caller knows that there are ``most`` of them.
     """
-    now = settled(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    now = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    now = settled(now if most is None else gathered(now, most))
     n = now.count()
     now = gathered(now, n)
     state = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mlwatch.operators.frames import attach, settled, unused
+from mlwatch.operators.frames import attach, gathered, settled, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,14 +29,16 @@ def source_sizes(df: DataFrame, source: str = "source", size: str = "size") -> D
 def cyclic_weights(sizes: DataFrame, cycle: int = 3) -> DataFrame:
     """Add ``weight``: 1, 2, ... ``cycle``, repeating, in order of the source by code point with null last.
 
-    Ranks come from a range partitioning: the place within a partition plus the rows of the partitions before it.
+    Ranks come from a range partitioning: the place within a partition plus the rows of the partitions before it. What follows
+    has tasks for the sources there are.
     """
     parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = settled(
+    placed = (
         sizes.repartitionByRange(parts, F.col("source").isNull(), F.col("source"))
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.row_number().over(W.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())))
     )
+    placed = settled(gathered(placed, sizes.count()))
     before = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = before.withColumn("_n", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # one row per partition: as bounded as the number of tasks

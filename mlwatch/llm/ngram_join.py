@@ -190,7 +190,8 @@ def screened(df: DataFrame, rows: DataFrame, text: str, k: int, percent: int) ->
     found = posted(df, text, k, parts, first, False).groupBy("part").applyInPandas(count, "name long, shared int")
     found = found.groupBy("name").agg(F.sum("shared").alias("shared"))
     sizes = rows.where("n_shingles > 0").select("cls", "n_shingles", F.col("cls").bitwiseAND(F.lit((1 << 48) - 1)).alias("name")).distinct()
-    wanted = settled(found.join(sizes, "name").where(F.col("shared") >= F.least(F.lit(SHARED), need)).select("cls", "n_shingles"))
+    wanted = found.join(sizes, "name").where(F.col("shared") >= F.least(F.lit(SHARED), need)).select("cls", "n_shingles")
+    wanted = settled(gathered(wanted, sent[0] or 0, GROUP_TOKENS))
     size = wanted.agg(F.sum("n_shingles")).first()[0] or 0
     return bitmap(wanted.select("cls")), size / max(1, sent[1] or 0)
 
@@ -369,6 +370,7 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
             # prefixes and token lists move once per pair: of the classes that a class meets, the most central will do
             centres = F.reverse(F.array_sort(F.collect_set(F.struct("centre", "a"))))
             pairs = gathered(pairs, n_open).groupBy("b").agg(F.slice(centres, 1, CENTRES).alias("near")).select("b", F.explode("near.a").alias("a"))
+            pairs = gathered(pairs, n_open)
         pairs = settled(pairs)
         links = settled(verified(gathered(pairs, pairs.count()), found, percent))
         if round_ and links.isEmpty():
@@ -376,7 +378,7 @@ def class_roots(found: DataFrame, percent: int) -> DataFrame:
                 break
             continue
         edges = links if edges is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
-        roots = components(edges)
+        roots = components(edges, edges.count())
     return roots
 
 

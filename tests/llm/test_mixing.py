@@ -71,3 +71,11 @@ def test_taken_near_targets_and_emitted(spark):
 
 def test_empty(spark, empty_folder):
     assert QUERIES["op9_mix"](spark, empty_folder).collect() == []
+
+
+def test_settled_frames_have_files_for_their_sources(spark, rows, many_partitions, monkeypatch):
+    parts, plain_settled = [], mixing.settled
+    monkeypatch.setattr(mixing, "settled", lambda df: (out := plain_settled(df), parts.append(out.rdd.getNumPartitions()))[0])
+    df = mixing.word_count(spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id long, text string, source string"))
+    mixing.copies(df, mixing.cyclic_weights(mixing.source_sizes(df))).collect()
+    assert len(parts) == 4 and sum(parts) <= 37 + 3

@@ -129,6 +129,16 @@ def test_small_steps_have_tasks_for_their_rows(spark, many_partitions):
     assert components(edges).rdd.getNumPartitions() == 1
 
 
+def test_settled_frames_have_files_for_their_rows(docs, many_partitions, monkeypatch):
+    # a file of a checkpoint is a process of its own on a local disk, and a request to any shared store
+    parts, plain_settled = [], ngram_join.settled
+    record = lambda df: (out := plain_settled(df), parts.append(out.rdd.getNumPartitions()))[0]
+    monkeypatch.setattr(ngram_join, "settled", record)
+    monkeypatch.setattr("mlwatch.llm.components.settled", record)
+    ngram_join.similarity_components(docs).collect()
+    assert len(parts) > 10 and sum(p == 37 for p in parts) <= 1 and sum(parts) < 37 + 3 * len(parts)
+
+
 def test_only_classes_in_pairs_send_prefixes(spark):
     far = [(i * 0x9E3779B97F4A7C15 % (1 << 63), [i], [i]) for i in range(1, 2000)]
     found = spark.createDataFrame(far, "cls long, by_b array<long>, by_c array<long>")
