@@ -21,7 +21,7 @@ GROUPS = 12
 PART_TOKENS = 4_000_000
 TOGETHER = 8 << 20
 MERGE = 1_500_000
-SIGN = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
+SIGN = np.array([0 if chr(b).isalnum() or b >= 128 else 3 for b in range(256)], np.int8)
 END = np.uint64(0)
 
 
@@ -32,9 +32,21 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     if not len(h):
         return h, np.empty(0, np.int8), rows
     size = end - start
-    other = np.add.reduceat((raw >= 128).astype(np.int32), start)  # what lies before the next word has no such letters
-    form = np.where(size <= 4, 0, np.where(size <= 8, 1, 2)) + 3 * SIGN[raw[end - 1]] + 6 * (other > 0)
-    return np.where(h == END, np.uint64(1), h), form.astype(np.int8), rows
+    form = SIGN.take(raw[end - 1])
+    form += size > 4
+    form += size > 8
+    form += np.int8(6) * (np.maximum.reduceat(raw, start) >= 128)  # what lies before the next word has no such letters
+    h[h == END] = 1
+    return h, form, rows
+
+
+def tallied(h: np.ndarray, g: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, a group of each, and the sums of their counts ``n``, or their numbers."""
+    order = np.argsort(h)
+    own = h[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(h) else np.empty(0, np.int64)
+    sums = np.diff(first, append=len(h)) if n is None or not len(h) else np.add.reduceat(n[order], first)
+    return own[first], g[order[first]], sums.astype(np.int64)
 
 
 @dataclass
@@ -58,21 +70,39 @@ class Model:
             found = self._net = Network(self.layout, self.hidden).load(self.network)
         return found
 
+    def slots(self) -> np.ndarray:
+        """For every value of a hash's first bits, where the listed hashes from it on begin; some eight values to a listed hash."""
+        found = getattr(self, "_slots", None)
+        if found is None:
+            bits = min(20, len(self.hashes).bit_length() + 3)
+            begin = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+            found = self._slots = np.minimum(np.searchsorted(self.hashes, begin), len(self.hashes) - 1)
+        return found
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_net"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_net", "_slots")}
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether hashes are listed, and where."""
+        """Whether hashes are listed, and where: the first bits lead to a listed hash, from which few steps are left."""
         if not len(self.hashes):
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return self.hashes[at] == h, at
-
-    def symbols(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
-        listed, at = self.lookup(h)
-        place = np.where(listed, self.places[at] if len(self.hashes) else -1, -1)
-        return np.where(place >= 0, place, self.layout.words + group.astype(np.int64)).astype(np.int32)
+        slots, last = self.slots(), len(self.hashes) - 1
+        at = slots[h >> np.uint64(65 - len(slots).bit_length())]
+        here = self.hashes[at]
+        listed = here == h
+        left = np.flatnonzero(here < h)
+        while len(left := left[at[left] < last]):
+            at[left] += 1
+            here, wanted = self.hashes[at[left]], h[left]
+            listed[left] = here == wanted
+            left = left[here < wanted]
+        return listed, at
+
+    def symbols(self, h: np.ndarray, group: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Symbols of words, from what ``lookup`` has ``found`` for them."""
+        listed, at = found or self.lookup(h)
+        place = self.places[at] if len(self.hashes) else np.full(len(h), -1)
+        return np.where(listed & (place >= 0), place, np.int32(self.layout.words) + group).astype(np.int32)
 
     def end(self) -> int:
         return int(self.symbols(np.array([END]), np.zeros(1, np.int8))[0])
@@ -86,9 +116,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         size = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            h, g, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-            own, at, back = np.unique(h, return_index=True, return_inverse=True)
-            return own, g[at], np.bincount(back, weights=n).astype(np.int64)
+            return tallied(*(np.concatenate([x[i] for x in held]) for i in range(3)))
 
         def out() -> pa.RecordBatch:
             h, g, n = merged()
@@ -96,10 +124,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for b in slices(batches, "text"):
             h, g, rows = tokens(*text_bytes(b.column("text")))
-            own, at, n = np.unique(h, return_index=True, return_counts=True)
-            held.append((own, g[at], n))
+            held.append(tallied(h, g))
             held.append((np.array([END]), np.zeros(1, np.int8), np.array([len(rows) - 1])))
-            size += len(own)
+            size += len(held[-2][0])
             if size > MERGE:
                 held = [merged()]
                 size = len(held[0][0])
@@ -221,7 +248,7 @@ def listed_scores(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         below = np.log10(float(own.n + own.distinct + 1))
         base = np.log10(own.counts + 1.0) - below
-        inside = in_group(own, own.counts)
+        inside, group = np.log10(own.counts + 1.0), np.log10(own.group_n + own.group_distinct + 1.0)
         held: list[tuple] = []
         weight = 0
 
@@ -240,10 +267,11 @@ def listed_scores(docs: DataFrame, model: Model) -> DataFrame:
             h, g, rows = tokens(raw, at)
             listed, place = own.lookup(h)
             row = np.repeat(np.arange(b.num_rows), np.diff(rows))
-            sums = [np.bincount(row[listed], weights=w, minlength=b.num_rows) for w in (np.ones(listed.sum()), base[place[listed]])]
-            outside = listed & (own.places[place] < 0)
-            extra = np.bincount(row[outside], weights=inside[g[outside], place[outside]], minlength=b.num_rows)
-            held.append((own.symbols(h, g), np.diff(rows), b.column("key").to_numpy(), sums[0].astype(np.int64) + int(end_count > 0), sums[1] + base[end_at[0]], extra))
+            known = np.diff(np.append(0, np.cumsum(listed))[rows])
+            based = np.bincount(row, weights=np.where(listed, base[place], 0.0), minlength=b.num_rows)
+            outside = np.flatnonzero(listed & (own.places[place] < 0))
+            extra = np.bincount(row[outside], weights=inside[place[outside]] - group[g[outside]], minlength=b.num_rows)
+            held.append((own.symbols(h, g, (listed, place)), np.diff(rows), b.column("key").to_numpy(), known + int(end_count > 0), based + base[end_at[0]], extra))
             weight += len(raw)
             if weight > TOGETHER:
                 yield out()
@@ -254,11 +282,6 @@ def listed_scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "key long, n_tokens long, n_known long, base double, score double")
 
 
-def in_group(model: Model, counts: np.ndarray) -> np.ndarray:
-    """log10 probability of a word within its group, by group and word: counts plus one, and one more place for unknown words."""
-    return np.log10(counts + 1.0)[None, :] - np.log10(model.group_n + model.group_distinct + 1.0)[:, None]
-
-
 def unlisted(docs: DataFrame, model: Model) -> DataFrame:
     """(key, word, form, times): the words of each row that the model does not list."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -303,8 +326,9 @@ def score(df: DataFrame, learn: Column, text: str = "text", rounds: int = 1) ->
     counts = settled(word_counts(training))
     model = train(training, counts, rounds=rounds)
     docs = slim.select("key", "text")
-    scored = listed_scores(docs, model).dropDuplicates(["key"])
-    rest = unlisted(docs, model).join(counts.select("word", "n"), "word", "left").dropDuplicates(["key", "word"])
+    # copies of a text give equal rows: one of its own scores is kept, and its sums over words are divided by its copies
+    scored = listed_scores(docs, model).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.count("*").alias("copies"))
+    rest = unlisted(docs, model).join(counts.select("word", "n"), "word", "left")
     count = F.coalesce("n", F.lit(0))
     below = F.element_at(F.array(*[F.lit(float(np.log10(a + b + 1.0))) for a, b in zip(model.group_n, model.group_distinct, strict=True)]), F.col("form").cast("int") + 1)
     rest = rest.groupBy("key").agg(
@@ -314,9 +338,9 @@ def score(df: DataFrame, learn: Column, text: str = "text", rounds: int = 1) ->
     )
     both = scored.join(rest, "key", "left").select(
         F.col("key").alias("_key"), "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce(F.expr("known div copies"), F.lit(0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce(F.col("base2") / F.col("copies"), F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce(F.col("score2") / F.col("copies"), F.lit(0.0))).alias("score"),
     )
     return keyed.drop("_learn").join(both, "_key").select(*kept.columns, *new)

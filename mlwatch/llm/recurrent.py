@@ -13,6 +13,8 @@ STEPS = 24
 TRAIN_LANES = 192
 SCORE_LANES = 256
 SCORE_STEPS = 64
+FAR = 80.0
+BLOCK = 1 << 14
 
 
 @dataclass
@@ -41,6 +43,21 @@ class Layout:
         return Layout(len(counts), groups, cuts)
 
 
+def softmax(logits: np.ndarray, rows: np.ndarray, at: np.ndarray, ones: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of the place ``at`` in each row, and exponentials (in place of ``logits``) with their sums by row.
+
+    Rows are shifted by their largest logit only where one is so far from 0 that exponentials could overflow or vanish;
+    ``near`` says that none is.
+    """
+    if not near and logits.size and not (logits.max() < FAR and logits.min() > -FAR):
+        logits -= logits.max(axis=1, keepdims=True)
+    got = logits[rows, at]
+    e = np.exp(logits, out=logits)
+    s = e @ ones[: e.shape[1]]
+    got -= np.log(s)
+    return got, e, s
+
+
 class Network:
     """Gate inputs by symbol, recurrent weights, class and word weights; all in 32 bits."""
 
@@ -78,30 +95,37 @@ class Network:
         return self
 
     def unroll(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each step of (steps, lanes), from the states before; ``fresh`` lanes start a document at the step."""
-        k = self.hidden
-        gates = self.x[ids]
-        out = np.empty((*ids.shape, k), np.float32)
+        """States after each step of (steps, lanes), from the states before; ``fresh`` lanes start a document at the step.
+
+        Every gate has arrays of its own, one behind the other in memory: rows that are parts of wider ones cost some four times as much.
+        """
+        k, dtype = self.hidden, self.u.dtype
+        inputs = self.x.reshape(-1, 3, k).transpose(1, 0, 2).copy()
+        weights = self.u.reshape(k, 3, k).transpose(1, 0, 2).copy()
+        for w in (inputs, weights):
+            np.negative(w[:2], out=w[:2])  # the first two gates need exp(-input)
+        out = np.empty((*ids.shape, k), dtype)
         any_fresh = fresh.any(axis=1)
         for t in range(len(ids)):
             if any_fresh[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            a = h @ self.u
-            g = gates[t]
-            zr = g[:, : 2 * k] + a[:, : 2 * k]
-            np.negative(zr, out=zr)
+                h = h.copy()
+                h[fresh[t]] = 0
+            a = np.matmul(h, weights)
+            g = inputs.take(ids[t], axis=1)
+            zr = g[:2]
+            zr += a[:2]
             np.exp(zr, out=zr)
-            zr += np.float32(1)
-            np.divide(np.float32(1), zr, out=zr)
-            z, r = zr[:, :k], zr[:, k:]
-            n = r * a[:, 2 * k :]
-            n += g[:, 2 * k :]
+            zr += dtype.type(1)
+            np.divide(dtype.type(1), zr, out=zr)
+            z, r = zr
+            n = r * a[2]
+            n += g[2]
             np.tanh(n, out=n)
             new = np.subtract(h, n, out=out[t])
             new *= z
             new += n
             if keep is not None:
-                keep.append((h, z, r, n, a[:, 2 * k :]))
+                keep.append((h, z, r, n, a[2]))
             h = new
         return out, h
 
@@ -111,18 +135,17 @@ class Network:
         cls = layout.classes[targets]
         logits = states @ self.wc
         logits += self.bc
-        logits -= logits.max(axis=1, keepdims=True)
-        rows = np.arange(len(targets))
-        out = logits[rows, cls]
-        e = np.exp(logits, out=logits)
-        s = e.sum(axis=1)
-        out -= np.log(s)
+        rows, ones = np.arange(len(targets)), np.ones(max(len(targets), logits.shape[1], layout.words), logits.dtype)
+        # states are within -1 and 1, which bounds the logits
+        near = all(np.max(np.abs(w).sum(axis=axis) + np.abs(b), initial=0) < FAR for w, b, axis in ((self.wc, self.bc, 0), (self.wo, self.bo, 1)))
+        near = near and float(np.max(np.abs(states), initial=0)) <= 1
+        out, e, s = softmax(logits, rows, cls, ones, near)
         back = None
         if gradients is not None:
             e /= s[:, None]
             e[rows, cls] -= 1.0
             gradients["wc"] += states.T @ e
-            gradients["bc"] += e.sum(axis=0)
+            gradients["bc"] += ones[: len(e)] @ e
             back = e @ self.wc.T
         order = np.argsort(cls.astype(np.uint8 if len(self.bc) < 256 else np.int64), kind="stable")
         ends = np.searchsorted(cls[order], np.arange(len(layout.cuts)))
@@ -138,17 +161,13 @@ class Network:
             h, w = sorted_states[own], self.wo[a:b]
             logits = h @ w.T
             logits += self.bo[a:b]
-            logits -= logits.max(axis=1, keepdims=True)
             at, place = sorted_targets[own] - a, rows[: len(h)]
-            got = logits[place, at]
-            e = np.exp(logits, out=logits)
-            s = e.sum(axis=1)
-            np.subtract(got, np.log(s), out=words[own])
+            words[own], e, s = softmax(logits, place, at, ones, near)
             if gradients is not None:
                 e /= s[:, None]
                 e[place, at] -= 1.0
                 gradients["wo"][a:b] += e.T @ h
-                gradients["bo"][a:b] += e.sum(axis=0)
+                gradients["bo"][a:b] += ones[: len(e)] @ e
                 np.matmul(e, w, out=steps[own])
         out[order] += words
         if back is not None:
@@ -162,30 +181,79 @@ class Network:
         k = self.hidden
         g = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
         flat = valid.reshape(-1)
-        got, back_flat = self.loss(states.reshape(-1, k)[flat], targets.reshape(-1)[flat], g)
-        back = np.zeros((len(flat), k), np.float32)
-        back[flat] = back_flat
+        got, back = self.loss(*chosen(flat, states.reshape(-1, k), targets.reshape(-1)), g)
+        if len(back) < len(flat):
+            some, back = back, np.zeros((len(flat), k), states.dtype)
+            back[flat] = some
         back = back.reshape(states.shape)
-        d_in = np.empty((*ids.shape, 3 * k), np.float32)
-        dh = np.zeros_like(h)
+        d_in = np.empty((*ids.shape, 3 * k), states.dtype)
+        d_gates = np.empty_like(d_in)
+        dh = np.zeros(h.shape, states.dtype)
+        left, product, into = np.empty_like(dh), np.empty_like(dh), np.empty_like(dh)
+        wide = np.ascontiguousarray(self.u.T)
+        any_fresh = fresh.any(axis=1)
         for t in range(len(ids) - 1, -1, -1):
             before, z, r, n, an = keep[t]
-            dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            d_in[t, :, :k], d_in[t, :, k : 2 * k], d_in[t, :, 2 * k :] = dz, dr, dn
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            g["u"] += before.T @ da
-            dh = dh * z + da @ self.u.T
-            dh[fresh[t]] = 0
-        flat_ids, flat_in = ids.reshape(-1), d_in.reshape(-1, 3 * k)
-        order = np.argsort(flat_ids, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(flat_ids[order]) != 0]))
-        g["x"][flat_ids[order][first]] += np.add.reduceat(flat_in[order], first)
+            da = d_gates[t]
+            dz, dr, dn = da[:, :k], da[:, k : 2 * k], da[:, 2 * k :]
+            dh += back[t]
+            np.subtract(1, z, out=left)
+            np.subtract(before, n, out=product)
+            product *= dh
+            product *= z
+            np.multiply(product, left, out=dz)
+            left *= dh
+            np.multiply(n, n, out=product)
+            np.subtract(1, product, out=product)
+            left *= product
+            np.multiply(left, an, out=product)
+            product *= r
+            np.subtract(1, r, out=into)
+            np.multiply(product, into, out=dr)
+            dn[...] = left
+            d_in[t] = da
+            np.multiply(left, r, out=dn)
+            dh *= z
+            dh += np.matmul(da, wide, out=into)
+            if any_fresh[t]:
+                dh[fresh[t]] = 0
+        befores = np.concatenate([np.where(fresh[0][:, None], 0, h)[None].astype(states.dtype), states[:-1]])
+        befores[1:][fresh[1:]] = 0
+        g["u"] += (d_gates.reshape(-1, 3 * k).T @ befores.reshape(-1, k)).T
+        rows, sums = sums_by_id(ids.reshape(-1), d_in.reshape(-1, 3 * k))
+        g["x"][rows] += sums
         return g, last, float(got.sum()), int(flat.sum())
 
 
+def sums_by_id(ids: np.ndarray, rows: np.ndarray, few: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sums of their rows.
+
+    The first rows of all ids are added at once, then the second rows, and so on; ids with more than ``few`` rows are summed singly.
+    """
+    ones = np.ones(len(ids), rows.dtype)
+    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
+    own = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+    size = np.diff(first, append=len(own))
+    by_size = np.argsort(-size, kind="stable")
+    first, size = first[by_size], size[by_size]
+    sums = rows[order[first]]
+    many = int(np.searchsorted(-size, -few, "left"))
+    for i in range(many):
+        sums[i] = ones[: size[i]] @ rows[order[first[i] : first[i] + size[i]]]
+    for j in range(1, few):
+        to = int(np.searchsorted(-size, -j, "left"))
+        if to <= many:
+            break
+        sums[many:to] += rows[order[first[many:to] + j]]
+    return own[first], sums
+
+
+def chosen(flags: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """The flagged rows of arrays; the arrays themselves where all are."""
+    return list(arrays) if flags.all() else [x[flags] for x in arrays]
+
+
 def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lane and first step of every document, longest documents first into the shortest lane, and the lanes' lengths.
 
@@ -247,8 +315,9 @@ def log_likelihood(net: Network, symbols: np.ndarray, offsets: np.ndarray, end:
         states, h = net.unroll(ids, fresh, h[: ids.shape[1]])
         own = doc.reshape(-1)
         flat = own >= 0
-        got, _ = net.loss(states.reshape(-1, net.hidden)[flat], targets.reshape(-1)[flat])
-        out += np.bincount(own[flat], weights=got, minlength=n)
+        own, *pair = chosen(flat, own, states.reshape(-1, net.hidden), targets.reshape(-1))
+        got, _ = net.loss(*pair)
+        out += np.bincount(own, weights=got, minlength=n)
     return out
 
 
@@ -264,22 +333,22 @@ def fit(net: Network, symbols: np.ndarray, offsets: np.ndarray, end: int, rate:
     for i, (ids, targets, fresh, doc) in enumerate(parts):
         g, h, _, count = net.gradients(ids, targets, fresh, doc >= 0, h[: ids.shape[1]])
         step = rate * (1.0 - (1.0 - decay) * i / rounds)
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) / count
-        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / count)
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())) / count
+        scale = np.float32(0.1 * min(1.0, 1.0 / max(norm, 1e-9)) / count)
+        fix = np.float32(step * np.sqrt(1 - 0.99 ** (i + 1)) / (1 - 0.9 ** (i + 1)))
         for k in net.NAMES:
-            own = g[k]
-            own *= scale
-            moved = own - m[k]
-            moved *= np.float32(0.1)
-            m[k] += moved
-            own *= own
-            own -= v[k]
-            own *= np.float32(0.01)
-            v[k] += own
-            fix = step * np.sqrt(1 - 0.99 ** (i + 1)) / (1 - 0.9 ** (i + 1))
-            np.multiply(np.float32(fix), m[k], out=moved)
-            np.sqrt(v[k], out=own)
-            own += np.float32(1e-7)
-            moved /= own
-            getattr(net, k)[...] -= moved
+            whole = [x.reshape(-1) for x in (g[k], m[k], v[k], getattr(net, k))]
+            for at in range(0, whole[0].size, BLOCK):
+                own, mean, square, weight = (x[at : at + BLOCK] for x in whole)
+                own *= scale  # holds a tenth, whose square is the hundredth that the mean square takes
+                mean *= np.float32(0.9)
+                mean += own
+                own *= own
+                square *= np.float32(0.99)
+                square += own
+                np.sqrt(square, out=own)
+                own += np.float32(1e-7)
+                np.divide(mean, own, out=own)
+                own *= fix
+                weight -= own
     return net

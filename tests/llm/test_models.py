@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import time
 import tracemalloc
 import zlib
 
@@ -200,3 +201,70 @@ def test_leader_is_deterministic():
     assert (a.weights == b.weights).all()
     scores = [a.scores(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts[:4]]
     assert min(scores[0], scores[2]) > 0.5 > max(scores[1], scores[3])
+
+
+def listing(hashes):
+    layout = recurrent.Layout.by_frequency(np.arange(4, 0, -1), lm_score.GROUPS, 2)
+    n = np.ones(len(hashes), np.int64)
+    return lm_score.Model(hashes, n, np.arange(len(hashes)) % 5 - 1, 1, 1, n[:0], n[:0], np.zeros(0, np.float32), layout, 2)
+
+
+def test_lookup_finds_the_listed_words_without_a_search():
+    rng = np.random.default_rng(3)
+    hashes = np.unique(np.append(rng.integers(0, 1 << 64, 1 << 17, dtype=np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)))
+    asked = np.concatenate([rng.choice(hashes, 300_000), rng.integers(0, 1 << 64, 300_000, dtype=np.uint64), hashes + np.uint64(1), hashes[:1], hashes[-1:]])
+    model = listing(hashes)
+    listed, at = model.lookup(asked)
+    assert (listed == np.isin(asked, hashes)).all() and (hashes[at[listed]] == asked[listed]).all()
+
+    def seconds(run):
+        took = []
+        for _ in range(5):
+            begun = time.process_time()
+            run()
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    assert seconds(lambda: model.lookup(asked)) < 0.6 * seconds(lambda: np.searchsorted(hashes, asked))
+    # hashes that share their first bits, and lists of one and of none
+    close = np.arange(5, 400, 3, dtype=np.uint64)
+    for few in (close, close[:1], close[:0]):
+        listed, at = listing(few).lookup(np.arange(500, dtype=np.uint64))
+        assert np.flatnonzero(listed).tolist() == few.tolist() and (few[at[listed]] == few).all()
+
+
+def test_sums_by_id_and_tallies():
+    rng = np.random.default_rng(4)
+    for ids in (rng.zipf(1.3, 3_000) % 500, np.array([70_000, 2, 70_000]), np.zeros(40, int), np.empty(0, int)):
+        rows = rng.normal(size=(len(ids), 6))
+        found, sums = recurrent.sums_by_id(ids, rows)
+        want = np.zeros((70_001, 6))
+        np.add.at(want, ids, rows)
+        assert sorted(found.tolist()) == sorted(set(ids.tolist())) and np.allclose(sums, want[found])
+        h, g, n = lm_score.tallied(ids.astype(np.uint64), (ids % 7).astype(np.int8))
+        assert dict(zip(h.tolist(), n.tolist(), strict=True)) == collections.Counter(ids.tolist()) and (g == h % 7).all()
+
+
+def test_far_logits_neither_overflow_nor_vanish():
+    net = recurrent.Network(recurrent.Layout.by_frequency(np.arange(20, 0, -1), 3, 5), 8)
+    states, targets = np.full((23, 8), 0.5, np.float32), np.arange(23)
+    near = net.loss(states, targets)[0]
+    for shift in (-300, 300):
+        far = recurrent.Network(net.layout, 8).load(net.vector())
+        far.bc += np.float32(shift)
+        far.bo += np.float32(shift)
+        assert np.allclose(far.loss(states, targets)[0], near, atol=1e-3)
+
+
+def test_lm_copies_have_the_scores_of_one(spark):
+    texts = ["the sea was calm", None, "", "zzz qqq zzz the sea"]
+    once = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    more = spark.createDataFrame([(i + 10 * c, t) for i, t in enumerate(texts) for c in range(4)], "doc_id long, text string")
+    learn = lm_score.F.col("doc_id") == 0
+    want = {r.doc_id: r for r in lm_score.score(once, learn).collect()}
+    got = lm_score.score(more, learn).collect()
+    assert len(got) == 16
+    for r in got:
+        one = want[r.doc_id % 10]
+        assert (r.n_tokens, r.n_known) == (one.n_tokens, one.n_known)
+        assert math.isclose(r.base_score, one.base_score, rel_tol=1e-9) and math.isclose(r.score, one.score, rel_tol=1e-5)
