@@ -105,27 +105,28 @@ class Network:
         for w in (inputs, weights):
             np.negative(w[:2], out=w[:2])  # the first two gates need exp(-input)
         out = np.empty((*ids.shape, k), dtype)
+        spare = np.empty((3, ids.shape[1], k), dtype)
         any_fresh = fresh.any(axis=1)
         for t in range(len(ids)):
             if any_fresh[t]:
                 h = h.copy()
                 h[fresh[t]] = 0
-            a = np.matmul(h, weights)
-            g = inputs.take(ids[t], axis=1)
-            zr = g[:2]
-            zr += a[:2]
+            a = np.matmul(h, weights[:2], out=spare[:2])
+            zr = inputs[:2].take(ids[t], axis=1)
+            zr += a
             np.exp(zr, out=zr)
             zr += dtype.type(1)
             np.divide(dtype.type(1), zr, out=zr)
             z, r = zr
-            n = r * a[2]
-            n += g[2]
+            an = np.matmul(h, weights[2])
+            n = r * an
+            n += inputs[2].take(ids[t], axis=0, out=spare[2], mode="clip")
             np.tanh(n, out=n)
             new = np.subtract(h, n, out=out[t])
             new *= z
             new += n
             if keep is not None:
-                keep.append((h, z, r, n, a[2]))
+                keep.append((h, z, r, n, an))
             h = new
         return out, h
 
@@ -187,14 +188,13 @@ class Network:
             back[flat] = some
         back = back.reshape(states.shape)
         d_in = np.empty((*ids.shape, 3 * k), states.dtype)
-        d_gates = np.empty_like(d_in)
+        da = np.empty((len(h), 3 * k), states.dtype)
         dh = np.zeros(h.shape, states.dtype)
         left, product, into = np.empty_like(dh), np.empty_like(dh), np.empty_like(dh)
         wide = np.ascontiguousarray(self.u.T)
         any_fresh = fresh.any(axis=1)
         for t in range(len(ids) - 1, -1, -1):
             before, z, r, n, an = keep[t]
-            da = d_gates[t]
             dz, dr, dn = da[:, :k], da[:, k : 2 * k], da[:, 2 * k :]
             dh += back[t]
             np.subtract(1, z, out=left)
@@ -213,13 +213,11 @@ class Network:
             dn[...] = left
             d_in[t] = da
             np.multiply(left, r, out=dn)
+            g["u"] += before.T @ da
             dh *= z
             dh += np.matmul(da, wide, out=into)
             if any_fresh[t]:
                 dh[fresh[t]] = 0
-        befores = np.concatenate([np.where(fresh[0][:, None], 0, h)[None].astype(states.dtype), states[:-1]])
-        befores[1:][fresh[1:]] = 0
-        g["u"] += (d_gates.reshape(-1, 3 * k).T @ befores.reshape(-1, k)).T
         rows, sums = sums_by_id(ids.reshape(-1), d_in.reshape(-1, 3 * k))
         g["x"][rows] += sums
         return g, last, float(got.sum()), int(flat.sum())
