@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mlwatch.llm.batches import CODE_LOWER, GRAM, LOWER, mixed, powers, slices, text_bytes
+from mlwatch.llm.batches import CODE_LOWER, GRAM, LOWER, mixed, powers, released, slices, text_bytes
 from mlwatch.llm.bitmaps import Bitmap, bitmap
 from mlwatch.llm.tries import trie
 from mlwatch.operators.frames import settled
@@ -120,65 +120,78 @@ def codes_of(words: np.ndarray) -> np.ndarray:
 
 
 def spelled_out(texts: DataFrame, codes: DataFrame, cut: int) -> DataFrame:
-    """(code, w1, ..., w4): hash and words of the runs whose hashes begin with the settled ``codes`` of ``cut`` bits, 0 after a run's end."""
+    """(w1, ..., w4, n): the longest run at each position that passes the settled ``codes`` of ``cut`` bits, 0 after its end, and how often it stands there.
+
+    All beginnings of two words or more of such a run pass, too; so whatever is frequent begins a run at each of its places.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(bitmap(codes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Bitmap = shared.value
         for b in slices(batches, "text", LOT):
             _, _, code, piece, _ = positions(b)
+            whole, length, at = code.copy(), np.ones(len(code), np.int8), np.arange(len(code))
             for size in range(2, LONGEST + 1):
-                whole = run_codes(code, size)
-                at = np.flatnonzero(in_piece(piece, size) & known.has(leading(whole, cut)))
-                one = np.unique(whole[at], return_index=True)[1]
-                words = [pa.array((code[at[one] + j] if j < size else np.zeros(len(one), np.uint64)).view(np.int64)) for j in range(LONGEST)]
-                yield pa.RecordBatch.from_arrays(words, WORDS)
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(codes_of(words_of(b)).view(np.int64)), *b.columns], ["code", *WORDS])
-
-    once = texts.mapInArrow(run, f"{' long, '.join(WORDS)} long").distinct().mapInArrow(named, COUNTED)
-    begins = codes.select(F.col("code").alias("begin"))
-    return once.join(begins, F.shiftrightunsigned(once["code"], 64 - cut) == F.col("begin"), "left_semi")
+                at = at[: np.searchsorted(at, len(code) - size + 1)]
+                at = at[piece[at + size - 1] == piece[at]]
+                longer = mixed(whole[at] * GRAM + code[at + size - 1])
+                passes = known.has(leading(longer, cut))
+                at = at[passes]
+                whole[at], length[at] = longer[passes], size
+            at = np.flatnonzero(length > 1)
+            _, one, n = np.unique(whole[at], return_index=True, return_counts=True)
+            at = at[one]
+            padded = np.concatenate([code, np.zeros(LONGEST, np.uint64)])
+            words = [pa.array(np.where(j < length[at], padded[at + j], np.uint64(0)).view(np.int64)) for j in range(LONGEST)]
+            yield pa.RecordBatch.from_arrays([*words, pa.array(n)], [*WORDS, "n"])
+
+    return texts.mapInArrow(run, f"{' long, '.join(WORDS)} long, n long").groupBy(*WORDS).agg(F.sum("n").alias("n"))
 
 
 def words_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.stack([batch.column(w).to_numpy().view(np.uint64) for w in WORDS], axis=1)
 
 
-def trie_counts(texts: DataFrame, candidates: DataFrame, shard: int) -> DataFrame:
-    """(code, a): how often each candidate stands in the texts, counted by tries of about ``shard`` candidates.
+def dealt(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The same rows, up to ``most`` at a time."""
+    held, n = [], 0
+    for b in batches:
+        while n + b.num_rows >= most:
+            yield pa.Table.from_batches([*held, b.slice(0, most - n)])
+            held, b, n = [], b.slice(most - n), 0
+        held, n = [*held, b], n + b.num_rows
+    if n:
+        yield pa.Table.from_batches(held)
 
-    All positions of a lot go through a trie at once; a task adds up the states that accept, and sums go to the shuffle.
+
+def trie_counts(runs: DataFrame, shard: int) -> DataFrame:
+    """(code, w1, ..., w4, a): how often each beginning of two words or more of the settled runs (w1, ..., w4, n) stands in the texts.
+
+    Runs are dealt by their first two words, so that each position is walked once, however many candidates there are. Some
+    runs at a time make a trie of their beginnings, ``shard`` at most, and all of them go through it at once, as often as they stand.
     """
-    spark = texts.sparkSession
-    n = -(-candidates.count() // shard)
-    out = []
-    for k in range(n):
-        part = candidates.where(F.pmod("code", F.lit(n)) == k).select(*WORDS).toArrow()
-        own = spark.sparkContext.broadcast(trie(words_of(part)))
-
-        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            t = own.value
-            total = np.zeros(len(t.sequences), np.int64)
-            for b in slices(batches, "text", LOT):
-                _, _, code, piece, _ = positions(b)
-                ends = list(t.accepted(t.ids(code), piece))
-                if ends:
-                    total += np.bincount(np.concatenate(ends), minlength=len(total))
-            some = np.flatnonzero(total)
-            if len(some):
-                places = t.sequences[some]
-                found = codes_of(np.where(places >= 0, t.labels[places], np.uint64(0)))
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total[some])], ["code", "a"])
-
-        out.append(settled(texts.mapInArrow(run, "code long, a long").groupBy("code").agg(F.sum("a").alias("a"))))
-        own.unpersist()
-    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], "code long, a long")
-
-
-def parts_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in dealt(batches, max(1, shard // (LONGEST - 1))):
+            words, n = words_of(lot), lot.column("n").to_numpy()
+            length = (words != 0).sum(axis=1)
+            begins = np.concatenate([np.where(np.arange(LONGEST) < size, words[length >= size], np.uint64(0)) for size in range(2, LONGEST + 1)])
+            t = trie(begins[np.unique(codes_of(begins), return_index=True)[1]])
+            begin, total = np.cumsum(length) - length, np.zeros(len(t.sequences), np.int64)
+            row = np.repeat(np.arange(len(words)), length)
+            for at, ends in t.walked(t.ids(words[words != 0]), row, begin):
+                total += np.bincount(ends, n[row[at]], len(total)).astype(np.int64)
+            found = np.where(t.sequences >= 0, t.labels[t.sequences], np.uint64(0))
+            columns = [codes_of(found), *found.T]
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns], pa.array(total)], ["code", *WORDS, "a"])
+        released()
+
+    tries = -(-runs.count() * (LONGEST - 1) // shard)
+    counted = runs.repartition(max(1, tries), *WORDS[:2]).mapInArrow(run, f"{COUNTED}, a long")
+    return counted.groupBy("code", *WORDS).agg(F.sum("a").alias("a"))
+
+
+def parts_of(phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(code, k, left, right): the hashes of both parts of each sequence cut after ``k`` words; and (code, inner): of the
     shorter sequences of two words or more inside each."""
 
@@ -197,8 +210,8 @@ def parts_of(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
                         for i in range(size - n + 1):
                             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(codes_of(own[:, i : i + n]).view(np.int64))], ["code", "inner"])
 
-    cut = candidates.mapInArrow(lambda batches: parts(batches, True), "code long, k int, left long, right long")
-    return cut, candidates.mapInArrow(lambda batches: parts(batches, False), "code long, inner long")
+    cut = phrases.mapInArrow(lambda batches: parts(batches, True), "code long, k int, left long, right long")
+    return cut, phrases.mapInArrow(lambda batches: parts(batches, False), "code long, inner long")
 
 
 def exact(x: str | Column) -> Column:
@@ -234,8 +247,9 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     Words and phrases are told apart by 64-bit hashes, counts are exact.
 
     Words are counted first, then pairs of frequent words, then runs of three and four whose pairs are frequent, by hashes
-    that may take other runs along. These candidates make the tries that count them, ``shard`` to a trie: what tasks hold
-    does not grow with the input, and more candidates take more passes. The filters between the steps are bitmaps of at most 8 MB.
+    that may take other runs along. The longest run of these at each position is spelled out, and equal ones are sent once;
+    tries of their beginnings, ``shard`` to a trie, count them. What tasks hold does not grow with the input, and the texts are
+    read four times, however many candidates there are. The filters between the steps are bitmaps of at most 8 MB.
     """
     if least < 1 or shard < 1:
         raise ValueError("least and shard must be at least 1")
@@ -249,11 +263,11 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     pairs = settled(run_counts(texts, shared, range(2, 3), 1, 64, cut).where(F.col("n") >= least).select("code"))
     shared = spark.sparkContext.broadcast(bitmap(pairs))
     longer = run_counts(texts, shared, range(3, LONGEST + 1), 2, cut, cut).where(F.col("n") >= least).select("code")
-    candidates = settled(spelled_out(texts, settled(pairs.union(longer).distinct()), cut))
-    phrases = settled(trie_counts(texts, candidates, shard).where(F.col("a") >= least))
-    cuts, inner = parts_of(candidates)
+    runs = settled(spelled_out(texts, settled(pairs.union(longer).distinct()), cut))
+    spelled = settled(trie_counts(runs, shard).where(F.col("a") >= least))
+    phrases, (cuts, inner) = spelled.select("code", "a"), parts_of(spelled.drop("a"))
     best = settled(scored(phrases, words, cuts).join(absorbed(phrases, inner, within), "code", "left_anti"))
-    listed = candidates.join(best.select("code"), "code", "left_semi")
+    listed = spelled.join(best.select("code"), "code", "left_semi")
     spelled = listed.select(F.col("code").alias("whole"), F.posexplode(F.filter(F.array(*WORDS), lambda w: w != 0)).alias("i", "code"))
     spelled = spelled.join(words.select("code", "word", "lang"), "code").groupBy(F.col("whole").alias("code"))
     spelled = spelled.agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("i", "word"))).alias("spelled"))

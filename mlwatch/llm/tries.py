@@ -39,11 +39,16 @@ class Trie:
         return self.check[cell] == state, cell
 
     def accepted(self, ids: np.ndarray, piece: np.ndarray) -> Iterator[np.ndarray]:
-        """Rows of the sequences that begin at each position and stay inside its piece, length by length.
+        """Rows of the sequences that begin at each position and stay inside its piece, length by length."""
+        for _, ends in self.walked(ids, piece, np.arange(len(ids))):
+            yield ends
+
+    def walked(self, ids: np.ndarray, piece: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of the sequences that begin at the sorted positions ``at`` and stay inside a piece, length by length: where, and their rows.
 
         The states of all positions move on together; those without a next state leave.
         """
-        at = np.flatnonzero(ids >= 0)
+        at = at[ids[at] >= 0]
         state = np.zeros(len(at), np.int32)
         for d in range(self.sequences.shape[1]):
             at, state = (x[at + d < len(ids)] for x in (at, state))
@@ -56,7 +61,7 @@ class Trie:
             if not len(at):
                 return
             ends = self.accept[state]
-            yield ends[ends >= 0]
+            yield at[ends >= 0], ends[ends >= 0]
 
 
 def placed(parent: np.ndarray, label: np.ndarray, span: int) -> tuple[np.ndarray, int]:

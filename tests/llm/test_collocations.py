@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from mlwatch.llm.bitmaps import bitmap
-from mlwatch.llm.collocations import collocations
+from mlwatch.llm.collocations import collocations, trie_counts
 from mlwatch.llm.tries import trie
 
 FOLD = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
@@ -70,6 +70,34 @@ def test_nothing(spark):
         collocations(empty, least=0)
 
 
+@pytest.mark.parametrize("shard", [40, 500_000])
+def test_texts_are_read_four_times(spark, shard):
+    rows, read = make_rows()[:-1], spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3).mapInArrow(seen, "text string, lang string")
+    got = collocations(df.where("text is not null"), least=2, shard=shard).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 2, 2000, 80)
+    assert read.value == 4 * len(rows)
+
+
+@pytest.mark.parametrize("shard", [1, 5, 1000])
+def test_trie_counts_weighs_runs(spark, shard):
+    rng = random.Random(shard)
+    runs = {tuple(rng.randint(1, 4) for _ in range(rng.randint(2, 4))): rng.randint(1, 1 << 40) for _ in range(80)}
+    runs[1, 1, 1, 1] = 7
+    want = collections.Counter()
+    for w, n in runs.items():
+        want.update({w[:k]: n for k in range(2, len(w) + 1)})
+    df = spark.createDataFrame([(*w, *[0] * (4 - len(w)), n) for w, n in runs.items()], "w1 long, w2 long, w3 long, w4 long, n long")
+    got = trie_counts(df, shard).collect()
+    assert {tuple(x for x in r[1:5] if x): r["a"] for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize(("vocabulary", "n"), [(1, 1), (3, 40), (40, 500), (3000, 20_000)])
 def test_trie(vocabulary, n):
     rng = np.random.default_rng(n)
